@@ -1,0 +1,207 @@
+"""Column expressions: null rules, guarded ratios, bands, tiers and text tests.
+
+Everything here is a built-in Spark expression, so it stays inside whole-stage
+code generation and needs no user function.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from tallywatch import schema as S
+
+FLOATING = (T.FloatType, T.DoubleType)
+
+
+def col(value: str | Column) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
+def double(value: str | Column) -> Column:
+    return col(value).cast("double")
+
+
+# ---- null and NaN rules ----------------------------------------------------
+def flag(condition: Column) -> Column:
+    """0/1 as a byte; a comparison with a null is 0, never null."""
+    return F.coalesce(condition, F.lit(False)).cast("byte")
+
+
+def missing(df: DataFrame, name: str) -> Column:
+    """Null, or NaN in a floating column (a blank numeric cell is NaN)."""
+    column = F.col(name)
+    if isinstance(df.schema[name].dataType, FLOATING):
+        return column.isNull() | F.isnan(column)
+    return column.isNull()
+
+
+def infinite(value: str | Column) -> Column:
+    return F.coalesce(F.abs(double(value)) == F.lit(float("inf")), F.lit(False))
+
+
+def non_finite(value: str | Column) -> Column:
+    """Null, NaN or infinite."""
+    number = double(value)
+    return number.isNull() | F.isnan(number) | (F.abs(number) == F.lit(float("inf")))
+
+
+def finite_or_null(value: str | Column) -> Column:
+    number = double(value)
+    return F.when(~non_finite(number), number)
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Turn NaN into NULL in every floating column, so aggregates skip it."""
+    clean = {
+        f.name: F.when(~F.isnan(F.col(f.name)), F.col(f.name))
+        for f in df.schema.fields
+        if isinstance(f.dataType, FLOATING)
+    }
+    return df.withColumns(clean) if clean else df
+
+
+def is_one(value: str | Column) -> Column:
+    """True only for 1; null counts as not one, so its negation keeps nulls."""
+    return col(value).eqNullSafe(F.lit(1))
+
+
+def blank(value: str | Column) -> Column:
+    """Null, empty or all whitespace (tabs and line ends included)."""
+    return col(value).isNull() | col(value).rlike(r"^\s*$")
+
+
+def prefix(value: str | Column) -> Column:
+    return F.substring(col(value), 1, 1)
+
+
+# ---- guarded ratios --------------------------------------------------------
+def ratio(numerator: str | Column, denominator: str | Column) -> Column:
+    """Double division, NULL over zero."""
+    return double(numerator) / F.nullif(double(denominator), F.lit(0.0))
+
+
+def ratio_or_zero(numerator: str | Column, denominator: str | Column) -> Column:
+    return F.coalesce(ratio(numerator, denominator), F.lit(0.0))
+
+
+def percent(numerator: str | Column, denominator: str | Column) -> Column:
+    """Percentage, NULL over zero."""
+    return ratio(numerator, denominator) * F.lit(100.0)
+
+
+def percent_or_zero(numerator: str | Column, denominator: str | Column) -> Column:
+    return F.coalesce(percent(numerator, denominator), F.lit(0.0))
+
+
+def rounded_percent(numerator: Column, denominator: Column, places: int) -> Column:
+    """Percentage rounded half away from zero on decimals; NULL over zero."""
+    share = (numerator.cast("decimal(30,4)") * F.lit(100)) / F.nullif(
+        denominator.cast("decimal(30,4)"), F.lit(0).cast("decimal(30,4)")
+    )
+    return F.round(share, places).cast("double")
+
+
+def rounded(value: str | Column, places: int) -> Column:
+    """Round a double half away from zero, by way of a decimal."""
+    return F.round(double(value).cast("decimal(38,15)"), places).cast("double")
+
+
+def odds_ratio(coefficient: str | Column) -> Column:
+    clipped = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), double(coefficient)))
+    return F.exp(clipped)
+
+
+def f_beta(precision: str | Column, recall: str | Column, beta: float) -> Column:
+    """F-beta, 0 when precision and recall are both 0."""
+    weight = F.lit(float(beta) ** 2)
+    p, r = double(precision), double(recall)
+    return ratio_or_zero((F.lit(1.0) + weight) * p * r, weight * p + r)
+
+
+def curve_f2(precision: Column, recall: Column) -> Column:
+    """F2 as the threshold search computes it: a tiny constant, no guard."""
+    return F.lit(5.0) * precision * recall / (F.lit(4.0) * precision + recall + F.lit(1e-12))
+
+
+# ---- conditional aggregates ------------------------------------------------
+def count_if(condition: Column) -> Column:
+    """Rows where the condition holds, 0 (not null) on empty input."""
+    return F.count_if(F.coalesce(condition, F.lit(False)))
+
+
+def sum_if(condition: Column, value: str | Column) -> Column:
+    """Sum over matching rows; an empty match gives 0."""
+    amount = col(value)
+    return F.coalesce(F.sum(F.when(condition, amount)), F.lit(0))
+
+
+def total(value: str | Column) -> Column:
+    return F.coalesce(F.sum(col(value)), F.lit(0))
+
+
+# ---- categories ------------------------------------------------------------
+def amount_band(amount: str | Column) -> Column:
+    """Nine right-closed bands; below the lower edge there is no band."""
+    value = double(amount)
+    chain = F.when(value < F.lit(S.BAND_FLOOR), F.lit(None).cast("string"))
+    for label, upper in S.AMOUNT_BANDS:
+        inside = value <= F.lit(float(upper)) if upper is not None else ~F.isnan(value)
+        chain = chain.when(inside, F.lit(label))
+    return chain
+
+
+def risk_tier(score: str | Column, critical, high, medium) -> Column:
+    """First match of the three thresholds (numbers or columns), else Low."""
+    value = double(score)
+    return (
+        F.when(value >= critical, F.lit("Critical"))
+        .when(value >= high, F.lit("High"))
+        .when(value >= medium, F.lit("Medium"))
+        .otherwise(F.lit("Low"))
+    )
+
+
+def tier_sort(tier: str | Column) -> Column:
+    chain = None
+    for position, name in enumerate(S.TIERS, start=1):
+        test = col(tier) == F.lit(name)
+        chain = F.when(test, position) if chain is None else chain.when(test, position)
+    return chain
+
+
+def recommended_action(score: str | Column, immediate: float = 0.99, urgent: float = 0.98) -> Column:
+    value = double(score)
+    return (
+        F.when(value >= immediate, F.lit("Immediate Review"))
+        .when(value >= urgent, F.lit("Urgent Review"))
+        .otherwise(F.lit("Priority Review"))
+    )
+
+
+# ---- reshaping -------------------------------------------------------------
+def to_long(
+    row: DataFrame, pairs: Sequence[tuple[str, Column]], key: str, value: str, kind: str = "double"
+) -> DataFrame:
+    """One wide row to (key, value) rows."""
+    parts: list[Column] = []
+    for label, expression in pairs:
+        parts += [F.lit(label), expression.cast(kind)]
+    return row.select(F.stack(F.lit(len(pairs)), *parts).alias(key, value))
+
+
+def to_rows(
+    row: DataFrame, labels: Iterable[str], key: str, fields: dict[str, tuple[str, str]]
+) -> DataFrame:
+    """One wide row to one row per label.
+
+    ``fields`` maps an output name to (column pattern with ``{}``, type); the
+    wide columns are named by filling the pattern with the label.
+    """
+    labels = list(labels)
+    parts: list[Column] = []
+    for label in labels:
+        parts.append(F.lit(label))
+        parts += [F.col(f"`{pattern.format(label)}`").cast(kind) for pattern, kind in fields.values()]
+    return row.select(F.stack(F.lit(len(labels)), *parts).alias(key, *fields))
