@@ -1 +1 @@
-"""Column expressions shared by the operators."""
+"""SQL expression texts shared by the operators."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tallywatch import schema as S
+from tallywatch.functions.exprs import any_of, double, stack, text
 
 # Metrics of the pair comparison, in order.
 PAIR_METRICS = [
@@ -25,40 +26,34 @@ BASELINE_DELTAS = {
 
 
 def delta_vs_baseline(comparison: DataFrame, baseline: str = S.BASELINE_MODEL) -> DataFrame:
-    """Every model minus the baseline row, taken as a one-row subquery."""
-    base = (
-        comparison.where(F.col("Model") == baseline)
-        .agg(*[F.first(c).alias(c) for c in BASELINE_DELTAS.values()])
-        .select(F.struct("*"))
-        .scalar()
-    )
-    return comparison.withColumn("__base", base).select(
-        "Model",
-        *[(F.col(c) - F.col("__base")[c]).alias(out) for out, c in BASELINE_DELTAS.items()],
+    """Every model minus the baseline row.
+
+    The table has one row per model; a window over it hands the baseline to
+    each row without reading the table twice.
+    """
+    base = lambda c: f"first_value(CASE WHEN Model = {text(baseline)} THEN {c} END, TRUE) OVER ()"
+    return comparison.selectExpr(
+        "Model", *[f"{c} - {base(c)} AS {out}" for out, c in BASELINE_DELTAS.items()]
     )
 
 
 def delta_pair(comparison: DataFrame, champion: str, challenger: str) -> DataFrame:
     """Eleven metrics in long form: champion, challenger and difference."""
-    long = comparison.where(F.col("Model").isin(champion, challenger)).select(
-        "Model",
-        F.stack(
-            F.lit(len(PAIR_METRICS)),
-            *[part for m in PAIR_METRICS for part in (F.lit(m), F.col(m).cast("double"))],
-        ).alias("Metric", "value"),
+    rows = [[text(m), double(m)] for m in PAIR_METRICS]
+    long = comparison.where(any_of("Model", [champion, challenger])).selectExpr(
+        "Model", stack(rows, ["Metric", "value"])
     )
-    value = lambda name: F.max(F.when(F.col("Model") == name, F.col("value")))
-    return (
-        long.groupBy("Metric")
-        .agg(value(champion).alias("HGB_Value"), value(challenger).alias("Model_B_Value"))
-        .withColumn("HGB_Minus_Model_B", F.col("HGB_Value") - F.col("Model_B_Value"))
+    value = lambda name: f"MAX(value) FILTER (WHERE Model = {text(name)})"
+    sides = long.groupBy("Metric").agg(
+        F.expr(f"{value(champion)} AS HGB_Value"), F.expr(f"{value(challenger)} AS Model_B_Value")
     )
+    return sides.selectExpr("*", "HGB_Value - Model_B_Value AS HGB_Minus_Model_B")
 
 
 def coefficient_pivot(coefficients: DataFrame, models: list[str] | None = None) -> DataFrame:
     """Feature by model. The model list is given, so no pass looks for it."""
     models = models or list(S.FEATURE_SETS)
-    return coefficients.groupBy("Feature").pivot("Model", models).agg(F.first("Coefficient"))
+    return coefficients.groupBy("Feature").pivot("Model", models).agg(F.expr("first(Coefficient)"))
 
 
 def sort_models(comparison: DataFrame) -> DataFrame:
@@ -67,7 +62,7 @@ def sort_models(comparison: DataFrame) -> DataFrame:
 
 def sort_models_by_recall(comparison: DataFrame) -> DataFrame:
     """Highest recall first, models without recall last."""
-    return comparison.orderBy(F.col("Recall").desc_nulls_last(), F.asc("Model"))
+    return comparison.orderBy(F.desc_nulls_last("Recall"), F.asc("Model"))
 
 
 def sort_coefficients(coefficients: DataFrame) -> DataFrame:

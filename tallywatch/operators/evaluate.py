@@ -12,17 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch import schema as S
-from tallywatch.functions.columns import (
-    count_if, curve_f2, double, f_beta, is_one, percent_or_zero, ratio, ratio_or_zero, total,
+from tallywatch.functions.exprs import (
+    count_if, curve_f2, double, is_one, percent_or_zero, ratio, ratio_or_zero, sum_if, text,
 )
-from tallywatch.operators.ordering import bounded_rank, running_totals
-
-# Fields of a metric row, in order.
-METRIC_FIELDS = [
-    "Model", "Threshold", "ROC_AUC", "Average_Precision", "Accuracy", "Precision", "Recall",
-    "F1", "F2", "Specificity", "True_Negative", "False_Positive", "False_Negative",
-    "True_Positive", "Alerts", "Alert_Rate_Pct", "False_Positive_Rate_Pct",
-]
+from tallywatch.operators.filters import FRAUD
+from tallywatch.operators.ordering import running_totals
 
 
 def score_curve(
@@ -30,94 +24,70 @@ def score_curve(
 ) -> DataFrame:
     """(score, n, pos, alerts, tp, place): running counts from the top score."""
     groups = (
-        scored.where(F.col(score).isNotNull())
-        .groupBy(double(score).alias("score"))
-        .agg(F.count(F.lit(1)).alias("n"), count_if(is_one(label)).alias("pos"))
-        .withColumn("one", F.lit(1).cast("long"))
+        scored.where(f"{score} IS NOT NULL")
+        .groupBy(F.expr(f"{double(score)} AS score"))
+        .agg(F.expr("COUNT(*) AS n"), F.expr(f"{count_if(is_one(label))} AS pos"), F.expr("1L AS one"))
     )
-    return running_totals(
-        groups, [F.desc("score")], {"alerts": "n", "tp": "pos", "place": "one"}, partitions
-    ).drop("one")
+    sums = {"alerts": "n", "tp": "pos", "place": "one"}
+    return running_totals(groups, ["score DESC"], sums, partitions).drop("one")
 
 
-def _totals(curve: DataFrame) -> Column:
-    """Rows, fraud and points of the whole curve, as a one-row subquery."""
-    return curve.agg(
-        F.struct(
-            F.max("alerts").alias("rows"), F.max("tp").alias("fraud"), F.max("place").alias("points")
-        )
-    ).scalar()
+def _with_totals(curve: DataFrame) -> DataFrame:
+    """Add rows, fraud and points of the whole curve, from a one-row subquery."""
+    whole = "struct(MAX(alerts) AS rows, MAX(tp) AS fraud, MAX(place) AS points)"
+    return curve.withColumn("whole", curve.selectExpr(whole).scalar())
 
 
 def pr_curve(curve: DataFrame) -> DataFrame:
     """Precision, recall and F2 at every distinct score."""
-    precision = ratio("tp", "alerts")
-    recall = ratio("tp", F.col("__all")["fraud"])
     return (
-        curve.withColumn("__all", _totals(curve))
-        .select(
-            F.col("score").alias("Threshold"),
-            precision.alias("Precision"),
-            recall.alias("Recall"),
+        _with_totals(curve)
+        .selectExpr(
+            "score AS Threshold",
+            f"{ratio('tp', 'alerts')} AS Precision",
+            f"{ratio('tp', 'whole.fraud')} AS Recall",
             "place",
-            F.col("__all")["points"].alias("points"),
+            "whole.points AS points",
         )
-        .withColumn("F2", curve_f2(F.col("Precision"), F.col("Recall")))
+        .selectExpr("*", f"{curve_f2('Precision', 'Recall')} AS F2")
     )
 
 
 def roc_curve(curve: DataFrame) -> DataFrame:
     """False and true positive rate at every distinct score."""
-    whole = F.col("__all")
-    return curve.withColumn("__all", _totals(curve)).select(
-        F.col("score").alias("Threshold"),
-        ratio(F.col("alerts") - F.col("tp"), whole["rows"] - whole["fraud"]).alias("FPR"),
-        ratio("tp", whole["fraud"]).alias("TPR"),
+    return _with_totals(curve).selectExpr(
+        "score AS Threshold",
+        f"{ratio('alerts - tp', 'whole.rows - whole.fraud')} AS FPR",
+        f"{ratio('tp', 'whole.fraud')} AS TPR",
     )
 
 
 # ---- areas -----------------------------------------------------------------
-def _area_sums() -> list[Column]:
-    negatives = double(F.col("n") - F.col("pos"))
-    return [
-        F.max("alerts").alias("__rows"),
-        F.max("tp").alias("__fraud"),
-        # Half credit for the fraud inside an equal score.
-        F.sum(negatives * (double("tp") - double("pos") / 2)).alias("__auc"),
-        F.sum(double("pos") * (double("tp") / double("alerts"))).alias("__ap"),
-    ]
-
-
-def _roc_auc() -> Column:
-    fraud, rows = double("__fraud"), double("__rows")
-    return F.col("__auc") / F.nullif(fraud * (rows - fraud), F.lit(0.0))
-
-
-def _average_precision() -> Column:
-    """Step-wise area (no interpolation); 0 without any fraud."""
-    return F.when(F.col("__fraud") == 0, F.lit(0.0)).otherwise(
-        F.col("__ap") / F.nullif(double("__fraud"), F.lit(0.0))
-    )
+_AREA_SUMS = [
+    "MAX(alerts) AS all_rows",
+    "MAX(tp) AS all_fraud",
+    # Half credit for the fraud inside an equal score.
+    f"SUM({double('n - pos')} * ({double('tp')} - {double('pos')} / 2D)) AS auc_sum",
+    f"SUM({double('pos')} * ({double('tp')} / {double('alerts')})) AS ap_sum",
+]
+_ROC_AUC = f"auc_sum / NULLIF({double('all_fraud')} * {double('all_rows - all_fraud')}, 0D)"
+#: Step-wise area (no interpolation); 0 without any fraud.
+_AVERAGE_PRECISION = f"CASE WHEN all_fraud = 0 THEN 0D ELSE ap_sum / NULLIF({double('all_fraud')}, 0D) END"
 
 
 def roc_auc(curve: DataFrame) -> DataFrame:
-    return curve.agg(*_area_sums()).select(_roc_auc().alias("ROC_AUC"))
+    return curve.selectExpr(*_AREA_SUMS).selectExpr(f"{_ROC_AUC} AS ROC_AUC")
 
 
 def average_precision(curve: DataFrame) -> DataFrame:
-    return curve.agg(*_area_sums()).select(_average_precision().alias("Average_Precision"))
+    return curve.selectExpr(*_AREA_SUMS).selectExpr(f"{_AVERAGE_PRECISION} AS Average_Precision")
 
 
 # ---- thresholds ------------------------------------------------------------
 def f2_threshold(curve: DataFrame) -> DataFrame:
     """One row: the threshold of the largest F2, the lowest among equals."""
-    best = F.max(
-        F.struct("F2", (-F.col("Threshold")).alias("low"), "Precision", "Recall")
-    )
-    return pr_curve(curve).agg(best.alias("b")).select(
-        (-F.col("b.low")).alias("Threshold"), F.col("b.Precision").alias("Precision"),
-        F.col("b.Recall").alias("Recall"), F.col("b.F2").alias("F2"),
-    )
+    best = pr_curve(curve).selectExpr("MAX(struct(F2, -Threshold AS low, Precision, Recall)) AS b")
+    return best.selectExpr("-b.low AS Threshold", "b.Precision", "b.Recall", "b.F2")
 
 
 def top_thresholds(curve: DataFrame, count: int = 50) -> DataFrame:
@@ -128,23 +98,19 @@ def top_thresholds(curve: DataFrame, count: int = 50) -> DataFrame:
 
 def threshold_tradeoff(curve: DataFrame, points: int = 300) -> DataFrame:
     """Up to ``points`` evenly spaced curve points, in threshold order."""
-    indexed = pr_curve(curve).withColumn("index", F.col("points") - F.col("place"))
-    size = F.least(F.lit(points).cast("long"), F.col("points"))
-    spacing = (double("points") - 1) / F.nullif(double("size") - 1, F.lit(0.0))
     wanted = (
-        curve.agg(F.max("place").alias("points"))
-        .withColumn("size", size)
+        curve.selectExpr("MAX(place) AS points")
+        .selectExpr("points", f"least({points}L, points) AS size")
         .where("size > 0")
-        .select("points", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("i"))
-        .select(
-            F.when((F.col("i") == F.col("size") - 1) & (F.col("size") > 1), F.col("points") - 1)
-            .otherwise(F.coalesce(F.floor(double("i") * spacing), F.lit(0)))
-            .cast("long")
-            .alias("index")
+        .selectExpr("points", "size", "explode(sequence(0L, size - 1)) AS i")
+        .selectExpr(
+            "CASE WHEN i = size - 1 AND size > 1 THEN points - 1 ELSE COALESCE(floor("
+            f"{double('i')} * ({double('points - 1')} / NULLIF({double('size - 1')}, 0D))), 0L) END AS idx"
         )
         .distinct()
     )
-    return indexed.join(F.broadcast(wanted), "index").select("Threshold", "Precision", "Recall", "F2")
+    indexed = pr_curve(curve).selectExpr("points - place AS idx", "Threshold", "Precision", "Recall", "F2")
+    return indexed.join(F.broadcast(wanted), "idx", "left_semi").drop("idx")
 
 
 def curve_quantiles(curve: DataFrame, quantiles: list[tuple[str, float]]) -> DataFrame:
@@ -153,79 +119,78 @@ def curve_quantiles(curve: DataFrame, quantiles: list[tuple[str, float]]) -> Dat
     Read off the running counts: the score whose rows cover a sorted position.
     The built-in exact percentile would gather every distinct score in one task.
     """
-    whole = F.col("__all")["rows"]
-    below = whole - F.col("alerts")  # rows with a lower score
-    frame = curve.withColumn("__all", _totals(curve))
-    measures: list[Column] = []
+    below = "(whole.rows - alerts)"  # rows with a lower score
+    measures: list[str] = []
     for name, q in quantiles:
-        position = (double(whole) - 1) * F.lit(q)
-        for side, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            covers = (below <= index) & (index < below + F.col("n"))
-            measures.append(F.max(F.when(covers, F.col("score"))).alias(f"{name}__{side}"))
-        measures.append(F.max(position - F.floor(position)).alias(f"{name}__part"))
-    row = frame.agg(*measures)
-    return row.select(
-        *[
-            (
-                F.col(f"{n}__lo") + (F.col(f"{n}__hi") - F.col(f"{n}__lo")) * F.col(f"{n}__part")
-            ).alias(n)
-            for n, _ in quantiles
-        ]
+        position = f"({double('whole.rows - 1')} * {q!r}D)"
+        for side, index in (("lo", f"floor({position})"), ("hi", f"ceil({position})")):
+            covers = f"{below} <= {index} AND {index} < {below} + n"
+            measures.append(f"MAX(score) FILTER (WHERE {covers}) AS {name}_{side}")
+        measures.append(f"MAX({position} - floor({position})) AS {name}_part")
+    return (
+        _with_totals(curve)
+        .selectExpr(*measures)
+        .selectExpr(*[f"{n}_lo + ({n}_hi - {n}_lo) * {n}_part AS {n}" for n, _ in quantiles])
     )
 
 
 # ---- metric rows -----------------------------------------------------------
-def _metric_row(cells: DataFrame, model: str, threshold: Column, auc: Column, ap: Column) -> DataFrame:
+# Fields of a metric row, in order.
+_METRIC_FIELDS = {
+    "Accuracy": ratio_or_zero("tp + tn", "tp + fp + tn + fn"),
+    "Precision": ratio_or_zero("tp", "tp + fp"),
+    "Recall": ratio_or_zero("tp", "tp + fn"),
+    "F1": ratio_or_zero("2 * tp", "2 * tp + fp + fn"),
+    "F2": ratio_or_zero("5 * tp", "5 * tp + 4 * fn + fp"),
+    "Specificity": ratio_or_zero("tn", "tn + fp"),
+    "True_Negative": "tn",
+    "False_Positive": "fp",
+    "False_Negative": "fn",
+    "True_Positive": "tp",
+    "Alerts": "tp + fp",
+    "Alert_Rate_Pct": percent_or_zero("tp + fp", "tp + fp + tn + fn"),
+    "False_Positive_Rate_Pct": percent_or_zero("fp", "fp + tn"),
+}
+
+
+def _metric_row(cells: DataFrame, model: str, threshold: str, auc: str, ap: str) -> DataFrame:
     """The 17 fields from tp, fp, tn, fn; undefined ratios are 0."""
-    tp, fp, tn, fn = (F.col(c) for c in ("c_tp", "c_fp", "c_tn", "c_fn"))
-    rows = tp + fp + tn + fn
-    return cells.select(
-        F.lit(model).alias("Model"),
-        threshold.cast("double").alias("Threshold"),
-        auc.cast("double").alias("ROC_AUC"),
-        ap.cast("double").alias("Average_Precision"),
-        ratio_or_zero(tp + tn, rows).alias("Accuracy"),
-        ratio_or_zero(tp, tp + fp).alias("Precision"),
-        ratio_or_zero(tp, tp + fn).alias("Recall"),
-        ratio_or_zero(2 * tp, 2 * tp + fp + fn).alias("F1"),
-        ratio_or_zero(5 * tp, 5 * tp + 4 * fn + fp).alias("F2"),
-        ratio_or_zero(tn, tn + fp).alias("Specificity"),
-        tn.alias("True_Negative"),
-        fp.alias("False_Positive"),
-        fn.alias("False_Negative"),
-        tp.alias("True_Positive"),
-        (tp + fp).alias("Alerts"),
-        percent_or_zero(tp + fp, rows).alias("Alert_Rate_Pct"),
-        percent_or_zero(fp, fp + tn).alias("False_Positive_Rate_Pct"),
+    return cells.selectExpr(
+        f"{text(model)} AS Model",
+        f"{double(threshold)} AS Threshold",
+        f"{double(auc)} AS ROC_AUC",
+        f"{double(ap)} AS Average_Precision",
+        *[f"{expression} AS {name}" for name, expression in _METRIC_FIELDS.items()],
     )
 
 
-def classification_metrics(curve: DataFrame, threshold: float, model: str) -> DataFrame:
-    """Metrics of a score at a threshold: a single aggregate over its curve."""
-    alert = F.col("score") >= F.lit(float(threshold))
-    negatives = F.col("n") - F.col("pos")
-    picked = lambda test, value: total(F.when(test, value)).cast("long")
-    cells = curve.agg(
-        *_area_sums(),
-        picked(alert, F.col("pos")).alias("c_tp"),
-        picked(alert, negatives).alias("c_fp"),
-        picked(~alert, negatives).alias("c_tn"),
-        picked(~alert, F.col("pos")).alias("c_fn"),
+def classification_metrics(curve: DataFrame, threshold: float | Column, model: str) -> DataFrame:
+    """Metrics of a score at a threshold: a single aggregate over its curve.
+
+    The threshold is a number or a one-row subquery (``frame.scalar()``).
+    """
+    cut = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    cells = curve.withColumn("cut", cut).selectExpr(
+        *_AREA_SUMS,
+        "MAX(cut) AS cut",
+        f"{sum_if('score >= cut', 'pos')} AS tp",
+        f"{sum_if('score >= cut', 'n - pos')} AS fp",
+        f"{sum_if('score < cut', 'n - pos')} AS tn",
+        f"{sum_if('score < cut', 'pos')} AS fn",
     )
-    return _metric_row(cells, model, F.lit(float(threshold)), _roc_auc(), _average_precision())
+    return _metric_row(cells, model, "cut", _ROC_AUC, _AVERAGE_PRECISION)
 
 
 def rule_metrics(period: DataFrame, flag: str = "isFlaggedFraud", model: str = S.RULE_MODEL) -> DataFrame:
     """The same fields for the existing rule; it has no score, so no areas."""
-    fraud, flagged = is_one("isFraud"), is_one(flag)
-    cells = period.agg(
-        count_if(fraud & flagged).alias("c_tp"),
-        count_if(~fraud & flagged).alias("c_fp"),
-        count_if(~fraud & ~flagged).alias("c_tn"),
-        count_if(fraud & ~flagged).alias("c_fn"),
+    hit = is_one(flag)
+    cells = period.selectExpr(
+        f"{count_if(f'{FRAUD} AND {hit}')} AS tp",
+        f"{count_if(f'NOT {FRAUD} AND {hit}')} AS fp",
+        f"{count_if(f'NOT {FRAUD} AND NOT {hit}')} AS tn",
+        f"{count_if(f'{FRAUD} AND NOT {hit}')} AS fn",
     )
-    none = F.lit(None)
-    return _metric_row(cells, model, none, none, none)
+    return _metric_row(cells, model, "NULL", "NULL", "NULL")
 
 
 def model_comparison(rows: list[DataFrame], with_specificity: bool = True) -> DataFrame:
@@ -238,9 +203,8 @@ def model_comparison(rows: list[DataFrame], with_specificity: bool = True) -> Da
 
 def predictions(df: DataFrame, columns: dict[str, tuple[str, float]]) -> DataFrame:
     """0/1 predictions: output name to (score column, threshold)."""
-    return df.withColumns(
-        {
-            name: F.coalesce(F.col(score) >= F.lit(float(t)), F.lit(False)).cast("byte")
-            for name, (score, t) in columns.items()
-        }
-    )
+    made = [
+        f"CAST(COALESCE({score} >= {float(cut)!r}D, FALSE) AS TINYINT) AS {name}"
+        for name, (score, cut) in columns.items()
+    ]
+    return df.selectExpr("*", *made)

@@ -8,221 +8,214 @@ once per flag or feature.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallywatch import schema as S
-from tallywatch.functions.columns import (
-    amount_band, count_if, double, finite_or_null, infinite, is_one, missing, percent_or_zero,
-    ratio, ratio_or_zero, sum_if, to_long, to_rows, total,
+from tallywatch.functions.exprs import (
+    amount_band, count_if, double, infinite, is_floating, is_one, missing, non_finite,
+    percent_or_zero, ratio, ratio_or_zero, stack, sum_if, text, to_long, to_rows, total,
 )
-from tallywatch.operators.filters import split_name
+from tallywatch.operators.filters import FRAUD, split_name
 from tallywatch.operators.profile import missing_values
 
 
 def dataset_validation(source: DataFrame, master: DataFrame, model: DataFrame) -> DataFrame:
     """Counts that must agree across source, master and model tables."""
-    label = lambda df: total(F.col("isFraud").cast("long"))
-    row = master.agg(
-        F.count(F.lit(1)).alias("master_rows"),
-        label(master).alias("master_fraud"),
-        count_if(F.col("zero_amount_flag") == 1).alias("zero"),
-        count_if((F.col("zero_amount_flag") == 1) & is_one("isFraud")).alias("zero_fraud"),
-        count_if(F.col("high_value_200k_flag") == 1).alias("high"),
+    fraud = total("CAST(isFraud AS BIGINT)")
+    row = master.selectExpr(
+        "COUNT(*) AS rows",
+        f"{fraud} AS fraud",
+        f"{count_if('zero_amount_flag = 1')} AS zero",
+        f"{count_if(f'zero_amount_flag = 1 AND {FRAUD}')} AS zero_fraud",
+        f"{count_if('high_value_200k_flag = 1')} AS high",
     )
-    sides = {
-        "source_rows": source.agg(F.count(F.lit(1))),
-        "source_fraud": source.agg(label(source)),
-        "model_rows": model.agg(F.count(F.lit(1))),
-        "model_fraud": model.agg(label(model)),
-    }
-    row = row.withColumns({name: frame.scalar() for name, frame in sides.items()})
+    side = f"struct(COUNT(*) AS rows, {fraud} AS fraud)"
+    row = row.withColumns(
+        {"source": source.selectExpr(side).scalar(), "model": model.selectExpr(side).scalar()}
+    )
+    # Metric names of the validation report.
     return to_long(
         row,
         [
-            ("Source rows processed", F.col("source_rows")),
-            ("Master analytical rows", F.col("master_rows")),
-            ("Master Parquet rows", F.col("master_rows")),
-            ("Rows lost during processing", F.col("source_rows") - F.col("master_rows")),
-            ("Source fraud transactions", F.col("source_fraud")),
-            ("Master fraud transactions", F.col("master_fraud")),
-            ("Full dataset fraud rate (%)", percent_or_zero("master_fraud", "master_rows")),
-            ("High-risk modelling rows", F.col("model_rows")),
-            ("High-risk Parquet rows", F.col("model_rows")),
-            ("High-risk modelling fraud", F.col("model_fraud")),
-            ("High-risk fraud rate (%)", percent_or_zero("model_fraud", "model_rows")),
-            ("Zero-amount transactions", F.col("zero")),
-            ("Zero-amount fraud transactions", F.col("zero_fraud")),
-            ("Transactions above 200k", F.col("high")),
+            ("Source rows processed", "source.rows"),
+            ("Master analytical rows", "rows"),
+            ("Master Parquet rows", "rows"),
+            ("Rows lost during processing", "source.rows - rows"),
+            ("Source fraud transactions", "source.fraud"),
+            ("Master fraud transactions", "fraud"),
+            ("Full dataset fraud rate (%)", percent_or_zero("fraud", "rows")),
+            ("High-risk modelling rows", "model.rows"),
+            ("High-risk Parquet rows", "model.rows"),
+            ("High-risk modelling fraud", "model.fraud"),
+            ("High-risk fraud rate (%)", percent_or_zero("model.fraud", "model.rows")),
+            ("Zero-amount transactions", "zero"),
+            ("Zero-amount fraud transactions", "zero_fraud"),
+            ("Transactions above 200k", "high"),
         ],
         "Metric",
         "Value",
     )
 
 
+# Class labels.
+CLASSES = {"Legitimate": 0, "Fraud": 1}
+
+
 def class_summary(df: DataFrame) -> DataFrame:
     """Fraud against legitimate; both classes always appear."""
-    # Class labels.
-    classes = {"Legitimate": 0, "Fraud": 1}
-    measures: list[Column] = []
-    for name, label in classes.items():
-        member = F.col("isFraud") == label
+    measures: list[str] = []
+    for name, label in CLASSES.items():
+        member = f"isFraud = {label}"
         measures += [
-            count_if(member).alias(f"{name}__n"),
-            sum_if(member, "amount").alias(f"{name}__value"),
-            F.min(F.when(member, F.col("amount"))).alias(f"{name}__min"),
-            F.max(F.when(member, F.col("amount"))).alias(f"{name}__max"),
-            sum_if(member, "oldbalanceOrg").alias(f"{name}__origin"),
-            sum_if(member, "oldbalanceDest").alias(f"{name}__dest"),
+            f"{count_if(member)} AS {name}__n",
+            f"{sum_if(member, 'amount')} AS {name}__value",
+            f"MIN(amount) FILTER (WHERE {member}) AS {name}__min",
+            f"MAX(amount) FILTER (WHERE {member}) AS {name}__max",
+            f"{sum_if(member, 'oldbalanceOrg')} AS {name}__origin",
+            f"{sum_if(member, 'oldbalanceDest')} AS {name}__dest",
         ]
-    row = df.agg(*measures)
-    for name in classes:
-        row = row.withColumns(
-            {
-                f"{name}__avg": ratio(f"{name}__value", f"{name}__n"),
-                f"{name}__avg_origin": ratio(f"{name}__origin", f"{name}__n"),
-                f"{name}__avg_dest": ratio(f"{name}__dest", f"{name}__n"),
-            }
-        )
     return to_rows(
-        row,
-        classes,
+        df.selectExpr(*measures),
+        CLASSES,
         "Class",
         {
-            "Transaction_Count": ("{}__n", "long"),
-            "Transaction_Value": ("{}__value", "double"),
-            "Average_Amount": ("{}__avg", "double"),
-            "Minimum_Amount": ("{}__min", "double"),
-            "Maximum_Amount": ("{}__max", "double"),
-            "Average_Origin_Balance_Before": ("{}__avg_origin", "double"),
-            "Average_Destination_Balance_Before": ("{}__avg_dest", "double"),
+            "Transaction_Count": "{}__n",
+            "Transaction_Value": double("{}__value"),
+            "Average_Amount": ratio("{}__value", "{}__n"),
+            "Minimum_Amount": double("{}__min"),
+            "Maximum_Amount": double("{}__max"),
+            "Average_Origin_Balance_Before": ratio("{}__origin", "{}__n"),
+            "Average_Destination_Balance_Before": ratio("{}__dest", "{}__n"),
         },
     )
 
 
-def _fraud_measures() -> list[Column]:
-    fraud = is_one("isFraud")
-    return [
-        F.count(F.lit(1)).alias("Transaction_Count"),
-        double(total("amount")).alias("Transaction_Value"),
-        count_if(fraud).alias("Fraud_Count"),
-        double(sum_if(fraud, "amount")).alias("Fraud_Value"),
-    ]
-
-
-def _with_rate(df: DataFrame) -> DataFrame:
-    return df.withColumn("Fraud_Rate_Pct", percent_or_zero("Fraud_Count", "Transaction_Count"))
-
-
-def by_group(df: DataFrame, group: Column, name: str) -> DataFrame:
+def by_group(df: DataFrame, group: str, name: str) -> DataFrame:
     """Count, value, fraud and fraud rate per group; a null group is left out."""
-    return _with_rate(df.where(group.isNotNull()).groupBy(group.alias(name)).agg(*_fraud_measures()))
+    grouped = (
+        df.where(f"({group}) IS NOT NULL")
+        .groupBy(F.expr(f"{group} AS {name}"))
+        .agg(
+            F.expr("COUNT(*) AS n"),
+            F.expr(f"{total('amount')} AS value"),
+            F.expr(f"{count_if(FRAUD)} AS fraud"),
+            F.expr(f"{sum_if(FRAUD, 'amount')} AS fraud_value"),
+        )
+    )
+    return grouped.selectExpr(
+        name,
+        "n AS Transaction_Count",
+        f"{double('value')} AS Transaction_Value",
+        "fraud AS Fraud_Count",
+        f"{double('fraud_value')} AS Fraud_Value",
+        f"{percent_or_zero('fraud', 'n')} AS Fraud_Rate_Pct",
+    )
 
 
 def type_summary(df: DataFrame) -> DataFrame:
-    summary = by_group(df, F.col("type"), "Transaction_Type")
-    return summary.select(
+    return by_group(df, "type", "Transaction_Type").selectExpr(
         "Transaction_Type",
         "Transaction_Count",
         "Transaction_Value",
-        ratio_or_zero("Transaction_Value", "Transaction_Count").alias("Average_Transaction_Amount"),
+        f"{ratio_or_zero('Transaction_Value', 'Transaction_Count')} AS Average_Transaction_Amount",
         "Fraud_Count",
         "Fraud_Value",
-        ratio_or_zero("Fraud_Value", "Fraud_Count").alias("Average_Fraud_Amount"),
+        f"{ratio_or_zero('Fraud_Value', 'Fraud_Count')} AS Average_Fraud_Amount",
         "Fraud_Rate_Pct",
-        percent_or_zero("Fraud_Value", "Transaction_Value").alias("Fraud_Value_Share_Pct"),
+        f"{percent_or_zero('Fraud_Value', 'Transaction_Value')} AS Fraud_Value_Share_Pct",
     )
 
 
 def hourly_summary(df: DataFrame) -> DataFrame:
-    return by_group(df, F.col("hour_of_day"), "Hour_of_Day").orderBy("Hour_of_Day")
+    return by_group(df, "hour_of_day", "Hour_of_Day").orderBy("Hour_of_Day")
 
 
 def daily_summary(df: DataFrame) -> DataFrame:
-    return by_group(df, F.col("transaction_day"), "Transaction_Day").orderBy("Transaction_Day")
+    return by_group(df, "transaction_day", "Transaction_Day").orderBy("Transaction_Day")
 
 
 def high_risk_type_summary(model: DataFrame) -> DataFrame:
-    return by_group(model, F.col("type"), "Transaction_Type").orderBy("Transaction_Type")
+    return by_group(model, "type", "Transaction_Type").orderBy("Transaction_Type")
 
 
-def band_dimension(df: DataFrame) -> DataFrame:
-    rows = [(position, label) for position, (label, _) in enumerate(S.AMOUNT_BANDS, start=1)]
-    return df.sparkSession.createDataFrame(rows, "band_order int, Amount_Bucket string")
+def dense(df: DataFrame, values: list[str], key: str) -> DataFrame:
+    """Every listed value in list order, missing rows as nulls.
+
+    The list is the broadcast side: a fixed handful of rows.
+    """
+    rows = list(enumerate(values, start=1))
+    listed = df.sparkSession.createDataFrame(rows, f"position int, {key} string")
+    return listed.join(F.broadcast(df), key, "left").orderBy("position")
 
 
 def amount_band_summary(df: DataFrame) -> DataFrame:
-    """All nine bands in order, empty ones as zero (a nine-row dimension)."""
+    """All nine bands in order, empty ones as zero."""
     observed = by_group(df, amount_band("amount"), "Amount_Bucket")
-    return (
-        F.broadcast(band_dimension(df))
-        .join(observed, "Amount_Bucket", "left")
-        .na.fill(0, ["Transaction_Count", "Fraud_Count"])
-        .na.fill(0.0, ["Transaction_Value", "Fraud_Value", "Fraud_Rate_Pct"])
-        .orderBy("band_order")
-        .drop("band_order")
+    return dense(observed, [label for label, _ in S.AMOUNT_BANDS], "Amount_Bucket").selectExpr(
+        "Amount_Bucket",
+        "COALESCE(Transaction_Count, 0) AS Transaction_Count",
+        "COALESCE(Transaction_Value, 0D) AS Transaction_Value",
+        "COALESCE(Fraud_Count, 0) AS Fraud_Count",
+        "COALESCE(Fraud_Value, 0D) AS Fraud_Value",
+        "COALESCE(Fraud_Rate_Pct, 0D) AS Fraud_Rate_Pct",
     )
 
 
 def flag_lift(
-    df: DataFrame, flags: list[str] = S.RISK_FLAGS, key: str = "Risk_Flag", model_names: bool = False
+    df: DataFrame, flags: list[str] = S.RISK_FLAGS, key: str = "Risk_Flag", when: str = "When_"
 ) -> DataFrame:
     """Fraud rate with and without each flag, and their ratio (null over zero)."""
-    fraud = is_one("isFraud")
-    measures = [F.count(F.lit(1)).alias("rows"), count_if(fraud).alias("frauds")]
+    measures = ["COUNT(*) AS rows", f"{count_if(FRAUD)} AS frauds"]
     for name in flags:
-        on = is_one(name)
-        measures += [count_if(on).alias(f"{name}__n"), count_if(on & fraud).alias(f"{name}__f")]
-    row = df.agg(*measures)
-    row = row.withColumns({f"{n}__n0": F.col("rows") - F.col(f"{n}__n") for n in flags})
-    row = row.withColumns({f"{n}__f0": F.col("frauds") - F.col(f"{n}__f") for n in flags})
-    row = row.withColumns({f"{n}__r": percent_or_zero(f"{n}__f", f"{n}__n") for n in flags})
-    row = row.withColumns({f"{n}__r0": percent_or_zero(f"{n}__f0", f"{n}__n0") for n in flags})
-    row = row.withColumns({f"{n}__lift": ratio(f"{n}__r", f"{n}__r0") for n in flags})
-    true_rate = "Fraud_Rate_True_Pct" if model_names else "Fraud_Rate_When_True_Pct"
-    false_rate = "Fraud_Rate_False_Pct" if model_names else "Fraud_Rate_When_False_Pct"
+        measures += [
+            f"{count_if(is_one(name))} AS {name}__n",
+            f"{count_if(f'{is_one(name)} AND {FRAUD}')} AS {name}__f",
+        ]
+    with_flag = percent_or_zero("{}__f", "{}__n")
+    without = percent_or_zero("frauds - {}__f", "rows - {}__n")
     return to_rows(
-        row,
+        df.selectExpr(*measures),
         flags,
         key,
         {
-            "Flag_True_Count": ("{}__n", "long"),
-            "Fraud_When_True": ("{}__f", "long"),
-            true_rate: ("{}__r", "double"),
-            "Flag_False_Count": ("{}__n0", "long"),
-            "Fraud_When_False": ("{}__f0", "long"),
-            false_rate: ("{}__r0", "double"),
-            "Fraud_Rate_Lift": ("{}__lift", "double"),
+            "Flag_True_Count": "{}__n",
+            "Fraud_When_True": "{}__f",
+            f"Fraud_Rate_{when}True_Pct": with_flag,
+            "Flag_False_Count": "rows - {}__n",
+            "Fraud_When_False": "frauds - {}__f",
+            f"Fraud_Rate_{when}False_Pct": without,
+            "Fraud_Rate_Lift": f"{with_flag} / NULLIF({without}, 0D)",
         },
     )
 
 
 def binary_flag_lift(model: DataFrame) -> DataFrame:
-    return flag_lift(model, key="Feature", model_names=True)
+    return flag_lift(model, key="Feature", when="")
 
 
 def defined_lift(lift: DataFrame) -> DataFrame:
     """Flags with a defined lift, highest first."""
-    return lift.where(F.col("Fraud_Rate_Lift").isNotNull()).orderBy(F.desc("Fraud_Rate_Lift"))
+    return lift.where("Fraud_Rate_Lift IS NOT NULL").orderBy(F.desc("Fraud_Rate_Lift"))
 
 
 # ---- model population ------------------------------------------------------
 def population_summary(model: DataFrame) -> DataFrame:
-    row = model.agg(
-        F.count(F.lit(1)).alias("rows"),
-        total(F.col("isFraud").cast("long")).alias("fraud"),
-        F.min("step").alias("first"),
-        F.max("step").alias("last"),
+    row = model.selectExpr(
+        "COUNT(*) AS rows",
+        f"{total('CAST(isFraud AS BIGINT)')} AS fraud",
+        "MIN(step) AS first_step",
+        "MAX(step) AS last_step",
     )
     return to_long(
         row,
         [
-            ("Parquet rows", F.col("rows")),
-            ("Rows processed", F.col("rows")),
-            ("Total fraud", F.col("fraud")),
-            ("Legitimate transactions", F.col("rows") - F.col("fraud")),
+            ("Parquet rows", "rows"),
+            ("Rows processed", "rows"),
+            ("Total fraud", "fraud"),
+            ("Legitimate transactions", "rows - fraud"),
             ("Fraud rate (%)", percent_or_zero("fraud", "rows")),
-            ("Minimum step", F.col("first")),
-            ("Maximum step", F.col("last")),
+            ("Minimum step", "first_step"),
+            ("Maximum step", "last_step"),
         ],
         "Metric",
         "Value",
@@ -234,80 +227,67 @@ def feature_missing(model: DataFrame) -> DataFrame:
 
 
 def feature_infinite(model: DataFrame) -> DataFrame:
-    row = model.agg(*[count_if(infinite(c)).alias(f"{c}__n") for c in S.NUMERIC_FEATURES])
-    return to_rows(row, S.NUMERIC_FEATURES, "Feature", {"Infinite_Count": ("{}__n", "long")})
+    row = model.selectExpr(*[f"{count_if(infinite(c))} AS {c}__n" for c in S.NUMERIC_FEATURES])
+    return to_rows(row, S.NUMERIC_FEATURES, "Feature", {"Infinite_Count": "{}__n"})
 
 
 def numeric_by_class(model: DataFrame) -> DataFrame:
     """Valid and missing counts, mean and range of each feature per class."""
-    measures: list[Column] = []
+    measures: list[str] = []
     for name in S.NUMERIC_FEATURES:
-        value = finite_or_null(name)
-        exact = F.when(value.isNotNull(), F.col(name))
+        value = f"CASE WHEN NOT {non_finite(name)} THEN {name} END" if is_floating(model, name) else name
         measures += [
-            F.count(value).alias(f"{name}__n"),
-            count_if(missing(model, name)).alias(f"{name}__missing"),
-            F.sum(exact).alias(f"{name}__sum"),
-            F.min(exact).alias(f"{name}__min"),
-            F.max(exact).alias(f"{name}__max"),
+            f"COUNT({value}) AS {name}__n",
+            f"{count_if(missing(model, name))} AS {name}__missing",
+            f"SUM({value}) AS {name}__sum",
+            f"MIN({value}) AS {name}__min",
+            f"MAX({value}) AS {name}__max",
         ]
-    classes = model.where(F.col("isFraud").isin(0, 1)).groupBy("isFraud").agg(*measures)
-    both = F.broadcast(
-        model.sparkSession.createDataFrame([(0, "Legitimate"), (1, "Fraud")], "isFraud int, Class string")
+    by_class = model.where("isFraud IN (0, 1)").groupBy(
+        F.expr("CASE isFraud WHEN 1 THEN 'Fraud' ELSE 'Legitimate' END AS Class")
+    )
+    wide = dense(by_class.agg(*[F.expr(m) for m in measures]), list(CLASSES), "Class")
+    return to_rows(
+        wide,
+        S.NUMERIC_FEATURES,
+        "Feature",
+        {
+            "Valid_Count": "COALESCE({}__n, 0)",
+            "Missing_Count": "COALESCE({}__missing, 0)",
+            "Mean": ratio("{}__sum", "{}__n"),
+            "Minimum": double("{}__min"),
+            "Maximum": double("{}__max"),
+        },
+        keep=["Class"],
     )
-    wide = both.join(classes.withColumn("isFraud", F.col("isFraud").cast("int")), "isFraud", "left")
-    parts: list[Column] = []
-    for name in S.NUMERIC_FEATURES:
-        parts += [
-            F.lit(name),
-            F.coalesce(f"{name}__n", F.lit(0)),
-            F.coalesce(f"{name}__missing", F.lit(0)),
-            ratio(f"{name}__sum", f"{name}__n"),
-            double(f"{name}__min"),
-            double(f"{name}__max"),
-        ]
-    return wide.select(
-        "Class",
-        F.stack(F.lit(len(S.NUMERIC_FEATURES)), *parts).alias(
-            "Feature", "Valid_Count", "Missing_Count", "Mean", "Minimum", "Maximum"
-        ),
-    ).select("Feature", "Class", "Valid_Count", "Missing_Count", "Mean", "Minimum", "Maximum")
 
 
 def fixed_split_summary(model: DataFrame, train_end: int = 520, validation_end: int = 594) -> DataFrame:
     """Rows, share and fraud per split for fixed boundaries, all three dense."""
-    # Labels of the three ranges.
     ranges = {
         "TRAIN": f"{S.FIRST_STEP}-{train_end}",
         "VALIDATION": f"{train_end + 1}-{validation_end}",
         "TEST": f"{validation_end + 1}-{S.LAST_STEP}",
     }
     split = split_name(train_end, validation_end)
-    measures = [F.count(F.lit(1)).alias("rows")]
-    for name in ranges:
-        member = split == name
+    measures = ["COUNT(*) AS rows"]
+    for name, steps in ranges.items():
+        member = f"{split} = {text(name)}"
         measures += [
-            count_if(member).alias(f"{name}__n"),
-            count_if(member & is_one("isFraud")).alias(f"{name}__f"),
-            F.lit(ranges[name]).alias(f"{name}__range"),
+            f"{count_if(member)} AS {name}__n",
+            f"{count_if(f'{member} AND {FRAUD}')} AS {name}__f",
+            f"{text(steps)} AS {name}__steps",
         ]
-    row = model.agg(*measures)
-    row = row.withColumns(
-        {
-            **{f"{n}__pct": percent_or_zero(f"{n}__n", "rows") for n in ranges},
-            **{f"{n}__rate": percent_or_zero(f"{n}__f", f"{n}__n") for n in ranges},
-        }
-    )
     return to_rows(
-        row,
+        model.selectExpr(*measures),
         ranges,
         "Split",
         {
-            "Step_Range": ("{}__range", "string"),
-            "Rows": ("{}__n", "long"),
-            "Population_Pct": ("{}__pct", "double"),
-            "Fraud_Count": ("{}__f", "long"),
-            "Fraud_Rate_Pct": ("{}__rate", "double"),
+            "Step_Range": "{}__steps",
+            "Rows": "{}__n",
+            "Population_Pct": percent_or_zero("{}__n", "rows"),
+            "Fraud_Count": "{}__f",
+            "Fraud_Rate_Pct": percent_or_zero("{}__f", "{}__n"),
         },
     )
 
@@ -319,18 +299,12 @@ def feature_variation(model: DataFrame) -> DataFrame:
     a few hundred rows at most. Only those are turned to rows and summed.
     """
     features = ["type"] + S.RISK_FLAGS
-    joint = model.groupBy(*features).agg(F.count(F.lit(1)).alias("n"))
-    parts: list[Column] = []
-    for name in features:
-        parts += [F.lit(name), F.coalesce(F.col(name).cast("string"), F.lit("nan"))]
-    values = joint.select("n", F.stack(F.lit(len(features)), *parts).alias("Feature", "value"))
-    counted = values.groupBy("Feature", "value").agg(F.sum("n").alias("n"))
-    entry = F.struct(
-        "value", F.concat(F.col("value"), F.lit(": "), F.format_number("n", 0)).alias("text")
-    )
+    joint = model.groupBy(*features).agg(F.expr("COUNT(*) AS n"))
+    rows = [[text(c), f"COALESCE(CAST({c} AS STRING), 'nan')"] for c in features]
+    values = joint.selectExpr("n", stack(rows, ["Feature", "value"]))
+    counted = values.groupBy("Feature", "value").agg(F.expr("SUM(n) AS n"))
+    entries = "sort_array(collect_list(struct(value, concat(value, ': ', format_number(n, 0)) AS shown)))"
     return counted.groupBy("Feature").agg(
-        F.count(F.lit(1)).alias("Unique_Values"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["text"]), "; ").alias(
-            "Value_Distribution"
-        ),
+        F.expr("COUNT(*) AS Unique_Values"),
+        F.expr(f"array_join(transform({entries}, e -> e.shown), '; ') AS Value_Distribution"),
     )

@@ -15,81 +15,76 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch.session import materialise
 
-_PART, _POS = "__part", "__pos"
+_BEFORE = "OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_ROW_BITS = 33  # monotonically_increasing_id keeps the row index in the low bits
 
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
     return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _offsets(per_part: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Exclusive running totals over the (few) partitions."""
-    before = W.orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
-    return per_part.select(
-        _PART,
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__off_{n}") for n in names],
-    )
+def sort_keys(order: Sequence[str]) -> list[Column]:
+    """Sort columns from texts such as ``score DESC``."""
+    return [F.desc(o.split()[0]) if o.upper().endswith(" DESC") else F.asc(o.split()[0]) for o in order]
 
 
 def global_row_number(
-    df: DataFrame, order: Sequence[Column], name: str, partitions: int | None = None
+    df: DataFrame, order: Sequence[str], name: str, partitions: int | None = None
 ) -> DataFrame:
     """Add 1..n in the given order. The order must be total (end on a key).
 
     A value shared by a third of the rows is no hot spot: the key column at the
     end of the order lets the range partitioner cut inside equal values.
     """
-    local = F.monotonically_increasing_id()
+    keys = sort_keys(order)
     placed = materialise(
-        df.repartitionByRange(_partitions(df, partitions), *order)
-        .sortWithinPartitions(*order)
-        .withColumn(_POS, local)
-        .withColumn(_PART, F.shiftright(_POS, 33))
-        .withColumn(_POS, F.col(_POS).bitwiseAND(F.lit((1 << 33) - 1)))
+        df.repartitionByRange(_partitions(df, partitions), *keys)
+        .sortWithinPartitions(*keys)
+        .selectExpr("*", "monotonically_increasing_id() AS place")
+    ).selectExpr(
+        "*", f"shiftright(place, {_ROW_BITS}) AS part", f"place & {(1 << _ROW_BITS) - 1}L AS row_index"
+    )
+    offsets = placed.groupBy("part").count().selectExpr(
+        "part", f"COALESCE(SUM(count) {_BEFORE}, 0) AS rows_before"
     )
-    offsets = _offsets(placed.groupBy(_PART).agg(F.count(F.lit(1)).alias("n")), ["n"])
-    return (
-        placed.join(F.broadcast(offsets), _PART)
-        .withColumn(name, F.col(_POS) + F.col("__off_n") + F.lit(1))
-        .drop(_PART, _POS, "__off_n")
+    return placed.join(F.broadcast(offsets), "part").selectExpr(
+        *df.columns, f"row_index + rows_before + 1 AS {name}"
     )
 
 
 def running_totals(
-    df: DataFrame,
-    order: Sequence[Column],
-    sums: dict[str, str],
-    partitions: int | None = None,
+    df: DataFrame, order: Sequence[str], sums: dict[str, str], partitions: int | None = None
 ) -> DataFrame:
     """Add inclusive running sums of long columns in the given order.
 
-    ``sums`` maps an output name to the column it accumulates. The order must
-    be unique per row, as after a ``groupBy`` on the ordered column.
+    ``sums`` maps an output name to the column it accumulates; ``order`` holds
+    names or ``name DESC``, and must be unique per row, as after a ``groupBy``
+    on the ordered column.
     """
-    inside = (
-        W.partitionBy(_PART).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
+    inside = f"OVER (PARTITION BY part ORDER BY {', '.join(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    keys = sort_keys(order)
     placed = materialise(
-        df.repartitionByRange(_partitions(df, partitions), *order)
-        .withColumn(_PART, F.spark_partition_id())
-        .withColumns({out: F.sum(source).over(inside) for out, source in sums.items()})
+        df.repartitionByRange(_partitions(df, partitions), *keys)
+        .selectExpr("*", "spark_partition_id() AS part")
+        .selectExpr("*", *[f"SUM({source}) {inside} AS {out}" for out, source in sums.items()])
     )
-    per_part = placed.groupBy(_PART).agg(*[F.sum(source).alias(out) for out, source in sums.items()])
-    return (
-        placed.join(F.broadcast(_offsets(per_part, list(sums))), _PART)
-        .withColumns({out: F.col(out) + F.col(f"__off_{out}") for out in sums})
-        .drop(_PART, *[f"__off_{out}" for out in sums])
+    totals = placed.groupBy("part").agg(*[F.expr(f"SUM({s}) AS {out}") for out, s in sums.items()])
+    offsets = totals.selectExpr("part", *[f"COALESCE(SUM({out}) {_BEFORE}, 0) AS {out}_before" for out in sums])
+    return placed.join(F.broadcast(offsets), "part").selectExpr(
+        *df.columns, *[f"{out} + {out}_before AS {out}" for out in sums]
     )
 
 
-def bounded_rank(df: DataFrame, order: Sequence[Column], limit: int, name: str) -> DataFrame:
+def bounded_rank(df: DataFrame, order: Sequence[str], limit: int, name: str) -> DataFrame:
     """The first ``limit`` rows with ranks 1..limit.
 
     Each task keeps its own best ``limit`` rows (TakeOrderedAndProject), so the
     single-task window that numbers them sees at most ``limit`` rows.
     """
-    return df.orderBy(*order).limit(limit).withColumn(name, F.row_number().over(W.orderBy(*order)))
+    keys = sort_keys(order)
+    best = df.orderBy(*keys).limit(limit)
+    return best.selectExpr("*", f"ROW_NUMBER() OVER (ORDER BY {', '.join(order)}) AS {name}")

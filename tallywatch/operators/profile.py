@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallywatch import schema as S
-from tallywatch.functions.columns import (
-    count_if, double, is_one, missing, percent_or_zero, ratio, sum_if, to_long, to_rows, total,
+from tallywatch.functions.exprs import (
+    count_if, double, is_floating, missing, percent_or_zero, ratio, stack, sum_if, text, to_long,
+    to_rows, total,
 )
+from tallywatch.operators.filters import FLAGGED, FRAUD
 
-#: Hash groups with several rows are broadcast for the exact check up to here.
+#: Hashes that occur several times are broadcast for the exact check up to here.
 MAX_BROADCAST_HASHES = 1_000_000
 
 
@@ -21,24 +23,21 @@ def distinct_accounts(df: DataFrame) -> DataFrame:
     that one would copy every row once per column before the shuffle. Repeated
     accounts are folded on the map side, so a hot account is one row per task.
     """
-    origin = df.groupBy("nameOrig").agg(F.lit(1)).agg(F.count("nameOrig").alias("n"))
-    destination = df.groupBy("nameDest").agg(F.lit(1)).agg(F.count("nameDest").alias("n"))
-    return origin.select(
-        F.col("n").alias("unique_origin_accounts"),
-        destination.scalar().alias("unique_destination_accounts"),
-    )
+    origin = df.select("nameOrig").distinct().selectExpr("COUNT(nameOrig) AS unique_origin_accounts")
+    destination = df.select("nameDest").distinct().selectExpr("COUNT(nameDest)")
+    return origin.withColumn("unique_destination_accounts", destination.scalar())
 
 
 def approx_distinct_accounts(df: DataFrame, error: float = 0.01) -> DataFrame:
     """The quick variant: one pass, fixed-size sketches."""
-    return df.agg(
-        F.approx_count_distinct("nameOrig", error).alias("unique_origin_accounts"),
-        F.approx_count_distinct("nameDest", error).alias("unique_destination_accounts"),
+    return df.selectExpr(
+        f"approx_count_distinct(nameOrig, {error}) AS unique_origin_accounts",
+        f"approx_count_distinct(nameDest, {error}) AS unique_destination_accounts",
     )
 
 
-def row_hash(columns: list[str]) -> Column:
-    return F.xxhash64(*columns)
+def row_hash(columns: list[str]) -> str:
+    return f"xxhash64({', '.join(columns)})"
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -49,81 +48,70 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     counts as a duplicate. When too many hashes repeat to broadcast them, the
     whole rows are grouped instead (equal rows fold before that shuffle too).
     """
-    columns = df.columns
-    spark = df.sparkSession
-    repeated = (
-        df.select(row_hash(columns).alias("__h"))
-        .groupBy("__h")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("__h")
-    )
+    columns, spark = df.columns, df.sparkSession
+    hashed = df.selectExpr(f"{row_hash(columns)} AS h")
+    repeated = hashed.groupBy("h").count().where("count > 1").select("h")
     suspects = repeated.limit(MAX_BROADCAST_HASHES + 1).toArrow()
     if suspects.num_rows == 0:
-        return spark.range(1).select(F.lit(0).cast("long").alias("duplicate_rows"))
+        return spark.range(1).selectExpr("0L AS duplicate_rows")
     checked = df
     if suspects.num_rows <= MAX_BROADCAST_HASHES:
-        hashes = spark.createDataFrame(suspects)
-        checked = df.withColumn("__h", row_hash(columns)).join(F.broadcast(hashes), "__h", "left_semi")
-    groups = checked.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
-    return groups.agg(total(F.col("__n") - 1).cast("long").alias("duplicate_rows"))
+        hashes = F.broadcast(spark.createDataFrame(suspects))
+        checked = df.selectExpr("*", f"{row_hash(columns)} AS h").join(hashes, "h", "left_semi")
+    groups = checked.groupBy(*columns).agg(F.expr("COUNT(*) AS __n"))
+    return groups.selectExpr(f"{total('__n - 1')} AS duplicate_rows")
 
 
 # ---- one-row measures ------------------------------------------------------
-def rule_cells() -> list[Column]:
-    fraud, flagged = is_one("isFraud"), is_one("isFlaggedFraud")
-    return [
-        count_if(fraud & flagged).alias("tp"),
-        count_if(~fraud & flagged).alias("fp"),
-        count_if(~fraud & ~flagged).alias("tn"),
-        count_if(fraud & ~flagged).alias("fn"),
-    ]
+RULE_CELLS = [
+    f"{count_if(f'{FRAUD} AND {FLAGGED}')} AS tp",
+    f"{count_if(f'NOT {FRAUD} AND {FLAGGED}')} AS fp",
+    f"{count_if(f'NOT {FRAUD} AND NOT {FLAGGED}')} AS tn",
+    f"{count_if(f'{FRAUD} AND NOT {FLAGGED}')} AS fn",
+]
 
 
 def overall_profile(df: DataFrame) -> DataFrame:
     """The 18 headline measures as (Metric, Value)."""
-    fraud = is_one("isFraud")
-    row = df.select(*S.SOURCE_COLUMNS).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min("step").alias("min_step"),
-        F.max("step").alias("max_step"),
-        total("amount").alias("value"),
-        F.min("amount").alias("min_amount"),
-        F.max("amount").alias("max_amount"),
-        sum_if(fraud, "amount").alias("fraud_value"),
-        *rule_cells(),
+    row = df.selectExpr(
+        "COUNT(*) AS rows",
+        "MIN(step) AS min_step",
+        "MAX(step) AS max_step",
+        f"{total('amount')} AS value",
+        "MIN(amount) AS min_amount",
+        "MAX(amount) AS max_amount",
+        f"{sum_if(FRAUD, 'amount')} AS fraud_value",
+        *RULE_CELLS,
     )
     accounts = distinct_accounts(df)
     row = row.withColumns(
         {
-            "origin": accounts.select("unique_origin_accounts").scalar(),
-            "destination": accounts.select("unique_destination_accounts").scalar(),
+            "accounts": accounts.selectExpr("struct(*)").scalar(),
             "duplicates": duplicate_rows(df.select(*S.SOURCE_COLUMNS)).scalar(),
         }
     )
-    frauds, flagged = F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp")
     # Metric names of the profile report.
     return to_long(
         row,
         [
-            ("Total rows", F.col("rows")),
-            ("Total columns", F.lit(len(S.SOURCE_COLUMNS))),
-            ("Minimum step", F.col("min_step")),
-            ("Maximum step", F.col("max_step")),
-            ("Total transaction value", F.col("value")),
+            ("Total rows", "rows"),
+            ("Total columns", str(len(S.SOURCE_COLUMNS))),
+            ("Minimum step", "min_step"),
+            ("Maximum step", "max_step"),
+            ("Total transaction value", "value"),
             ("Average transaction amount", ratio("value", "rows")),
-            ("Minimum transaction amount", F.col("min_amount")),
-            ("Maximum transaction amount", F.col("max_amount")),
-            ("Fraud transactions", frauds),
-            ("Fraud rate (%)", percent_or_zero(frauds, "rows")),
-            ("Fraud transaction value", F.col("fraud_value")),
+            ("Minimum transaction amount", "min_amount"),
+            ("Maximum transaction amount", "max_amount"),
+            ("Fraud transactions", "tp + fn"),
+            ("Fraud rate (%)", percent_or_zero("tp + fn", "rows")),
+            ("Fraud transaction value", "fraud_value"),
             ("Fraud value share (%)", percent_or_zero("fraud_value", "value")),
-            ("Flagged transactions", flagged),
-            ("Flag precision (%)", percent_or_zero("tp", flagged)),
-            ("Flag recall (%)", percent_or_zero("tp", frauds)),
-            ("Unique origin accounts", F.col("origin")),
-            ("Unique destination accounts", F.col("destination")),
-            ("Duplicate rows", F.col("duplicates")),
+            ("Flagged transactions", "tp + fp"),
+            ("Flag precision (%)", percent_or_zero("tp", "tp + fp")),
+            ("Flag recall (%)", percent_or_zero("tp", "tp + fn")),
+            ("Unique origin accounts", "accounts.unique_origin_accounts"),
+            ("Unique destination accounts", "accounts.unique_destination_accounts"),
+            ("Duplicate rows", "duplicates"),
         ],
         "Metric",
         "Value",
@@ -132,16 +120,15 @@ def overall_profile(df: DataFrame) -> DataFrame:
 
 def rule_performance(df: DataFrame) -> DataFrame:
     """Confusion cells, precision and recall of the existing rule."""
-    row = df.agg(*rule_cells())
     return to_long(
-        row,
+        df.selectExpr(*RULE_CELLS),
         [
-            ("True Positive", F.col("tp")),
-            ("False Positive", F.col("fp")),
-            ("True Negative", F.col("tn")),
-            ("False Negative", F.col("fn")),
-            ("Precision (%)", percent_or_zero("tp", F.col("tp") + F.col("fp"))),
-            ("Recall / Detection Rate (%)", percent_or_zero("tp", F.col("tp") + F.col("fn"))),
+            ("True Positive", "tp"),
+            ("False Positive", "fp"),
+            ("True Negative", "tn"),
+            ("False Negative", "fn"),
+            ("Precision (%)", percent_or_zero("tp", "tp + fp")),
+            ("Recall / Detection Rate (%)", percent_or_zero("tp", "tp + fn")),
         ],
         "Metric",
         "Value",
@@ -149,19 +136,14 @@ def rule_performance(df: DataFrame) -> DataFrame:
 
 
 # ---- per column ------------------------------------------------------------
-def missing_values(df: DataFrame, columns: list[str] | None = None, key: str = "Column",
-                   pct_name: str = "Missing_Percentage") -> DataFrame:
+def missing_values(
+    df: DataFrame, columns: list[str] | None = None, key: str = "Column", share: str = "Missing_Percentage"
+) -> DataFrame:
     """Missing count and percentage per column, in one pass."""
     columns = columns or df.columns
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"), *[count_if(missing(df, c)).alias(f"{c}__n") for c in columns]
-    )
-    row = row.select(
-        *[F.col(f"{c}__n") for c in columns],
-        *[percent_or_zero(f"{c}__n", "rows").alias(f"{c}__p") for c in columns],
-    )
+    row = df.selectExpr("COUNT(*) AS rows", *[f"{count_if(missing(df, c))} AS {c}__n" for c in columns])
     return to_rows(
-        row, columns, key, {"Missing_Count": ("{}__n", "long"), pct_name: ("{}__p", "double")}
+        row, columns, key, {"Missing_Count": "{}__n", share: percent_or_zero("{}__n", "rows")}
     )
 
 
@@ -172,52 +154,52 @@ def column_types(df: DataFrame) -> DataFrame:
 
 def numeric_summary(df: DataFrame) -> DataFrame:
     """Range, mean, zero and negative counts of the numeric columns, nulls dropped."""
-    measures: list[Column] = []
+    measures: list[str] = []
     for name in S.NUMERIC_COLUMNS:
-        value = F.when(~missing(df, name), F.col(name))
+        value = f"NULLIF({name}, DOUBLE('NaN'))" if is_floating(df, name) else name
         measures += [
-            F.min(value).alias(f"{name}__min"),
-            F.max(value).alias(f"{name}__max"),
-            F.sum(value).alias(f"{name}__sum"),
-            F.count(value).alias(f"{name}__n"),
-            count_if(value == 0).alias(f"{name}__zero"),
-            count_if(value < 0).alias(f"{name}__neg"),
+            f"MIN({value}) AS {name}__min",
+            f"MAX({value}) AS {name}__max",
+            f"SUM({value}) AS {name}__sum",
+            f"COUNT({value}) AS {name}__n",
+            f"{count_if(f'{name} = 0')} AS {name}__zero",
+            f"{count_if(f'{name} < 0')} AS {name}__neg",
         ]
-    row = df.agg(*measures)
-    row = row.withColumns({f"{n}__mean": ratio(f"{n}__sum", f"{n}__n") for n in S.NUMERIC_COLUMNS})
     return to_rows(
-        row,
+        df.selectExpr(*measures),
         S.NUMERIC_COLUMNS,
         "Column",
         {
-            "Minimum": ("{}__min", "double"),
-            "Maximum": ("{}__max", "double"),
-            "Mean": ("{}__mean", "double"),
-            "Zero_Count": ("{}__zero", "long"),
-            "Negative_Count": ("{}__neg", "long"),
+            "Minimum": double("{}__min"),
+            "Maximum": double("{}__max"),
+            "Mean": ratio("{}__sum", "{}__n"),
+            "Zero_Count": "{}__zero",
+            "Negative_Count": "{}__neg",
         },
     )
 
 
 def type_profile(df: DataFrame) -> DataFrame:
     """Count, value and fraud share per type; a null type forms no group."""
-    fraud = is_one("isFraud")
-    return (
-        df.where(F.col("type").isNotNull())
-        .groupBy(F.col("type").alias("Transaction_Type"))
+    grouped = (
+        df.where("type IS NOT NULL")
+        .groupBy("type")
         .agg(
-            F.count(F.lit(1)).alias("Transaction_Count"),
-            double(total("amount")).alias("Transaction_Value"),
-            count_if(fraud).alias("Fraud_Count"),
-            double(sum_if(fraud, "amount")).alias("Fraud_Value"),
-        )
-        .withColumns(
-            {
-                "Fraud_Rate_Pct": percent_or_zero("Fraud_Count", "Transaction_Count"),
-                "Fraud_Value_Rate_Pct": percent_or_zero("Fraud_Value", "Transaction_Value"),
-            }
+            F.expr("COUNT(*) AS n"),
+            F.expr(f"{total('amount')} AS value"),
+            F.expr(f"{count_if(FRAUD)} AS fraud"),
+            F.expr(f"{sum_if(FRAUD, 'amount')} AS fraud_value"),
         )
     )
+    return grouped.selectExpr(
+        "type AS Transaction_Type",
+        "n AS Transaction_Count",
+        f"{double('value')} AS Transaction_Value",
+        "fraud AS Fraud_Count",
+        f"{double('fraud_value')} AS Fraud_Value",
+        f"{percent_or_zero('fraud', 'n')} AS Fraud_Rate_Pct",
+        f"{percent_or_zero('fraud_value', 'value')} AS Fraud_Value_Rate_Pct",
+    )
 
 
 def partial_type_counts(parts: list[DataFrame]) -> DataFrame:
@@ -226,43 +208,34 @@ def partial_type_counts(parts: list[DataFrame]) -> DataFrame:
     On one frame this is simply partial and final aggregation. For parts that
     were counted apart (say one per day), a union and a sum do the merging.
     """
-    counted = [
-        p.where(F.col("type").isNotNull())
-        .groupBy("type")
-        .agg(F.count(F.lit(1)).alias("row_count"), F.sum("amount").alias("value"))
-        for p in parts
-    ]
-    merged = counted[0]
-    for other in counted[1:]:
-        merged = merged.unionByName(other)
-    return merged.groupBy("type").agg(
-        F.sum("row_count").alias("row_count"), double(F.sum("value")).alias("value")
-    )
+    merged = None
+    for part in parts:
+        counted = (
+            part.where("type IS NOT NULL")
+            .groupBy("type")
+            .agg(F.expr("COUNT(*) AS row_count"), F.expr("SUM(amount) AS value"))
+        )
+        merged = counted if merged is None else merged.unionByName(counted)
+    summed = merged.groupBy("type").agg(F.expr("SUM(row_count) AS row_count"), F.expr("SUM(value) AS value"))
+    return summed.selectExpr("type", "row_count", f"{double('value')} AS value")
 
 
 def sample_profile(sample: DataFrame) -> DataFrame:
-    """Shape, missing counts, duplicates and three value counts of a sample.
-
-    The sample is bounded by its row limit, so it is cached and read by each
-    part of the report.
-    """
-    columns = sample.columns
-    item = lambda section, name: [F.lit(section).alias("Section"), name.cast("string").alias("Item")]
-    shape = sample.agg(F.count(F.lit(1)).alias("n")).select(
-        F.stack(
-            F.lit(2), F.lit("shape"), F.lit("rows"), F.col("n"),
-            F.lit("shape"), F.lit("columns"), F.lit(len(columns)).cast("long"),
-        ).alias("Section", "Item", "Value")
+    """Shape, missing counts, duplicates and three value counts of a sample."""
+    shape = sample.selectExpr("COUNT(*) AS n").selectExpr(
+        stack([["'shape'", "'rows'", "n"], ["'shape'", "'columns'", f"{len(sample.columns)}L"]],
+              ["Section", "Item", "Value"])
+    )
+    absent = missing_values(sample).selectExpr(
+        "'missing' AS Section", "`Column` AS Item", "Missing_Count AS Value"
+    )
+    duplicates = duplicate_rows(sample).selectExpr(
+        "'duplicates' AS Section", "'rows' AS Item", "duplicate_rows AS Value"
     )
-    absent = missing_values(sample).select(*item("missing", F.col("Column")), F.col("Missing_Count").alias("Value"))
-    duplicates = duplicate_rows(sample).select(*item("duplicates", F.lit("rows")), F.col("duplicate_rows").alias("Value"))
     result = shape.unionByName(absent).unionByName(duplicates)
     for name in ["type", "isFraud", "isFlaggedFraud"]:
-        counts = (
-            sample.where(F.col(name).isNotNull())
-            .groupBy(name)
-            .agg(F.count(F.lit(1)).alias("Value"))
-            .select(*item(name, F.col(name)), "Value")
+        counts = sample.where(f"{name} IS NOT NULL").groupBy(name).count()
+        result = result.unionByName(
+            counts.selectExpr(f"{text(name)} AS Section", f"CAST({name} AS STRING) AS Item", "count AS Value")
         )
-        result = result.unionByName(counts)
     return result

@@ -2,152 +2,129 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallywatch import schema as S
-from tallywatch.functions.columns import (
-    count_if, double, is_one, non_finite, percent_or_zero, prefix, to_long, to_rows, total,
+from tallywatch.functions.exprs import (
+    any_of, count_if, double, non_finite, percent_or_zero, prefix, text, to_long, to_rows, total,
 )
 from tallywatch.operators import filters as flt
 
-
 # ---- counters --------------------------------------------------------------
-def zero_amount_counters() -> list[Column]:
-    zero = F.col("amount") == 0
-    return [
-        count_if(zero).alias("zero"),
-        count_if(F.col("amount") < 0).alias("negative"),
-        count_if(zero & (F.col("isFraud") == 1)).alias("zero_fraud"),
-        count_if(zero & (F.col("isFraud") == 0)).alias("zero_legitimate"),
-    ]
-
-
-def balance_counters() -> list[Column]:
-    old, new, amount = F.col("oldbalanceOrg"), F.col("newbalanceOrig"), F.col("amount")
-    outgoing = F.col("type").isin(S.OUTGOING_TYPES)
-    incoming = F.col("type") == "CASH_IN"
-    tolerance = F.lit(S.BALANCE_TOLERANCE)
-    return [
-        count_if(outgoing).alias("out_checked"),
-        count_if(outgoing & (double(F.abs(old - new - amount)) > tolerance)).alias("out_mismatch"),
-        count_if(incoming).alias("in_checked"),
-        count_if(incoming & (double(F.abs(new - old - amount)) > tolerance)).alias("in_mismatch"),
-    ]
-
-
-def non_finite_cells() -> Column:
-    """Cells, not rows, that are null, NaN or infinite in the numeric columns."""
-    cells = None
-    for name in S.NUMERIC_COLUMNS:
-        bad = non_finite(name).cast("int")
-        cells = bad if cells is None else cells + bad
-    return total(cells.cast("long"))
+ZERO_AMOUNT_COUNTERS = [
+    f"{count_if('amount = 0')} AS zero_amount_count",
+    f"{count_if('amount < 0')} AS negative_amount_count",
+    f"{count_if('amount = 0 AND isFraud = 1')} AS zero_amount_fraud",
+    f"{count_if('amount = 0 AND isFraud = 0')} AS zero_amount_legitimate",
+]
+
+_OUTGOING = any_of("type", S.OUTGOING_TYPES)
+_OUT_GAP = double("abs(oldbalanceOrg - newbalanceOrig - amount)")
+_IN_GAP = double("abs(newbalanceOrig - oldbalanceOrg - amount)")
+_CASH_IN = "type = 'CASH_IN'"
+BALANCE_COUNTERS = [
+    f"{count_if(_OUTGOING)} AS out_checked",
+    f"{count_if(f'{_OUTGOING} AND {_OUT_GAP} > {S.BALANCE_TOLERANCE}D')} AS out_mismatch",
+    f"{count_if(_CASH_IN)} AS in_checked",
+    f"{count_if(f'{_CASH_IN} AND {_IN_GAP} > {S.BALANCE_TOLERANCE}D')} AS in_mismatch",
+]
+
+#: Cells, not rows, that are null, NaN or infinite in the numeric columns.
+NON_FINITE_CELLS = " + ".join(count_if(non_finite(c)) for c in S.NUMERIC_COLUMNS)
 
 
 def quality_audit(df: DataFrame) -> DataFrame:
     """The 14 checks as (Check, Count), from one pass."""
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *zero_amount_counters(),
-        count_if(flt.invalid_step()).alias("bad_step"),
-        count_if(flt.invalid_type()).alias("bad_type"),
-        count_if(flt.invalid_label("isFraud")).alias("bad_fraud"),
-        count_if(flt.invalid_label("isFlaggedFraud")).alias("bad_flagged"),
-        count_if(flt.blank_identifier("nameOrig")).alias("blank_origin"),
-        count_if(flt.blank_identifier("nameDest")).alias("blank_destination"),
-        non_finite_cells().alias("non_finite"),
-        *balance_counters(),
+    row = df.selectExpr(
+        "COUNT(*) AS rows",
+        *ZERO_AMOUNT_COUNTERS,
+        f"{count_if(flt.INVALID_STEP)} AS bad_step",
+        f"{count_if(flt.INVALID_TYPE)} AS bad_type",
+        f"{count_if(flt.invalid_label('isFraud'))} AS bad_fraud",
+        f"{count_if(flt.invalid_label('isFlaggedFraud'))} AS bad_flagged",
+        f"{count_if(flt.blank_identifier('nameOrig'))} AS blank_origin",
+        f"{count_if(flt.blank_identifier('nameDest'))} AS blank_destination",
+        f"{NON_FINITE_CELLS} AS non_finite",
+        *BALANCE_COUNTERS,
     )
+    # Check names of the audit.
     return to_long(
         row,
         [
-            ("Total rows", F.col("rows")),
-            ("Zero transaction amounts", F.col("zero")),
-            ("Negative transaction amounts", F.col("negative")),
-            ("Zero-amount fraud transactions", F.col("zero_fraud")),
-            ("Zero-amount legitimate transactions", F.col("zero_legitimate")),
-            ("Invalid step values", F.col("bad_step")),
-            ("Invalid transaction types", F.col("bad_type")),
-            ("Invalid isFraud values", F.col("bad_fraud")),
-            ("Invalid isFlaggedFraud values", F.col("bad_flagged")),
-            ("Blank origin IDs", F.col("blank_origin")),
-            ("Blank destination IDs", F.col("blank_destination")),
-            ("Non-finite numeric values", F.col("non_finite")),
-            ("Outgoing origin-balance mismatches", F.col("out_mismatch")),
-            ("CASH_IN origin-balance mismatches", F.col("in_mismatch")),
+            ("Total rows", "rows"),
+            ("Zero transaction amounts", "zero_amount_count"),
+            ("Negative transaction amounts", "negative_amount_count"),
+            ("Zero-amount fraud transactions", "zero_amount_fraud"),
+            ("Zero-amount legitimate transactions", "zero_amount_legitimate"),
+            ("Invalid step values", "bad_step"),
+            ("Invalid transaction types", "bad_type"),
+            ("Invalid isFraud values", "bad_fraud"),
+            ("Invalid isFlaggedFraud values", "bad_flagged"),
+            ("Blank origin IDs", "blank_origin"),
+            ("Blank destination IDs", "blank_destination"),
+            ("Non-finite numeric values", "non_finite"),
+            ("Outgoing origin-balance mismatches", "out_mismatch"),
+            ("CASH_IN origin-balance mismatches", "in_mismatch"),
         ],
         "Check",
         "Count",
-        "long",
+        "BIGINT",
     )
 
 
 def zero_amounts(df: DataFrame) -> DataFrame:
-    return df.agg(*zero_amount_counters()).withColumnsRenamed(
-        {
-            "zero": "zero_amount_count",
-            "negative": "negative_amount_count",
-            "zero_fraud": "zero_amount_fraud",
-            "zero_legitimate": "zero_amount_legitimate",
-        }
-    )
+    return df.selectExpr(*ZERO_AMOUNT_COUNTERS)
 
 
 def non_finite_count(df: DataFrame) -> DataFrame:
-    return df.agg(non_finite_cells().alias("nonfinite_numeric_count"))
+    return df.selectExpr(f"{NON_FINITE_CELLS} AS nonfinite_numeric_count")
 
 
 def balance_summary(df: DataFrame) -> DataFrame:
     """Zero count, zero share and negative count of the four balances."""
-    measures = [F.count(F.lit(1)).alias("rows")]
+    measures = ["COUNT(*) AS rows"]
     for name in S.BALANCE_COLUMNS:
         measures += [
-            count_if(F.col(name) == 0).alias(f"{name}__zero"),
-            count_if(F.col(name) < 0).alias(f"{name}__neg"),
+            f"{count_if(f'{name} = 0')} AS {name}__zero",
+            f"{count_if(f'{name} < 0')} AS {name}__neg",
         ]
-    row = df.agg(*measures)
-    row = row.withColumns({f"{n}__pct": percent_or_zero(f"{n}__zero", "rows") for n in S.BALANCE_COLUMNS})
     return to_rows(
-        row,
+        df.selectExpr(*measures),
         S.BALANCE_COLUMNS,
         "Column",
         {
-            "Zero_Count": ("{}__zero", "long"),
-            "Zero_Percentage": ("{}__pct", "double"),
-            "Negative_Count": ("{}__neg", "long"),
+            "Zero_Count": "{}__zero",
+            "Zero_Percentage": percent_or_zero("{}__zero", "rows"),
+            "Negative_Count": "{}__neg",
         },
     )
 
 
-def prefix_counts(df: DataFrame, column: str, name: str) -> DataFrame:
-    return df.groupBy(prefix(column).alias("Prefix")).agg(F.count(F.lit(1)).alias(name))
-
-
 def prefix_summary(df: DataFrame) -> DataFrame:
     """Origin and destination counts per first character of the account id.
 
     A full outer join of two counted tables of a few rows each. A null id gives
     a NULL prefix, matched null-safely.
     """
-    origin = prefix_counts(df, "nameOrig", "Origin_Count").withColumnRenamed("Prefix", "o")
-    destination = prefix_counts(df, "nameDest", "Destination_Count").withColumnRenamed("Prefix", "d")
-    return origin.join(destination, F.col("o").eqNullSafe(F.col("d")), "full_outer").select(
-        F.coalesce("o", "d").alias("Prefix"),
-        F.coalesce("Origin_Count", F.lit(0)).alias("Origin_Count"),
-        F.coalesce("Destination_Count", F.lit(0)).alias("Destination_Count"),
+    origin = df.groupBy(F.expr(f"{prefix('nameOrig')} AS o")).agg(F.expr("COUNT(*) AS origin_n"))
+    destination = df.groupBy(F.expr(f"{prefix('nameDest')} AS d")).agg(F.expr("COUNT(*) AS dest_n"))
+    return origin.join(destination, F.expr("o <=> d"), "full_outer").selectExpr(
+        "COALESCE(o, d) AS Prefix",
+        "COALESCE(origin_n, 0) AS Origin_Count",
+        "COALESCE(dest_n, 0) AS Destination_Count",
     )
 
 
 def high_value_profile(df: DataFrame) -> DataFrame:
     """Transactions, those above 200,000 and their fraud, per type."""
-    high = F.col("amount") > S.HIGH_VALUE
+    high = f"amount > {S.HIGH_VALUE}"
     return (
-        df.where(F.col("type").isNotNull())
-        .groupBy(F.col("type").alias("Transaction_Type"))
+        df.where("type IS NOT NULL")
+        .groupBy(F.expr("type AS Transaction_Type"))
         .agg(
-            F.count(F.lit(1)).alias("Total_Transactions"),
-            count_if(high).alias("Transactions_Above_200k"),
-            count_if(high & is_one("isFraud")).alias("Fraud_Above_200k"),
+            F.expr("COUNT(*) AS Total_Transactions"),
+            F.expr(f"{count_if(high)} AS Transactions_Above_200k"),
+            F.expr(f"{count_if(f'{high} AND {flt.FRAUD}')} AS Fraud_Above_200k"),
         )
     )
 
@@ -155,54 +132,46 @@ def high_value_profile(df: DataFrame) -> DataFrame:
 def high_value_by_type(df: DataFrame) -> DataFrame:
     """The same from two tables: every observed type, left-joined to its
     high-value counts. For inputs whose high-value rows are kept apart."""
-    known = df.where(F.col("type").isNotNull())
-    types = known.groupBy("type").agg(F.count(F.lit(1)).alias("Total_Transactions"))
+    known = df.where("type IS NOT NULL")
+    types = known.groupBy("type").agg(F.expr("COUNT(*) AS n"))
     high = (
-        known.where(F.col("amount") > S.HIGH_VALUE)
+        known.where(f"amount > {S.HIGH_VALUE}")
         .groupBy("type")
-        .agg(
-            F.count(F.lit(1)).alias("Transactions_Above_200k"),
-            count_if(is_one("isFraud")).alias("Fraud_Above_200k"),
-        )
+        .agg(F.expr("COUNT(*) AS high_n"), F.expr(f"{count_if(flt.FRAUD)} AS high_fraud"))
     )
-    return (
-        types.join(high, "type", "left")
-        .na.fill(0, ["Transactions_Above_200k", "Fraud_Above_200k"])
-        .withColumnRenamed("type", "Transaction_Type")
+    return types.join(high, "type", "left").selectExpr(
+        "type AS Transaction_Type",
+        "n AS Total_Transactions",
+        "COALESCE(high_n, 0) AS Transactions_Above_200k",
+        "COALESCE(high_fraud, 0) AS Fraud_Above_200k",
     )
 
 
 def balance_consistency(df: DataFrame) -> DataFrame:
     return to_long(
-        df.agg(*balance_counters()),
+        df.selectExpr(*BALANCE_COUNTERS),
         [
-            ("Outgoing transactions checked", F.col("out_checked")),
-            ("Outgoing origin-balance mismatches", F.col("out_mismatch")),
-            ("CASH_IN transactions checked", F.col("in_checked")),
-            ("CASH_IN origin-balance mismatches", F.col("in_mismatch")),
+            ("Outgoing transactions checked", "out_checked"),
+            ("Outgoing origin-balance mismatches", "out_mismatch"),
+            ("CASH_IN transactions checked", "in_checked"),
+            ("CASH_IN origin-balance mismatches", "in_mismatch"),
         ],
         "Check",
         "Count",
-        "long",
+        "BIGINT",
     )
 
 
 # ---- cleaning rules --------------------------------------------------------
-def rule_reasons() -> Column:
-    """Names of the exclusion rules a row breaks, in rule order."""
-    rules = [
-        ("negative_amount", F.col("amount") < 0),
-        ("invalid_type", flt.invalid_type()),
-        ("invalid_step", flt.invalid_step()),
-        ("invalid_label", flt.invalid_label("isFraud")),
-        ("invalid_existing_flag", flt.invalid_label("isFlaggedFraud")),
-        (
-            "blank_account",
-            flt.blank_identifier("nameOrig") | flt.blank_identifier("nameDest"),
-        ),
-    ]
-    names = [F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules]
-    return F.array_compact(F.array(*names))
+#: Exclusion rules in order: name and the test a row must not meet.
+EXCLUSION_RULES = {
+    "negative_amount": "amount < 0",
+    "invalid_type": flt.INVALID_TYPE,
+    "invalid_step": flt.INVALID_STEP,
+    "invalid_label": flt.invalid_label("isFraud"),
+    "invalid_existing_flag": flt.invalid_label("isFlaggedFraud"),
+    "blank_account": f"{flt.blank_identifier('nameOrig')} OR {flt.blank_identifier('nameDest')}",
+}
 
 
 def apply_cleaning_rules(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -212,8 +181,9 @@ def apply_cleaning_rules(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     very large amounts stay. Equal rows fold on the map side, so a row copied
     very often is no hot partition.
     """
-    judged = df.dropDuplicates().withColumn("reason", rule_reasons())
-    return judged.where(F.size("reason") == 0).drop("reason"), judged.where(F.size("reason") > 0)
+    names = ", ".join(f"CASE WHEN {test} THEN {text(n)} END" for n, test in EXCLUSION_RULES.items())
+    judged = df.dropDuplicates().selectExpr("*", f"array_compact(array({names})) AS reason")
+    return judged.where("size(reason) = 0").drop("reason"), judged.where("size(reason) > 0")
 
 
 # ---- constraints and leakage -----------------------------------------------
@@ -221,16 +191,15 @@ def constraint_violations(
     df: DataFrame, key: str, required: list[str], flags: list[str], domains: dict[str, list]
 ) -> DataFrame:
     """Violation counts of key, not-null, 0/1 and value-list constraints."""
-    checks: list[tuple[str, Column]] = []
-    checks += [(f"not_null:{c}", count_if(F.col(c).isNull())) for c in required]
-    checks += [(f"flag:{c}", count_if(~F.col(c).isin(0, 1))) for c in flags]
-    checks += [(f"domain:{c}", count_if(~F.col(c).isin(values))) for c, values in domains.items()]
-    row = df.agg(*[expression.alias(f"c{i}") for i, (_, expression) in enumerate(checks)])
-    keys = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    row = row.withColumn("unique", keys.agg(total(F.col("n") - 1).cast("long")).scalar())
-    pairs = [(f"unique:{key}", F.col("unique"))]
-    pairs += [(name, F.col(f"c{i}")) for i, (name, _) in enumerate(checks)]
-    return to_long(row, pairs, "constraint_name", "violations", "long")
+    checks = [(f"not_null:{c}", f"{c} IS NULL") for c in required]
+    checks += [(f"flag:{c}", f"{c} NOT IN (0, 1)") for c in flags]
+    checks += [(f"domain:{c}", f"NOT {any_of(c, values)}") for c, values in domains.items()]
+    row = df.selectExpr(*[f"{count_if(test)} AS c{i}" for i, (_, test) in enumerate(checks)])
+    keys = df.groupBy(key).agg(F.expr("COUNT(*) AS n"))
+    row = row.withColumn("repeated", keys.selectExpr(total("n - 1")).scalar())
+    pairs = [(f"unique:{key}", "repeated")]
+    pairs += [(name, f"c{i}") for i, (name, _) in enumerate(checks)]
+    return to_long(row, pairs, "constraint_name", "violations", "BIGINT")
 
 
 class LeakageError(ValueError):

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tallywatch.functions.columns import double, percent_or_zero, total
+from tallywatch.functions.exprs import double, percent_or_zero, total
+from tallywatch.operators.explore import dense
 from tallywatch.operators.filters import split_name
 
 TRAIN_SHARE, VALIDATION_SHARE = 0.70, 0.10
+# Split names in order.
+SPLITS = ["TRAIN", "VALIDATION", "TEST"]
 
 
 class Boundaries(NamedTuple):
@@ -20,22 +23,16 @@ class Boundaries(NamedTuple):
 def step_profile(model: DataFrame) -> DataFrame:
     """Rows per step with running count and share.
 
-    The window has no partition key, but runs over one row per simulated hour
+    The windows have no partition key, but run over one row per simulated hour
     (743 of them here), after the rows were counted.
     """
-    counts = model.where(F.col("step").isNotNull()).groupBy("step").agg(F.count(F.lit(1)).alias("row_count"))
-    return counts.select(
+    counts = model.where("step IS NOT NULL").groupBy("step").agg(F.expr("COUNT(*) AS row_count"))
+    return counts.selectExpr(
         "step",
         "row_count",
-        F.sum("row_count").over(W.orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("cumulative_rows"),
-        F.sum("row_count").over(W.partitionBy()).alias("total_rows"),
-    ).select(
-        "step",
-        "row_count",
-        "cumulative_rows",
-        (double("cumulative_rows") / double("total_rows")).alias("cumulative_pct"),
-        "total_rows",
-    )
+        "SUM(row_count) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_rows",
+        "SUM(row_count) OVER () AS total_rows",
+    ).selectExpr("*", f"{double('cumulative_rows')} / {double('total_rows')} AS cumulative_pct")
 
 
 def split_boundaries(
@@ -46,53 +43,52 @@ def split_boundaries(
     The step whose running count is nearest to the target; the first on ties.
     Validation is searched only after the train boundary.
     """
-    gap = lambda share: F.abs(double("cumulative_rows") - double("total_rows") * F.lit(share))
-    nearest = lambda share: F.min(F.struct(gap(share).alias("gap"), F.col("step")))["step"]
-    train_end = profile.agg(nearest(train).alias("train_end"))
-    later = profile.where(F.col("step") > train_end.scalar())
-    return later.agg(nearest(train + validation).alias("validation_end")).select(
+    nearest = lambda share: (
+        f"MIN(struct(abs({double('cumulative_rows')} - {double('total_rows')} * {share!r}D) AS gap, step)).step"
+    )
+    train_end = profile.selectExpr(f"{nearest(train)} AS train_end")
+    later = profile.where(F.expr("step") > train_end.scalar())
+    return later.selectExpr(f"{nearest(train + validation)} AS validation_end").select(
         train_end.scalar().alias("train_end"), "validation_end"
     )
 
 
-def find_boundaries(model: DataFrame) -> Boundaries:
-    """The two steps as numbers, so that they are pushed down as literals."""
-    row = split_boundaries(step_profile(model)).first()
-    return Boundaries(int(row["train_end"]), int(row["validation_end"]))
+def find_boundaries(model: DataFrame, train: float = TRAIN_SHARE, validation: float = VALIDATION_SHARE) -> Boundaries:
+    """The two steps as numbers, so that they are pushed down as literals.
+
+    Rows are counted per step on the cluster; the profile that comes back has
+    one row per simulated hour.
+    """
+    counts = model.where("step IS NOT NULL").groupBy("step").count().collect()
+    rows, done, profile = sum(r["count"] for r in counts), 0, []
+    for step, count in sorted((r["step"], r["count"]) for r in counts):
+        done += count
+        profile.append((step, done))
+    nearest = lambda pairs, share: min(pairs, key=lambda p: (abs(p[1] - rows * share), p[0]))[0]
+    train_end = nearest(profile, train)
+    return Boundaries(train_end, nearest([p for p in profile if p[0] > train_end], train + validation))
 
 
 def with_split(df: DataFrame, bounds: Boundaries) -> DataFrame:
-    return df.withColumn("split", split_name(*bounds))
+    return df.selectExpr("*", f"{split_name(*bounds)} AS split")
 
 
 def split_summary(model: DataFrame, bounds: Boundaries) -> DataFrame:
     """Rows, share, fraud, rate and step range of the three splits."""
-    # Split names in order.
-    names = model.sparkSession.createDataFrame(
-        [(1, "TRAIN"), (2, "VALIDATION"), (3, "TEST")], "split_order int, Split string"
-    )
-    parts = model.groupBy(split_name(*bounds).alias("Split")).agg(
-        F.count(F.lit(1)).alias("Rows"),
-        total(F.col("isFraud").cast("long")).alias("Fraud_Count"),
-        F.min("step").cast("int").alias("Minimum_Step"),
-        F.max("step").cast("int").alias("Maximum_Step"),
+    parts = model.groupBy(F.expr(f"{split_name(*bounds)} AS Split")).agg(
+        F.expr("COUNT(*) AS n"),
+        F.expr(f"{total('CAST(isFraud AS BIGINT)')} AS fraud"),
+        F.expr("MIN(step) AS first_step"),
+        F.expr("MAX(step) AS last_step"),
     )
-    everything = F.sum("Rows").over(W.partitionBy())
-    return (
-        F.broadcast(names)
-        .join(parts, "Split", "left")
-        .na.fill(0, ["Rows", "Fraud_Count"])
-        .withColumn("all_rows", everything)
-        .orderBy("split_order")
-        .select(
-            "Split",
-            "Rows",
-            percent_or_zero("Rows", "all_rows").alias("Population_Pct"),
-            "Fraud_Count",
-            percent_or_zero("Fraud_Count", "Rows").alias("Fraud_Rate_Pct"),
-            "Minimum_Step",
-            "Maximum_Step",
-        )
+    return dense(parts, SPLITS, "Split").selectExpr(
+        "Split",
+        "COALESCE(n, 0) AS Rows",
+        f"{percent_or_zero('n', 'SUM(n) OVER ()')} AS Population_Pct",
+        "COALESCE(fraud, 0) AS Fraud_Count",
+        f"{percent_or_zero('fraud', 'n')} AS Fraud_Rate_Pct",
+        "CAST(first_step AS INT) AS Minimum_Step",
+        "CAST(last_step AS INT) AS Maximum_Step",
     )
 
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch import schema as S
-from tallywatch.functions.columns import (
-    count_if, double, flag, is_one, percent, percent_or_zero, ratio, ratio_or_zero, risk_tier,
-    sum_if, tier_sort, to_long, total,
+from tallywatch.functions.exprs import (
+    count_if, double, flag, is_one, percent_or_zero, ratio, ratio_or_zero, risk_tier, stack, sum_if,
+    text, to_long, total,
 )
 from tallywatch.operators.evaluate import curve_quantiles
-from tallywatch.operators.filters import alerts
-from tallywatch.operators.ordering import bounded_rank, global_row_number
+from tallywatch.operators.explore import dense
+from tallywatch.operators.filters import FRAUD, alerts
+from tallywatch.operators.ordering import bounded_rank, global_row_number, sort_keys
 
 SCORE = "hgb_fraud_score"
+#: Score, then amount, highest first; equal keys keep file order.
+QUEUE_ORDER = [f"{SCORE} DESC", "amount DESC", "transaction_id"]
 QUEUE_COLUMNS = [
     "investigation_rank", "transaction_id", "step", "transaction_day", "hour_of_day", "type",
     "amount", "nameOrig", "nameDest", "oldbalanceOrg", "oldbalanceDest", SCORE, "risk_tier",
@@ -41,10 +44,8 @@ def threshold_table(row: DataFrame) -> DataFrame:
         ("Critical Risk Threshold", "Validation 99.5th percentile", "Critical"),
         ("Operational Investigation Threshold", "Step 10 Validation F2 optimisation", "Operating"),
     ]
-    parts = [p for kind, source, c in names for p in (F.lit(kind), F.lit(source), double(c))]
-    return row.select(
-        F.stack(F.lit(len(names)), *parts).alias("Threshold_Type", "Source", "Score_Threshold")
-    )
+    rows = [[text(kind), text(source), double(c)] for kind, source, c in names]
+    return row.selectExpr(stack(rows, ["Threshold_Type", "Source", "Score_Threshold"]))
 
 
 def with_tiers(scored: DataFrame, thresholds: DataFrame, score: str = SCORE) -> DataFrame:
@@ -52,100 +53,74 @@ def with_tiers(scored: DataFrame, thresholds: DataFrame, score: str = SCORE) ->
 
     The row comes in as a scalar subquery: evaluated once, no join.
     """
-    cut = F.col("__cut")
-    return (
-        scored.withColumn("__cut", thresholds.select(F.struct("*")).scalar())
-        .withColumns(
-            {
-                "risk_tier": risk_tier(score, cut["Critical"], cut["High"], cut["Medium"]),
-                "operational_alert": flag(double(score) >= cut["Operating"]),
-            }
-        )
-        .drop("__cut")
+    return scored.withColumn("cut", thresholds.selectExpr("struct(*)").scalar()).selectExpr(
+        *scored.columns,
+        f"{risk_tier(score, 'cut.Critical', 'cut.High', 'cut.Medium')} AS risk_tier",
+        f"{flag(f'{score} >= cut.Operating')} AS operational_alert",
     )
 
 
 # ---- summaries -------------------------------------------------------------
-def tier_dimension(df: DataFrame) -> DataFrame:
-    rows = [(i, t) for i, t in enumerate(S.TIERS, start=1)]
-    return df.sparkSession.createDataFrame(rows, "tier_order int, risk_tier string")
-
-
 def tier_summary(scored: DataFrame, score: str = SCORE) -> DataFrame:
     """All four tiers in order: share, rate, capture and value capture."""
-    fraud = is_one("isFraud")
     observed = scored.groupBy("risk_tier").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(double(score)).alias("score_sum"),
-        total("amount").alias("value"),
-        count_if(fraud).alias("fraud"),
-        sum_if(fraud, "amount").alias("fraud_value"),
-        count_if(F.col("operational_alert") == 1).alias("alerts"),
-    )
-    whole = W.partitionBy()  # over the four tier rows
-    dense = (
-        F.broadcast(tier_dimension(scored))
-        .join(observed, "risk_tier", "left")
-        .na.fill(0, ["n", "value", "fraud", "fraud_value", "alerts"])
-        .withColumns(
-            {
-                "all_n": F.sum("n").over(whole),
-                "all_fraud": F.sum("fraud").over(whole),
-                "all_fraud_value": F.sum("fraud_value").over(whole),
-            }
-        )
+        F.expr("COUNT(*) AS n"),
+        F.expr(f"SUM({double(score)}) AS score_sum"),
+        F.expr(f"{total('amount')} AS value"),
+        F.expr(f"{count_if(FRAUD)} AS fraud"),
+        F.expr(f"{sum_if(FRAUD, 'amount')} AS fraud_value"),
+        F.expr(f"{count_if('operational_alert = 1')} AS alerts"),
     )
-    return dense.orderBy("tier_order").select(
-        F.col("risk_tier").alias("Risk_Tier"),
-        F.col("n").alias("Transaction_Count"),
-        percent_or_zero("n", "all_n").alias("Population_Pct"),
-        ratio("score_sum", "n").alias("Average_Model_Score"),
-        double("value").alias("Transaction_Value"),
-        F.col("fraud").alias("Fraud_Count"),
-        percent_or_zero("fraud", "n").alias("Fraud_Rate_Pct"),
-        percent_or_zero("fraud", "all_fraud").alias("Fraud_Capture_Pct"),
-        double("fraud_value").alias("Fraud_Value"),
-        percent_or_zero("fraud_value", "all_fraud_value").alias("Fraud_Value_Capture_Pct"),
-        F.col("alerts").alias("Operational_Alerts"),
+    whole = lambda c: f"SUM({c}) OVER ()"  # over the four tier rows
+    return dense(observed, S.TIERS, "risk_tier").selectExpr(
+        "risk_tier AS Risk_Tier",
+        "COALESCE(n, 0) AS Transaction_Count",
+        f"{percent_or_zero('n', whole('n'))} AS Population_Pct",
+        f"{ratio('score_sum', 'n')} AS Average_Model_Score",
+        f"COALESCE({double('value')}, 0D) AS Transaction_Value",
+        "COALESCE(fraud, 0) AS Fraud_Count",
+        f"{percent_or_zero('fraud', 'n')} AS Fraud_Rate_Pct",
+        f"{percent_or_zero('fraud', whole('fraud'))} AS Fraud_Capture_Pct",
+        f"COALESCE({double('fraud_value')}, 0D) AS Fraud_Value",
+        f"{percent_or_zero('fraud_value', whole('fraud_value'))} AS Fraud_Value_Capture_Pct",
+        "COALESCE(alerts, 0) AS Operational_Alerts",
     )
 
 
 def alert_summary(scored: DataFrame) -> DataFrame:
     """Nineteen measures: the champion against the existing rule."""
-    fraud = is_one("isFraud")
     cells = []
     for side, column in (("m", "operational_alert"), ("r", "isFlaggedFraud")):
         hit = is_one(column)
         cells += [
-            count_if(fraud & hit).alias(f"{side}_tp"),
-            count_if(~fraud & hit).alias(f"{side}_fp"),
-            count_if(fraud & ~hit).alias(f"{side}_fn"),
+            f"{count_if(f'{FRAUD} AND {hit}')} AS {side}_tp",
+            f"{count_if(f'NOT {FRAUD} AND {hit}')} AS {side}_fp",
+            f"{count_if(f'{FRAUD} AND NOT {hit}')} AS {side}_fn",
         ]
-    row = scored.agg(F.count(F.lit(1)).alias("rows"), count_if(fraud).alias("fraud"), *cells)
-    tp, fp, fn = F.col("m_tp"), F.col("m_fp"), F.col("m_fn")
-    rule_tp, rule_fp, rule_fn = F.col("r_tp"), F.col("r_fp"), F.col("r_fn")
+    row = scored.selectExpr("COUNT(*) AS rows", f"{count_if(FRAUD)} AS fraud", *cells)
+    # Metric names of the alert summary.
     return to_long(
         row,
         [
-            ("Test transactions", F.col("rows")),
-            ("Actual fraud transactions", F.col("fraud")),
-            ("Champion model alerts", tp + fp),
-            ("Champion model alert rate (%)", percent_or_zero(tp + fp, "rows")),
-            ("Champion model true positives", tp),
-            ("Champion model false positives", fp),
-            ("Champion model false negatives", fn),
-            ("Champion model precision (%)", percent_or_zero(tp, tp + fp)),
-            ("Champion model recall (%)", percent_or_zero(tp, tp + fn)),
-            ("Champion model F1", ratio_or_zero(2 * tp, 2 * tp + fp + fn)),
-            ("Champion model F2", ratio_or_zero(5 * tp, 5 * tp + 4 * fn + fp)),
-            ("Legacy rule alerts", rule_tp + rule_fp),
-            ("Legacy rule true positives", rule_tp),
-            ("Legacy rule false positives", rule_fp),
-            ("Legacy rule false negatives", rule_fn),
-            ("Legacy rule precision (%)", percent_or_zero(rule_tp, rule_tp + rule_fp)),
-            ("Legacy rule recall (%)", percent_or_zero(rule_tp, rule_tp + rule_fn)),
-            ("Additional fraud detected vs legacy rule", tp - rule_tp),
-            ("Detection multiple vs legacy rule", ratio(tp, rule_tp)),
+            ("Test transactions", "rows"),
+            ("Actual fraud transactions", "fraud"),
+            ("Champion model alerts", "m_tp + m_fp"),
+            ("Champion model alert rate (%)", percent_or_zero("m_tp + m_fp", "rows")),
+            ("Champion model true positives", "m_tp"),
+            ("Champion model false positives", "m_fp"),
+            ("Champion model false negatives", "m_fn"),
+            ("Champion model precision (%)", percent_or_zero("m_tp", "m_tp + m_fp")),
+            ("Champion model recall (%)", percent_or_zero("m_tp", "m_tp + m_fn")),
+            ("Champion model F1", ratio_or_zero("2 * m_tp", "2 * m_tp + m_fp + m_fn")),
+            ("Champion model F2", ratio_or_zero("5 * m_tp", "5 * m_tp + 4 * m_fn + m_fp")),
+            ("Legacy rule alerts", "r_tp + r_fp"),
+            ("Legacy rule true positives", "r_tp"),
+            ("Legacy rule false positives", "r_fp"),
+            ("Legacy rule false negatives", "r_fn"),
+            ("Legacy rule precision (%)", percent_or_zero("r_tp", "r_tp + r_fp")),
+            ("Legacy rule recall (%)", percent_or_zero("r_tp", "r_tp + r_fn")),
+            ("Additional fraud detected vs legacy rule", "m_tp - r_tp"),
+            ("Detection multiple vs legacy rule", ratio("m_tp", "r_tp")),
         ],
         "Metric",
         "Value",
@@ -153,13 +128,8 @@ def alert_summary(scored: DataFrame) -> DataFrame:
 
 
 # ---- queue -----------------------------------------------------------------
-def queue_order(score: str = SCORE) -> list[Column]:
-    """Score, then amount, highest first; equal keys keep file order."""
-    return [F.desc(score), F.desc("amount"), F.asc("transaction_id")]
-
-
 def sorted_alerts(scored: DataFrame) -> DataFrame:
-    return alerts(scored).orderBy(*queue_order())
+    return alerts(scored).orderBy(*sort_keys(QUEUE_ORDER))
 
 
 def evaluation_queue(scored: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -167,8 +137,9 @@ def evaluation_queue(scored: DataFrame, partitions: int | None = None) -> DataFr
 
     The rank is global but needs no single task (see ``ordering``).
     """
-    ranked = global_row_number(alerts(scored), queue_order(), "investigation_rank", partitions)
-    return ranked.withColumn("priority_band", F.col("risk_tier")).select(*QUEUE_COLUMNS, "isFraud")
+    rows = alerts(scored).selectExpr("*", "risk_tier AS priority_band")
+    ranked = global_row_number(rows, QUEUE_ORDER, "investigation_rank", partitions)
+    return ranked.select(*QUEUE_COLUMNS, "isFraud")
 
 
 def investigator_queue(evaluation: DataFrame) -> DataFrame:
@@ -178,8 +149,8 @@ def investigator_queue(evaluation: DataFrame) -> DataFrame:
 
 def top_alerts(scored: DataFrame, count: int = 100) -> DataFrame:
     """The first alerts of the queue; needs no global rank."""
-    ranked = bounded_rank(alerts(scored), queue_order(), count, "investigation_rank")
-    return ranked.withColumn("priority_band", F.col("risk_tier")).select(*QUEUE_COLUMNS)
+    rows = alerts(scored).selectExpr("*", "risk_tier AS priority_band")
+    return bounded_rank(rows, QUEUE_ORDER, count, "investigation_rank").select(*QUEUE_COLUMNS)
 
 
 def capacity_summary(scored: DataFrame, levels: list[int] = S.CAPACITY_LEVELS) -> DataFrame:
@@ -188,45 +159,35 @@ def capacity_summary(scored: DataFrame, levels: list[int] = S.CAPACITY_LEVELS) -
     Only the first ``max(levels)`` alerts need a rank; the full queue needs just
     two counts.
     """
-    fraud = is_one("isFraud")
-    top = bounded_rank(
-        alerts(scored).select(SCORE, "amount", "transaction_id", "isFraud"),
-        queue_order(),
-        max(levels),
-        "rank",
-    )
-    measures: list[Column] = []
+    first = alerts(scored).select(SCORE, "amount", "transaction_id", "isFraud")
+    top = bounded_rank(first, QUEUE_ORDER, max(levels), "place")
+    measures: list[str] = []
     for level in levels:
-        inside = F.col("rank") <= level
         measures += [
-            count_if(inside).alias(f"n{level}"),
-            count_if(inside & fraud).alias(f"f{level}"),
+            f"{count_if(f'place <= {level}')} AS n{level}",
+            f"{count_if(f'place <= {level} AND {FRAUD}')} AS f{level}",
         ]
-    alert = F.col("operational_alert") == 1
-    whole = scored.agg(
-        F.struct(
-            count_if(alert).alias("alerts"),
-            count_if(alert & fraud).alias("found"),
-            count_if(fraud).alias("fraud"),
+    whole = scored.selectExpr(
+        f"struct({count_if('operational_alert = 1')} AS alerts, "
+        f"{count_if(f'operational_alert = 1 AND {FRAUD}')} AS found, {count_if(FRAUD)} AS fraud)"
+    )
+    rows = [[f"{level}L", f"n{level}", f"f{level}"] for level in levels]
+    rows.append(["whole.alerts", "whole.alerts", "whole.found"])
+    long = top.selectExpr(*measures).withColumn("whole", whole.scalar())
+    return (
+        long.selectExpr(
+            "whole.fraud AS fraud",
+            stack(rows, ["Investigation_Capacity", "Alerts_Reviewed", "Fraud_Found"]),
         )
-    ).scalar()
-    row = top.agg(*measures).withColumn("w", whole)
-    parts: list[Column] = []
-    for level in levels:
-        parts += [F.lit(level).cast("long"), F.col(f"n{level}"), F.col(f"f{level}")]
-    parts += [F.col("w.alerts"), F.col("w.alerts"), F.col("w.found")]
-    rows = row.select(
-        F.col("w.fraud").alias("fraud"),
-        F.stack(F.lit(len(levels) + 1), *parts).alias(
-            "Investigation_Capacity", "Alerts_Reviewed", "Fraud_Found"
-        ),
-    ).distinct()
-    return rows.orderBy("Investigation_Capacity").select(
-        "Investigation_Capacity",
-        "Alerts_Reviewed",
-        "Fraud_Found",
-        percent_or_zero("Fraud_Found", "Alerts_Reviewed").alias("Precision_Pct"),
-        percent_or_zero("Fraud_Found", "fraud").alias("Total_Test_Fraud_Captured_Pct"),
+        .distinct()
+        .selectExpr(
+            "Investigation_Capacity",
+            "Alerts_Reviewed",
+            "Fraud_Found",
+            f"{percent_or_zero('Fraud_Found', 'Alerts_Reviewed')} AS Precision_Pct",
+            f"{percent_or_zero('Fraud_Found', 'fraud')} AS Total_Test_Fraud_Captured_Pct",
+        )
+        .orderBy("Investigation_Capacity")
     )
 
 

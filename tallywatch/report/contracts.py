@@ -2,69 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywatch.functions.columns import count_if, rounded, rounded_percent, tier_sort
+from tallywatch.functions.exprs import count_if, rounded, rounded_percent, text, tier_sort
 
 
 class ContractError(AssertionError):
     """A stored count and the data disagree."""
 
 
-def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+def row_counts(tables: dict[str, DataFrame], name: str = "table_name") -> DataFrame:
     """Rows of every table, by name."""
     counts = None
-    for name in sorted(tables):
-        part = tables[name].agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("table_name"), "row_count"
-        )
+    for table in sorted(tables):
+        part = tables[table].selectExpr("COUNT(*) AS row_count").selectExpr(f"{text(table)} AS {name}", "row_count")
         counts = part if counts is None else counts.unionByName(part)
     return counts
 
 
 def fact_reconciliation(fact: DataFrame) -> DataFrame:
-    fraud, alert = F.col("actual_fraud") == 1, F.col("operational_alert") == 1
-    return fact.agg(
-        F.count(F.lit(1)).alias("transactions"),
-        F.sum(F.col("actual_fraud").cast("long")).alias("actual_fraud"),
-        F.sum(F.col("operational_alert").cast("long")).alias("operational_alerts"),
-        count_if(fraud & alert).alias("true_positives"),
-        count_if(~fraud & alert).alias("false_positives"),
-        count_if(fraud & ~alert).alias("false_negatives"),
+    return fact.selectExpr(
+        "COUNT(*) AS transactions",
+        "SUM(actual_fraud) AS actual_fraud",
+        "SUM(operational_alert) AS operational_alerts",
+        f"{count_if('actual_fraud = 1 AND operational_alert = 1')} AS true_positives",
+        f"{count_if('actual_fraud = 0 AND operational_alert = 1')} AS false_positives",
+        f"{count_if('actual_fraud = 1 AND operational_alert = 0')} AS false_negatives",
     )
 
 
 def tier_distribution(fact: DataFrame) -> DataFrame:
     """Counts per tier, most severe first."""
-    return (
-        fact.groupBy("risk_tier")
-        .agg(
-            F.count(F.lit(1)).alias("transaction_count"),
-            F.sum(F.col("actual_fraud").cast("long")).alias("fraud_count"),
-            F.sum(F.col("operational_alert").cast("long")).alias("operational_alerts"),
-        )
-        .withColumn("fraud_rate_pct", rounded_percent(F.col("fraud_count"), F.col("transaction_count"), 4))
-        .orderBy(tier_sort("risk_tier"))
+    grouped = fact.groupBy("risk_tier").agg(
+        F.expr("COUNT(*) AS transaction_count"),
+        F.expr("SUM(actual_fraud) AS fraud_count"),
+        F.expr("SUM(operational_alert) AS operational_alerts"),
     )
+    rate = rounded_percent("fraud_count", "transaction_count", 4)
+    return grouped.selectExpr("*", f"{rate} AS fraud_rate_pct").orderBy(F.expr(tier_sort("risk_tier")))
 
 
 def queue_check(queue: DataFrame) -> DataFrame:
-    return queue.agg(
-        F.count(F.lit(1)).alias("alert_queue_rows"),
-        F.min("investigation_rank").alias("first_rank"),
-        F.max("investigation_rank").alias("last_rank"),
-        F.min("hgb_fraud_score").alias("minimum_alert_score"),
-        F.max("hgb_fraud_score").alias("maximum_alert_score"),
+    return queue.selectExpr(
+        "COUNT(*) AS alert_queue_rows",
+        "MIN(investigation_rank) AS first_rank",
+        "MAX(investigation_rank) AS last_rank",
+        "MIN(hgb_fraud_score) AS minimum_alert_score",
+        "MAX(hgb_fraud_score) AS maximum_alert_score",
     )
 
 
 def model_check(models: DataFrame) -> DataFrame:
-    percent = lambda c: rounded(F.col(c) * 100, 2)
-    return models.orderBy(F.col("recall").desc_nulls_last(), "model").select(
+    return models.orderBy(F.desc_nulls_last("recall"), F.asc("model")).selectExpr(
         "model",
-        percent("precision").alias("precision_pct"),
-        percent("recall").alias("recall_pct"),
-        rounded("f2", 4).alias("f2"),
+        f"{rounded('precision * 100D', 2)} AS precision_pct",
+        f"{rounded('recall * 100D', 2)} AS recall_pct",
+        f"{rounded('f2', 4)} AS f2",
         "true_positive",
         "false_positive",
         "false_negative",
@@ -73,34 +66,34 @@ def model_check(models: DataFrame) -> DataFrame:
 
 
 def importance_check(importance: DataFrame) -> DataFrame:
-    return importance.orderBy(F.desc("importance_mean"), "feature").select(
-        "feature", rounded("importance_mean", 4).alias("importance_mean")
+    return importance.orderBy(F.desc("importance_mean"), F.asc("feature")).selectExpr(
+        "feature", f"{rounded('importance_mean', 4)} AS importance_mean"
     )
 
 
-def view_smoke(spark, views: list[str]) -> DataFrame:
+def view_smoke(spark: SparkSession, views: list[str]) -> DataFrame:
     """Row count of every view: each is planned and run."""
-    return row_counts({view: spark.table(view) for view in views}).withColumnRenamed("table_name", "view_name")
+    return row_counts({view: spark.table(view) for view in views}, "view_name")
 
 
 # ---- split and stage contracts ---------------------------------------------
 def split_contract(actual: DataFrame, recorded: DataFrame) -> DataFrame:
     """Recorded and actual rows per split, with a match flag."""
     return (
-        recorded.select("Split", F.col("Rows").alias("recorded_rows"))
-        .join(actual.select("Split", F.col("Rows").alias("actual_rows")), "Split", "full_outer")
-        .select(
+        recorded.selectExpr("Split", "Rows AS recorded")
+        .join(actual.selectExpr("Split", "Rows AS actual"), "Split", "full_outer")
+        .selectExpr(
             "Split",
-            F.coalesce("recorded_rows", F.lit(0)).alias("recorded_rows"),
-            F.coalesce("actual_rows", F.lit(0)).alias("actual_rows"),
+            "COALESCE(recorded, 0) AS recorded_rows",
+            "COALESCE(actual, 0) AS actual_rows",
+            "CAST(COALESCE(recorded, 0) = COALESCE(actual, 0) AS INT) AS matches",
         )
-        .withColumn("matches", (F.col("recorded_rows") == F.col("actual_rows")).cast("int"))
     )
 
 
 def require_split_contract(contract: DataFrame) -> None:
     """Raise when a split's rows differ from the record."""
-    bad = contract.where(F.col("matches") == 0).take(3)
+    bad = contract.where("matches = 0").take(3)
     if bad:
         raise ContractError(
             "; ".join(f"{r['Split']}: {r['actual_rows']} rows, {r['recorded_rows']} recorded" for r in bad)
@@ -108,6 +101,6 @@ def require_split_contract(contract: DataFrame) -> None:
 
 
 def rows_lost(source: DataFrame, master: DataFrame) -> DataFrame:
-    return source.agg(F.count(F.lit(1)).alias("source_rows")).withColumn(
-        "master_rows", master.agg(F.count(F.lit(1))).scalar()
-    ).withColumn("rows_lost", F.col("source_rows") - F.col("master_rows"))
+    kept = master.selectExpr("COUNT(*)").scalar()
+    counted = source.selectExpr("COUNT(*) AS source_rows").withColumn("master_rows", kept)
+    return counted.selectExpr("*", "source_rows - master_rows AS rows_lost")

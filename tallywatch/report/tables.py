@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 # ---- Fixed values: table definitions (name, type, ! not null or * key) ------
 TABLE_COLUMNS = {
@@ -159,8 +159,10 @@ def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
 
 def conform(df: DataFrame, table: str, names: dict[str, str] | None = None) -> DataFrame:
     """Rename, select and cast a frame to a table's columns."""
-    renamed = df.withColumnsRenamed(names) if names else df
-    return renamed.select(*[F.col(name).cast(kind).alias(name) for name, kind, _, _ in _fields(table)])
+    source = {new: old for old, new in (names or {}).items()}
+    return df.selectExpr(
+        *[f"CAST(`{source.get(name, name)}` AS {kind}) AS {name}" for name, kind, _, _ in _fields(table)]
+    )
 
 
 def fact_table(scored: DataFrame) -> DataFrame:

@@ -9,146 +9,122 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywatch.functions.columns import (
-    amount_band, count_if, double, percent_or_zero, recommended_action, rounded, rounded_percent,
-    sum_if, tier_sort, to_long,
+from tallywatch.functions.exprs import (
+    amount_band, count_if, double, recommended_action, rounded, rounded_percent, stack, sum_if,
+    text, tier_sort,
 )
 
-
-def _fraud() -> Column:
-    return F.col("actual_fraud") == 1
-
-
-def _alert() -> Column:
-    return F.col("operational_alert") == 1
-
-
-def _count(column: str) -> Column:
-    return F.sum(F.col(column).cast("long"))
+_FRAUD, _ALERT = "actual_fraud = 1", "operational_alert = 1"
+_OUTCOMES = {
+    "true_positives": f"{_FRAUD} AND {_ALERT}",
+    "false_positives": f"actual_fraud = 0 AND {_ALERT}",
+    "false_negatives": f"{_FRAUD} AND operational_alert = 0",
+    "true_negatives": "actual_fraud = 0 AND operational_alert = 0",
+}
+_AMOUNT = "CAST(amount AS DECIMAL(20,2))"
 
 
-def _money(column: str) -> Column:
-    return F.round(F.sum(F.col(column).cast("decimal(20,2)")), 2).cast("double")
+def _whole(column: str) -> str:
+    """Total over the grouped rows, a handful by then."""
+    return f"SUM({column}) OVER ()"
 
 
-def _fraud_money() -> Column:
-    return F.round(sum_if(_fraud(), F.col("amount").cast("decimal(20,2)")), 2).cast("double")
+def _money(column: str, name: str) -> str:
+    return f"{double(f'round({column}, 2)')} AS {name}"
 
 
-def _cells() -> dict[str, Column]:
-    return {
-        "true_positives": count_if(_fraud() & _alert()),
-        "false_positives": count_if(~_fraud() & _alert()),
-        "false_negatives": count_if(_fraud() & ~_alert()),
-        "true_negatives": count_if(~_fraud() & ~_alert()),
-    }
+def _share(a: str, b: str, name: str, places: int = 4) -> str:
+    return f"{rounded_percent(a, b, places)} AS {name}"
 
 
 def executive_kpis(fact: DataFrame) -> DataFrame:
-    cells = _cells()
-    legacy = F.col("legacy_rule_flag") == 1
-    row = fact.agg(
-        F.count(F.lit(1)).alias("total_transactions"),
-        _money("amount").alias("total_transaction_value"),
-        _count("actual_fraud").alias("fraud_transactions"),
-        _fraud_money().alias("fraud_transaction_value"),
-        _count("operational_alert").alias("operational_alerts"),
-        *[cells[c].alias(c) for c in ("true_positives", "false_positives", "false_negatives")],
-        _count("legacy_rule_flag").alias("legacy_rule_alerts"),
-        count_if(legacy & _fraud()).alias("legacy_rule_true_positives"),
+    row = fact.selectExpr(
+        "COUNT(*) AS rows",
+        f"SUM({_AMOUNT}) AS value",
+        "SUM(actual_fraud) AS fraud",
+        f"{sum_if(_FRAUD, _AMOUNT)} AS fraud_value",
+        "SUM(operational_alert) AS alerts",
+        *[f"{count_if(test)} AS {name}" for name, test in _OUTCOMES.items()],
+        "SUM(legacy_rule_flag) AS legacy",
+        f"{count_if(f'legacy_rule_flag = 1 AND {_FRAUD}')} AS legacy_hits",
     )
-    c = F.col
-    return row.select(
-        "total_transactions",
-        "total_transaction_value",
-        "fraud_transactions",
-        "fraud_transaction_value",
-        rounded_percent(c("fraud_transactions"), c("total_transactions"), 4).alias("fraud_rate_pct"),
-        "operational_alerts",
-        rounded_percent(c("operational_alerts"), c("total_transactions"), 4).alias("alert_rate_pct"),
+    return row.selectExpr(
+        "rows AS total_transactions",
+        _money("value", "total_transaction_value"),
+        "fraud AS fraud_transactions",
+        _money("fraud_value", "fraud_transaction_value"),
+        _share("fraud", "rows", "fraud_rate_pct"),
+        "alerts AS operational_alerts",
+        _share("alerts", "rows", "alert_rate_pct"),
         "true_positives",
         "false_positives",
         "false_negatives",
-        rounded_percent(c("true_positives"), c("operational_alerts"), 2).alias("model_precision_pct"),
-        rounded_percent(c("true_positives"), c("fraud_transactions"), 2).alias("model_recall_pct"),
-        "legacy_rule_alerts",
-        "legacy_rule_true_positives",
+        _share("true_positives", "alerts", "model_precision_pct", 2),
+        _share("true_positives", "fraud", "model_recall_pct", 2),
+        "legacy AS legacy_rule_alerts",
+        "legacy_hits AS legacy_rule_true_positives",
     )
 
 
 def _grouped(fact: DataFrame, key: str) -> DataFrame:
     """The measures every grouped view draws on."""
-    return fact.groupBy(key).agg(
-        F.count(F.lit(1)).alias("transaction_count"),
-        F.sum(F.col("amount").cast("decimal(20,2)")).alias("value"),
-        _count("actual_fraud").alias("fraud_count"),
-        sum_if(_fraud(), F.col("amount").cast("decimal(20,2)")).alias("fraud_amount"),
-        _count("operational_alert").alias("operational_alerts"),
-        (F.sum(double("hgb_fraud_score")) / F.count(double("hgb_fraud_score"))).alias("score"),
-    )
-
-
-def _rate() -> Column:
-    return rounded_percent(F.col("fraud_count"), F.col("transaction_count"), 4).alias("fraud_rate_pct")
+    measures = [
+        "COUNT(*) AS transaction_count",
+        f"SUM({_AMOUNT}) AS value",
+        "SUM(actual_fraud) AS fraud_count",
+        f"{sum_if(_FRAUD, _AMOUNT)} AS fraud_amount",
+        "SUM(operational_alert) AS operational_alerts",
+        "AVG(hgb_fraud_score) AS score",
+    ]
+    return fact.groupBy(key).agg(*[F.expr(m) for m in measures])
 
 
-def _value(column: str, name: str) -> Column:
-    return F.round(F.col(column), 2).cast("double").alias(name)
+_VALUE = _money("value", "transaction_value")
+_FRAUD_VALUE = _money("fraud_amount", "fraud_value")
+_RATE = _share("fraud_count", "transaction_count", "fraud_rate_pct")
+_CAPTURE = _share("fraud_count", _whole("fraud_count"), "fraud_capture_pct")
+_SCORE = f"{rounded('score', 6)} AS average_model_score"
 
 
 def risk_tier_analysis(fact: DataFrame) -> DataFrame:
-    whole = W.partitionBy()  # over the grouped rows, at most one per tier
-    return _grouped(fact, "risk_tier").select(
+    return _grouped(fact, "risk_tier").selectExpr(
         "risk_tier",
-        tier_sort("risk_tier").alias("risk_tier_sort"),
+        f"{tier_sort('risk_tier')} AS risk_tier_sort",
         "transaction_count",
-        rounded_percent(F.col("transaction_count"), F.sum("transaction_count").over(whole), 4).alias("population_pct"),
-        rounded("score", 6).alias("average_model_score"),
-        _value("value", "transaction_value"),
+        _share("transaction_count", _whole("transaction_count"), "population_pct"),
+        _SCORE,
+        _VALUE,
         "fraud_count",
-        _rate(),
-        rounded_percent(F.col("fraud_count"), F.sum("fraud_count").over(whole), 4).alias("fraud_capture_pct"),
-        _value("fraud_amount", "fraud_value"),
-        rounded_percent(F.col("fraud_amount"), F.sum("fraud_amount").over(whole), 4).alias("fraud_value_capture_pct"),
+        _RATE,
+        _CAPTURE,
+        _FRAUD_VALUE,
+        _share("fraud_amount", _whole("fraud_amount"), "fraud_value_capture_pct"),
         "operational_alerts",
     )
 
 
 def transaction_type_risk(fact: DataFrame) -> DataFrame:
-    whole = W.partitionBy()
-    average = F.round(F.col("value").cast("decimal(28,2)") / F.col("transaction_count").cast("decimal(18,0)"), 2)
-    return _grouped(fact, "transaction_type").select(
+    average = "CAST(value AS DECIMAL(28,2)) / CAST(transaction_count AS DECIMAL(18,0))"
+    return _grouped(fact, "transaction_type").selectExpr(
         "transaction_type",
         "transaction_count",
-        _value("value", "transaction_value"),
-        average.cast("double").alias("average_transaction_amount"),
+        _VALUE,
+        _money(average, "average_transaction_amount"),
         "fraud_count",
-        _value("fraud_amount", "fraud_value"),
-        _rate(),
-        rounded_percent(F.col("fraud_count"), F.sum("fraud_count").over(whole), 4).alias("fraud_capture_pct"),
+        _FRAUD_VALUE,
+        _RATE,
+        _CAPTURE,
         "operational_alerts",
-        rounded_percent(F.col("operational_alerts"), F.col("transaction_count"), 4).alias("alert_rate_pct"),
-        rounded("score", 6).alias("average_model_score"),
+        _share("operational_alerts", "transaction_count", "alert_rate_pct"),
+        _SCORE,
     )
 
 
 def _over_time(fact: DataFrame, key: str) -> DataFrame:
-    return (
-        _grouped(fact, key)
-        .select(
-            key,
-            "transaction_count",
-            _value("value", "transaction_value"),
-            "fraud_count",
-            _value("fraud_amount", "fraud_value"),
-            _rate(),
-            "operational_alerts",
-            rounded("score", 6).alias("average_model_score"),
-        )
-        .orderBy(key)
-    )
+    measures = [_VALUE, "fraud_count", _FRAUD_VALUE, _RATE, "operational_alerts", _SCORE]
+    return _grouped(fact, key).selectExpr(key, "transaction_count", *measures).orderBy(key)
 
 
 def daily_fraud_trend(fact: DataFrame) -> DataFrame:
@@ -161,49 +137,35 @@ def hourly_fraud_pattern(fact: DataFrame) -> DataFrame:
 
 def confusion_matrix(fact: DataFrame) -> DataFrame:
     """Four outcome rows from one scan."""
-    row = fact.agg(*[e.alias(n) for n, e in _cells().items()])
+    row = fact.selectExpr(*[f"{count_if(test)} AS {name}" for name, test in _OUTCOMES.items()])
     # Outcomes in report order.
-    outcomes = [
-        ("True Positive", "true_positives"),
-        ("False Positive", "false_positives"),
-        ("False Negative", "false_negatives"),
-        ("True Negative", "true_negatives"),
-    ]
-    parts = [p for i, (label, c) in enumerate(outcomes, 1) for p in (F.lit(label), F.lit(i), F.col(c))]
-    return row.select(
-        F.stack(F.lit(len(outcomes)), *parts).alias("outcome", "outcome_sort", "transaction_count")
-    )
+    names = ["True Positive", "False Positive", "False Negative", "True Negative"]
+    rows = [[text(n), str(i), c] for i, (n, c) in enumerate(zip(names, _OUTCOMES), start=1)]
+    return row.selectExpr(stack(rows, ["outcome", "outcome_sort", "transaction_count"]))
 
 
 def model_performance(models: DataFrame) -> DataFrame:
-    hundred = lambda c: rounded(double(c) * 100, 2)
-    return models.select(
+    return models.selectExpr(
         "model",
         "threshold",
-        rounded("roc_auc", 4).alias("roc_auc"),
-        rounded("average_precision", 4).alias("average_precision"),
-        hundred("accuracy").alias("accuracy_pct"),
-        hundred("precision").alias("precision_pct"),
-        hundred("recall").alias("recall_pct"),
-        rounded("f1", 4).alias("f1"),
-        rounded("f2", 4).alias("f2"),
+        *[f"{rounded(c, 4)} AS {c}" for c in ("roc_auc", "average_precision", "f1", "f2")],
+        *[f"{rounded(f'{c} * 100D', 2)} AS {c}_pct" for c in ("accuracy", "precision", "recall")],
         "true_negative",
         "false_positive",
         "false_negative",
         "true_positive",
         "alerts",
-        rounded("alert_rate_pct", 4).alias("alert_rate_pct"),
-        rounded("false_positive_rate_pct", 4).alias("false_positive_rate_pct"),
+        *[f"{rounded(c, 4)} AS {c}" for c in ("alert_rate_pct", "false_positive_rate_pct")],
     )
 
 
 def investigation_capacity(capacity: DataFrame) -> DataFrame:
-    return capacity.select(
+    return capacity.selectExpr(
         "investigation_capacity",
         "alerts_reviewed",
         "fraud_found",
-        rounded("precision_pct", 2).alias("precision_pct"),
-        rounded("total_test_fraud_captured_pct", 2).alias("fraud_capture_pct"),
+        f"{rounded('precision_pct', 2)} AS precision_pct",
+        f"{rounded('total_test_fraud_captured_pct', 2)} AS fraud_capture_pct",
     ).orderBy("investigation_capacity")
 
 
@@ -213,13 +175,13 @@ def investigator_queue(queue: DataFrame) -> DataFrame:
     Not sorted here: the rank column carries the order, and a reader that needs
     rows in order sorts on it.
     """
-    return queue.select(
+    return queue.selectExpr(
         "investigation_rank", "transaction_id", "step", "transaction_day", "hour_of_day",
         "transaction_type", "amount", "origin_account", "destination_account",
         "oldbalance_org", "oldbalance_dest",
-        rounded("hgb_fraud_score", 6).alias("fraud_risk_score"),
+        f"{rounded('hgb_fraud_score', 6)} AS fraud_risk_score",
         "risk_tier", "priority_band", "high_value_200k_flag", "legacy_rule_flag",
-        recommended_action("hgb_fraud_score").alias("recommended_action"),
+        f"{recommended_action('hgb_fraud_score')} AS recommended_action",
     )
 
 
@@ -229,22 +191,20 @@ def first_in_queue(queue_view: DataFrame, count: int = 20) -> DataFrame:
 
 
 def feature_importance(importance: DataFrame) -> DataFrame:
-    order = W.orderBy(F.desc("importance_mean"), F.asc("feature"))  # one row per feature
-    return importance.select(
+    return importance.selectExpr(
         "feature",
-        rounded("importance_mean", 4).alias("importance_mean"),
-        rounded("importance_std", 4).alias("importance_std"),
-        F.row_number().over(order).alias("importance_rank"),
+        f"{rounded('importance_mean', 4)} AS importance_mean",
+        f"{rounded('importance_std', 4)} AS importance_std",
+        "ROW_NUMBER() OVER (ORDER BY importance_mean DESC, feature) AS importance_rank",
     )
 
 
 def band_dashboard(fact: DataFrame) -> DataFrame:
     """Fraud rate per amount band of the scored test population."""
-    return (
-        fact.groupBy(amount_band("amount").alias("amount_band"))
-        .agg(F.count(F.lit(1)).alias("transaction_count"), _count("actual_fraud").alias("fraud_count"))
-        .withColumn("fraud_rate_pct", rounded_percent(F.col("fraud_count"), F.col("transaction_count"), 2))
+    grouped = fact.groupBy(F.expr(f"{amount_band('amount')} AS amount_band")).agg(
+        F.expr("COUNT(*) AS transaction_count"), F.expr("SUM(actual_fraud) AS fraud_count")
     )
+    return grouped.selectExpr("*", _share("fraud_count", "transaction_count", "fraud_rate_pct", 2))
 
 
 # View name to the table it reads; the builder is ours.

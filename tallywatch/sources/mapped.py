@@ -6,10 +6,15 @@ Also deterministic scores on those rows, so that everything after a model
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywatch import schema as S
-from tallywatch.operators.filters import high_risk
+from tallywatch.functions.exprs import text
+from tallywatch.operators.filters import HIGH_RISK, high_risk
+
+# ---- Fixed values: the columns read; a declared schema needs no footer job --
+ORDERS = "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+CUSTOMERS = "c_custkey long, c_acctbal double"
 
 # ---- Fixed values: order priority to transaction type ----------------------
 PRIORITY_TYPES = {
@@ -33,69 +38,49 @@ SCORE_RULES = {
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
     """``transaction_id`` and the 11 source columns, money as DECIMAL(20,2)."""
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
-    customers = spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey", "c_acctbal")
-    joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
-
-    k = F.col("o_orderkey")
-    zero = F.lit(0).cast(S.MONEY)
-    price = F.col("o_totalprice").cast(S.MONEY)
-    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
-
-    kind = None
-    for priority, name in PRIORITY_TYPES.items():
-        test = F.col("o_orderpriority") == priority
-        kind = F.when(test, name) if kind is None else kind.when(test, name)
-
-    first = joined.select(
-        k.alias("k"),
-        (k + 1).alias("transaction_id"),
-        (F.lit(1) + F.floor(days * 743 / F.lit(2405))).cast("int").alias("step"),
-        kind.alias("type"),
-        F.when(k % 997 == 0, zero)
-        .when(k % 50 == 1, (price * 20).cast(S.MONEY))
-        .otherwise(price)
-        .alias("amount"),
-        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("nameOrig"),
-        F.when((k % 3 == 0) | (F.col("c_acctbal") < 0), zero)
-        .otherwise((F.col("c_acctbal").cast(S.MONEY) * 100).cast(S.MONEY))
-        .alias("oldbalanceOrg"),
-        ((F.col("o_custkey") * 7 + 3) % 1000).cast("string").alias("dest"),
-        F.when(k % 7 == 0, zero).otherwise((price * 3).cast(S.MONEY)).alias("oldbalanceDest"),
+    orders = spark.read.schema(ORDERS).parquet(f"{folder}/orders.parquet")
+    customers = spark.read.schema(CUSTOMERS).parquet(f"{folder}/customer.parquet")
+    kinds = " ".join(f"WHEN {text(p)} THEN {text(t)}" for p, t in PRIORITY_TYPES.items())
+    money = lambda x: f"CAST({x} AS DECIMAL(20,2))"
+    keyed = orders.join(customers, F.expr("o_custkey = c_custkey")).selectExpr(
+        "o_orderkey AS k",
+        "o_custkey",
+        "c_acctbal",
+        f"{money('o_totalprice')} AS price",
+        "datediff(o_orderdate, DATE'1995-01-01') AS days",
+        f"CASE o_orderpriority {kinds} END AS type",
+    )
+    priced = keyed.selectExpr(
+        "k",
+        "CAST(1 + (days * 743) div 2405 AS INT) AS step",
+        "type",
+        money("CASE WHEN k % 997 = 0 THEN 0 WHEN k % 50 = 1 THEN price * 20 ELSE price END") + " AS amount",
+        "concat('C', o_custkey) AS nameOrig",
+        money(f"CASE WHEN k % 3 = 0 OR c_acctbal < 0 THEN 0 ELSE {money('c_acctbal')} * 100 END")
+        + " AS oldbalanceOrg",
+        "concat(CASE WHEN type = 'PAYMENT' THEN 'M' ELSE 'C' END, (o_custkey * 7 + 3) % 1000) AS nameDest",
+        money("CASE WHEN k % 7 = 0 THEN 0 ELSE price * 3 END") + " AS oldbalanceDest",
     )
-    outgoing = F.col("oldbalanceOrg") - F.col("amount")
-    incoming = F.col("oldbalanceOrg") + F.col("amount")
-    key, amount = F.col("k"), F.col("amount")
-    return first.select(
-        "transaction_id",
+    after = (
+        "CASE WHEN k % 4 = 0 THEN 0 WHEN type = 'CASH_IN' THEN oldbalanceOrg + amount "
+        "ELSE oldbalanceOrg - amount END"
+    )
+    fraud = (
+        f"{HIGH_RISK} AND (k % 997 = 0 OR k % 50 = 1 OR (amount > 300000 AND k % 5 = 2) OR k % 41 = 0)"
+    )
+    return priced.selectExpr(
+        "k + 1 AS transaction_id",
         "step",
         "type",
         "amount",
         "nameOrig",
         "oldbalanceOrg",
-        F.when(key % 4 == 0, zero)
-        .otherwise(F.when(F.col("type") == "CASH_IN", incoming).otherwise(outgoing).cast(S.MONEY))
-        .alias("newbalanceOrig"),
-        F.concat(F.when(F.col("type") == "PAYMENT", "M").otherwise("C"), F.col("dest")).alias("nameDest"),
+        f"{money(after)} AS newbalanceOrig",
+        "nameDest",
         "oldbalanceDest",
-        (F.col("oldbalanceDest") + amount).cast(S.MONEY).alias("newbalanceDest"),
-        F.when(
-            F.col("type").isin(S.HIGH_RISK_TYPES)
-            & (
-                (key % 997 == 0)
-                | (key % 50 == 1)
-                | ((amount > 300000) & (key % 5 == 2))
-                | (key % 41 == 0)
-            ),
-            1,
-        )
-        .otherwise(0)
-        .cast("int")
-        .alias("isFraud"),
-        F.when((F.col("type") == "TRANSFER") & (amount > 5000000), 1)
-        .otherwise(0)
-        .cast("int")
-        .alias("isFlaggedFraud"),
+        f"{money('oldbalanceDest + amount')} AS newbalanceDest",
+        f"CAST({fraud} AS INT) AS isFraud",
+        "CAST(type = 'TRANSFER' AND amount > 5000000 AS INT) AS isFlaggedFraud",
     )
 
 
@@ -104,18 +89,50 @@ def source_columns(spark: SparkSession, folder: str) -> DataFrame:
     return transactions(spark, folder).select(*S.SOURCE_COLUMNS)
 
 
-def fixed_score(model: str = "champion") -> Column:
+def fixed_score(model: str = "champion") -> str:
     """Deterministic score in [0, 1] with four decimals, from key and label."""
     factor, tenths, modulus, below = SCORE_RULES[model]
-    k = F.col("transaction_id") - 1
+    k = "(transaction_id - 1)"
     points = (
-        F.when((F.col("isFraud") == 1) & (k % 10 < tenths), 9400 + (k * factor) % 600)
-        .when((k * factor) % modulus < below, 9000 + (k * factor) % 900)
-        .otherwise((k * factor) % 8000)
+        f"CASE WHEN isFraud = 1 AND {k} % 10 < {tenths} THEN 9400 + ({k} * {factor}) % 600 "
+        f"WHEN ({k} * {factor}) % {modulus} < {below} THEN 9000 + ({k} * {factor}) % 900 "
+        f"ELSE ({k} * {factor}) % 8000 END"
     )
-    return points.cast("double") / F.lit(10000.0)
+    return f"CAST({points} AS DOUBLE) / 10000D"
 
 
 def with_scores(df: DataFrame, scores: dict[str, str]) -> DataFrame:
     """High-risk rows with fixed scores; ``scores`` maps column to model."""
-    return high_risk(df).withColumns({name: fixed_score(model) for name, model in scores.items()})
+    return high_risk(df).selectExpr("*", *[f"{fixed_score(m)} AS {name}" for name, m in scores.items()])
+
+
+def defective(spark: SparkSession, folder: str) -> DataFrame:
+    """Source rows with defects planted by value, for the quality operators.
+
+    Money is double, as in a raw file. Nulls, values outside their domain, blank
+    ids, NaN, infinity and negative amounts replace good cells in narrow amount
+    ranges; every DEBIT row is there twice.
+    """
+    within = lambda low, high: f"amount >= {low} AND amount < {high}"
+    money = {c: f"CAST({c} AS DOUBLE)" for c in S.MONEY_COLUMNS}
+    planted = {
+        **money,
+        "amount": f"CASE WHEN {within(120000, 122000)} THEN DOUBLE('Infinity') "
+        f"WHEN {within(122000, 124000)} THEN DOUBLE('NaN') WHEN {within(124000, 126000)} THEN NULL "
+        f"WHEN {within(140000, 142000)} THEN -CAST(amount AS DOUBLE) ELSE CAST(amount AS DOUBLE) END",
+        "step": f"CASE WHEN {within(100000, 102000)} THEN NULL WHEN {within(102000, 104000)} THEN 0 "
+        f"WHEN {within(104000, 106000)} THEN 900 ELSE step END",
+        "type": f"CASE WHEN {within(110000, 112000)} THEN NULL "
+        f"WHEN {within(112000, 114000)} THEN 'REFUND' ELSE type END",
+        "nameOrig": f"CASE WHEN {within(130000, 132000)} THEN '' WHEN {within(132000, 134000)} "
+        f"THEN ' \\t ' WHEN {within(134000, 136000)} THEN NULL ELSE nameOrig END",
+        "nameDest": f"CASE WHEN {within(136000, 138000)} THEN '  ' ELSE nameDest END",
+        "isFraud": "CASE WHEN type = 'DEBIT' AND amount > 250000 THEN NULL "
+        "WHEN type = 'CASH_IN' AND amount > 450000 THEN 2 ELSE isFraud END",
+        "isFlaggedFraud": "CASE WHEN type = 'PAYMENT' AND amount > 450000 THEN NULL ELSE isFlaggedFraud END",
+    }
+    rows = transactions(spark, folder).selectExpr(
+        *[f"{planted.get(c, c)} AS {c}" for c in S.SOURCE_COLUMNS],
+        "explode(CASE WHEN type = 'DEBIT' THEN array(1, 2) ELSE array(1) END) AS copy",
+    )
+    return rows.select(*S.SOURCE_COLUMNS)

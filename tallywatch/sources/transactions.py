@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallywatch import schema as S
-from tallywatch.functions.columns import nan_to_null
+from tallywatch.functions.exprs import nan_to_null
 
 #: Offsets are broadcast only up to this many files (about 200 bytes each).
 MAX_BROADCAST_FILES = 1_000_000
@@ -32,8 +32,7 @@ def read_csv_sample(
 def line_count(spark: SparkSession, path: str) -> DataFrame:
     """Data lines of a CSV file or folder: text lines minus one header per file."""
     lines = spark.read.text(path)
-    headers = len(lines.inputFiles())
-    return lines.agg((F.count(F.lit(1)) - F.lit(headers)).alias("total_rows"))
+    return lines.selectExpr(f"COUNT(*) - {len(lines.inputFiles())} AS total_rows")
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -44,7 +43,7 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 def parquet_row_count(spark: SparkSession, path: str) -> DataFrame:
     """Row count of a Parquet table; a scan of no columns, served by footers."""
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
+    return spark.read.parquet(path).selectExpr("COUNT(*) AS row_count")
 
 
 def land_csv(spark: SparkSession, csv_path: str, parquet_path: str) -> DataFrame:
@@ -61,23 +60,17 @@ def with_transaction_id(frame: DataFrame, name: str = "transaction_id") -> DataF
     index in its own file. Both come from Parquet metadata, so ids do not depend
     on how the scan is split and no row is shuffled.
     """
-    frame = frame.withColumns(
-        {"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
+    columns = [c for c in frame.columns if c != "_metadata"]
+    placed = frame.selectExpr(
+        *columns, "_metadata.file_path AS __file", "_metadata.row_index AS __row"
     )
-    from pyspark.sql import Window as W
-
-    before = W.orderBy("__file").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        frame.groupBy("__file")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select("__file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__offset"))
+    offsets = placed.groupBy("__file").count().selectExpr(
+        "__file",
+        "COALESCE(SUM(count) OVER (ORDER BY __file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __before",
     )
     if len(frame.inputFiles()) <= MAX_BROADCAST_FILES:
         offsets = F.broadcast(offsets)
-    return frame.join(offsets, "__file").select(
-        (F.col("__offset") + F.col("__row") + F.lit(1)).cast("long").alias(name),
-        *[c for c in frame.columns if not c.startswith("__")],
-    )
+    return placed.join(offsets, "__file").selectExpr(f"__before + __row + 1 AS {name}", *columns)
 
 
 def head_rows(master: DataFrame, rows: int = 5) -> DataFrame:
