@@ -36,6 +36,18 @@ def threshold_row(validation_curve: DataFrame, operating: float | Column) -> Dat
     return curve_quantiles(validation_curve, S.TIER_QUANTILES).withColumn("Operating", operating)
 
 
+def fix_thresholds(row: DataFrame) -> DataFrame:
+    """The same one row with its four numbers read once, as literals.
+
+    Everything after it then compares with constants instead of evaluating the
+    curve again for every table that needs a tier.
+    """
+    values = row.select("Critical", "High", "Medium", "Operating").first().asDict()
+    return row.sparkSession.range(1).selectExpr(
+        *[f"{'NULL' if v is None else f'{float(v)!r}D'} AS {name}" for name, v in values.items()]
+    )
+
+
 def threshold_table(row: DataFrame) -> DataFrame:
     # Names and sources of the four thresholds.
     names = [

@@ -13,6 +13,8 @@ from tallywatch.operators.features import master_dataset, model_features, model_
 from tallywatch.operators.filters import high_risk, in_split, split_name
 from tallywatch.operators.split import Boundaries, find_boundaries
 from tallywatch.report import tables as rt
+from tallywatch.session import scratch_path
+from tallywatch.sinks.writers import write_parquet
 from tallywatch.sources import mapped
 
 SCORES = {"hgb_fraud_score": "champion", "logistic_model_b_score": S.CHALLENGER_MODEL}
@@ -79,7 +81,7 @@ class ScoredRun:
 
     @cached_property
     def thresholds(self) -> DataFrame:
-        return tiers.threshold_row(self.curve("VALIDATION"), self.operating())
+        return tiers.fix_thresholds(tiers.threshold_row(self.curve("VALIDATION"), self.operating()))
 
     def tiered(self) -> DataFrame:
         """Scored test rows with tier and alert."""
@@ -162,9 +164,12 @@ def coefficient_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report_frames(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """All eight reporting tables over the fixed scores."""
+    """All eight reporting tables over the fixed scores.
+
+    The scored population is written once; the tables read that stage.
+    """
     run = ScoredRun(spark, folder)
-    rows = run.tiered()
+    rows = write_parquet(tiers.scored_output(run.tiered()), scratch_path(spark, "scored"))
     small = {
         "risk_tier_thresholds": tiers.threshold_table(run.thresholds),
         "risk_tier_summary": tiers.tier_summary(rows),

@@ -846,6 +846,13 @@ BODIES: dict[str, str] = {
     "g_clean_rules": f"""SELECT CASE WHEN reason = '' THEN 'valid' ELSE reason END AS reason, {big('COUNT(*)')} AS row_count
       FROM (SELECT {_REASONS} AS reason FROM (SELECT DISTINCT * FROM d)) GROUP BY 1""",
     "g_leak_guard": f"SELECT {_POPULATION_ROWS} FROM h",
+    "m_scale": "SELECT transaction_id, " + ", ".join(
+        f"{r(f'({c} - (SELECT AVG({c}) FROM g WHERE step <= (SELECT train_end FROM sb))) / (SELECT stddev_pop({c}) FROM g WHERE step <= (SELECT train_end FROM sb))')} AS {c}_z"
+        for c in S.CONTINUOUS_FEATURES
+    ) + " FROM g",
+    "m_class_weight": f"""SELECT isFraud, {big('COUNT(*)')} AS row_count,
+      {r(f"{d('SUM(COUNT(*)) OVER ()')} / (2 * {d('COUNT(*)')})")} AS weight FROM h
+      WHERE step <= (SELECT train_end FROM sb) GROUP BY isFraud""",
     "fn_log1p": "SELECT transaction_id, round(ln(1 + CAST(oldbalanceOrg AS DOUBLE)), 6) AS log1p_balance FROM m",
     "fn_trig": "SELECT transaction_id, round(sin(hour_of_day * 2 * pi() / 24), 6) + 0 AS sine, round(cos(hour_of_day * 2 * pi() / 24), 6) + 0 AS cosine FROM m",
     "fn_exp_clip": "SELECT transaction_id, round(exp(greatest(-20, least(20, (CAST(amount AS DOUBLE) - CAST(oldbalanceOrg AS DOUBLE)) / 100000))), 6) AS odds FROM m",
