@@ -131,11 +131,13 @@ def total(x: str) -> str:
 
 # ---- categories ------------------------------------------------------------
 def amount_band(x: str) -> str:
-    """Nine right-closed bands; below the lower edge there is no band."""
-    value = double(x)
-    arms = [f"WHEN {value} < {S.BAND_FLOOR} OR isnan({value}) THEN NULL"]
+    """Nine right-closed bands; below the lower edge, null and NaN have no band.
+
+    The money column is compared as it is: a cast would be repeated per arm.
+    """
+    arms = [f"WHEN {x} < {S.BAND_FLOOR} THEN NULL"]
     for label, upper in S.AMOUNT_BANDS:
-        test = f"{value} <= {upper}" if upper is not None else f"{x} IS NOT NULL"
+        test = f"{x} <= {upper}" if upper is not None else f"NOT isnan({double(x)})"
         arms.append(f"WHEN {test} THEN {text(label)}")
     return f"CASE {' '.join(arms)} END"
 
@@ -167,6 +169,11 @@ def stack(rows: Sequence[Sequence[str]], names: Sequence[str]) -> str:
     return f"stack({len(rows)}, {cells}) AS ({', '.join(f'`{n}`' for n in names)})"
 
 
+def listed(df: DataFrame, rows: Sequence[Sequence[str]], names: Sequence[str]) -> DataFrame:
+    """A small constant table in the JVM, next to ``df``'s session."""
+    return df.sparkSession.range(1).selectExpr(stack(rows, names))
+
+
 def to_long(
     row: DataFrame, pairs: Sequence[tuple[str, str]], key: str, value: str, kind: str = "DOUBLE"
 ) -> DataFrame:

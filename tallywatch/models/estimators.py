@@ -28,15 +28,14 @@ def fit_logistic(
     leakage_guard(train)
     scale = scaler(train, continuous)
     assemble = VectorAssembler(inputCols=[f"{c}_z" for c in continuous] + binary, outputCol=FEATURES)
-    weighted = with_class_weight(train)
-    row = weighted.selectExpr("SUM(weight) AS w").first()
+    weighted, count = with_class_weight(train)
     rows = assemble.transform(scale.transform(weighted)).select(FEATURES, "weight", F.expr("CAST(isFraud AS DOUBLE) AS label"))
     model = LogisticRegression(
         featuresCol=FEATURES,
         labelCol="label",
         weightCol="weight",
         maxIter=iterations,
-        regParam=1.0 / row["w"],
+        regParam=1.0 / count,
         elasticNetParam=0.0,
         standardization=False,
     ).fit(rows)
@@ -54,7 +53,7 @@ def fit_boosted_trees(
     """
     leakage_guard(train)
     assemble = VectorAssembler(inputCols=features, outputCol=FEATURES)
-    weighted = with_class_weight(train)
+    weighted, _ = with_class_weight(train)
     rows = assemble.transform(weighted).select(FEATURES, "weight", F.expr("CAST(isFraud AS DOUBLE) AS label"))
     model = GBTClassifier(
         featuresCol=FEATURES,

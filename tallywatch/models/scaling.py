@@ -18,15 +18,15 @@ def class_weights(train: DataFrame, label: str = "isFraud") -> DataFrame:
     )
 
 
-def with_class_weight(train: DataFrame, label: str = "isFraud", name: str = "weight") -> DataFrame:
-    """Add the balanced weight of each row's class.
+def with_class_weight(train: DataFrame, label: str = "isFraud", name: str = "weight") -> tuple[DataFrame, int]:
+    """Add the balanced weight of each row's class; also returns the row count.
 
     The two weights are read once and put in as literals, so training rows are
-    neither joined nor shuffled.
+    neither joined nor shuffled. They sum to the row count.
     """
-    weights = {int(r[label]): r["weight"] for r in class_weights(train, label).take(2)}
-    arms = " ".join(f"WHEN {k} THEN {w!r}D" for k, w in sorted(weights.items()))
-    return train.selectExpr("*", f"CASE {label} {arms} END AS {name}")
+    classes = class_weights(train, label).take(2)
+    arms = " ".join(f"WHEN {r[label]} THEN {r['weight']!r}D" for r in classes)
+    return train.selectExpr("*", f"CASE {label} {arms} END AS {name}"), sum(r["row_count"] for r in classes)
 
 
 def scaling_moments(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallywatch import schema as S
 from tallywatch.functions.exprs import (
-    amount_band, count_if, double, infinite, is_floating, is_one, missing, non_finite,
+    amount_band, count_if, double, infinite, is_floating, is_one, listed, missing, non_finite,
     percent_or_zero, ratio, ratio_or_zero, stack, sum_if, text, to_long, to_rows, total,
 )
 from tallywatch.operators.filters import FRAUD, split_name
@@ -91,16 +91,12 @@ def class_summary(df: DataFrame) -> DataFrame:
 
 
 def by_group(df: DataFrame, group: str, name: str) -> DataFrame:
-    """Count, value, fraud and fraud rate per group; a null group is left out."""
-    grouped = (
-        df.where(f"({group}) IS NOT NULL")
-        .groupBy(F.expr(f"{group} AS {name}"))
-        .agg(
-            F.expr("COUNT(*) AS n"),
-            F.expr(f"{total('amount')} AS value"),
-            F.expr(f"{count_if(FRAUD)} AS fraud"),
-            F.expr(f"{sum_if(FRAUD, 'amount')} AS fraud_value"),
-        )
+    """Count, value, fraud and fraud rate per group; null forms its own group."""
+    grouped = df.groupBy(F.expr(f"{group} AS {name}")).agg(
+        F.expr("COUNT(*) AS n"),
+        F.expr(f"{total('amount')} AS value"),
+        F.expr(f"{count_if(FRAUD)} AS fraud"),
+        F.expr(f"{sum_if(FRAUD, 'amount')} AS fraud_value"),
     )
     return grouped.selectExpr(
         name,
@@ -112,8 +108,13 @@ def by_group(df: DataFrame, group: str, name: str) -> DataFrame:
     )
 
 
+def by_column(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The same per value of a column; null rows are left out."""
+    return by_group(df.where(f"{column} IS NOT NULL"), column, name)
+
+
 def type_summary(df: DataFrame) -> DataFrame:
-    return by_group(df, "type", "Transaction_Type").selectExpr(
+    return by_column(df, "type", "Transaction_Type").selectExpr(
         "Transaction_Type",
         "Transaction_Count",
         "Transaction_Value",
@@ -127,15 +128,15 @@ def type_summary(df: DataFrame) -> DataFrame:
 
 
 def hourly_summary(df: DataFrame) -> DataFrame:
-    return by_group(df, "hour_of_day", "Hour_of_Day").orderBy("Hour_of_Day")
+    return by_column(df, "hour_of_day", "Hour_of_Day").orderBy("Hour_of_Day")
 
 
 def daily_summary(df: DataFrame) -> DataFrame:
-    return by_group(df, "transaction_day", "Transaction_Day").orderBy("Transaction_Day")
+    return by_column(df, "transaction_day", "Transaction_Day").orderBy("Transaction_Day")
 
 
 def high_risk_type_summary(model: DataFrame) -> DataFrame:
-    return by_group(model, "type", "Transaction_Type").orderBy("Transaction_Type")
+    return by_column(model, "type", "Transaction_Type").orderBy("Transaction_Type")
 
 
 def dense(df: DataFrame, values: list[str], key: str) -> DataFrame:
@@ -143,13 +144,14 @@ def dense(df: DataFrame, values: list[str], key: str) -> DataFrame:
 
     The list is the broadcast side: a fixed handful of rows.
     """
-    rows = list(enumerate(values, start=1))
-    listed = df.sparkSession.createDataFrame(rows, f"position int, {key} string")
-    return listed.join(F.broadcast(df), key, "left").orderBy("position")
+    rows = [[str(i), text(v)] for i, v in enumerate(values, start=1)]
+    every = listed(df, rows, ["position", key])
+    return every.join(F.broadcast(df), key, "left").orderBy("position")
 
 
 def amount_band_summary(df: DataFrame) -> DataFrame:
-    """All nine bands in order, empty ones as zero."""
+    """All nine bands in order, empty ones as zero; rows without a band find no
+    partner in the list of bands."""
     observed = by_group(df, amount_band("amount"), "Amount_Bucket")
     return dense(observed, [label for label, _ in S.AMOUNT_BANDS], "Amount_Bucket").selectExpr(
         "Amount_Bucket",

@@ -9,6 +9,7 @@ from tallywatch.functions.exprs import (
     any_of, count_if, double, non_finite, percent_or_zero, prefix, text, to_long, to_rows, total,
 )
 from tallywatch.operators import filters as flt
+from tallywatch.session import scratch_path
 
 # ---- counters --------------------------------------------------------------
 ZERO_AMOUNT_COUNTERS = [
@@ -174,16 +175,28 @@ EXCLUSION_RULES = {
 }
 
 
-def apply_cleaning_rules(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid rows and quarantined rows (with a ``reason`` array).
+def judge_rows(df: DataFrame) -> DataFrame:
+    """Distinct rows with a ``reason`` array: the exclusion rules each one breaks.
 
-    Exact duplicates are dropped first. Zero balances, balance mismatches and
-    very large amounts stay. Equal rows fold on the map side, so a row copied
-    very often is no hot partition.
+    Zero balances, balance mismatches and very large amounts stay without a
+    reason. Equal rows fold on the map side, so a row copied very often is no
+    hot partition.
     """
     names = ", ".join(f"CASE WHEN {test} THEN {text(n)} END" for n, test in EXCLUSION_RULES.items())
-    judged = df.dropDuplicates().selectExpr("*", f"array_compact(array({names})) AS reason")
-    return judged.where("size(reason) = 0").drop("reason"), judged.where("size(reason) > 0")
+    return df.dropDuplicates().selectExpr("*", f"array_compact(array({names})) AS reason")
+
+
+def apply_cleaning_rules(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid rows and quarantined rows (with their reasons).
+
+    The judged rows are written once, so that reading both sides does not drop
+    duplicates twice.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "judged")
+    judge_rows(df).selectExpr("*", "size(reason) = 0 AS valid").write.partitionBy("valid").parquet(path)
+    judged = spark.read.parquet(path)
+    return judged.where("valid").drop("reason", "valid"), judged.where("NOT valid").drop("valid")
 
 
 # ---- constraints and leakage -----------------------------------------------

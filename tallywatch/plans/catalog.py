@@ -535,7 +535,7 @@ def _(spark, folder):
 
 @query("w_investigation_rank")
 def _(spark, folder):
-    scored = mapped.with_scores(fr.master(spark, folder), {tiers.SCORE: "champion"})
+    scored = mapped.with_scores(flt.high_risk(fr.master(spark, folder)), {tiers.SCORE: "champion"})
     rows = scored.select("transaction_id", tiers.SCORE, "amount")
     return output(ordering.global_row_number(rows, tiers.QUEUE_ORDER, "investigation_rank"))
 
@@ -800,10 +800,9 @@ def _(spark, folder):
 
 @query("g_clean_rules")
 def _(spark, folder):
-    valid, quarantined = quality.apply_cleaning_rules(fr.defective(spark, folder))
-    kept = valid.selectExpr("COUNT(*) AS row_count").selectExpr("'valid' AS reason", "row_count")
-    broken = quarantined.groupBy(F.expr("array_join(reason, '+') AS reason")).agg(F.expr("COUNT(*) AS row_count"))
-    return kept.unionByName(broken)
+    judged = quality.judge_rows(fr.defective(spark, folder))
+    reason = "CASE WHEN size(reason) = 0 THEN 'valid' ELSE array_join(reason, '+') END AS reason"
+    return judged.groupBy(F.expr(reason)).agg(F.expr("COUNT(*) AS row_count"))
 
 
 @query("g_leak_guard")

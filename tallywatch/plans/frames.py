@@ -54,20 +54,31 @@ def bounds(spark: SparkSession, folder: str) -> Boundaries:
 
 
 class ScoredRun:
-    """The scored frames of one query: boundaries and curves are made once."""
+    """The scored frames of one query.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    Boundaries, curves and test rows each read the high-risk master rows with
+    their own columns only. ``staged`` writes those rows once first, which pays
+    where several models are compared and the rows are read many times.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, staged: bool = False) -> None:
+        self.spark, self.folder, self.staged = spark, folder, staged
         self._curves: dict[tuple[str, str], DataFrame] = {}
 
+    @cached_property
+    def high_risk_rows(self) -> DataFrame:
+        made = (tiers.SCORE, "risk_tier", "operational_alert")
+        columns = [c for c in tiers.SCORED_COLUMNS if c not in made]
+        rows = high_risk(master(self.spark, self.folder)).select(*columns)
+        return write_parquet(rows, scratch_path(self.spark, "high_risk")) if self.staged else rows
+
     @cached_property
     def bounds(self) -> Boundaries:
-        return bounds(self.spark, self.folder)
+        return find_boundaries(self.high_risk_rows)
 
     def rows(self, split: str, scores: dict[str, str] | None = None) -> DataFrame:
         """High-risk master rows of a split with fixed scores."""
-        every = mapped.with_scores(master(self.spark, self.folder), scores or SCORES)
-        return in_split(every, split, *self.bounds)
+        return mapped.with_scores(in_split(self.high_risk_rows, split, *self.bounds), scores or SCORES)
 
     def curve(self, split: str, model: str = "champion") -> DataFrame:
         if (split, model) not in self._curves:
@@ -119,12 +130,12 @@ def fact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def comparison(spark: SparkSession, folder: str) -> DataFrame:
-    return ScoredRun(spark, folder).comparison()
+    return ScoredRun(spark, folder, staged=True).comparison()
 
 
 def stress_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """The four feature-set models on the test period."""
-    run = ScoredRun(spark, folder)
+    run = ScoredRun(spark, folder, staged=True)
     return ev.model_comparison([run.metrics(model, model) for model in S.FEATURE_SETS])
 
 
@@ -168,7 +179,7 @@ def report_frames(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
     The scored population is written once; the tables read that stage.
     """
-    run = ScoredRun(spark, folder)
+    run = ScoredRun(spark, folder, staged=True)
     rows = write_parquet(tiers.scored_output(run.tiered()), scratch_path(spark, "scored"))
     small = {
         "risk_tier_thresholds": tiers.threshold_table(run.thresholds),

@@ -10,18 +10,22 @@ from tallywatch.models import estimators as es, importance, scaling, stress
 from tallywatch.operators import evaluate as ev
 from tallywatch.operators.features import model_features
 from tallywatch.operators.filters import in_split
+from tallywatch.operators.split import find_boundaries
 from tallywatch.plans import frames as fr
 from tallywatch.plans.catalog import query
 from tallywatch.plans.frames import output
 from tallywatch.session import scratch_path
+from tallywatch.sinks.writers import write_parquet
 
 _EVERY = [c for part in S.FEATURE_SETS["Model_D_Enhanced_PaySim"][:2] for c in part]
 _champions: dict[tuple[str, str], PipelineModel] = {}
 
 
 def _splits(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    rows = model_features(fr.population(spark, folder), _EVERY)
-    cut = fr.bounds(spark, folder)
+    """Model features written once, then one frame per split."""
+    features = model_features(fr.population(spark, folder), _EVERY)
+    rows = write_parquet(features, scratch_path(spark, "model_features"))
+    cut = find_boundaries(rows)
     return {name: in_split(rows, name, *cut) for name in ("TRAIN", "VALIDATION", "TEST")}
 
 
@@ -37,7 +41,7 @@ def _champion(spark: SparkSession, folder: str) -> PipelineModel:
 def _(spark, folder):
     parts = _splits(spark, folder)
     moments = scaling.scaling_moments(parts["TRAIN"], S.CONTINUOUS_FEATURES)
-    rows = model_features(fr.population(spark, folder), S.CONTINUOUS_FEATURES)
+    rows = parts["TRAIN"].unionByName(parts["VALIDATION"]).unionByName(parts["TEST"])
     return output(rows.selectExpr("transaction_id", *scaling.scale_columns(moments)))
 
 

@@ -149,10 +149,11 @@ def create_schema(spark: SparkSession, database: str) -> None:
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Tables and views of a database, by name."""
+    """Tables and views by name; temporary views only without a database."""
     rows = [
         (t.name, "VIEW" if t.tableType in ("VIEW", "TEMPORARY") else "TABLE")
         for t in spark.catalog.listTables(database)
+        if database is None or not t.isTemporary
     ]
     return spark.createDataFrame(sorted(rows), "table_name string, table_kind string")
 

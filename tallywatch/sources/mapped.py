@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywatch import schema as S
 from tallywatch.functions.exprs import text
-from tallywatch.operators.filters import HIGH_RISK, high_risk
+from tallywatch.operators.filters import HIGH_RISK
 
 # ---- Fixed values: the columns read; a declared schema needs no footer job --
 ORDERS = "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
@@ -102,8 +102,8 @@ def fixed_score(model: str = "champion") -> str:
 
 
 def with_scores(df: DataFrame, scores: dict[str, str]) -> DataFrame:
-    """High-risk rows with fixed scores; ``scores`` maps column to model."""
-    return high_risk(df).selectExpr("*", *[f"{fixed_score(m)} AS {name}" for name, m in scores.items()])
+    """Rows with fixed scores; ``scores`` maps a column to a model."""
+    return df.selectExpr("*", *[f"{fixed_score(m)} AS {name}" for name, m in scores.items()])
 
 
 def defective(spark: SparkSession, folder: str) -> DataFrame:

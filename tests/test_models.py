@@ -26,8 +26,8 @@ def champion(parts):
 
 
 def test_weights_sum_to_rows(parts):
-    weighted = scaling.with_class_weight(parts["TRAIN"])
-    assert weighted.selectExpr("SUM(weight)").first()[0] == pytest.approx(parts["TRAIN"].count())
+    weighted, rows = scaling.with_class_weight(parts["TRAIN"])
+    assert weighted.selectExpr("SUM(weight)").first()[0] == pytest.approx(rows) and rows == parts["TRAIN"].count()
 
 
 def test_scaled_columns_have_unit_population_deviation(parts):
@@ -43,7 +43,7 @@ def test_scaled_columns_have_unit_population_deviation(parts):
 def test_logistic_matches_newton(parts):
     train = parts["TRAIN"]
     model = es.fit_logistic(train, S.CONTINUOUS_FEATURES, S.BASELINE_BINARY)
-    frame = scaling.scaler(train, S.CONTINUOUS_FEATURES).transform(scaling.with_class_weight(train)).toPandas()
+    frame = scaling.scaler(train, S.CONTINUOUS_FEATURES).transform(scaling.with_class_weight(train)[0]).toPandas()
     x = frame[[f"{c}_z" for c in S.CONTINUOUS_FEATURES] + S.BASELINE_BINARY].to_numpy(float)
     x = np.hstack([x, np.ones((len(x), 1))])
     y, w = frame["isFraud"].to_numpy(float), frame["weight"].to_numpy(float)
