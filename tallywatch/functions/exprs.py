@@ -137,7 +137,7 @@ def amount_band(x: str) -> str:
     """
     arms = [f"WHEN {x} < {S.BAND_FLOOR} THEN NULL"]
     for label, upper in S.AMOUNT_BANDS:
-        test = f"{x} <= {upper}" if upper is not None else f"NOT isnan({double(x)})"
+        test = f"{x} <= {upper}" if upper is not None else f"{x} IS NOT NULL AND NOT isnan({double(x)})"
         arms.append(f"WHEN {test} THEN {text(label)}")
     return f"CASE {' '.join(arms)} END"
 

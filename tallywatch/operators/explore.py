@@ -16,7 +16,9 @@ from tallywatch.functions.exprs import (
     percent_or_zero, ratio, ratio_or_zero, stack, sum_if, text, to_long, to_rows, total,
 )
 from tallywatch.operators.filters import FRAUD, split_name
+from tallywatch.operators.onepass import Summary, one_row
 from tallywatch.operators.profile import missing_values
+from tallywatch.session import materialise
 
 
 def dataset_validation(source: DataFrame, master: DataFrame, model: DataFrame) -> DataFrame:
@@ -61,44 +63,61 @@ def dataset_validation(source: DataFrame, master: DataFrame, model: DataFrame) -
 CLASSES = {"Legitimate": 0, "Fraud": 1}
 
 
-def class_summary(df: DataFrame) -> DataFrame:
+@one_row
+def class_summary(df: DataFrame) -> Summary:
     """Fraud against legitimate; both classes always appear."""
-    measures: list[str] = []
+    measures: dict[str, str] = {}
     for name, label in CLASSES.items():
         member = f"isFraud = {label}"
-        measures += [
-            f"{count_if(member)} AS {name}__n",
-            f"{sum_if(member, 'amount')} AS {name}__value",
-            f"MIN(amount) FILTER (WHERE {member}) AS {name}__min",
-            f"MAX(amount) FILTER (WHERE {member}) AS {name}__max",
-            f"{sum_if(member, 'oldbalanceOrg')} AS {name}__origin",
-            f"{sum_if(member, 'oldbalanceDest')} AS {name}__dest",
-        ]
-    return to_rows(
-        df.selectExpr(*measures),
-        CLASSES,
-        "Class",
-        {
-            "Transaction_Count": "{}__n",
-            "Transaction_Value": double("{}__value"),
-            "Average_Amount": ratio("{}__value", "{}__n"),
-            "Minimum_Amount": double("{}__min"),
-            "Maximum_Amount": double("{}__max"),
-            "Average_Origin_Balance_Before": ratio("{}__origin", "{}__n"),
-            "Average_Destination_Balance_Before": ratio("{}__dest", "{}__n"),
-        },
-    )
+        measures |= {
+            f"{name}__n": count_if(member),
+            f"{name}__value": sum_if(member, "amount"),
+            f"{name}__min": f"MIN(amount) FILTER (WHERE {member})",
+            f"{name}__max": f"MAX(amount) FILTER (WHERE {member})",
+            f"{name}__origin": sum_if(member, "oldbalanceOrg"),
+            f"{name}__dest": sum_if(member, "oldbalanceDest"),
+        }
+    fields = {
+        "Transaction_Count": "{}__n",
+        "Transaction_Value": double("{}__value"),
+        "Average_Amount": ratio("{}__value", "{}__n"),
+        "Minimum_Amount": double("{}__min"),
+        "Maximum_Amount": double("{}__max"),
+        "Average_Origin_Balance_Before": ratio("{}__origin", "{}__n"),
+        "Average_Destination_Balance_Before": ratio("{}__dest", "{}__n"),
+    }
+    return Summary(measures, lambda row: to_rows(row, CLASSES, "Class", fields))
+
+
+#: Measures of a group, from rows and from an already grouped frame.
+_FROM_ROWS = {
+    "n": "COUNT(*)",
+    "value": total("amount"),
+    "fraud": count_if(FRAUD),
+    "fraud_value": sum_if(FRAUD, "amount"),
+}
+_FROM_GROUPS = {name: f"SUM({name})" for name in _FROM_ROWS}
+
+
+def _measured(df: DataFrame, groups: list[str]) -> DataFrame:
+    source = _FROM_GROUPS if set(_FROM_ROWS) <= set(df.columns) else _FROM_ROWS
+    return df.groupBy(*[F.expr(g) for g in groups]).agg(*[F.expr(f"{e} AS {n}") for n, e in source.items()])
+
+
+def group_table(master: DataFrame) -> DataFrame:
+    """Counts and values per type, day, hour and amount band, in one scan.
+
+    A few thousand rows per month of data whatever the number of transactions.
+    The type, hourly, daily and band summaries accept it in place of the master
+    table, so that together they scan the master table once.
+    """
+    keys = ["type", "transaction_day", "hour_of_day", f"{amount_band('amount')} AS amount_band"]
+    return materialise(_measured(master, keys))
 
 
 def by_group(df: DataFrame, group: str, name: str) -> DataFrame:
     """Count, value, fraud and fraud rate per group; null forms its own group."""
-    grouped = df.groupBy(F.expr(f"{group} AS {name}")).agg(
-        F.expr("COUNT(*) AS n"),
-        F.expr(f"{total('amount')} AS value"),
-        F.expr(f"{count_if(FRAUD)} AS fraud"),
-        F.expr(f"{sum_if(FRAUD, 'amount')} AS fraud_value"),
-    )
-    return grouped.selectExpr(
+    return _measured(df, [f"{group} AS {name}"]).selectExpr(
         name,
         "n AS Transaction_Count",
         f"{double('value')} AS Transaction_Value",
@@ -152,7 +171,8 @@ def dense(df: DataFrame, values: list[str], key: str) -> DataFrame:
 def amount_band_summary(df: DataFrame) -> DataFrame:
     """All nine bands in order, empty ones as zero; rows without a band find no
     partner in the list of bands."""
-    observed = by_group(df, amount_band("amount"), "Amount_Bucket")
+    band = "amount_band" if "amount_band" in df.columns else amount_band("amount")
+    observed = by_group(df, band, "Amount_Bucket")
     return dense(observed, [label for label, _ in S.AMOUNT_BANDS], "Amount_Bucket").selectExpr(
         "Amount_Bucket",
         "COALESCE(Transaction_Count, 0) AS Transaction_Count",
@@ -163,32 +183,29 @@ def amount_band_summary(df: DataFrame) -> DataFrame:
     )
 
 
+@one_row
 def flag_lift(
     df: DataFrame, flags: list[str] = S.RISK_FLAGS, key: str = "Risk_Flag", when: str = "When_"
-) -> DataFrame:
+) -> Summary:
     """Fraud rate with and without each flag, and their ratio (null over zero)."""
-    measures = ["COUNT(*) AS rows", f"{count_if(FRAUD)} AS frauds"]
+    measures = {"rows": "COUNT(*)", "frauds": count_if(FRAUD)}
     for name in flags:
-        measures += [
-            f"{count_if(is_one(name))} AS {name}__n",
-            f"{count_if(f'{is_one(name)} AND {FRAUD}')} AS {name}__f",
-        ]
+        measures |= {
+            f"{name}__n": count_if(is_one(name)),
+            f"{name}__f": count_if(f"{is_one(name)} AND {FRAUD}"),
+        }
     with_flag = percent_or_zero("{}__f", "{}__n")
     without = percent_or_zero("frauds - {}__f", "rows - {}__n")
-    return to_rows(
-        df.selectExpr(*measures),
-        flags,
-        key,
-        {
-            "Flag_True_Count": "{}__n",
-            "Fraud_When_True": "{}__f",
-            f"Fraud_Rate_{when}True_Pct": with_flag,
-            "Flag_False_Count": "rows - {}__n",
-            "Fraud_When_False": "frauds - {}__f",
-            f"Fraud_Rate_{when}False_Pct": without,
-            "Fraud_Rate_Lift": f"{with_flag} / NULLIF({without}, 0D)",
-        },
-    )
+    fields = {
+        "Flag_True_Count": "{}__n",
+        "Fraud_When_True": "{}__f",
+        f"Fraud_Rate_{when}True_Pct": with_flag,
+        "Flag_False_Count": "rows - {}__n",
+        "Fraud_When_False": "frauds - {}__f",
+        f"Fraud_Rate_{when}False_Pct": without,
+        "Fraud_Rate_Lift": f"{with_flag} / NULLIF({without}, 0D)",
+    }
+    return Summary(measures, lambda row: to_rows(row, flags, key, fields))
 
 
 def binary_flag_lift(model: DataFrame) -> DataFrame:
@@ -201,36 +218,35 @@ def defined_lift(lift: DataFrame) -> DataFrame:
 
 
 # ---- model population ------------------------------------------------------
-def population_summary(model: DataFrame) -> DataFrame:
-    row = model.selectExpr(
-        "COUNT(*) AS rows",
-        f"{total('CAST(isFraud AS BIGINT)')} AS fraud",
-        "MIN(step) AS first_step",
-        "MAX(step) AS last_step",
-    )
-    return to_long(
-        row,
-        [
-            ("Parquet rows", "rows"),
-            ("Rows processed", "rows"),
-            ("Total fraud", "fraud"),
-            ("Legitimate transactions", "rows - fraud"),
-            ("Fraud rate (%)", percent_or_zero("fraud", "rows")),
-            ("Minimum step", "first_step"),
-            ("Maximum step", "last_step"),
-        ],
-        "Metric",
-        "Value",
-    )
+@one_row
+def population_summary(model: DataFrame) -> Summary:
+    measures = {
+        "rows": "COUNT(*)",
+        "fraud": total("CAST(isFraud AS BIGINT)"),
+        "first_step": "MIN(step)",
+        "last_step": "MAX(step)",
+    }
+    metrics = [
+        ("Parquet rows", "rows"),
+        ("Rows processed", "rows"),
+        ("Total fraud", "fraud"),
+        ("Legitimate transactions", "rows - fraud"),
+        ("Fraud rate (%)", percent_or_zero("fraud", "rows")),
+        ("Minimum step", "first_step"),
+        ("Maximum step", "last_step"),
+    ]
+    return Summary(measures, lambda row: to_long(row, metrics, "Metric", "Value"))
 
 
 def feature_missing(model: DataFrame) -> DataFrame:
     return missing_values(model, S.MODEL_COLUMNS, "Feature", "Missing_Pct")
 
 
-def feature_infinite(model: DataFrame) -> DataFrame:
-    row = model.selectExpr(*[f"{count_if(infinite(c))} AS {c}__n" for c in S.NUMERIC_FEATURES])
-    return to_rows(row, S.NUMERIC_FEATURES, "Feature", {"Infinite_Count": "{}__n"})
+@one_row
+def feature_infinite(model: DataFrame) -> Summary:
+    measures = {f"{c}__n": count_if(infinite(c)) for c in S.NUMERIC_FEATURES}
+    fields = {"Infinite_Count": "{}__n"}
+    return Summary(measures, lambda row: to_rows(row, S.NUMERIC_FEATURES, "Feature", fields))
 
 
 def numeric_by_class(model: DataFrame) -> DataFrame:
@@ -264,7 +280,8 @@ def numeric_by_class(model: DataFrame) -> DataFrame:
     )
 
 
-def fixed_split_summary(model: DataFrame, train_end: int = 520, validation_end: int = 594) -> DataFrame:
+@one_row
+def fixed_split_summary(model: DataFrame, train_end: int = 520, validation_end: int = 594) -> Summary:
     """Rows, share and fraud per split for fixed boundaries, all three dense."""
     ranges = {
         "TRAIN": f"{S.FIRST_STEP}-{train_end}",
@@ -272,26 +289,21 @@ def fixed_split_summary(model: DataFrame, train_end: int = 520, validation_end:
         "TEST": f"{validation_end + 1}-{S.LAST_STEP}",
     }
     split = split_name(train_end, validation_end)
-    measures = ["COUNT(*) AS rows"]
-    for name, steps in ranges.items():
+    measures = {"rows": "COUNT(*)"}
+    for name in ranges:
         member = f"{split} = {text(name)}"
-        measures += [
-            f"{count_if(member)} AS {name}__n",
-            f"{count_if(f'{member} AND {FRAUD}')} AS {name}__f",
-            f"{text(steps)} AS {name}__steps",
-        ]
-    return to_rows(
-        model.selectExpr(*measures),
-        ranges,
-        "Split",
-        {
-            "Step_Range": "{}__steps",
-            "Rows": "{}__n",
-            "Population_Pct": percent_or_zero("{}__n", "rows"),
-            "Fraud_Count": "{}__f",
-            "Fraud_Rate_Pct": percent_or_zero("{}__f", "{}__n"),
-        },
-    )
+        measures |= {
+            f"{name}__n": count_if(member),
+            f"{name}__f": count_if(f"{member} AND {FRAUD}"),
+        }
+    fields = {
+        "Step_Range": "CASE '{}' " + " ".join(f"WHEN {text(n)} THEN {text(v)}" for n, v in ranges.items()) + " END",
+        "Rows": "{}__n",
+        "Population_Pct": percent_or_zero("{}__n", "rows"),
+        "Fraud_Count": "{}__f",
+        "Fraud_Rate_Pct": percent_or_zero("{}__f", "{}__n"),
+    }
+    return Summary(measures, lambda row: to_rows(row, ranges, "Split", fields))
 
 
 def feature_variation(model: DataFrame) -> DataFrame:

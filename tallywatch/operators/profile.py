@@ -10,6 +10,8 @@ from tallywatch.functions.exprs import (
     to_rows, total,
 )
 from tallywatch.operators.filters import FLAGGED, FRAUD
+from tallywatch.operators.onepass import Summary, one_row
+from tallywatch.session import materialise
 
 #: Hashes that occur several times are broadcast for the exact check up to here.
 MAX_BROADCAST_HASHES = 1_000_000
@@ -63,88 +65,86 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 # ---- one-row measures ------------------------------------------------------
-RULE_CELLS = [
-    f"{count_if(f'{FRAUD} AND {FLAGGED}')} AS tp",
-    f"{count_if(f'NOT {FRAUD} AND {FLAGGED}')} AS fp",
-    f"{count_if(f'NOT {FRAUD} AND NOT {FLAGGED}')} AS tn",
-    f"{count_if(f'{FRAUD} AND NOT {FLAGGED}')} AS fn",
-]
-
-
-def overall_profile(df: DataFrame) -> DataFrame:
-    """The 18 headline measures as (Metric, Value)."""
-    row = df.selectExpr(
-        "COUNT(*) AS rows",
-        "MIN(step) AS min_step",
-        "MAX(step) AS max_step",
-        f"{total('amount')} AS value",
-        "MIN(amount) AS min_amount",
-        "MAX(amount) AS max_amount",
-        f"{sum_if(FRAUD, 'amount')} AS fraud_value",
-        *RULE_CELLS,
-    )
-    accounts = distinct_accounts(df)
-    row = row.withColumns(
-        {
-            "accounts": accounts.selectExpr("struct(*)").scalar(),
-            "duplicates": duplicate_rows(df.select(*S.SOURCE_COLUMNS)).scalar(),
-        }
-    )
-    # Metric names of the profile report.
-    return to_long(
-        row,
-        [
-            ("Total rows", "rows"),
-            ("Total columns", str(len(S.SOURCE_COLUMNS))),
-            ("Minimum step", "min_step"),
-            ("Maximum step", "max_step"),
-            ("Total transaction value", "value"),
-            ("Average transaction amount", ratio("value", "rows")),
-            ("Minimum transaction amount", "min_amount"),
-            ("Maximum transaction amount", "max_amount"),
-            ("Fraud transactions", "tp + fn"),
-            ("Fraud rate (%)", percent_or_zero("tp + fn", "rows")),
-            ("Fraud transaction value", "fraud_value"),
-            ("Fraud value share (%)", percent_or_zero("fraud_value", "value")),
-            ("Flagged transactions", "tp + fp"),
-            ("Flag precision (%)", percent_or_zero("tp", "tp + fp")),
-            ("Flag recall (%)", percent_or_zero("tp", "tp + fn")),
-            ("Unique origin accounts", "accounts.unique_origin_accounts"),
-            ("Unique destination accounts", "accounts.unique_destination_accounts"),
-            ("Duplicate rows", "duplicates"),
-        ],
-        "Metric",
-        "Value",
-    )
+RULE_CELLS = {
+    "tp": count_if(f"{FRAUD} AND {FLAGGED}"),
+    "fp": count_if(f"NOT {FRAUD} AND {FLAGGED}"),
+    "tn": count_if(f"NOT {FRAUD} AND NOT {FLAGGED}"),
+    "fn": count_if(f"{FRAUD} AND NOT {FLAGGED}"),
+}
+
 
+@one_row
+def overall_profile(df: DataFrame) -> Summary:
+    """The 18 headline measures as (Metric, Value).
 
-def rule_performance(df: DataFrame) -> DataFrame:
+    Distinct accounts and duplicates need shuffles of their own; their results
+    come in as one-row subqueries.
+    """
+    measures = {
+        "rows": "COUNT(*)",
+        "min_step": "MIN(step)",
+        "max_step": "MAX(step)",
+        "value": total("amount"),
+        "min_amount": "MIN(amount)",
+        "max_amount": "MAX(amount)",
+        "fraud_value": sum_if(FRAUD, "amount"),
+        **RULE_CELLS,
+    }
+    accounts = distinct_accounts(df).selectExpr("struct(*)")
+    duplicates = duplicate_rows(df.select(*S.SOURCE_COLUMNS))
+    # Metric names of the profile report.
+    metrics = [
+        ("Total rows", "rows"),
+        ("Total columns", str(len(S.SOURCE_COLUMNS))),
+        ("Minimum step", "min_step"),
+        ("Maximum step", "max_step"),
+        ("Total transaction value", "value"),
+        ("Average transaction amount", ratio("value", "rows")),
+        ("Minimum transaction amount", "min_amount"),
+        ("Maximum transaction amount", "max_amount"),
+        ("Fraud transactions", "tp + fn"),
+        ("Fraud rate (%)", percent_or_zero("tp + fn", "rows")),
+        ("Fraud transaction value", "fraud_value"),
+        ("Fraud value share (%)", percent_or_zero("fraud_value", "value")),
+        ("Flagged transactions", "tp + fp"),
+        ("Flag precision (%)", percent_or_zero("tp", "tp + fp")),
+        ("Flag recall (%)", percent_or_zero("tp", "tp + fn")),
+        ("Unique origin accounts", "accounts.unique_origin_accounts"),
+        ("Unique destination accounts", "accounts.unique_destination_accounts"),
+        ("Duplicate rows", "duplicates"),
+    ]
+
+    def shape(row: DataFrame) -> DataFrame:
+        row = row.withColumns({"accounts": accounts.scalar(), "duplicates": duplicates.scalar()})
+        return to_long(row, metrics, "Metric", "Value")
+
+    return Summary(measures, shape)
+
+
+@one_row
+def rule_performance(df: DataFrame) -> Summary:
     """Confusion cells, precision and recall of the existing rule."""
-    return to_long(
-        df.selectExpr(*RULE_CELLS),
-        [
-            ("True Positive", "tp"),
-            ("False Positive", "fp"),
-            ("True Negative", "tn"),
-            ("False Negative", "fn"),
-            ("Precision (%)", percent_or_zero("tp", "tp + fp")),
-            ("Recall / Detection Rate (%)", percent_or_zero("tp", "tp + fn")),
-        ],
-        "Metric",
-        "Value",
-    )
+    metrics = [
+        ("True Positive", "tp"),
+        ("False Positive", "fp"),
+        ("True Negative", "tn"),
+        ("False Negative", "fn"),
+        ("Precision (%)", percent_or_zero("tp", "tp + fp")),
+        ("Recall / Detection Rate (%)", percent_or_zero("tp", "tp + fn")),
+    ]
+    return Summary(RULE_CELLS, lambda row: to_long(row, metrics, "Metric", "Value"))
 
 
 # ---- per column ------------------------------------------------------------
+@one_row
 def missing_values(
     df: DataFrame, columns: list[str] | None = None, key: str = "Column", share: str = "Missing_Percentage"
-) -> DataFrame:
+) -> Summary:
     """Missing count and percentage per column, in one pass."""
     columns = columns or df.columns
-    row = df.selectExpr("COUNT(*) AS rows", *[f"{count_if(missing(df, c))} AS {c}__n" for c in columns])
-    return to_rows(
-        row, columns, key, {"Missing_Count": "{}__n", share: percent_or_zero("{}__n", "rows")}
-    )
+    measures = {"rows": "COUNT(*)", **{f"{c}__n": count_if(missing(df, c)) for c in columns}}
+    fields = {"Missing_Count": "{}__n", share: percent_or_zero("{}__n", "rows")}
+    return Summary(measures, lambda row: to_rows(row, columns, key, fields))
 
 
 def column_types(df: DataFrame) -> DataFrame:
@@ -152,31 +152,28 @@ def column_types(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.dtypes, "Column string, Data_Type string")
 
 
-def numeric_summary(df: DataFrame) -> DataFrame:
+@one_row
+def numeric_summary(df: DataFrame) -> Summary:
     """Range, mean, zero and negative counts of the numeric columns, nulls dropped."""
-    measures: list[str] = []
+    measures: dict[str, str] = {}
     for name in S.NUMERIC_COLUMNS:
         value = f"NULLIF({name}, DOUBLE('NaN'))" if is_floating(df, name) else name
-        measures += [
-            f"MIN({value}) AS {name}__min",
-            f"MAX({value}) AS {name}__max",
-            f"SUM({value}) AS {name}__sum",
-            f"COUNT({value}) AS {name}__n",
-            f"{count_if(f'{name} = 0')} AS {name}__zero",
-            f"{count_if(f'{name} < 0')} AS {name}__neg",
-        ]
-    return to_rows(
-        df.selectExpr(*measures),
-        S.NUMERIC_COLUMNS,
-        "Column",
-        {
-            "Minimum": double("{}__min"),
-            "Maximum": double("{}__max"),
-            "Mean": ratio("{}__sum", "{}__n"),
-            "Zero_Count": "{}__zero",
-            "Negative_Count": "{}__neg",
-        },
-    )
+        measures |= {
+            f"{name}__min": f"MIN({value})",
+            f"{name}__max": f"MAX({value})",
+            f"{name}__sum": f"SUM({value})",
+            f"{name}__n": f"COUNT({value})",
+            f"{name}__zero": count_if(f"{name} = 0"),
+            f"{name}__neg": count_if(f"{name} < 0"),
+        }
+    fields = {
+        "Minimum": double("{}__min"),
+        "Maximum": double("{}__max"),
+        "Mean": ratio("{}__sum", "{}__n"),
+        "Zero_Count": "{}__zero",
+        "Negative_Count": "{}__neg",
+    }
+    return Summary(measures, lambda row: to_rows(row, S.NUMERIC_COLUMNS, "Column", fields))
 
 
 def type_profile(df: DataFrame) -> DataFrame:
@@ -221,7 +218,11 @@ def partial_type_counts(parts: list[DataFrame]) -> DataFrame:
 
 
 def sample_profile(sample: DataFrame) -> DataFrame:
-    """Shape, missing counts, duplicates and three value counts of a sample."""
+    """Shape, missing counts, duplicates and three value counts of a sample.
+
+    The sample is bounded by its row limit; it is written once for all parts.
+    """
+    sample = materialise(sample)
     shape = sample.selectExpr("COUNT(*) AS n").selectExpr(
         stack([["'shape'", "'rows'", "n"], ["'shape'", "'columns'", f"{len(sample.columns)}L"]],
               ["Section", "Item", "Value"])

@@ -9,96 +9,89 @@ from tallywatch.functions.exprs import (
     any_of, count_if, double, non_finite, percent_or_zero, prefix, text, to_long, to_rows, total,
 )
 from tallywatch.operators import filters as flt
+from tallywatch.operators.onepass import Summary, one_row
 from tallywatch.session import scratch_path
 
 # ---- counters --------------------------------------------------------------
-ZERO_AMOUNT_COUNTERS = [
-    f"{count_if('amount = 0')} AS zero_amount_count",
-    f"{count_if('amount < 0')} AS negative_amount_count",
-    f"{count_if('amount = 0 AND isFraud = 1')} AS zero_amount_fraud",
-    f"{count_if('amount = 0 AND isFraud = 0')} AS zero_amount_legitimate",
-]
+ZERO_AMOUNT_COUNTERS = {
+    "zero_amount_count": count_if("amount = 0"),
+    "negative_amount_count": count_if("amount < 0"),
+    "zero_amount_fraud": count_if("amount = 0 AND isFraud = 1"),
+    "zero_amount_legitimate": count_if("amount = 0 AND isFraud = 0"),
+}
 
 _OUTGOING = any_of("type", S.OUTGOING_TYPES)
 _OUT_GAP = double("abs(oldbalanceOrg - newbalanceOrig - amount)")
 _IN_GAP = double("abs(newbalanceOrig - oldbalanceOrg - amount)")
 _CASH_IN = "type = 'CASH_IN'"
-BALANCE_COUNTERS = [
-    f"{count_if(_OUTGOING)} AS out_checked",
-    f"{count_if(f'{_OUTGOING} AND {_OUT_GAP} > {S.BALANCE_TOLERANCE}D')} AS out_mismatch",
-    f"{count_if(_CASH_IN)} AS in_checked",
-    f"{count_if(f'{_CASH_IN} AND {_IN_GAP} > {S.BALANCE_TOLERANCE}D')} AS in_mismatch",
-]
+BALANCE_COUNTERS = {
+    "out_checked": count_if(_OUTGOING),
+    "out_mismatch": count_if(f"{_OUTGOING} AND {_OUT_GAP} > {S.BALANCE_TOLERANCE}D"),
+    "in_checked": count_if(_CASH_IN),
+    "in_mismatch": count_if(f"{_CASH_IN} AND {_IN_GAP} > {S.BALANCE_TOLERANCE}D"),
+}
 
 #: Cells, not rows, that are null, NaN or infinite in the numeric columns.
 NON_FINITE_CELLS = " + ".join(count_if(non_finite(c)) for c in S.NUMERIC_COLUMNS)
 
 
-def quality_audit(df: DataFrame) -> DataFrame:
+@one_row
+def quality_audit(df: DataFrame) -> Summary:
     """The 14 checks as (Check, Count), from one pass."""
-    row = df.selectExpr(
-        "COUNT(*) AS rows",
-        *ZERO_AMOUNT_COUNTERS,
-        f"{count_if(flt.INVALID_STEP)} AS bad_step",
-        f"{count_if(flt.INVALID_TYPE)} AS bad_type",
-        f"{count_if(flt.invalid_label('isFraud'))} AS bad_fraud",
-        f"{count_if(flt.invalid_label('isFlaggedFraud'))} AS bad_flagged",
-        f"{count_if(flt.blank_identifier('nameOrig'))} AS blank_origin",
-        f"{count_if(flt.blank_identifier('nameDest'))} AS blank_destination",
-        f"{NON_FINITE_CELLS} AS non_finite",
-        *BALANCE_COUNTERS,
-    )
+    measures = {
+        "rows": "COUNT(*)",
+        **ZERO_AMOUNT_COUNTERS,
+        "bad_step": count_if(flt.INVALID_STEP),
+        "bad_type": count_if(flt.INVALID_TYPE),
+        "bad_fraud": count_if(flt.invalid_label("isFraud")),
+        "bad_flagged": count_if(flt.invalid_label("isFlaggedFraud")),
+        "blank_origin": count_if(flt.blank_identifier("nameOrig")),
+        "blank_destination": count_if(flt.blank_identifier("nameDest")),
+        "non_finite": NON_FINITE_CELLS,
+        **BALANCE_COUNTERS,
+    }
     # Check names of the audit.
-    return to_long(
-        row,
-        [
-            ("Total rows", "rows"),
-            ("Zero transaction amounts", "zero_amount_count"),
-            ("Negative transaction amounts", "negative_amount_count"),
-            ("Zero-amount fraud transactions", "zero_amount_fraud"),
-            ("Zero-amount legitimate transactions", "zero_amount_legitimate"),
-            ("Invalid step values", "bad_step"),
-            ("Invalid transaction types", "bad_type"),
-            ("Invalid isFraud values", "bad_fraud"),
-            ("Invalid isFlaggedFraud values", "bad_flagged"),
-            ("Blank origin IDs", "blank_origin"),
-            ("Blank destination IDs", "blank_destination"),
-            ("Non-finite numeric values", "non_finite"),
-            ("Outgoing origin-balance mismatches", "out_mismatch"),
-            ("CASH_IN origin-balance mismatches", "in_mismatch"),
-        ],
-        "Check",
-        "Count",
-        "BIGINT",
-    )
-
-
-def zero_amounts(df: DataFrame) -> DataFrame:
-    return df.selectExpr(*ZERO_AMOUNT_COUNTERS)
-
-
-def non_finite_count(df: DataFrame) -> DataFrame:
-    return df.selectExpr(f"{NON_FINITE_CELLS} AS nonfinite_numeric_count")
-
-
-def balance_summary(df: DataFrame) -> DataFrame:
+    checks = [
+        ("Total rows", "rows"),
+        ("Zero transaction amounts", "zero_amount_count"),
+        ("Negative transaction amounts", "negative_amount_count"),
+        ("Zero-amount fraud transactions", "zero_amount_fraud"),
+        ("Zero-amount legitimate transactions", "zero_amount_legitimate"),
+        ("Invalid step values", "bad_step"),
+        ("Invalid transaction types", "bad_type"),
+        ("Invalid isFraud values", "bad_fraud"),
+        ("Invalid isFlaggedFraud values", "bad_flagged"),
+        ("Blank origin IDs", "blank_origin"),
+        ("Blank destination IDs", "blank_destination"),
+        ("Non-finite numeric values", "non_finite"),
+        ("Outgoing origin-balance mismatches", "out_mismatch"),
+        ("CASH_IN origin-balance mismatches", "in_mismatch"),
+    ]
+    return Summary(measures, lambda row: to_long(row, checks, "Check", "Count", "BIGINT"))
+
+
+@one_row
+def zero_amounts(df: DataFrame) -> Summary:
+    return Summary(ZERO_AMOUNT_COUNTERS, lambda row: row)
+
+
+@one_row
+def non_finite_count(df: DataFrame) -> Summary:
+    return Summary({"nonfinite_numeric_count": NON_FINITE_CELLS}, lambda row: row)
+
+
+@one_row
+def balance_summary(df: DataFrame) -> Summary:
     """Zero count, zero share and negative count of the four balances."""
-    measures = ["COUNT(*) AS rows"]
+    measures = {"rows": "COUNT(*)"}
     for name in S.BALANCE_COLUMNS:
-        measures += [
-            f"{count_if(f'{name} = 0')} AS {name}__zero",
-            f"{count_if(f'{name} < 0')} AS {name}__neg",
-        ]
-    return to_rows(
-        df.selectExpr(*measures),
-        S.BALANCE_COLUMNS,
-        "Column",
-        {
-            "Zero_Count": "{}__zero",
-            "Zero_Percentage": percent_or_zero("{}__zero", "rows"),
-            "Negative_Count": "{}__neg",
-        },
-    )
+        measures |= {f"{name}__zero": count_if(f"{name} = 0"), f"{name}__neg": count_if(f"{name} < 0")}
+    fields = {
+        "Zero_Count": "{}__zero",
+        "Zero_Percentage": percent_or_zero("{}__zero", "rows"),
+        "Negative_Count": "{}__neg",
+    }
+    return Summary(measures, lambda row: to_rows(row, S.BALANCE_COLUMNS, "Column", fields))
 
 
 def prefix_summary(df: DataFrame) -> DataFrame:
@@ -148,19 +141,15 @@ def high_value_by_type(df: DataFrame) -> DataFrame:
     )
 
 
-def balance_consistency(df: DataFrame) -> DataFrame:
-    return to_long(
-        df.selectExpr(*BALANCE_COUNTERS),
-        [
-            ("Outgoing transactions checked", "out_checked"),
-            ("Outgoing origin-balance mismatches", "out_mismatch"),
-            ("CASH_IN transactions checked", "in_checked"),
-            ("CASH_IN origin-balance mismatches", "in_mismatch"),
-        ],
-        "Check",
-        "Count",
-        "BIGINT",
-    )
+@one_row
+def balance_consistency(df: DataFrame) -> Summary:
+    checks = [
+        ("Outgoing transactions checked", "out_checked"),
+        ("Outgoing origin-balance mismatches", "out_mismatch"),
+        ("CASH_IN transactions checked", "in_checked"),
+        ("CASH_IN origin-balance mismatches", "in_mismatch"),
+    ]
+    return Summary(BALANCE_COUNTERS, lambda row: to_long(row, checks, "Check", "Count", "BIGINT"))
 
 
 # ---- cleaning rules --------------------------------------------------------

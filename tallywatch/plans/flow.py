@@ -16,6 +16,7 @@ from tallywatch.operators import evaluate as ev, explore, profile, quality, spli
 from tallywatch.operators.compare import coefficient_pivot, delta_pair, delta_vs_baseline, sort_coefficients
 from tallywatch.operators.features import master_dataset, model_features, model_population
 from tallywatch.operators.filters import in_split, scoring_period
+from tallywatch.operators.onepass import one_pass
 from tallywatch.plans.frames import CHALLENGER_NAME, CHAMPION_NAME
 from tallywatch.report import contracts, registers, tables as rt, views
 from tallywatch.sinks.writers import read_stage, write_parquet, write_summary_csv
@@ -47,29 +48,25 @@ class Flow:
         return src.land_csv(self.spark, csv_path, f"{self.folder}/raw")
 
     def profile(self) -> None:
+        """Profile and quality reports: their global measures share one scan."""
         raw = self.stage("raw")
+        reports = {
+            "overall": profile.overall_profile,
+            "missing": profile.missing_values,
+            "numeric": profile.numeric_summary,
+            "rule": profile.rule_performance,
+            "audit": quality.quality_audit,
+            "balances": quality.balance_summary,
+            "balance_consistency": quality.balance_consistency,
+        }
         self._summaries(
             "profile",
             {
-                "overall": profile.overall_profile(raw),
-                "missing": profile.missing_values(raw),
+                **one_pass(raw, {name: report.summary(raw) for name, report in reports.items()}),
                 "types": profile.column_types(raw),
-                "numeric": profile.numeric_summary(raw),
                 "by_type": profile.type_profile(raw),
-                "rule": profile.rule_performance(raw),
-            },
-        )
-
-    def quality(self) -> None:
-        raw = self.stage("raw")
-        self._summaries(
-            "quality",
-            {
-                "audit": quality.quality_audit(raw),
-                "balances": quality.balance_summary(raw),
                 "prefixes": quality.prefix_summary(raw),
                 "high_value": quality.high_value_profile(raw),
-                "balance_consistency": quality.balance_consistency(raw),
                 "field_decisions": registers.field_decisions(self.spark),
                 "cleaning_rules": registers.cleaning_rules(self.spark),
             },
@@ -90,16 +87,18 @@ class Flow:
         )
 
     def explore(self) -> None:
+        """Two scans of the master table: global measures, and the group table."""
         master = self.stage("master")
+        reports = {"classes": explore.class_summary, "flags": explore.flag_lift}
+        groups = explore.group_table(master)
         self._summaries(
             "explore",
             {
-                "classes": explore.class_summary(master),
-                "types": explore.type_summary(master),
-                "hours": explore.hourly_summary(master),
-                "days": explore.daily_summary(master),
-                "amount_bands": explore.amount_band_summary(master),
-                "flags": explore.flag_lift(master),
+                **one_pass(master, {name: report.summary(master) for name, report in reports.items()}),
+                "types": explore.type_summary(groups),
+                "hours": explore.hourly_summary(groups),
+                "days": explore.daily_summary(groups),
+                "amount_bands": explore.amount_band_summary(groups),
             },
         )
 
@@ -107,16 +106,19 @@ class Flow:
         """Population summaries and the chronological split."""
         model = self.stage("model_population")
         bounds = sp.find_boundaries(model)
+        summaries = {
+            "population": explore.population_summary.summary(model),
+            "missing": profile.missing_values.summary(model, S.MODEL_COLUMNS, "Feature", "Missing_Pct"),
+            "infinite": explore.feature_infinite.summary(model),
+            "flags": explore.flag_lift.summary(model, key="Feature", when=""),
+            "fixed_split": explore.fixed_split_summary.summary(model),
+        }
         self._summaries(
             "prepare",
             {
-                "population": explore.population_summary(model),
-                "missing": explore.feature_missing(model),
-                "infinite": explore.feature_infinite(model),
+                **one_pass(model, summaries),
                 "types": explore.high_risk_type_summary(model),
-                "flags": explore.binary_flag_lift(model),
                 "numeric": explore.numeric_by_class(model),
-                "fixed_split": explore.fixed_split_summary(model),
                 "variation": explore.feature_variation(model),
                 "decisions": registers.model_decisions(self.spark),
                 "split": sp.split_summary(model, bounds),
@@ -282,7 +284,6 @@ class Flow:
     def run(self, csv_path: str, trees: int = 200) -> dict[str, DataFrame]:
         self.land(csv_path)
         self.profile()
-        self.quality()
         self.features()
         self.explore()
         self.prepare()

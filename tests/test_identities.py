@@ -79,3 +79,19 @@ def test_curve_ends_at_totals(run):
     last = run.curve("TEST").orderBy("score").first()
     assert last["alerts"] == run.rows("TEST").count()
     assert ev.pr_curve(run.curve("TEST")).selectExpr("MAX(Recall)").first()[0] == 1.0
+
+
+def test_one_pass_and_group_table_give_the_same_reports(spark, data, master):
+    from tallywatch.operators import profile, quality
+    from tallywatch.operators.onepass import one_pass
+    from tallywatch.sources import mapped
+
+    raw = mapped.defective(spark, data)
+    reports = [profile.missing_values, profile.numeric_summary, profile.rule_performance, quality.quality_audit,
+               quality.balance_summary, quality.balance_consistency]
+    together = one_pass(raw, {f"r{i}": r.summary(raw) for i, r in enumerate(reports)})
+    for i, report in enumerate(reports):
+        assert str(together[f"r{i}"].collect()) == str(report(raw).collect())
+    groups = explore.group_table(master)
+    for summary in (explore.type_summary, explore.hourly_summary, explore.daily_summary, explore.amount_band_summary):
+        assert sorted(summary(groups).collect()) == sorted(summary(master).collect())
