@@ -161,7 +161,8 @@ def high_risk_type_summary(model: DataFrame) -> DataFrame:
 def dense(df: DataFrame, values: list[str], key: str) -> DataFrame:
     """Every listed value in list order, missing rows as nulls.
 
-    The list is the broadcast side: a fixed handful of rows.
+    ``df`` is grouped by a key made by a CASE over the same list, so the
+    broadcast side has a row per listed value, and one more for null, at most.
     """
     rows = [[str(i), text(v)] for i, v in enumerate(values, start=1)]
     every = listed(df, rows, ["position", key])

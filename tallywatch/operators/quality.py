@@ -183,9 +183,10 @@ def apply_cleaning_rules(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "judged")
-    judge_rows(df).selectExpr("*", "size(reason) = 0 AS valid").write.partitionBy("valid").parquet(path)
+    marked = judge_rows(df).selectExpr("*", "CAST(size(reason) = 0 AS INT) AS valid")
+    marked.write.partitionBy("valid").parquet(path)
     judged = spark.read.parquet(path)
-    return judged.where("valid").drop("reason", "valid"), judged.where("NOT valid").drop("valid")
+    return judged.where("valid = 1").drop("reason", "valid"), judged.where("valid = 0").drop("valid")
 
 
 # ---- constraints and leakage -----------------------------------------------

@@ -8,6 +8,7 @@ the step it worked on. Stages: ``raw``, ``master``, ``model_population`` and
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywatch import schema as S
@@ -139,16 +140,28 @@ class Flow:
         after = sp.recorded_boundaries(self.stage("prepare/split")).validation_end
         return ev.rule_metrics(scoring_period(self.stage("master"), after))
 
-    @staticmethod
-    def _curve(model, rows: DataFrame) -> DataFrame:
-        return ev.score_curve(es.score(model, rows).select("score", "isFraud"))
+    def _scored(self, stage: str, parts: dict[str, DataFrame], models: dict[str, PipelineModel]) -> dict[str, DataFrame]:
+        """Validation and test rows with the models' scores, written once.
+
+        Curves, thresholds and predictions read the scores from there, so no row
+        is scored twice.
+        """
+        rows = None
+        for split in ("VALIDATION", "TEST"):
+            part = parts[split].selectExpr("*", f"'{split}' AS split")
+            rows = part if rows is None else rows.unionByName(part)
+        for column, model in models.items():
+            rows = es.score(model, rows, column)
+        stored = self._put(stage, rows.select("transaction_id", "step", "isFraud", "split", *models))
+        return {s: stored.where(f"split = '{s}'") for s in ("VALIDATION", "TEST")}
 
     def baseline(self, iterations: int = 500) -> None:
         """Baseline regression: threshold from validation, metrics on test."""
         parts = self._splits()
         model = es.fit_logistic(parts["TRAIN"], S.CONTINUOUS_FEATURES, S.BASELINE_BINARY, iterations)
         es.save_model(model, f"{self.folder}/models/baseline")
-        validation, test = self._curve(model, parts["VALIDATION"]), self._curve(model, parts["TEST"])
+        scored = self._scored("baseline/scored", parts, {"fraud_score": model})
+        validation, test = (ev.score_curve(scored[s], "fraud_score") for s in ("VALIDATION", "TEST"))
         cut = ev.f2_threshold(validation).first()["Threshold"]
         name = "Logistic Regression"
         rows = [
@@ -171,11 +184,7 @@ class Flow:
         self._put("baseline/pr_curve", ev.pr_curve(validation).drop("place", "points"))
         self._put("baseline/roc_curve", ev.roc_curve(test))
         cuts = {"predicted_fraud_050": ("fraud_score", 0.50), "predicted_fraud_selected": ("fraud_score", cut)}
-        scored = es.score(model, parts["TEST"], "fraud_score")
-        self._put(
-            "baseline/test_predictions",
-            ev.predictions(scored, cuts).select("transaction_id", "step", "isFraud", "fraud_score", *cuts),
-        )
+        self._put("baseline/test_predictions", ev.predictions(scored["TEST"], cuts).drop("split"))
 
     def stress(self, iterations: int = 700) -> None:
         """Four feature sets on the same split."""
@@ -199,18 +208,22 @@ class Flow:
         parts = self._splits()
         model = es.fit_boosted_trees(parts["TRAIN"], iterations=iterations)
         es.save_model(model, f"{self.folder}/models/champion")
-        other = es.load_model(f"{self.folder}/models/{S.CHALLENGER_MODEL.lower()}")
-        stored = self.stage("stress/comparison").where(f"Model = '{S.CHALLENGER_MODEL}'").first()
-        validation = self._curve(model, parts["VALIDATION"])
-        cut, other_cut = ev.f2_threshold(validation).first()["Threshold"], stored["Validation_Threshold"]
-        comparison = ev.model_comparison(
-            [
-                ev.classification_metrics(self._curve(model, parts["TEST"]), cut, CHAMPION_NAME),
-                ev.classification_metrics(self._curve(other, parts["TEST"]), other_cut, CHALLENGER_NAME),
-                self._rule(),
-            ],
-            with_specificity=False,
+        challenger = es.load_model(f"{self.folder}/models/{S.CHALLENGER_MODEL.lower()}")
+        scored = self._scored(
+            "champion/scored", parts, {tiers.SCORE: model, "logistic_model_b_score": challenger}
         )
+        validation = ev.score_curve(scored["VALIDATION"], tiers.SCORE)
+        cut = ev.f2_threshold(validation).first()["Threshold"]
+        stored = self.stage("stress/comparison").where(f"Model = '{S.CHALLENGER_MODEL}'").first()
+        cuts = {
+            "hgb_predicted_fraud": (tiers.SCORE, cut),
+            "logistic_model_b_predicted": ("logistic_model_b_score", stored["Validation_Threshold"]),
+        }
+        metrics = [
+            ev.classification_metrics(ev.score_curve(scored["TEST"], column), threshold, name)
+            for (column, threshold), name in zip(cuts.values(), (CHAMPION_NAME, CHALLENGER_NAME))
+        ]
+        comparison = ev.model_comparison([*metrics, self._rule()], with_specificity=False)
         self._summaries(
             "champion",
             {
@@ -220,17 +233,7 @@ class Flow:
                 "importance": importance.permutation_importance(model, parts["VALIDATION"]),
             },
         )
-        scored = es.score(other, es.score(model, parts["TEST"], "hgb_fraud_score"), "logistic_model_b_score")
-        cuts = {
-            "hgb_predicted_fraud": ("hgb_fraud_score", cut),
-            "logistic_model_b_predicted": ("logistic_model_b_score", other_cut),
-        }
-        self._put(
-            "champion/test_predictions",
-            ev.predictions(scored, cuts).select(
-                "transaction_id", "step", "isFraud", *[c for n, (s, _) in cuts.items() for c in (s, n)]
-            ),
-        )
+        self._put("champion/test_predictions", ev.predictions(scored["TEST"], cuts).drop("split"))
 
     def risk(self) -> None:
         """Tiers, alerts, queue and capacity over the scored test period."""
@@ -240,14 +243,12 @@ class Flow:
         made = {*S.CHAMPION_FEATURES, "isFraud", tiers.SCORE, "risk_tier", "operational_alert"}
         kept = tuple(c for c in tiers.SCORED_COLUMNS if c not in made)
 
-        def scored(df: DataFrame) -> DataFrame:
-            return es.score(model, model_features(df, S.CHAMPION_FEATURES, kept), tiers.SCORE)
-
-        validation = scored(scoring_period(master, bounds.train_end, bounds.validation_end))
-        curve = ev.score_curve(validation.select(tiers.SCORE, "isFraud"), tiers.SCORE)
+        validation = self.stage("champion/scored").where("split = 'VALIDATION'")
+        curve = ev.score_curve(validation, tiers.SCORE)
         operating = self.stage("champion/comparison").where("contains(Model, 'HistGradientBoosting')").first()
         cuts = tiers.fix_thresholds(tiers.threshold_row(curve, operating["Threshold"]))
-        test = tiers.with_tiers(scored(scoring_period(master, bounds.validation_end)), cuts)
+        rows = model_features(scoring_period(master, bounds.validation_end), S.CHAMPION_FEATURES, kept)
+        test = tiers.with_tiers(es.score(model, rows, tiers.SCORE), cuts)
         rows = self._put("scored", tiers.scored_output(test))
         queue = self._put("queue_evaluation", tiers.evaluation_queue(rows))
         self._put("queue", tiers.investigator_queue(queue))
