@@ -400,21 +400,24 @@ _TIER_SUMMARY = f"""SELECT tier AS Risk_Tier, n AS Transaction_Count, {r(pct0('n
     {cnt('isFraud = 1')} AS fraud, COALESCE(SUM(amount) FILTER (WHERE isFraud = 1), 0) AS fraud_value,
     {cnt('operational_alert = 1')} AS alerts FROM {_TIERS} LEFT JOIN x ON risk_tier = tier GROUP BY tier)"""
 
+# Scores have four decimals, so their mean is rounded exactly on integers: a float
+# mean may fall on either side of a tie.
+_MEAN_SCORE = half_up("points", "transaction_count * 10000", 6)
 _FACT_GROUP = f"""{big('COUNT(*)')} AS transaction_count, SUM(amount) AS value, {big('SUM(actual_fraud)')} AS fraud_count,
   COALESCE(SUM(amount) FILTER (WHERE actual_fraud = 1), 0) AS fraud_amount, {big('SUM(operational_alert)')} AS operational_alerts,
-  SUM(hgb_fraud_score) / COUNT(*) AS score"""
+  SUM(CAST(round(hgb_fraud_score * 10000) AS BIGINT)) AS points"""
 
 
 def _time_view(key: str) -> str:
     return f"""SELECT {key}, transaction_count, {d('value')} AS transaction_value, fraud_count,
       {d('fraud_amount')} AS fraud_value, {rpct('fraud_count', 'transaction_count', 4)} AS fraud_rate_pct,
-      operational_alerts, {r('score')} AS average_model_score
+      operational_alerts, {_MEAN_SCORE} AS average_model_score
       FROM (SELECT {key}, {_FACT_GROUP} FROM f GROUP BY 1)"""
 
 
 _TIER_VIEW = f"""SELECT risk_tier, CASE risk_tier WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3
     WHEN 'Low' THEN 4 END AS risk_tier_sort, transaction_count,
-  {rpct('transaction_count', 'SUM(transaction_count) OVER ()', 4)} AS population_pct, {r('score')} AS average_model_score,
+  {rpct('transaction_count', 'SUM(transaction_count) OVER ()', 4)} AS population_pct, {_MEAN_SCORE} AS average_model_score,
   {d('value')} AS transaction_value, fraud_count, {rpct('fraud_count', 'transaction_count', 4)} AS fraud_rate_pct,
   {rpct('fraud_count', 'SUM(fraud_count) OVER ()', 4)} AS fraud_capture_pct, {d('fraud_amount')} AS fraud_value,
   {rpct('fraud_amount * 100', 'SUM(fraud_amount) OVER () * 100', 4)} AS fraud_value_capture_pct, operational_alerts
@@ -423,7 +426,7 @@ _TYPE_VIEW = f"""SELECT transaction_type, transaction_count, {d('value')} AS tra
   {half_up('value * 100', 'transaction_count * 100', 2)} AS average_transaction_amount, fraud_count,
   {d('fraud_amount')} AS fraud_value, {rpct('fraud_count', 'transaction_count', 4)} AS fraud_rate_pct,
   {rpct('fraud_count', 'SUM(fraud_count) OVER ()', 4)} AS fraud_capture_pct, operational_alerts,
-  {rpct('operational_alerts', 'transaction_count', 4)} AS alert_rate_pct, {r('score')} AS average_model_score
+  {rpct('operational_alerts', 'transaction_count', 4)} AS alert_rate_pct, {_MEAN_SCORE} AS average_model_score
   FROM (SELECT transaction_type, {_FACT_GROUP} FROM f GROUP BY 1)"""
 
 _ASSOCIATION = " UNION ALL ".join(
