@@ -39,7 +39,6 @@ def test_missing_and_non_finite_cells(spark):
     missing = {r["Column"]: r["Missing_Count"] for r in profile.missing_values(df).collect()}
     assert (missing["amount"], missing["step"], missing["type"]) == (2, 1, 0)
     assert quality.non_finite_count(df).first()[0] == 4
-    assert explore.numeric_by_class  # finite values only, below
     clean = ex.nan_to_null(df)
     assert clean.where("amount IS NULL").count() == 2
 
@@ -158,7 +157,6 @@ def test_equal_scores_are_one_point(spark):
 
 
 def test_argmax_takes_lowest_threshold(spark):
-    # 2 of 2 and 4 of 10 points with the same F2 cannot be hit by chance; equal curves can.
     curve = curve_of(spark, [(0.9, 1), (0.8, 0), (0.1, 0)])
     assert ev.f2_threshold(curve).first()["Threshold"] == 0.9
 
