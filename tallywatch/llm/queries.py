@@ -73,3 +73,11 @@ def _(spark, folder):
         "doc_id", "n_words", "n_hit", "CAST(size(items) AS BIGINT) AS n_items",
         "sha2(array_join(items, ','), 256) AS items_sha256", "n_hit > 0 AS contaminated",
     )
+
+
+@query("op5_toxicity")
+def _(spark, folder):
+    from tallywatch.llm.toxicity import score
+
+    scored = score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.selectExpr("doc_id", "held_out", "score", "predicted", "size(passages) AS n_passages")
