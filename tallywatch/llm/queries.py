@@ -81,3 +81,54 @@ def _(spark, folder):
 
     scored = score(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.selectExpr("doc_id", "held_out", "score", "predicted", "size(passages) AS n_passages")
+
+
+# A conversation as the list of its turns; a shorter list that starts a longer one goes.
+_OP2 = """
+WITH c AS (
+  SELECT conv_id, list(t ORDER BY turn) AS said, string_agg(r, '' ORDER BY turn) AS text
+  FROM (SELECT DISTINCT conv_id, turn, role || chr(31) || text AS t, '<|' || role || '|>' || chr(10) || text || chr(10) AS r FROM conversations)
+  GROUP BY conv_id),
+u AS (SELECT min(conv_id) AS conv_id, said, min(text) AS text, count(*) AS n_copies FROM c GROUP BY said)
+SELECT conv_id, CAST(len(said) AS BIGINT) AS n_turns, n_copies, CAST(0 AS BIGINT) AS part, text FROM u
+WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.said[1] = u.said[1] AND len(b.said) > len(u.said) AND b.said[1:len(u.said)] = u.said)"""
+
+
+@query("op2_chat", _OP2)
+def _(spark, folder):
+    from tallywatch.llm.chat import render
+
+    return render(table(spark, folder, "conversations"))
+
+
+def _op9() -> str:
+    """Sentences and rules as in the operator, stated with lists."""
+    from tallywatch.llm.licences import KEYWORDS, RULES, SENTENCES
+
+    known = " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{i}'" for i, p in SENTENCES)
+    steps, last = [], "s0"
+    for k, (name, ids) in enumerate(RULES, 1):
+        text = f"' {'  '.join(ids.split())} '"
+        steps.append(
+            f"s{k} AS (SELECT doc_id, ids, replace(rest, {text}, ' . ') AS rest, "
+            f"CASE WHEN contains(rest, {text}) AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})"
+        )
+        last = f"s{k}"
+    return rf"""WITH x AS (
+  SELECT doc_id, list_filter(list_transform(list_filter(list_transform(list_filter(
+      regexp_split_to_array(lower(coalesce(text, '')), '[\n\r]+|[.!?]+\s+'), lambda x: regexp_matches(x, '{KEYWORDS}')),
+      lambda x: trim(regexp_replace(regexp_replace(x, '[^\p{{L}}\p{{N}}.]+', ' ', 'g'), '[. ]+$', ''))), lambda x: x <> ''),
+      lambda x: CASE {known} END), lambda x: x IS NOT NULL) AS ids FROM documents),
+s0 AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS rest, CAST([] AS VARCHAR[]) AS found FROM x),
+{", ".join(steps)}
+SELECT doc_id, array_to_string(ids, ' ') AS sentence_ids, array_to_string(found, ' ') AS licences, CAST(len(found) AS BIGINT) AS n_licences FROM {last}"""
+
+
+@query("op9_licences", _op9())
+def _(spark, folder):
+    from tallywatch.llm.licences import scan
+
+    return scan(table(spark, folder, "documents").select("doc_id", "text")).selectExpr(
+        "doc_id", "array_join(sentence_ids, ' ') AS sentence_ids", "array_join(licences, ' ') AS licences",
+        "CAST(size(licences) AS BIGINT) AS n_licences",
+    )
