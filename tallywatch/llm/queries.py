@@ -132,3 +132,10 @@ def _(spark, folder):
         "doc_id", "array_join(sentence_ids, ' ') AS sentence_ids", "array_join(licences, ' ') AS licences",
         "CAST(size(licences) AS BIGINT) AS n_licences",
     )
+
+
+@query("op3_surrogates")
+def _(spark, folder):
+    from tallywatch.llm.pii import replace_entities
+
+    return replace_entities(table(spark, folder, "documents"), key="tallywatch")
