@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,12 @@ def stage(df: DataFrame, name: str, partition_rows: int | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_cache(name: str) -> dict:
+    """A dictionary that lives as long as this Python process, for what is dear to build again per task."""
+    holder = sys.modules.setdefault("tallywatch_worker_cache", types.ModuleType("tallywatch_worker_cache"))
+    return holder.__dict__.setdefault(name, {})
+
+
 def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """A set of 64-bit hashes as a bitmap of 2**bits bits, whatever the number of hashes.
 
@@ -63,14 +71,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POWER = {"up": _powers(_BASE, 1), "down": _powers(_INVERSE, 1)}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWER["up"]) < n:
+    held = worker_cache("powers")
+    if len(held.get("up", ())) < n:
         size = max(n, _CHUNK + 4096)
-        _POWER.update(up=_powers(_BASE, size), down=_powers(_INVERSE, size))
-    return _POWER["up"], _POWER["down"]
+        held.update(up=_powers(_BASE, size), down=_powers(_INVERSE, size))
+    return held["up"], held["down"]
 
 
 def byte_table(separators: str) -> np.ndarray:

@@ -15,57 +15,93 @@ carry across windows and tasks, and no task waits for another.
 
 from __future__ import annotations
 
+import os
+from array import array
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallywatch.llm.common import stage
+from tallywatch.llm.common import stage, worker_cache
 
 SHARE_BITS = 18  # shares are multiples of 2**-18, so that r * window * share fits a long
-_CACHE_WORDS = 1 << 19
-_ENCODERS: dict[str, tuple] = {}
+_CACHE_WORDS = 1 << 20
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # ---- tokens ----------------------------------------------------------------
-def _encoder(path: str):
-    """Tokenizer and word cache of this Python worker."""
-    if path not in _ENCODERS:
-        import os
+def _letters() -> dict[int, str]:
+    """How byte-level vocabularies write a byte: itself if printable, else the next character from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+def _ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
+
+def _encoder(path: str):
+    """Tokenizer and word cache of this Python worker; they outlive a task."""
+    held = worker_cache("packing")
+    if path not in held:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _ENCODERS[path] = (Tokenizer.from_file(path), {})
-    return _ENCODERS[path]
+        tokenizer = Tokenizer.from_file(path)
+        probe = ["the", "von", "\u00fcber", "\u00e9t\u00e9", "anderswo"]
+        whole = [e.ids for e in tokenizer.encode_batch(probe, add_special_tokens=False)]
+        letters = _letters()
+        by_model = [[t.id for t in tokenizer.model.tokenize(w.encode().decode("latin-1").translate(letters))] for w in probe]
+        held[path] = (tokenizer, {"": b""}, letters, whole == by_model)
+    return held[path]
 
 
 def encode(texts: list[str], path: str, end: int) -> list[bytes]:
     """Ids of each text as little-endian 32-bit values, ``end`` last.
 
-    For vocabularies whose words never reach across white space: each word is
-    encoded once and looked up after that. The white space set is a subset of
-    what the tokenizer drops, so the ids are those of the whole text.
+    For vocabularies whose tokens never reach across white space, nor from
+    letters into punctuation: each distinct word is encoded once and looked up
+    after that. A word of Latin-1 letters, with or without punctuation behind
+    it, goes straight to the vocabulary's merges (its normal form is its lower
+    case); all others take the tokenizer's full path. The white space that parts
+    words here is a subset of what the tokenizer drops, so the ids are those of
+    the whole text.
     """
-    tokenizer, known = _encoder(path)
+    tokenizer, known, letters, direct = _encoder(path)
     if len(known) > _CACHE_WORDS:
         known.clear()
+        known[""] = b""
     words = [t.replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") for t in texts]
-    new, tails = set(), {}
-    for w in {w for ws in words for w in ws}.difference(known):
-        stem = w.rstrip(".,;:!?")
-        if w.isascii() and stem and len(stem) < len(w) and stem[-1].isalnum():
-            tails[w] = (stem.lower(), w[len(stem) :])
-            new.update(x for x in tails[w] if x not in known)
+    seen: set[str] = set()
+    for ws in words:
+        seen.update(ws)
+    full, parts = set(), {}
+    tokenize = tokenizer.model.tokenize
+    for w in seen.difference(known):
+        stem = w.rstrip(_PUNCTUATION)
+        tail = w[len(stem) :]
+        if not direct or not stem.isalpha() or max(stem) > "\u00ff" or "<|" in w:  # special tokens start so
+            full.add(w)
+            continue
+        core = stem.lower()
+        if core not in known:
+            raw = core if core.isascii() else core.encode().decode("latin-1").translate(letters)
+            known[core] = _ids([t.id for t in tokenize(raw)])
+        if not tail:
+            known[w] = known[core]
+        elif tail in known:
+            known[w] = known[core] + known[tail]
         else:
-            new.add(w)
-    new = list(new)
-    for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-        known[w] = np.asarray(e.ids, "<u4").tobytes()
-    for w, (stem, tail) in tails.items():
-        known[w] = known[stem] + known[tail]
-    last = np.asarray([end], "<u4").tobytes()
+            full.add(tail)
+            parts[w] = (core, tail)
+    full = list(full)
+    for w, e in zip(full, tokenizer.encode_batch_fast(full, add_special_tokens=False)):
+        known[w] = _ids(e.ids)
+    for w, (core, tail) in parts.items():
+        known[w] = known[core] + known[tail]
+    last = _ids([end])
     return [b"".join(map(known.__getitem__, ws)) + last for ws in words]
 
 
@@ -78,7 +114,7 @@ def _tokens(path: str, end: int):
             at = 0
             while at < len(texts):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size < 4 << 20):
+                while to < len(texts) and (to == at or size < 2 << 20):
                     size += len(texts[to])
                     to += 1
                 found = encode(texts[at:to], path, end)
