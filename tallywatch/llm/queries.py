@@ -162,3 +162,29 @@ def _(spark, folder):
     from tallywatch.llm.jaccard import similar_documents
 
     return similar_documents(table(spark, folder, "documents"))
+
+
+# Every 50-byte string in hexadecimal, its smallest document, and the bytes it covers elsewhere.
+_OP7 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS g FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS p FROM d WHERE length(x) >= 100)),
+f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, p, p + 50 AS q FROM s JOIN f USING (g) WHERE doc_id > first),
+o AS (SELECT doc_id, p, q, max(q) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+i AS (SELECT doc_id, p, q, sum(CASE WHEN before IS NULL OR before < p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM o),
+m AS (SELECT doc_id, run, min(p) AS a, max(q) AS b FROM i GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS e FROM m),
+t AS (SELECT k.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) AS kept, max(b) AS tail
+  FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)"""
+
+
+@query("op7_suffixes", _OP7)
+def _(spark, folder):
+    from tallywatch.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, folder, "documents")).selectExpr(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) AS kept_sha256"
+    )
