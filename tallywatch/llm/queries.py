@@ -188,3 +188,10 @@ def _(spark, folder):
     return remove_repeats(table(spark, folder, "documents")).selectExpr(
         "doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) AS kept_sha256"
     )
+
+
+@query("op6_neighbours")
+def _(spark, folder):
+    from tallywatch.llm.neighbours import nearest
+
+    return nearest(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
