@@ -195,3 +195,10 @@ def _(spark, folder):
     from tallywatch.llm.neighbours import nearest
 
     return nearest(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
+
+
+@query("op8_lines")
+def _(spark, folder):
+    from tallywatch.llm.lines import repeated_lines
+
+    return repeated_lines(table(spark, folder, "documents")).selectExpr("doc_id", "CAST(line AS BIGINT) AS line")
