@@ -294,6 +294,10 @@ def _named(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component (the one with the smallest id), with all columns."""
+    """One document of each component (the one with the smallest id), with all columns.
+
+    Documents without shingles are components of their own. Rows that repeat an
+    id stay or go together, and so do all rows without an id.
+    """
     kept = similar_documents(docs, size, percent).groupBy("component_id").agg(F.count("*").alias("_n")).drop("_n")
     return docs.join(kept.withColumnRenamed("component_id", "_kept"), F.expr("doc_id <=> _kept"), "left_semi")
