@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,8 +12,16 @@ from tallywatch import schema as S
 from tallywatch.functions.exprs import double, odds_ratio, text
 from tallywatch.models.scaling import scaler, with_class_weight
 from tallywatch.operators.quality import leakage_guard
+from tallywatch.session import shared_dir
 
 FEATURES = "features"
+MISSING = -1e30  # stands for a missing value in trees, which only order values
+
+
+def filled(columns: dict[str, tuple[str, float]]) -> SQLTransformer:
+    """A pipeline stage that adds ``<name>_known``: the column, or its stand-in where it is missing."""
+    parts = [f"COALESCE(nanvl({double(c)}, NULL), {stand_in!r}D) AS {name}_known" for name, (c, stand_in) in columns.items()]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
 
 def fit_logistic(
@@ -24,12 +32,16 @@ def fit_logistic(
     The penalty is 1 / sum(weights) per unit of loss: balanced weights sum to
     the row count, so the objective is half the squared norm plus the weighted
     log loss. The optimiser's passes are tree-aggregated sums over partitions.
+    Rows with a missing feature are left out of the fit; in scoring a missing
+    value counts as the training mean, a missing flag as not set.
     """
     leakage_guard(train)
     scale = scaler(train, continuous)
-    assemble = VectorAssembler(inputCols=[f"{c}_z" for c in continuous] + binary, outputCol=FEATURES)
-    weighted, count = with_class_weight(train)
-    rows = assemble.transform(scale.transform(weighted)).select(FEATURES, "weight", F.expr("CAST(isFraud AS DOUBLE) AS label"))
+    fill = filled({**{f"{c}_z": (f"{c}_z", 0.0) for c in continuous}, **{c: (c, 0.0) for c in binary}})
+    assemble = VectorAssembler(inputCols=[f"{c}_z_known" for c in continuous] + [f"{c}_known" for c in binary], outputCol=FEATURES)
+    known = train.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in continuous + binary))
+    weighted, count = with_class_weight(known)
+    rows = assemble.transform(fill.transform(scale.transform(weighted))).select(FEATURES, "weight", F.expr("CAST(isFraud AS DOUBLE) AS label"))
     model = LogisticRegression(
         featuresCol=FEATURES,
         labelCol="label",
@@ -39,7 +51,7 @@ def fit_logistic(
         elasticNetParam=0.0,
         standardization=False,
     ).fit(rows)
-    return PipelineModel([scale, assemble, model])
+    return PipelineModel([scale, fill, assemble, model])
 
 
 def fit_boosted_trees(
@@ -49,12 +61,15 @@ def fit_boosted_trees(
 
     Depth 5 allows 32 leaves, the nearest to the 31 of a leaf-wise grower; the
     library has no leaf count and no L2 term. The lineage of the boosted
-    residuals is cut every ten trees in the shared checkpoint folder.
+    residuals is cut every ten trees in the shared checkpoint folder. A missing
+    feature is a value of its own, below all others.
     """
     leakage_guard(train)
-    assemble = VectorAssembler(inputCols=features, outputCol=FEATURES)
+    shared_dir(train.sparkSession)
+    fill = filled({c: (c, MISSING) for c in features})
+    assemble = VectorAssembler(inputCols=[f"{c}_known" for c in features], outputCol=FEATURES)
     weighted, _ = with_class_weight(train)
-    rows = assemble.transform(weighted).select(FEATURES, "weight", F.expr("CAST(isFraud AS DOUBLE) AS label"))
+    rows = assemble.transform(fill.transform(weighted)).select(FEATURES, "weight", F.expr("CAST(isFraud AS DOUBLE) AS label"))
     model = GBTClassifier(
         featuresCol=FEATURES,
         labelCol="label",
@@ -67,7 +82,7 @@ def fit_boosted_trees(
         checkpointInterval=10,
         seed=seed,
     ).fit(rows)
-    return PipelineModel([assemble, model])
+    return PipelineModel([fill, assemble, model])
 
 
 def score(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:

@@ -22,9 +22,12 @@ def with_class_weight(train: DataFrame, label: str = "isFraud", name: str = "wei
     """Add the balanced weight of each row's class; also returns the row count.
 
     The two weights are read once and put in as literals, so training rows are
-    neither joined nor shuffled. They sum to the row count.
+    neither joined nor shuffled. They sum to the row count. A label with more
+    than two values raises.
     """
-    classes = class_weights(train, label).take(2)
+    classes = class_weights(train, label).take(3)
+    if len(classes) > 2:
+        raise ValueError(f"{label} has more than two values")
     arms = " ".join(f"WHEN {r[label]} THEN {r['weight']!r}D" for r in classes)
     return train.selectExpr("*", f"CASE {label} {arms} END AS {name}"), sum(r["row_count"] for r in classes)
 

@@ -13,9 +13,6 @@ from tallywatch.operators.filters import FLAGGED, FRAUD
 from tallywatch.operators.onepass import Summary, one_row
 from tallywatch.session import materialise
 
-#: Hashes that occur several times are broadcast for the exact check up to here.
-MAX_BROADCAST_HASHES = 1_000_000
-
 
 # ---- distinct accounts and duplicates --------------------------------------
 def distinct_accounts(df: DataFrame) -> DataFrame:
@@ -45,23 +42,16 @@ def row_hash(columns: list[str]) -> str:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of equal rows, exactly.
 
-    Only 64-bit hashes are shuffled. A hash seen once proves its row unique; the
-    few seen more often are checked on the whole row, so a hash collision never
-    counts as a duplicate. When too many hashes repeat to broadcast them, the
-    whole rows are grouped instead (equal rows fold before that shuffle too).
+    Only 64-bit hashes are shuffled first. A hash seen once proves its row
+    unique; rows whose hash is seen more often are grouped whole, so a hash
+    collision never counts as a duplicate. How the few repeated hashes reach the
+    rows is left to the optimiser: it knows their number when the join runs.
     """
-    columns, spark = df.columns, df.sparkSession
-    hashed = df.selectExpr(f"{row_hash(columns)} AS h")
+    columns = df.columns
+    hashed = df.selectExpr("*", f"{row_hash(columns)} AS h")
     repeated = hashed.groupBy("h").count().where("count > 1").select("h")
-    suspects = repeated.limit(MAX_BROADCAST_HASHES + 1).toArrow()
-    if suspects.num_rows == 0:
-        return spark.range(1).selectExpr("0L AS duplicate_rows")
-    checked = df
-    if suspects.num_rows <= MAX_BROADCAST_HASHES:
-        hashes = F.broadcast(spark.createDataFrame(suspects))
-        checked = df.selectExpr("*", f"{row_hash(columns)} AS h").join(hashes, "h", "left_semi")
-    groups = checked.groupBy(*columns).agg(F.expr("COUNT(*) AS __n"))
-    return groups.selectExpr(f"{total('__n - 1')} AS duplicate_rows")
+    groups = hashed.join(repeated, "h", "left_semi").groupBy(*columns).agg(F.expr("COUNT(*) AS __n"))
+    return groups.selectExpr(f"COALESCE({total('__n - 1')}, 0) AS duplicate_rows")
 
 
 # ---- one-row measures ------------------------------------------------------

@@ -209,6 +209,20 @@ class LeakageError(ValueError):
     """A frame meant for a model carries columns a model must not see."""
 
 
+def leakage_report(frames: dict[str, DataFrame]) -> DataFrame:
+    """Per column of each frame: whether a model must not see it, and how many rows have a value in it."""
+    report = None
+    for name, frame in frames.items():
+        row = frame.selectExpr(*[f"COUNT(`{c}`) AS c{i}" for i, c in enumerate(frame.columns)])
+        listed = ", ".join(
+            f"struct({text(name)} AS table_name, {text(c)} AS column_name, {int(c in S.LEAKAGE_COLUMNS)} AS leaks, c{i} AS filled_rows)"
+            for i, c in enumerate(frame.columns)
+        )
+        part = row.selectExpr(f"inline(array({listed}))")
+        report = part if report is None else report.unionByName(part)
+    return report
+
+
 def leakage_guard(df: DataFrame) -> DataFrame:
     """Return the frame unchanged, or raise if it carries leaking columns."""
     found = [c for c in df.columns if c in S.LEAKAGE_COLUMNS]

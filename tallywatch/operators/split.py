@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallywatch.functions.exprs import double, percent_or_zero, total
 from tallywatch.operators.explore import dense
-from tallywatch.operators.filters import split_name
+from tallywatch.operators.filters import INVALID_STEP, split_name
 
 TRAIN_SHARE, VALIDATION_SHARE = 0.70, 0.10
 # Split names in order.
@@ -56,17 +56,21 @@ def split_boundaries(
 def find_boundaries(model: DataFrame, train: float = TRAIN_SHARE, validation: float = VALIDATION_SHARE) -> Boundaries:
     """The two steps as numbers, so that they are pushed down as literals.
 
-    Rows are counted per step on the cluster; the profile that comes back has
-    one row per simulated hour.
+    Rows are counted per valid step on the cluster; the profile that comes back
+    has one row per simulated hour. With one step only, that step ends both the
+    train and the validation period; with none, nothing is to be split and it raises.
     """
-    counts = model.where("step IS NOT NULL").groupBy("step").count().collect()
+    counts = model.where(f"NOT {INVALID_STEP}").groupBy("step").count().collect()
+    if not counts:
+        raise ValueError("no row has a valid step")
     rows, done, profile = sum(r["count"] for r in counts), 0, []
     for step, count in sorted((r["step"], r["count"]) for r in counts):
         done += count
         profile.append((step, done))
     nearest = lambda pairs, share: min(pairs, key=lambda p: (abs(p[1] - rows * share), p[0]))[0]
     train_end = nearest(profile, train)
-    return Boundaries(train_end, nearest([p for p in profile if p[0] > train_end], train + validation))
+    later = [p for p in profile if p[0] > train_end] or [(train_end, rows)]
+    return Boundaries(train_end, nearest(later, train + validation))
 
 
 def with_split(df: DataFrame, bounds: Boundaries) -> DataFrame:

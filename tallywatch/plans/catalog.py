@@ -393,7 +393,7 @@ def _(spark, folder):
 # ---- profiling -------------------------------------------------------------
 @query("q_sample_profile")
 def _(spark, folder):
-    sample = fr.transactions(spark, folder).orderBy("transaction_id").limit(100_000)
+    sample = fr.transactions(spark, folder).where("transaction_id <= 100000")
     return profile.sample_profile(sample.select(*S.SOURCE_COLUMNS))
 
 
@@ -786,7 +786,8 @@ def _(spark, folder):
 
 @query("c_no_rows_lost")
 def _(spark, folder):
-    return contracts.rows_lost(fr.transactions(spark, folder), fr.master(spark, folder))
+    stored = writers.write_parquet(fr.master(spark, folder), scratch_path(spark, "master"))
+    return contracts.rows_lost(fr.transactions(spark, folder), stored)
 
 
 @query("dq_constraints")
@@ -807,7 +808,8 @@ def _(spark, folder):
 
 @query("g_leak_guard")
 def _(spark, folder):
-    return output(quality.leakage_guard(fr.population(spark, folder)))
+    frames = {"master": fr.master(spark, folder), "model_population": fr.population(spark, folder)}
+    return quality.leakage_report(frames)
 
 
 # ---- scalar functions ------------------------------------------------------

@@ -17,6 +17,11 @@ CHAMPION = "HistGradientBoosting - Defensible Features"
 CHALLENGER = "Logistic Regression - Model B"
 RULE = "Existing isFlaggedFraud Rule"
 MODEL_B = "Model_B_Log_Balances_Only"
+_MASTER_COLUMNS = [
+    "transaction_id", *S.SOURCE_COLUMNS, "transaction_day", "hour_of_day", "log_amount", *S.RISK_FLAGS,
+    "amount_to_origin_balance_ratio", "amount_to_destination_balance_ratio",
+    "origin_balance_error_abs", "origin_balance_mismatch_flag",
+]
 
 
 # ---- text helpers ----------------------------------------------------------
@@ -378,12 +383,12 @@ _FACT_ROWS = """transaction_id, step, transaction_day, hour_of_day, transaction_
   origin_account, destination_account, CAST(oldbalance_org AS DOUBLE) AS oldbalance_org,
   CAST(oldbalance_dest AS DOUBLE) AS oldbalance_dest, high_value_200k_flag, hgb_fraud_score, risk_tier,
   operational_alert, legacy_rule_flag, actual_fraud"""
-_QUEUE_TABLE = """CAST(investigation_rank AS INTEGER) AS investigation_rank, transaction_id, CAST(step AS SMALLINT) AS step,
+_QUEUE_TABLE = """CAST(investigation_rank AS BIGINT) AS investigation_rank, transaction_id, CAST(step AS SMALLINT) AS step,
   transaction_day, CAST(hour_of_day AS SMALLINT) AS hour_of_day, type AS transaction_type, amount,
   nameOrig AS origin_account, nameDest AS destination_account, oldbalanceOrg AS oldbalance_org,
   oldbalanceDest AS oldbalance_dest, hgb_fraud_score, risk_tier, priority_band,
   CAST(high_value_200k_flag AS SMALLINT) AS high_value_200k_flag, CAST(isFlaggedFraud AS SMALLINT) AS legacy_rule_flag"""
-_VIEW_QUEUE = """CAST(investigation_rank AS INTEGER) AS investigation_rank, transaction_id, CAST(step AS SMALLINT) AS step,
+_VIEW_QUEUE = """CAST(investigation_rank AS BIGINT) AS investigation_rank, transaction_id, CAST(step AS SMALLINT) AS step,
   transaction_day, CAST(hour_of_day AS SMALLINT) AS hour_of_day, type AS transaction_type, amount,
   nameOrig AS origin_account, nameDest AS destination_account, oldbalanceOrg AS oldbalance_org,
   oldbalanceDest AS oldbalance_dest, round(hgb_fraud_score, 6) AS fraud_risk_score, risk_tier, priority_band,
@@ -819,20 +824,20 @@ BODIES: dict[str, str] = {
       {r('F2', 4)} AS f2, True_Negative AS true_negative, False_Positive AS false_positive, False_Negative AS false_negative,
       True_Positive AS true_positive, Alerts AS alerts, {r('Alert_Rate_Pct', 4)} AS alert_rate_pct,
       {r('False_Positive_Rate_Pct', 4)} AS false_positive_rate_pct FROM ({_COMPARISON})""",
-    "v_capacity": f"""SELECT CAST(Investigation_Capacity AS INTEGER) AS investigation_capacity, CAST(Alerts_Reviewed AS INTEGER) AS alerts_reviewed,
-      CAST(Fraud_Found AS INTEGER) AS fraud_found, {half_up('Fraud_Found', 'Alerts_Reviewed', 2, 100)} AS precision_pct,
+    "v_capacity": f"""SELECT CAST(Investigation_Capacity AS BIGINT) AS investigation_capacity, CAST(Alerts_Reviewed AS BIGINT) AS alerts_reviewed,
+      CAST(Fraud_Found AS BIGINT) AS fraud_found, {half_up('Fraud_Found', 'Alerts_Reviewed', 2, 100)} AS precision_pct,
       {half_up('Fraud_Found', '(SELECT SUM(isFraud) FROM x)', 2, 100)} AS fraud_capture_pct FROM ({_CAPACITY})""",
     "v_queue": f"SELECT {_VIEW_QUEUE} FROM q",
     "v_importance": f"""SELECT feature, {r('importance_mean', 4)} AS importance_mean, {r('importance_std', 4)} AS importance_std,
       CAST(ROW_NUMBER() OVER (ORDER BY importance_mean DESC, feature) AS INTEGER) AS importance_rank FROM ({_ASSOCIATION})""",
     "c_row_counts": _counts(_REPORT_COUNTS, "table_name"),
-    "c_view_smoke": _counts(_VIEW_COUNTS, "view_name"),
+    "c_view_smoke": f"SELECT view_name, row_count, CAST(row_count > 0 AS INTEGER) AS computed FROM ({_counts(_VIEW_COUNTS, 'view_name')})",
     "c_fact_reconcile": f"""SELECT COUNT(*) AS transactions, {big('SUM(actual_fraud)')} AS actual_fraud, {big('SUM(operational_alert)')} AS operational_alerts,
       {cnt('actual_fraud = 1 AND operational_alert = 1')} AS true_positives, {cnt('actual_fraud = 0 AND operational_alert = 1')} AS false_positives,
       {cnt('actual_fraud = 1 AND operational_alert = 0')} AS false_negatives FROM f""",
     "c_tier_distribution": f"""SELECT risk_tier, {big('COUNT(*)')} AS transaction_count, {big('SUM(actual_fraud)')} AS fraud_count,
       {rpct('SUM(actual_fraud)', 'COUNT(*)', 4)} AS fraud_rate_pct, {big('SUM(operational_alert)')} AS operational_alerts FROM f GROUP BY risk_tier""",
-    "c_queue_check": """SELECT COUNT(*) AS alert_queue_rows, CAST(MIN(investigation_rank) AS INTEGER) AS first_rank, CAST(MAX(investigation_rank) AS INTEGER) AS last_rank,
+    "c_queue_check": """SELECT COUNT(*) AS alert_queue_rows, CAST(MIN(investigation_rank) AS BIGINT) AS first_rank, CAST(MAX(investigation_rank) AS BIGINT) AS last_rank,
       round(MIN(hgb_fraud_score), 6) AS minimum_alert_score, round(MAX(hgb_fraud_score), 6) AS maximum_alert_score FROM q""",
     "c_model_check": f"""SELECT Model AS model, {r('Precision * 100', 2)} AS precision_pct, {r('Recall * 100', 2)} AS recall_pct, {r('F2', 4)} AS f2,
       True_Positive AS true_positive, False_Positive AS false_positive, False_Negative AS false_negative, Alerts AS alerts FROM ({_COMPARISON})""",
@@ -848,7 +853,10 @@ BODIES: dict[str, str] = {
         + [("domain:risk_tier", cnt("risk_tier NOT IN ('Low', 'Medium', 'High', 'Critical')"))], "constraint_name", "violations", "f"),
     "g_clean_rules": f"""SELECT CASE WHEN reason = '' THEN 'valid' ELSE reason END AS reason, {big('COUNT(*)')} AS row_count
       FROM (SELECT {_REASONS} AS reason FROM (SELECT DISTINCT * FROM d)) GROUP BY 1""",
-    "g_leak_guard": f"SELECT {_POPULATION_ROWS} FROM h",
+    "g_leak_guard": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, '{c}' AS column_name, {int(c in S.LEAKAGE_COLUMNS)} AS leaks, {big(f'COUNT({c})')} AS filled_rows FROM {block}"
+        for name, block, columns in [("master", "m", _MASTER_COLUMNS), ("model_population", "h", S.MODEL_COLUMNS)] for c in columns
+    ),
     "m_scale": "SELECT transaction_id, " + ", ".join(
         f"{r(f'({c} - (SELECT AVG({c}) FROM g WHERE step <= (SELECT train_end FROM sb))) / (SELECT stddev_pop({c}) FROM g WHERE step <= (SELECT train_end FROM sb))')} AS {c}_z"
         for c in S.CONTINUOUS_FEATURES

@@ -72,8 +72,19 @@ def importance_check(importance: DataFrame) -> DataFrame:
 
 
 def view_smoke(spark: SparkSession, views: list[str]) -> DataFrame:
-    """Row count of every view: each is planned and run."""
-    return row_counts({view: spark.table(view) for view in views}, "view_name")
+    """Row count of every view, and whether its rows could be computed in all columns (0 for an empty view).
+
+    A bare count would let the optimiser drop all columns, and a failing
+    expression would pass.
+    """
+    parts = None
+    for view in views:
+        frame = spark.table(view)
+        part = frame.selectExpr(f"xxhash64({', '.join(f'`{c}`' for c in frame.columns)}) AS mark").selectExpr(
+            f"{text(view)} AS view_name", "COUNT(*) AS row_count", "CAST(max(mark) IS NOT NULL AS INT) AS computed"
+        )
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
 
 
 # ---- split and stage contracts ---------------------------------------------

@@ -4,95 +4,95 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-# ---- Fixed values: table definitions (name, type, ! not null or * key) ------
+# ---- Fixed values: table definitions; the first column is the key ------------
 TABLE_COLUMNS = {
     "fact_scored_transactions": """
-        transaction_id bigint *
-        step smallint !
-        transaction_day smallint !
-        hour_of_day smallint !
-        transaction_type string !
-        amount decimal(20,2) !
-        origin_account string !
-        destination_account string !
-        oldbalance_org decimal(20,2) !
-        oldbalance_dest decimal(20,2) !
-        high_value_200k_flag smallint !
-        hgb_fraud_score double !
-        risk_tier string !
-        operational_alert smallint !
-        legacy_rule_flag smallint !
-        actual_fraud smallint !
+        transaction_id BIGINT NOT NULL,
+        step SMALLINT NOT NULL,
+        transaction_day SMALLINT NOT NULL,
+        hour_of_day SMALLINT NOT NULL,
+        transaction_type STRING NOT NULL,
+        amount DECIMAL(20,2) NOT NULL,
+        origin_account STRING NOT NULL,
+        destination_account STRING NOT NULL,
+        oldbalance_org DECIMAL(20,2) NOT NULL,
+        oldbalance_dest DECIMAL(20,2) NOT NULL,
+        high_value_200k_flag SMALLINT NOT NULL,
+        hgb_fraud_score DOUBLE NOT NULL,
+        risk_tier STRING NOT NULL,
+        operational_alert SMALLINT NOT NULL,
+        legacy_rule_flag SMALLINT NOT NULL,
+        actual_fraud SMALLINT NOT NULL
     """,
     "investigator_alert_queue": """
-        investigation_rank int *
-        transaction_id bigint !
-        step smallint !
-        transaction_day smallint !
-        hour_of_day smallint !
-        transaction_type string !
-        amount decimal(20,2) !
-        origin_account string !
-        destination_account string !
-        oldbalance_org decimal(20,2) !
-        oldbalance_dest decimal(20,2) !
-        hgb_fraud_score double !
-        risk_tier string !
-        priority_band string !
-        high_value_200k_flag smallint !
-        legacy_rule_flag smallint !
+        investigation_rank BIGINT NOT NULL,
+        transaction_id BIGINT NOT NULL,
+        step SMALLINT NOT NULL,
+        transaction_day SMALLINT NOT NULL,
+        hour_of_day SMALLINT NOT NULL,
+        transaction_type STRING NOT NULL,
+        amount DECIMAL(20,2) NOT NULL,
+        origin_account STRING NOT NULL,
+        destination_account STRING NOT NULL,
+        oldbalance_org DECIMAL(20,2) NOT NULL,
+        oldbalance_dest DECIMAL(20,2) NOT NULL,
+        hgb_fraud_score DOUBLE NOT NULL,
+        risk_tier STRING NOT NULL,
+        priority_band STRING NOT NULL,
+        high_value_200k_flag SMALLINT NOT NULL,
+        legacy_rule_flag SMALLINT NOT NULL
     """,
     "risk_tier_thresholds": """
-        threshold_type string *
-        source string
-        score_threshold double !
+        threshold_type STRING NOT NULL,
+        source STRING,
+        score_threshold DOUBLE NOT NULL
     """,
     "risk_tier_summary": """
-        risk_tier string *
-        transaction_count bigint !
-        population_pct double
-        average_model_score double
-        transaction_value decimal(24,2)
-        fraud_count bigint
-        fraud_rate_pct double
-        fraud_capture_pct double
-        fraud_value decimal(24,2)
-        fraud_value_capture_pct double
-        operational_alerts bigint
+        risk_tier STRING NOT NULL,
+        transaction_count BIGINT NOT NULL,
+        population_pct DOUBLE,
+        average_model_score DOUBLE,
+        transaction_value DECIMAL(24,2),
+        fraud_count BIGINT,
+        fraud_rate_pct DOUBLE,
+        fraud_capture_pct DOUBLE,
+        fraud_value DECIMAL(24,2),
+        fraud_value_capture_pct DOUBLE,
+        operational_alerts BIGINT
     """,
     "operational_alert_summary": """
-        metric string *
-        value double
+        metric STRING NOT NULL,
+        value DOUBLE
     """,
     "investigation_capacity_summary": """
-        investigation_capacity int *
-        alerts_reviewed int
-        fraud_found int
-        precision_pct double
-        total_test_fraud_captured_pct double
+        investigation_capacity BIGINT NOT NULL,
+        alerts_reviewed BIGINT,
+        fraud_found BIGINT,
+        precision_pct DOUBLE,
+        total_test_fraud_captured_pct DOUBLE
     """,
     "model_comparison": """
-        model string *
-        threshold double
-        roc_auc double
-        average_precision double
-        accuracy double
-        precision double
-        recall double
-        f1 double
-        f2 double
-        true_negative bigint
-        false_positive bigint
-        false_negative bigint
-        true_positive bigint
-        alerts bigint
-        alert_rate_pct double
-        false_positive_rate_pct double
+        model STRING NOT NULL,
+        threshold DOUBLE,
+        roc_auc DOUBLE,
+        average_precision DOUBLE,
+        accuracy DOUBLE,
+        precision DOUBLE,
+        recall DOUBLE,
+        f1 DOUBLE,
+        f2 DOUBLE,
+        true_negative BIGINT,
+        false_positive BIGINT,
+        false_negative BIGINT,
+        true_positive BIGINT,
+        alerts BIGINT,
+        alert_rate_pct DOUBLE,
+        false_positive_rate_pct DOUBLE
     """,
     "hgb_feature_importance": """
-        feature string *
-        importance_mean double
-        importance_std double
+        feature STRING NOT NULL,
+        importance_mean DOUBLE,
+        importance_std DOUBLE
     """,
 }
 FACT_FLAGS = ["high_value_200k_flag", "operational_alert", "legacy_rule_flag", "actual_fraud"]
@@ -109,32 +109,21 @@ TRANSACTION_NAMES = {
 }
 
 
-def _fields(table: str) -> list[tuple[str, str, bool, bool]]:
-    """(name, type, required, key) of every column."""
-    fields = []
-    for line in TABLE_COLUMNS[table].strip().splitlines():
-        name, kind, mark = (line.split() + [""])[:3]
-        fields.append((name, kind, mark in ("!", "*"), mark == "*"))
-    return fields
+def table_schema(table: str) -> T.StructType:
+    """The declared schema; needs a running session to read the type names."""
+    return T.StructType.fromDDL(TABLE_COLUMNS[table])
 
 
 def column_names(table: str) -> list[str]:
-    return [name for name, _, _, _ in _fields(table)]
-
-
-def table_schema(table: str) -> T.StructType:
-    """The declared schema; needs a running session to read the type names."""
-    kinds = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind, _, _ in _fields(table)))
-    required = set(required_columns(table))
-    return T.StructType([T.StructField(f.name, f.dataType, f.name not in required) for f in kinds.fields])
+    return table_schema(table).fieldNames()
 
 
 def key_column(table: str) -> str:
-    return next(name for name, _, _, key in _fields(table) if key)
+    return column_names(table)[0]
 
 
 def required_columns(table: str) -> list[str]:
-    return [name for name, _, needed, _ in _fields(table) if needed]
+    return [f.name for f in table_schema(table) if not f.nullable]
 
 
 def create_schema(spark: SparkSession, database: str) -> None:
@@ -142,10 +131,7 @@ def create_schema(spark: SparkSession, database: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for table in TABLE_COLUMNS:
         spark.sql(f"DROP TABLE IF EXISTS {database}.{table}")
-        columns = ", ".join(
-            f"{name} {kind}{' NOT NULL' if needed else ''}" for name, kind, needed, _ in _fields(table)
-        )
-        spark.sql(f"CREATE TABLE {database}.{table} ({columns}) USING parquet")
+        spark.sql(f"CREATE TABLE {database}.{table} ({TABLE_COLUMNS[table]}) USING parquet")
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
@@ -162,7 +148,7 @@ def conform(df: DataFrame, table: str, names: dict[str, str] | None = None) -> D
     """Rename, select and cast a frame to a table's columns."""
     source = {new: old for old, new in (names or {}).items()}
     return df.selectExpr(
-        *[f"CAST(`{source.get(name, name)}` AS {kind}) AS {name}" for name, kind, _, _ in _fields(table)]
+        *[f"CAST(`{source.get(f.name, f.name)}` AS {f.dataType.simpleString()}) AS {f.name}" for f in table_schema(table)]
     )
 
 

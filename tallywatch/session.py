@@ -30,8 +30,9 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    The cluster names it. Only where it is unset (a laptop, a test) is a
-    temporary folder used instead.
+    The cluster names it. Where it is unset and all work is done on this machine
+    (a laptop, a test), a temporary folder is used instead; on a cluster that
+    would lose rows, so it raises there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tallywatch-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

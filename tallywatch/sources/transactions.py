@@ -6,33 +6,60 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallywatch import schema as S
 from tallywatch.functions.exprs import nan_to_null
+from tallywatch.operators.ordering import global_row_number
 
-#: Offsets are broadcast only up to this many files (about 200 bytes each).
-MAX_BROADCAST_FILES = 1_000_000
+# Where a CSV row stands: its file, the block that a task reads at one go, and
+# the order in which that task met it.
+_PLACE = ["__file", "__block", "__met"]
 
 
 def read_csv(spark: SparkSession, path: str, money: T.DataType | None = None) -> DataFrame:
     """Full CSV scan with the declared schema; NaN becomes NULL."""
-    frame = (
+    return nan_to_null(_scan(spark, path, money))
+
+
+def _scan(spark: SparkSession, path: str, money: T.DataType | None) -> DataFrame:
+    return (
         spark.read.schema(S.transactions_schema(money))
         .option("header", True)
         .option("enforceSchema", True)
         .csv(path)
     )
-    return nan_to_null(frame)
+
+
+def read_csv_placed(spark: SparkSession, path: str, money: T.DataType | None = None) -> DataFrame:
+    """The CSV with the columns that put its rows in order: by file name, then as they stand in the file.
+
+    Tasks read files in order of size, so without these the order over several
+    files is not defined.
+    """
+    frame = _scan(spark, path, money)
+    placed = frame.selectExpr(
+        "*",
+        "_metadata.file_path AS __file",
+        "_metadata.file_block_start AS __block",
+        "monotonically_increasing_id() AS __met",
+    )
+    return nan_to_null(placed)
 
 
 def read_csv_sample(
     spark: SparkSession, path: str, rows: int = 100_000, money: T.DataType | None = None
 ) -> DataFrame:
-    """The first ``rows`` rows of the file, for a quick look."""
-    return read_csv(spark, path, money).limit(rows)
+    """The first ``rows`` rows by file name and place, for a quick look.
+
+    Rows are numbered in several tasks, so no task holds the whole sample.
+    """
+    placed = read_csv_placed(spark, path, money)
+    numbered = global_row_number(placed, _PLACE, "__number").where(f"__number <= {int(rows)}")
+    return numbered.drop("__number", *_PLACE)
 
 
 def line_count(spark: SparkSession, path: str) -> DataFrame:
-    """Data lines of a CSV file or folder: text lines minus one header per file."""
-    lines = spark.read.text(path)
-    return lines.selectExpr(f"COUNT(*) - {len(lines.inputFiles())} AS total_rows")
+    """Data lines of a CSV file or folder: text lines minus one header per file that has lines."""
+    lines = spark.read.text(path).selectExpr("_metadata.file_path AS file")
+    per_file = lines.groupBy("file").agg(F.expr("COUNT(*) - 1 AS n"))
+    return per_file.selectExpr("COALESCE(SUM(n), 0) AS total_rows")
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -47,9 +74,15 @@ def parquet_row_count(spark: SparkSession, path: str) -> DataFrame:
 
 
 def land_csv(spark: SparkSession, csv_path: str, parquet_path: str) -> DataFrame:
-    """Convert the CSV once to Parquet, so that later scans prune columns and
-    every row has a stable position (file, row index)."""
-    read_csv(spark, csv_path).write.mode("overwrite").parquet(parquet_path)
+    """Convert the CSV once to Parquet, in file order.
+
+    Later scans prune columns, and every row has a stable position: the parts
+    are written in order of the sort, so (part name, row index) is file order.
+    """
+    placed = read_csv_placed(spark, csv_path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = placed.repartitionByRange(parts, *_PLACE).sortWithinPartitions(*_PLACE)
+    ordered.drop(*_PLACE).write.mode("overwrite").parquet(parquet_path)
     return spark.read.parquet(parquet_path)
 
 
@@ -58,7 +91,8 @@ def with_transaction_id(frame: DataFrame, name: str = "transaction_id") -> DataF
 
     The id is the number of rows in all files before this one plus the row's
     index in its own file. Both come from Parquet metadata, so ids do not depend
-    on how the scan is split and no row is shuffled.
+    on how the scan is split. The offsets are one small row per file; whether
+    they are sent to all tasks is decided by their true size.
     """
     columns = [c for c in frame.columns if c != "_metadata"]
     placed = frame.selectExpr(
@@ -68,8 +102,6 @@ def with_transaction_id(frame: DataFrame, name: str = "transaction_id") -> DataF
         "__file",
         "COALESCE(SUM(count) OVER (ORDER BY __file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __before",
     )
-    if len(frame.inputFiles()) <= MAX_BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
     return placed.join(offsets, "__file").selectExpr(f"__before + __row + 1 AS {name}", *columns)
 
 

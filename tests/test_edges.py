@@ -80,11 +80,14 @@ def test_engineered_columns(spark):
     assert (d["zero_amount_flag"], d["amount_exceeds_origin_balance_flag"], d["destination_is_merchant"]) == (0, 0, 0)
 
 
-def test_duplicates_exact_and_fallback(spark, monkeypatch):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_duplicates_exact_with_and_without_broadcast(spark, threshold):
     df = rows(spark, *[{"amount": float(i % 7)} for i in range(50)], {"type": None}, {"type": None})
-    assert profile.duplicate_rows(df).first()[0] == 44
-    monkeypatch.setattr(profile, "MAX_BROADCAST_HASHES", 2)
-    assert profile.duplicate_rows(df).first()[0] == 44
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert profile.duplicate_rows(df).first()[0] == 44
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert profile.duplicate_rows(df.dropDuplicates()).first()[0] == 0
 
 

@@ -78,7 +78,28 @@ def test_importance(parts, champion, spark):
     assert [r["Importance_Mean"] for r in rows] == pytest.approx([r["Importance_Mean"] for r in again])
     one_class = parts["VALIDATION"].where("isFraud = 0")
     assert all(r["Importance_Mean"] is None for r in importance.permutation_importance(champion, one_class, repeats=1).collect())
-    assert importance.seeded_sample(parts["TEST"], 10).count() == 10
+    assert 0 < importance.seeded_sample(parts["TEST"], 10).count() < parts["TEST"].count()
+
+
+def test_importance_maps_are_permutations():
+    for n in (1, 2, 7, 12, 1000):
+        for a, b in importance.affine_maps(n, 5, 1):
+            assert sorted((a * i + b) % n for i in range(n)) == list(range(n))
+
+
+def test_missing_features_are_kept(parts):
+    holes = parts["TRAIN"].selectExpr("*", "IF(transaction_id % 50 = 0, NULL, log_amount) AS amount_or_null").drop("log_amount").withColumnRenamed("amount_or_null", "log_amount")
+    trees = es.fit_boosted_trees(holes, iterations=2)
+    assert es.score(trees, holes).where("score IS NULL").count() == 0
+    line = es.fit_logistic(holes, S.CONTINUOUS_FEATURES, S.BASELINE_BINARY, 5)
+    scored = es.score(line, holes)
+    assert scored.where("score IS NULL").count() == 0 < holes.where("log_amount IS NULL").count()
+
+
+def test_third_label_value_raises(spark):
+    frame = spark.createDataFrame([(0,), (1,), (2,)], "isFraud int")
+    with pytest.raises(ValueError):
+        scaling.with_class_weight(frame)
 
 
 def test_stress_rows_and_pivot(parts, spark):
