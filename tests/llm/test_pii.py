@@ -1,0 +1,60 @@
+import re
+
+from tallywatch.llm import pii as P
+
+
+def replaced(docs_of, rows, key="k"):
+    return {r["doc_id"]: (r["text"], r["n_mentions"]) for r in P.replace_entities(docs_of(rows), key).collect()}
+
+
+def luhn(digits):
+    total = sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def test_kinds_keep_their_format(spark, docs_of):
+    rows = [
+        "mail ann.b@x.example.com or ANN.B@X.EXAMPLE.COM now", "call +1 (017) 555-7713 or +1!! (017)!! 555-7713!!",
+        "card 4929348385146306 and 4929-3483-8514-6306", "host 169.122.221.182.", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end',
+        "Dear Mrs Anna Smith and Herr Müller, Mr. Smith", "nothing at all, 3.14 or 12", None, "", "г-н господин Иванов",
+    ]
+    out = replaced(docs_of, rows)
+    a, b = re.findall(r"\S+@\S+", out[0][0])
+    assert a.lower() == b.lower() != "ann.b@x.example.com" and b.isupper() and out[0][1] == 2
+    first, second = re.findall(r"\+(\d)\W+\((\d{3})\)\W+(\d{3}-\d{4})", out[1][0])
+    assert first == second and first[0] == "1" and first[1:] != ("017", "555-7713")
+    one, two = re.findall(r"\d{4}-?\d{4}-?\d{4}-?\d{4}", out[2][0])
+    assert one == two.replace("-", "") != "4929348385146306" and one[0] == "4" and luhn(one) and "-" in two
+    assert re.fullmatch(r"host (\d+\.){3}\d+\.", out[3][0]) and "169.122" not in out[3][0]
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" end', out[4][0]) and "04dbeb" not in out[4][0]
+    words = out[5][0].split()
+    assert words[1] == "Mrs" and words[2] in P.NAMES["latin"]["f"] and words[5] == "Herr" and "Müller" not in out[5][0]
+    assert out[6] == (rows[6], 0) and out[7] == (None, 0) and out[8] == ("", 0)
+    assert "Иванов" not in out[9][0] and re.search("[а-я]+$", out[9][0])
+
+
+def test_distinct_and_coreferent(spark, docs_of):
+    rows = [f"user{i}@mail.example.com at 10.0.{i}.7 and Mr X{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(100)] * 2
+    out = replaced(docs_of, rows)
+    for i in range(100):
+        assert out[i] == out[i + 100] and f"user{i}@" not in out[i][0]
+    for k in (0, 2):
+        assert len({out[i][0].split()[k] for i in range(100)}) == 100
+    assert len({out[i][0].split("Mr ")[1] for i in range(100)}) == 100
+    real = {r.split()[2] for r in rows}
+    assert not real & {out[i][0].split()[2] for i in range(100)}
+
+
+def test_clashes_are_drawn_again(spark):
+    """1,000 numbers of a kind with few values: all distinct, none real."""
+    entities = spark.range(300).selectExpr("'phone' AS kind", "concat('1', lpad(id, 3, '0')) AS canon", "'' AS gender")
+    out = P.surrogates(entities, "k").collect()
+    assert len({r["surrogate"] for r in out}) == 300 and not {r["surrogate"] for r in out} & {r["canon"] for r in out}
+
+
+def test_other_key_repeated_rows_and_empty(spark, docs_of):
+    rows = [(1, "to a.b@c.example.org"), (1, "to a.b@c.example.org"), (None, "to a.b@c.example.org")]
+    out = P.replace_entities(docs_of(rows), "k").collect()
+    assert len(out) == 3 and len({r["text"] for r in out}) == 1
+    assert replaced(docs_of, rows[:1], "other")[1][0] != out[0]["text"]
+    assert P.replace_entities(docs_of([]), "k").count() == 0
