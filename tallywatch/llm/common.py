@@ -7,6 +7,7 @@ import types
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallywatch.session import scratch_path
@@ -53,6 +54,17 @@ def in_bitmap(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
+def in_bitmap_rows(df: DataFrame, column: str, table: np.ndarray) -> DataFrame:
+    """Rows whose hash is in the bitmap, without leaving the JVM. The bitmap is one value of fixed size."""
+    row = df.sparkSession.createDataFrame(
+        pa.table({"_bits": pa.array([table.view(np.int64)], pa.list_(pa.int64()))}), "_bits array<bigint>"
+    )
+    word = F.expr(f"CAST(shiftrightunsigned({column} & {len(table) * 64 - 1}L, 6) AS INT)")
+    bit = F.expr(f"CAST({column} & 63 AS INT)")
+    # as a scalar subquery: a joined column would be copied with every row
+    return df.where(F.call_function("getbit", F.get(row.scalar(), word), bit) == 1)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a fixed bijection)."""
     x = x ^ (x >> np.uint64(30))

@@ -18,24 +18,31 @@ expanded into m * m pairs: all members are compared with one pivot, nodes found
 linked become one component, and only members that are still in different
 components go on, after some pivots by all their remaining pairs. Every
 candidate is verified exactly on the documents' whole shingle sets, so no link
-between different components is lost.
+between different components is lost. Before texts are fetched, an upper bound
+of the shared shingles rules out most candidates: the sum over 256 hash classes
+of the smaller of the two sets' counts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallywatch.llm.common import SPACE, bitmap, hash_words, in_bitmap, lowered, mix, shingles, signed, stage
+from tallywatch.llm.common import SPACE, bitmap, hash_words, in_bitmap, in_bitmap_rows, lowered, mix, shingles, signed, stage
 from tallywatch.llm.components import components
 
-BUCKET_BITS = 16
+BUCKET_BITS = 22
+BLOCK = 1 << 16  # buckets that travel together
+MERGE = 512  # tasks whose counts are added up in one group
 BITMAP_BITS = 25
 SCAN_COST = 4  # reading a list entry, in units of writing one
 PIVOT_ROUNDS = 3
+CLASSES = 256
+BLOCK_NODES = 1_000  # nodes of a list that are paired with each other in one task
 GROUP_ROWS = 500  # members that are compared with a pivot in one task
 
 
@@ -55,38 +62,83 @@ def _fingerprint(members: np.ndarray) -> int:
 
 
 def _node_rows(size: int):
-    """doc_id, n, node per document; at the end the bucket counts of the task."""
+    """doc_id, n, node, profile per document; at the end the task's bucket counts, a packed block per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
-        kind = None
-        names = ["doc_id", "n", "node", "bucket", "amount"]
+        counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+        kind, task = None, 0
+        names = ["doc_id", "n", "node", "profile", "task", "block", "counts"]
         for batch in batches:
-            ids, n, node = batch.column("doc_id"), [], []
+            ids, n, node, profile = batch.column("doc_id"), [], [], []
             kind = ids.type
+            if batch.num_rows:
+                task = batch.column("task")[0].as_py()
             for _, members in _sets(lowered(batch.column("text")), size):
                 n.append(len(members))
                 node.append(_fingerprint(members))
-                counts += np.bincount((members >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-            nothing = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), nothing, nothing], names=names)
-        used = np.flatnonzero(counts)
-        if len(used):
-            nothing = pa.nulls(len(used), pa.int64())
+                spread = np.bincount((members & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+                profile.append(np.minimum(spread, 255).astype(np.uint8).tobytes())
+                np.add.at(counts, _bucket(members), 1)
+            empty = [pa.nulls(len(n), t) for t in (pa.int32(), pa.int32(), pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(used), kind), nothing, nothing, pa.array(used), pa.array(counts[used])], names=names
+                [ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(profile, pa.binary()), *empty], names=names
+            )
+        blocks = [k for k in range(0, len(counts), BLOCK) if counts[k : k + BLOCK].any()]
+        if blocks:
+            nothing = pa.nulls(len(blocks), pa.int64())
+            packed = [zlib.compress(counts[k : k + BLOCK].tobytes(), 1) for k in blocks]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.nulls(len(blocks), kind), nothing, nothing, pa.nulls(len(blocks), pa.binary()), pa.array([task] * len(blocks), pa.int32()),
+                    pa.array([k // BLOCK for k in blocks], pa.int32()), pa.array(packed, pa.binary()),
+                ],
+                names=names,
             )
 
     return run
 
 
+def _bucket(members: np.ndarray) -> np.ndarray:
+    return (members >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _add_blocks(group: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK, np.uint64)
+    for packed in group.column("counts"):
+        raw = zlib.decompress(packed.as_py())
+        total += np.frombuffer(raw, np.uint32 if len(raw) == 4 * BLOCK else np.uint64)
+    return pa.table(
+        {
+            "task": pa.array([group.column("task")[0].as_py()], pa.int32()),
+            "block": pa.array([group.column("block")[0].as_py()], pa.int32()),
+            "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()),
+        }
+    )
+
+
+def _rarity(made: DataFrame) -> np.ndarray:
+    """Frequency class per bucket over all documents: added up in groups of tasks, then per block."""
+    kind = "task int, block int, counts binary"
+    once = made.where("block IS NOT NULL").selectExpr(f"task DIV {MERGE} AS task", "block", "counts").selectExpr("CAST(task AS INT) AS task", "block", "counts")
+    some = once.groupBy("task", "block").applyInArrow(_add_blocks, kind)
+    all_of = some.groupBy("block").applyInArrow(_add_blocks, kind).toArrow()  # 64 rows
+    count = np.zeros(1 << BUCKET_BITS, np.float32)
+    for block, packed in zip(all_of.column("block").to_pylist(), all_of.column("counts")):
+        count[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(zlib.decompress(packed.as_py()), np.uint64)
+    middle = max(1.0, float(np.median(count)))
+    out = np.zeros(len(count), np.uint8)
+    for k in range(0, len(count), BLOCK):  # a block at a time: the driver's memory is small
+        out[k : k + BLOCK] = np.clip(np.floor(4 * np.log2(np.maximum(count[k : k + BLOCK], 1) / middle)), 0, 255)
+    return out
+
+
 def _keys(members: np.ndarray, rank: np.ndarray, percent: int, boundary: int) -> np.ndarray:
     """Keys under which a set is looked up."""
     n = len(members)
     spare = n - -(-percent * n // 100)
     if not spare and percent * (n + 1) > 100 * n:  # such a set has only equal partners
         return members[:0]
-    order = np.lexsort((members, rank[(members >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))
+    order = np.lexsort((members, rank[_bucket(members)]))
     keys = []
     if n <= boundary:
         head = members[order[: spare + 2]]
@@ -145,13 +197,54 @@ def choose_boundary(sizes: list[tuple[int, int]], percent: int) -> int:
 
 
 # ---- candidates and their verification -------------------------------------
-def _wanted_rows(table):
-    """Documents whose id's hash is in the bitmap."""
+def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the upper bound of the shared members, from the profiles, allows a link."""
+    most = np.minimum(a, b).sum(-1, dtype=np.int64)
+    most = np.where(((a == 255) & (b == 255)).any(-1), n + m, np.minimum(most, np.minimum(n, m)))  # full counters say nothing
+    return (100 + percent) * most >= percent * (n + m)
+
+
+def _profiles(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), CLASSES)
+
+
+def _likely_rows(percent: int):
+    """Pairs that the profiles allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = in_bitmap(batch.column("id_hash").to_numpy().view(np.uint64), table.value)
-            yield batch.filter(pa.array(keep))
+            keep = _may_link(
+                _profiles(batch.column("pa")), _profiles(batch.column("pb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent
+            )
+            yield batch.select(["pivot", "node"]).filter(pa.array(keep))
+
+    return run
+
+
+def _pair_block(percent: int):
+    """All pairs between two blocks of a list (or within one) whose sizes, components and profiles allow a link."""
+
+    def run(group: pa.Table) -> pa.Table:
+        node, n, label = (group.column(c).to_numpy() for c in ("node", "n", "label"))
+        profile, share = _profiles(group.column("profile")), group.column("share").to_numpy()
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        left, right = np.flatnonzero(share == low), np.flatnonzero(share == high)
+        one, two = [], []
+        for at in range(0, len(left), 128):
+            some = left[at : at + 128]
+            x, y = some[:, None], right[None, :]
+            fits = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            if low == high:
+                fits &= node[x] < node[y]
+            i, j = np.nonzero(fits)
+            i, j = some[i], right[j]
+            for k in range(0, len(i), 8192):
+                p, q = i[k : k + 8192], j[k : k + 8192]
+                keep = _may_link(profile[p], profile[q], n[p], n[q], percent)
+                one.append(node[p[keep]])
+                two.append(node[q[keep]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two))
+        return pa.table({"pivot": pa.array(np.minimum(a, b)), "node": pa.array(np.maximum(a, b))})
 
     return run
 
@@ -185,17 +278,15 @@ def _verify(size: int, percent: int):
 
 def _links(docs: DataFrame, pairs: DataFrame, homes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (pivot, node) that are similar. ``homes`` names a document of each node."""
-    sc = docs.sparkSession.sparkContext
     many = pairs.groupBy("pivot").agg(F.count("*").alias("members"))
     salted = pairs.join(many, "pivot").selectExpr(
         "pivot", "node", f"pmod(xxhash64(node), 1 + members DIV {GROUP_ROWS}) AS share"
     )
     wanted = salted.unionByName(salted.selectExpr("pivot", "pivot AS node", "share").distinct())
     wanted = stage(wanted.join(homes, "node").select("pivot", "share", "node", "doc_id", F.xxhash64("doc_id").alias("id_hash")), "wanted")
-    table = sc.broadcast(bitmap(wanted.select("id_hash").distinct(), "id_hash", BITMAP_BITS))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("id_hash")).mapInArrow(
-        _wanted_rows(table), f"doc_id {kind}, text string, id_hash bigint"
+    texts = in_bitmap_rows(
+        docs.select("doc_id", "text", F.xxhash64("doc_id").alias("id_hash")), "id_hash",
+        bitmap(wanted.select("id_hash").distinct(), "id_hash", BITMAP_BITS),
     )
     return (
         wanted.drop("id_hash").alias("w").join(texts.drop("id_hash").alias("t"), F.expr("w.doc_id <=> t.doc_id"))
@@ -221,15 +312,20 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
     sc = spark.sparkContext
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = stage(docs.mapInArrow(_node_rows(size), f"doc_id {kind}, n bigint, node bigint, bucket bigint, amount bigint"), "nodes")
-    nodes = made.where("bucket IS NULL").select("doc_id", "n", "node")
-    homes = stage(nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "homes")
-
-    amounts = made.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("amount").alias("amount")).toArrow()  # 65,536 rows at most
-    count = np.zeros(1 << BUCKET_BITS)
-    count[amounts.column("bucket").to_numpy()] = amounts.column("amount").to_numpy()
-    common = np.clip(np.floor(4 * np.log2(np.maximum(count, 1) / max(1.0, np.median(count)))), 0, 255).astype(np.uint8)
-    rank = sc.broadcast(common)
+    made = stage(
+        docs.withColumn("task", F.spark_partition_id()).mapInArrow(
+            _node_rows(size), f"doc_id {kind}, n bigint, node bigint, profile binary, task int, block int, counts binary"
+        ),
+        "nodes",
+    )
+    nodes = made.where("block IS NULL").select("doc_id", "n", "node")
+    homes = stage(
+        made.where("block IS NULL AND n > 0").groupBy("node")
+        .agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("profile").alias("profile")),
+        "homes",
+    )
+
+    rank = sc.broadcast(_rarity(made))
     # sizes up to where no set is light; all larger ones count as one size
     sizes = homes.groupBy(F.least("n", F.lit(500)).alias("size")).count().collect()
     boundary = choose_boundary([(r["size"], r["count"]) for r in sizes], percent)
@@ -242,6 +338,12 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
     only = sc.broadcast(bitmap(shared, "key", BITMAP_BITS))
     lists = stage(docs.select("text").mapInArrow(_key_rows(size, percent, boundary, rank, only), keyed).distinct(), "lists")
 
+    # near copies share many keys: of lists with the same members one is enough
+    marks = lists.groupBy("key").agg(F.expr("SUM(CAST(xxhash64(node) AS DECIMAL(28, 0))) AS mark"), F.count("*").alias("many"))
+    kept = marks.where("many > 1").groupBy("mark", "many").agg(F.min("key").alias("key")).select("key")
+    lists = stage(lists.join(kept, "key", "left_semi"), "distinct_lists")
+
+    profiles = homes.select("node", "n", "profile")
     homes = homes.select("node", "doc_id")
     links = tested = labels = None
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
@@ -257,15 +359,25 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
         ).where("low < high")
         if turn < PIVOT_ROUNDS:
             pairs = current.join(mixed.select("key", "p.*"), "key").where(f"label != own AND {fits}").select("pivot", "node")
-        else:  # what the pivots have not settled: the remaining pairs of each list
-            open_lists = stage(current.join(mixed.select("key"), "key"), "open_lists")
-            pairs = open_lists.alias("x").join(
-                open_lists.selectExpr("key", "node AS pivot", "n AS m", "label AS own").alias("y"), "key"
-            ).where(f"pivot < node AND label != own AND {fits}").select("pivot", "node")
+        else:  # what the pivots have not settled: the remaining pairs of each list, block by block
+            counted = current.groupBy("key").agg(F.expr(f"1 + COUNT(*) DIV {BLOCK_NODES} AS blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
+            open_lists = current.join(counted.where("low < high").select("key", "blocks"), "key").join(profiles.drop("n"), "node")
+            pairs = (
+                open_lists.selectExpr("*", "pmod(xxhash64(node), blocks) AS share", "explode(sequence(0L, blocks - 1)) AS other")
+                .selectExpr("*", "least(share, other) AS low", "greatest(share, other) AS high")
+                .groupBy("key", "low", "high")
+                .applyInArrow(_pair_block(percent), "pivot bigint, node bigint")
+            )
         pairs = pairs.distinct()
         if tested is not None:
             done = tested.unionByName(tested.selectExpr("node AS pivot", "pivot AS node"))
             pairs = pairs.join(done, ["pivot", "node"], "left_anti")
+        if turn < PIVOT_ROUNDS:
+            pairs = (
+                pairs.join(profiles.selectExpr("node", "n AS na", "profile AS pa"), "node")
+                .join(profiles.selectExpr("node AS pivot", "n AS nb", "profile AS pb"), "pivot")
+                .mapInArrow(_likely_rows(percent), "pivot bigint, node bigint")
+            )
         pairs = stage(pairs, "pairs")
         if not pairs.limit(1).count():
             if turn < PIVOT_ROUNDS:
