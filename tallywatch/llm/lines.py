@@ -2,11 +2,12 @@
 
 A line is the set of its words. Two lines match at a Jaccard similarity of
 ``percent`` or more. Words carry a code that sorts rare words first (frequency
-class of one of 65,536 buckets counted over all texts, then hash), so the first
+class of one of 2**20 buckets counted over all texts, then hash), so the first
 ``n - ceil(t n) + 1`` codes of a line, its prefix, are its rarest words, and
-matching lines share one of them. Of what shares a prefix word, the length filter
-and the positional filter leave candidates, and only these lines are read again
-and verified word by word.
+matching lines share one of them. Of what shares a prefix word, the length filter,
+the positional filter and a bitmap filter (128 bits per line; each bit that
+differs is a word that differs) leave candidates, and only these lines are read
+again and verified word by word.
 
 A line is removed if an earlier one matches it, so it need not meet all of them.
 Lists of lines with one prefix word are therefore not expanded: lines meet the
@@ -19,37 +20,51 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallywatch.llm.common import stage
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20  # eight to a long
 MAP_BITS = 16  # the bitmap of wanted lines: 2**16 longs
 PIVOTS = 4
-_WORDS = "filter(split(lower({0}), '[\\\\s\\\\p{{Punct}}]+'), w -> w != '')"
+_WORDS = "array_remove(split(lower({0}), '[\\\\s\\\\p{{Punct}}]+'), '')"
+
+# what orders lines: a row of three numbers
+_PLACE = "struct(COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d, text_hash AS t, line AS l)"
 
 
 def _word_table(docs: DataFrame) -> DataFrame:
     """One row with the frequency class of each bucket of words, counted over whole texts."""
     words = docs.selectExpr("explode(split(lower(text), '[\\\\s\\\\p{Punct}]+')) AS w").where("w != ''")
-    counts = words.groupBy(F.expr(f"pmod(xxhash64(w), {BUCKETS}) AS slot")).agg(F.expr("CAST(least(62, floor(2 * log2(COUNT(*)))) AS LONG) AS value"))
-    return _dense(counts, BUCKETS, "classes")
+    counts = words.groupBy(F.expr(f"xxhash64(w) & {BUCKETS - 1}L AS bucket")).count()
+    packed = counts.selectExpr(
+        "shiftright(bucket, 3) AS slot", "shiftleft(CAST(least(62, floor(2 * log2(count))) AS LONG), CAST(8 * (bucket & 7) AS INT)) AS value"
+    ).groupBy("slot").agg(F.expr("bit_or(value) AS value"))
+    return _dense(packed, BUCKETS // 8, "classes")
 
 
 def _dense(values: DataFrame, slots: int, name: str) -> DataFrame:
     """One row with an array of ``slots`` longs (a fixed number): ``value`` at each ``slot``, 0 elsewhere."""
     every = values.sparkSession.range(slots).withColumnRenamed("id", "slot").join(values, "slot", "left")
-    return every.agg(F.expr(f"transform(array_sort(collect_list(struct(slot, COALESCE(value, 0L) AS value))), x -> x.value) AS {name}"))
+    return every.agg(F.expr(f"transform(sort_array(collect_list(struct(slot, COALESCE(value, 0L) AS value))), x -> x.value) AS {name}"))
+
 
+def _codes(text: str) -> str:
+    """The distinct codes of a text's words, rare words first; ``classes`` is the array of the word table."""
+    word = f"classes[CAST(shiftright(xxhash64(w) & {BUCKETS - 1}L, 3) AS INT)]"
+    rarity = f"(shiftrightunsigned({word}, CAST(8 * (xxhash64(w) & 7) AS INT)) & 63L)"
+    code = f"shiftleft({rarity}, 57) | (xxhash64(w) & 144115188075855871L)"
+    return f"sort_array(array_distinct(transform({_WORDS.format(text)}, w -> {code})))"
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """A row per line: doc_id, text_hash, line (from 0), content."""
-    return docs.selectExpr("doc_id", "xxhash64(text) AS text_hash", "posexplode(split(text, '\\n', -1)) AS (line, content)")
 
+def _lines(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """A row per line with words: doc_id, text_hash, line (from 0), codes.
 
-def _codes(lines: DataFrame, table: DataFrame) -> DataFrame:
-    """Add ``codes``: the distinct words' codes, rare words first; lines without words are left out."""
-    return lines.crossJoin(F.broadcast(table)).selectExpr(
-        *lines.columns,
-        f"""array_sort(array_distinct(transform(transform({_WORDS.format('content')}, w -> xxhash64(w)),
-            h -> shiftleft(classes[CAST(pmod(h, {BUCKETS}) AS INT)], 57) | (h & 144115188075855871L)))) AS codes""",
-    ).where("size(codes) > 0").drop("content")
+    All lines of a document are coded in one row, as the table (a megabyte, of
+    fixed size) is copied with each row it stands in.
+    """
+    return (
+        docs.crossJoin(F.broadcast(table))
+        .selectExpr("doc_id", "xxhash64(text) AS text_hash", f"transform(split(text, '\\n', -1), x -> {_codes('x')}) AS sets")
+        .selectExpr("doc_id", "text_hash", "posexplode(sets) AS (line, codes)")
+        .where("size(codes) > 0")
+    )
 
 
 def _spread(value: str) -> tuple[str, str]:
@@ -74,28 +89,33 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     table = stage(_word_table(docs), "word_classes")
-    # what orders lines: a row of three numbers
-    place = "struct(COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d, text_hash AS t, line AS l)"
     # the least number of shared words is ceil(percent * n / 100)
     spare = f"size(codes) - CAST(ceil({percent} * size(codes) / 100D) AS INT)"
     lines = stage(
-        _codes(_lines(docs), table).selectExpr(
-            "doc_id", "text_hash", "line", f"{place} AS place", "xxhash64(codes) AS node", "size(codes) AS n", f"slice(codes, 1, {spare} + 1) AS prefix"
+        _lines(docs, table).selectExpr(
+            "doc_id", "text_hash", "line", "xxhash64(codes) AS node", "size(codes) AS n", f"slice(codes, 1, {spare} + 1) AS prefix",
+            *[f"aggregate(codes, 0L, (s, c) -> IF((c & 64) = {64 * k}, s | shiftleft(1L, CAST(c & 63 AS INT)), s)) AS bits{k}" for k in (0, 1)],
         ),
         "lines",
     )
-    firsts = stage(lines.groupBy("node").agg(F.min("place").alias("place"), F.max("n").alias("n")), "first_lines")
-    words = lines.selectExpr("node", "n", "posexplode(prefix) AS (at, code)").groupBy("code", "node").agg(F.min("n").alias("n"), F.min("at").alias("at"))
-    shared = words.groupBy("code").agg(F.expr("COUNT(*) AS members")).where("members > 1")
-    lists = stage(words.join(shared, "code").join(firsts.select("node", "place"), "node"), "lists")
+    # equal lines are one node, placed where the first of them stands
+    firsts = stage(
+        lines.selectExpr("node", "n", "prefix", "bits0", "bits1", f"{_PLACE} AS place").groupBy("node")
+        .agg(F.min("place").alias("place"), *[F.min(c).alias(c) for c in ("n", "prefix", "bits0", "bits1")]),
+        "first_lines",
+    )
+    words = firsts.selectExpr("node", "n", "place", "bits0", "bits1", "posexplode(prefix) AS (at, code)").selectExpr("*", "COUNT(*) OVER (PARTITION BY code) AS members")
+    lists = stage(words.where("members > 1").drop("members"), "lists")
+    firsts = firsts.drop("prefix", "bits0", "bits1")
 
     ranked = lists.selectExpr("*", "ROW_NUMBER() OVER (PARTITION BY code ORDER BY place) AS k").where(f"k <= {PIVOTS}")
     left, right = "x", "y"
     need = f"CAST(ceil({percent} * (x.n + y.n) / {100.0 + percent}) AS INT)"
     match = f"""x.code = y.code AND y.place < x.place
         AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
-        AND 1 + least(x.n - x.at, y.n - y.at) - 1 >= {need} - least(x.at, y.at)"""
-    pivots = ranked.selectExpr("code", "node", "n", "at", "place")
+        AND least(x.n - x.at, y.n - y.at) + least(x.at, y.at) >= {need}
+        AND bit_count(x.bits0 ^ y.bits0) + bit_count(x.bits1 ^ y.bits1) <= x.n + y.n - 2 * {need}"""
+    pivots = ranked.drop("k")
     pairs = stage(lists.alias(left).join(pivots.alias(right), F.expr(match)).selectExpr("x.node AS node", "y.node AS other").distinct(), "pairs")
     matched = stage(_verified(docs, table, firsts, pairs, percent), "matched")
     # lines without a match so far meet the rest of their lists
@@ -107,7 +127,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     matched = matched.unionByName(_verified(docs, table, firsts, rest, percent)).distinct().withColumn("near", F.lit(True))
     return (
-        lines.join(firsts.selectExpr("node", "place AS first"), "node")
+        lines.selectExpr("doc_id", "text_hash", "line", "node", f"{_PLACE} AS place")
+        .join(firsts.selectExpr("node", "place AS first"), "node")
         .join(matched, "node", "left")
         .where("near OR place > first")
         .select("doc_id", "text_hash", "line")
@@ -120,20 +141,23 @@ def _verified(docs: DataFrame, table: DataFrame, firsts: DataFrame, pairs: DataF
     homes = stage(
         nodes.join(firsts, "node").selectExpr("node", "place", "xxhash64(place.d, place.t, place.l) AS mark"), "homes"
     )
-    word, bit = _spread("mark")
+    word, bit = _spread("xxhash64(d, t, CAST(i AS INT))")
     bits = stage(_bitmap(homes, "mark"), "bits")
-    # read only the lines that the bitmap lets through; the join on the place decides
+    # code only the lines that the bitmap lets through; the join on the place decides
     wanted = (
-        _lines(docs)
-        .selectExpr("COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d", "text_hash AS t", "line AS l", "content")
-        .selectExpr("*", "xxhash64(d, t, l) AS mark")
-        .crossJoin(F.broadcast(bits))
-        .where(f"getbit(bits[{word}], {bit}) = 1")
-        .select("d", "t", "l", "content")
+        docs.selectExpr("COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d", "xxhash64(text) AS t", "text")
+        .crossJoin(F.broadcast(bits)).crossJoin(F.broadcast(table))
+        .selectExpr(
+            "d", "t",
+            f"""transform(filter(transform(split(text, '\\n', -1), (x, i) -> struct(i AS l, x)),
+                s -> getbit(bits[{word.replace('CAST(i AS INT)', 's.l')}], {bit.replace('CAST(i AS INT)', 's.l')}) = 1),
+                s -> struct(s.l AS l, {_codes('s.x')} AS codes)) AS kept""",
+        )
+        .selectExpr("d", "t", "inline(kept)")
     )
     places = homes.selectExpr("node", "place.d AS d", "place.t AS t", "place.l AS l")
     sets = stage(
-        _codes(wanted, table).join(places, ["d", "t", "l"]).selectExpr("node", "codes").dropDuplicates(["node"]), "sets"
+        wanted.join(places, ["d", "t", "l"]).selectExpr("node", "codes").dropDuplicates(["node"]), "sets"
     )
     shared = "size(array_intersect(codes, others))"
     return (
