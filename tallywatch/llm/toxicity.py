@@ -83,34 +83,41 @@ def _score_rows(shared):
         for batch in batches:
             for first, last, hashes, offsets in hash_words(lowered(batch.column("text")), ALPHANUMERIC):
                 scores = _word_scores(hashes, model, table)
-                best, significant, passages = [], [], []
+                top, best, significant, passages = [], [], [], []
                 for i in range(last - first):
                     own = scores[offsets[i] : offsets[i + 1]]
                     found = segments(own) if len(own) and own.max() > 0 else []
                     size = math.log(max(1, len(own))) + model.log_k
                     rated = [(a, b - a, s, math.exp(min(50.0, size - model.decay * s))) for a, b, s in found]
                     good = [x for x in rated if x[3] <= SIGNIFICANT]
-                    best.append(model.decay * max((x[2] for x in rated), default=0.0) - size)
+                    top.append(max((x[2] for x in rated), default=0.0))
+                    best.append(model.decay * top[-1] - size)
                     significant.append(len(good))
                     passages.append([dict(zip(("first_word", "n_words", "score", "expected"), x)) for x in good])
-                logit = np.column_stack([np.ones(len(best)), best, np.log1p(significant)]) @ model.weights
+                logit = _traits(np.array(top), np.array(best), np.array(significant)) @ model.weights
                 rest = [batch.column(c).slice(first, last - first) for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays(
                     rest
                     + [
                         pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500)))),
+                        pa.array(top, pa.float64()),
                         pa.array(best, pa.float64()),
                         pa.array(significant, pa.int64()),
                         pa.array(passages, pa.list_(_PASSAGE)),
                     ],
-                    names=[c for c in batch.schema.names if c != "text"] + ["score", "best", "significant", "passages"],
+                    names=[c for c in batch.schema.names if c != "text"] + ["score", "top", "best", "significant", "passages"],
                 )
 
     return run
 
 
+def _traits(top: np.ndarray, best: np.ndarray, significant: np.ndarray) -> np.ndarray:
+    """What the probability is made of. A best segment no better than chance, or none, counts as nothing, however short the text."""
+    return np.column_stack([np.ones(len(best)), np.where(top > 0, np.maximum(best, 0.0), 0.0), np.log1p(significant)])
+
+
 _PASSAGE = pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())])
-_SCORED = "score double, best double, significant bigint, passages array<struct<first_word bigint, n_words bigint, score double, expected double>>"
+_SCORED = "score double, top double, best double, significant bigint, passages array<struct<first_word bigint, n_words bigint, score double, expected double>>"
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -211,12 +218,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     if len(y):
         clean = best[(y == 0)]
         # clean documents' best segments follow a Gumbel law around ln K + Euler's constant
-        with_hits = clean[clean > clean.min()] if len(clean) else clean
-        model.log_k = float(np.mean(with_hits) - 0.5772) if len(with_hits) > 20 else 0.0
-        again = _scored(train, model).select("toxic", "best", "significant").toArrow()
+        model.log_k = float(np.mean(clean) - 0.5772) if len(clean) > 20 else 0.0
+        again = _scored(train, model).select("toxic", "top", "best", "significant").toArrow()
         y = again.column("toxic").to_numpy().astype(float)
-        x = np.column_stack([np.ones(len(y)), again.column("best").to_numpy(), np.log1p(again.column("significant").to_numpy())])
-        model.weights = _logistic(x, y)
+        model.weights = _logistic(_traits(again.column("top").to_numpy(), again.column("best").to_numpy(), again.column("significant").to_numpy()), y)
     else:
         model.weights = np.array([-1.0, 0.0, 0.0])
     return model
