@@ -1,6 +1,7 @@
 import re
 
 from tallywatch.llm import decontam as D
+from text_fixtures import docs_of  # noqa: F401 (a fixture)
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tallywatch.llm import jaccard as J
+from text_fixtures import docs_of  # noqa: F401 (a fixture)
 
 
 def shingle_set(text, size):

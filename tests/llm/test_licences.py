@@ -1,4 +1,5 @@
 from tallywatch.llm import licences as L
+from text_fixtures import docs_of  # noqa: F401 (a fixture)
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software.
 # The above copyright notice and this permission notice shall be included in all copies.

@@ -3,6 +3,7 @@ import re
 import string
 
 from tallywatch.llm import lines as L
+from text_fixtures import docs_of  # noqa: F401 (a fixture)
 
 SPLIT = re.compile("[ \t\n\x0b\x0c\r" + re.escape(string.punctuation) + "]+")
 

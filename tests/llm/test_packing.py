@@ -4,6 +4,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tallywatch.llm import packing as P
+from text_fixtures import docs_of  # noqa: F401 (a fixture)
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["Hello<|endoftext|> world, it's we'll DON'T.", "ΣΑΣ ΣΑΣ. Ǆ İI ﬁ été", "a b\x1cc\x85d", "", "  ", "«über»...! x", "a1b2 c_d __x__ 'tis", None, "ÿŸ ßẞ µº ª\r\n\t."]

@@ -1,6 +1,7 @@
 import re
 
 from tallywatch.llm import pii as P
+from text_fixtures import docs_of  # noqa: F401 (a fixture)
 
 
 def replaced(docs_of, rows, key="k"):

@@ -4,6 +4,7 @@ import numpy as np
 from zlib import crc32
 
 from tallywatch.llm import toxicity as T
+from text_fixtures import docs_of  # noqa: F401 (a fixture)
 
 
 def brute_force_segments(scores):
