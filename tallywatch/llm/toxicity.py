@@ -1,13 +1,16 @@
 """Toxic passages as maximum-scoring segments.
 
-Fitting takes a bounded sample of labelled rows. Words whose log-odds between
-toxic and clean documents (with an informative Dirichlet prior) are significant
-get a score each; all other words share one, slightly negative. A linear-time
-scan then finds every maximal segment of a document, and extreme-value
-statistics of the clean documents tell which are too good for chance: a
-segment of score S among n words has E = K n exp(-lambda S) expected equals.
-The best segment's -ln E and the number of significant segments become a
-probability by a logistic fit on the same sample.
+Fitting takes a bounded sample of labelled rows. Tokens are whole words and the
+characters of words: runs of five, and beginnings of three to seven, so that
+inflected and compound forms share evidence in any language. Every token gets
+its shrunken log-odds between toxic and clean documents: a mixture of tokens
+without and with a class of their own, whose rate is learned from the sample,
+so that small samples shrink more and none switches off. A word scores as its
+most telling token. A linear-time scan then finds every maximal segment of a
+document, and extreme-value statistics of the clean documents tell which are
+too good for chance: a segment of score S among n words has E = K n exp(-S)
+expected equals. The best segment's -ln E and the number of significant
+segments become a probability by a logistic fit on the same sample.
 """
 
 from __future__ import annotations
@@ -20,22 +23,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallywatch.llm.common import ALPHANUMERIC, hash_words, in_bitmap, lowered, shingles, signed, stage
+from tallywatch.llm.common import _BASE, _INVERSE, ALPHANUMERIC, hash_words, lowered, mix, shingles, signed, stage
 
 FIT_ROWS = 20_000  # labelled rows that the fit aims at
-PRIOR_WORDS = 10_000.0  # size of the Dirichlet prior in words
-LEAST_Z = 5.0  # a word's log-odds count from so many standard errors
-LEAST_ODDS = 1.0  # and from this size
-LEAST_COUNT = 5
+PRIOR_DOCS = 2.0  # weight of the class shares in a telling token's prior, in documents
+GRAM = 5  # characters of a run within a word
+STARTS = range(3, 8)  # characters of a word's beginning
 SIGNIFICANT = 0.05  # a passage is reported up to this E
 
 
 @dataclass
 class Model:
-    words: np.ndarray  # sorted hashes of scored words
+    tokens: np.ndarray  # sorted hashes of all tokens of the sample
     scores: np.ndarray
-    rest: float  # score of every other word
-    decay: float  # lambda
+    drift: float  # taken from every word's score: exp(score) has mean 1 over words of clean documents
     log_k: float
     weights: np.ndarray  # logistic: constant, -ln E, log of one plus significant passages
 
@@ -59,39 +60,102 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(high - low)) for a, b, low, high, _ in found]
 
 
-def _word_scores(hashes: np.ndarray, model: Model, table: np.ndarray) -> np.ndarray:
-    out = np.full(len(hashes), model.rest)
-    if len(model.words):
-        maybe = np.flatnonzero(in_bitmap(hashes, table))
-        at = np.minimum(np.searchsorted(model.words, hashes[maybe]), len(model.words) - 1)
-        hit = model.words[at] == hashes[maybe]
-        out[maybe[hit]] = model.scores[at[hit]]
-    return out
+# ---- tokens ----------------------------------------------------------------
+def word_tokens(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens of each distinct word, about a megabyte of text at a time.
 
-
-def _bits(words: np.ndarray) -> np.ndarray:
-    table = np.zeros(1 << 14, np.uint64)
-    at = words & np.uint64((1 << 20) - 1)
-    np.bitwise_or.at(table, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return table
+    Yields (first text, one past the last, word numbers, offsets, tokens, token
+    offsets): the words of text ``first + i`` are ``numbers[offsets[i]:offsets[i + 1]]``,
+    and the tokens of word k are ``tokens[at[k]:at[k + 1]]``, the word's own first.
+    """
+    for first, last, hashes, offsets in hash_words(texts, ALPHANUMERIC):
+        data = np.frombuffer(b"\n".join(texts[first:last]), np.uint8)
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = ALPHANUMERIC[data]
+        edges = np.flatnonzero(np.diff(inside))
+        words, index, numbers = np.unique(hashes, return_index=True, return_inverse=True)
+        starts, ends = edges[0::2][index], edges[1::2][index]
+        found, sizes = [], []
+        for k in range(0, len(words), 1 << 16):
+            t, n = _grams(data, starts[k : k + (1 << 16)], ends[k : k + (1 << 16)], words[k : k + (1 << 16)])
+            found.append(t)
+            sizes.append(n)
+        at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+        yield first, last, numbers, offsets, np.concatenate(found) if found else words, at
+
+
+def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the given words, word by word, and their number for each word."""
+    size = ends - starts
+    begin = np.cumsum(size) - size
+    own = np.repeat(np.arange(len(size)), size)
+    text = data[np.arange(size.sum()) + (starts - begin)[own]]
+    lead = np.flatnonzero((text & 0xC0) != 0x80)  # first bytes of characters
+    of = own[lead]
+    chars = np.bincount(of, minlength=len(size))
+    nth = np.arange(len(lead)) - (np.cumsum(chars) - chars)[of]
+    bound = np.append(lead, len(text))
+    up, down = (np.full(len(text) + 1, b, np.uint64) for b in (_BASE, _INVERSE))
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(mix(text.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    word, token = [np.arange(len(words))], [words]
+    for n, start in [(GRAM, False)] + [(n, True) for n in STARTS]:
+        k = np.flatnonzero((nth + n <= chars[of]) & ((nth == 0) | (not start)))
+        a, b = bound[k], bound[k + n]
+        word.append(of[k])
+        token.append(mix((sums[b] - sums[a]) * down[a] + np.uint64((2 * n + start) * _INVERSE & (1 << 64) - 1)))
+    word, token = np.concatenate(word), np.concatenate(token)
+    return token[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+
+class _Scores:
+    """Scores of tokens by their hash; tokens that the sample does not have score 0."""
+
+    def __init__(self, model: Model):
+        self.tokens, self.scores = np.append(model.tokens, np.uint64(2**64 - 1)), np.append(model.scores, 0.0)
+        bits = max(1, len(model.tokens)).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(model.tokens, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.drift = model.drift
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        out, rows = np.zeros(len(tokens)), np.arange(len(tokens))
+        at = self.starts[(tokens >> self.shift).astype(np.int64)]
+        while len(rows):
+            here = self.tokens[at]
+            hit = here == tokens[rows]
+            out[rows[hit]] = self.scores[at[hit]]
+            on = (here < tokens[rows]) & (at < len(self.tokens) - 1)
+            rows, at = rows[on], at[on] + 1
+        return out
+
+    def words(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A word's score: that of its token farthest from 0, less the drift."""
+        if len(at) < 2:
+            return np.zeros(0)
+        own = self.of(tokens)
+        high, low = np.maximum.reduceat(own, at[:-1]), np.minimum.reduceat(own, at[:-1])
+        return np.where(high >= -low, high, low) - self.drift
 
 
 def _score_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        table = _bits(model.words)
+        table = _Scores(model)
         for batch in batches:
-            for first, last, hashes, offsets in hash_words(lowered(batch.column("text")), ALPHANUMERIC):
-                scores = _word_scores(hashes, model, table)
+            for first, last, numbers, offsets, tokens, at in word_tokens(lowered(batch.column("text"))):
+                scores = table.words(tokens, at)[numbers]
                 top, best, significant, passages = [], [], [], []
                 for i in range(last - first):
                     own = scores[offsets[i] : offsets[i + 1]]
                     found = segments(own) if len(own) and own.max() > 0 else []
                     size = math.log(max(1, len(own))) + model.log_k
-                    rated = [(a, b - a, s, math.exp(min(50.0, size - model.decay * s))) for a, b, s in found]
+                    rated = [(a, b - a, s, math.exp(min(50.0, size - s))) for a, b, s in found]
                     good = [x for x in rated if x[3] <= SIGNIFICANT]
                     top.append(max((x[2] for x in rated), default=0.0))
-                    best.append(model.decay * top[-1] - size)
+                    best.append(top[-1] - size)
                     significant.append(len(good))
                     passages.append([dict(zip(("first_word", "n_words", "score", "expected"), x)) for x in good])
                 logit = _traits(np.array(top), np.array(best), np.array(significant)) @ model.weights
@@ -130,9 +194,13 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column("toxic").to_numpy().astype(bool)
-        for first, last, hashes, offsets in hash_words(lowered(batch.column("text")), ALPHANUMERIC):
-            # a word counts once per document: repeats within one are no new evidence
-            own = [np.unique(hashes[offsets[i] : offsets[i + 1]]) for i in range(last - first)]
+        for first, last, numbers, offsets, tokens, at in word_tokens(lowered(batch.column("text"))):
+            # a token counts once per document: repeats within one are no new evidence
+            own = []
+            for i in range(last - first):
+                words = np.unique(numbers[offsets[i] : offsets[i + 1]])
+                n = at[words + 1] - at[words]
+                own.append(np.unique(tokens[np.arange(n.sum()) + np.repeat(at[words] - np.cumsum(n) + n, n)]))
             mark = np.repeat(toxic[first:last], [len(x) for x in own])
             words, back = np.unique(np.concatenate(own), return_inverse=True)
             bad = np.bincount(back[mark], minlength=len(words))
@@ -142,6 +210,45 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _drift_rows(shared):
+    """Words of clean documents, and the sum of exp(score) over them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Scores(shared.value)
+        for batch in batches:
+            clean = batch.column("toxic").to_numpy() == 0
+            n, total = 0, 0.0
+            for first, last, numbers, offsets, tokens, at in word_tokens(lowered(batch.column("text"))):
+                own = numbers[np.repeat(clean[first:last], np.diff(offsets))]
+                n, total = n + len(own), total + float(np.exp(table.words(tokens, at)[own]).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], names=["n", "total"])
+
+    return run
+
+
+def _log_odds(t: np.ndarray, c: np.ndarray, share: float) -> np.ndarray:
+    """Shrunken log-odds of tokens held by t toxic and c clean documents.
+
+    A token either follows the toxic ``share`` of the sample, or has a share of
+    its own with a beta prior around it. The rate of the second kind is found by
+    expectation maximisation over all tokens; a token's log-odds are weighted by
+    the probability that it is of the second kind.
+    """
+    pairs, back, n = np.unique(np.column_stack([t, c]), axis=0, return_inverse=True, return_counts=True)
+    a, b = PRIOR_DOCS * share, PRIOR_DOCS * (1 - share)
+    fixed = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    gain = np.array([
+        fixed + math.lgamma(x + a) + math.lgamma(y + b) - math.lgamma(x + y + a + b) - x * math.log(share) - y * math.log(1 - share)
+        for x, y in pairs.tolist()
+    ])
+    rate = 0.01
+    for _ in range(50):
+        telling = 1 / (1 + np.exp(-np.clip(gain + math.log(rate / (1 - rate)), -500, 500)))
+        rate = (float(telling @ n) + 1) / (n.sum() + 100)
+    odds = np.log((pairs[:, 0] + a) / (pairs[:, 1] + b)) - math.log(a / b)
+    return (telling * odds)[back.reshape(-1)]
+
+
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the least hash of a text's five-word runs, which near copies mostly share."""
     for batch in batches:
@@ -192,27 +299,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         .agg(F.sum("in_toxic").alias("t"), F.sum("in_clean").alias("c"))
     )
     counts = stage(counts, "word_counts")
-    sums = counts.selectExpr("COALESCE(SUM(t), 0) AS t", "COALESCE(SUM(c), 0) AS c").first()
-    n_t, n_c, prior = float(sums["t"]), float(sums["c"]), PRIOR_WORDS
-    # prior in proportion to the words' use in all of the sample
-    a = f"({prior} * (t + c) / {n_t + n_c or 1.0})"
-    odds = counts.where(f"t + c >= {LEAST_COUNT}").selectExpr(
-        "word", "t", "c",
-        f"ln((t + {a}) / ({n_t + prior} - t - {a})) - ln((c + {a}) / ({n_c + prior} - c - {a})) AS delta",
-        f"sqrt(1 / (t + {a}) + 1 / (c + {a})) AS error",
-    )
-    chosen = odds.where(f"delta / error >= {LEAST_Z} AND delta >= {LEAST_ODDS}").toArrow() if n_t and n_c else None
-    if chosen is None or not chosen.num_rows:
-        model = Model(np.zeros(0, np.uint64), np.zeros(0), -0.1, 1.0, 0.0, np.zeros(3))
-    else:
-        t, c = chosen.column("t").to_numpy().astype(float), chosen.column("c").to_numpy().astype(float)
-        own = prior * (t + c) / (n_t + n_c)
-        p_t, p_c = (t + own) / (n_t + prior), (c + own) / (n_c + prior)
-        rest = math.log((1 - p_t.sum()) / (1 - p_c.sum()))
-        words = chosen.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(words)
-        model = Model(words[order], np.log(p_t / p_c)[order], min(rest, -1e-3), 1.0, 0.0, np.zeros(3))
-        model.decay = _decay(model, p_c[order])
+    docs_of = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_t, n_c = docs_of.get(1, 0), docs_of.get(0, 0)
+    model = Model(np.zeros(0, np.uint64), np.zeros(0), 1e-3, 0.0, np.zeros(3))
+    if n_t and n_c:
+        # all tokens of the sample, three numbers each
+        held = counts.toArrow()
+        tokens = held.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(tokens)
+        model.tokens, model.drift = tokens[order], 0.0
+        model.scores = _log_odds(held.column("t").to_numpy(), held.column("c").to_numpy(), n_t / (n_t + n_c))[order]
+        words = train.mapInArrow(_drift_rows(docs.sparkSession.sparkContext.broadcast(model)), "n bigint, total double").selectExpr("SUM(n) AS n", "SUM(total) AS total").first()
+        model.drift = max(1e-3, math.log(words["total"] / words["n"])) if words["n"] else 1e-3
     rated = _scored(train, model).select("toxic", "best").toArrow()  # about fit_rows rows
     y, best = rated.column("toxic").to_numpy().astype(float), rated.column("best").to_numpy()
     if len(y):
@@ -227,18 +325,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return model
 
 
-def _decay(model: Model, p_c: np.ndarray) -> float:
-    """The positive root of sum p exp(lambda s) = 1 under the clean word use."""
-    total = lambda x: float(p_c @ np.exp(x * model.scores) + (1 - p_c.sum()) * math.exp(x * model.rest)) - 1
-    low, high = 1e-3, 1.0
-    while total(high) < 0 and high < 64:
-        high *= 2
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if total(middle) < 0 else (low, middle)
-    return high
-
-
 def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted and the significant passages, one row per document row.
 

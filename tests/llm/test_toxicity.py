@@ -68,3 +68,19 @@ def test_no_labels_and_no_rows(spark, docs_of):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert {r["predicted"] for r in T.score(docs_of(["a", None]), none).collect()} <= {0}
     assert T.score(docs_of([]), none).count() == 0
+
+
+def test_inflected_forms_share_evidence_in_a_small_sample(spark, docs_of):
+    """No toxic form stands in more than a few texts: only what the forms have in common tells."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(300):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randrange(4, 9))) for _ in range(30)]
+        if i % 6 == 0:
+            words[10:10] = [f"šmuz{''.join(rng.choices('rstuvwx', k=4))}" for _ in range(3)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 6 == 0)))
+    frame = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    held = [r for r in T.score(docs_of(rows), frame).collect() if r["held_out"]]
+    toxic = [r["predicted"] for r in held if r["doc_id"] % 6 == 0]
+    assert toxic and all(toxic) and not any(r["predicted"] for r in held if r["doc_id"] % 6)
