@@ -1,7 +1,7 @@
 """Licence recognition by sentences.
 
-Text is cut into sentences and normalised; known sentences become identifiers;
-the sequence of a document's identifiers is matched against licence rules in
+Text is cut into sentences, over line breaks, and normalised; known sentences
+become identifiers, one for each pattern they match; the sequence of a document's identifiers is matched against licence rules in
 their order, and what a rule has used is gone for the rules behind it. One
 pass, no shuffle, built-in functions only.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A pattern over the normalised sentence per identifier. First match wins.
+# A pattern over the normalised sentence per identifier. The last counts only where no other matches.
 SENTENCES = [
     ("MITGrant", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("MITNotice", r"the above copyright notice and this permission notice shall be included"),
@@ -74,6 +74,14 @@ RULES = [
 ]
 KEYWORDS = r"licen[cs]e|copyright|permission|redistribution|provided|warrant|in no event|rights reserved|creative commons|spdx"
 
+# the same where a line break or a comment mark parts the words
+_HINT = KEYWORDS.replace(" ", r"[^\p{L}\p{N}]+")
+# lines that are sentences of their own, whatever stands around them
+_OWN_LINE = r"(?m)^([^\p{L}\p{N}\r\n]*(?:(?:copyright|\(c\)|c |©)[^\r\n]*[0-9]{4}|spdx.license.identifier)[^\r\n]*)$"
+_WORD_MARKS = r"(?m)^[ \t]*(?:dnl|rem)[ \t]+"
+# full stops, and lines without a letter or digit
+_ENDS = r"[.!?]+\s+|[\r\n]+[^\p{L}\p{N}\r\n]*[\r\n]+"
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -82,21 +90,27 @@ def _quoted(text: str) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """Add ``sentence_ids`` and ``licences`` (arrays in text order, and in rule order) to every row.
 
-    Sentences end at a line break, or at a full stop before white space. Signs
-    other than letters, digits and full stops inside words are dropped before
-    comparison, so comment marks and decoration do not matter. Text of any
+    Sentences end at a full stop before white space and at lines without letter
+    or digit; copyright lines with a year and SPDX lines stand alone. Other line
+    breaks are blanks. Signs other than letters, digits and full stops inside
+    words are dropped before comparison, so comment marks and decoration do not
+    matter. A sentence has an identifier for each pattern in it, in the order of
+    their places. Text of any
     length is read whole; null or empty text has no sentences; repeated rows are
     scanned alike; other columns stay as they are, but for two of these names.
     """
     kept = [c for c in docs.columns if c not in ("sentence_ids", "licences")]
-    known = " ".join(f"WHEN x RLIKE {_quoted(p)} THEN '{i}'" for i, p in SENTENCES)
+    known = ", ".join(f"named_struct('at', regexp_instr(x, {_quoted(p)}), 'k', {k}, 'id', '{i}')" for k, (i, p) in enumerate(SENTENCES))
     clean = r"trim(regexp_replace(regexp_replace(x, '[^\\p{L}\\p{N}.]+', ' '), '[. ]+$', ''))"
-    sentences = f"""filter(transform(filter(split(lower(text), '[\\n\\r]+|[.!?]+\\\\s+'), x -> x RLIKE {_quoted(KEYWORDS)}),
+    folded = f"regexp_replace(regexp_replace(replace(lower(text), '\\r\\n', '\\n'), {_quoted(_WORD_MARKS)}, ''), {_quoted(_OWN_LINE)}, '\\n\\n$1\\n\\n')"
+    sentences = f"""filter(transform(filter(split({folded}, {_quoted(_ENDS)}), x -> x RLIKE {_quoted(_HINT)}),
         x -> {clean}), x -> x != '')"""
+    matches = f"transform(array_sort(filter(array({known}), s -> s.at > 0)), s -> s.id)"
+    last = SENTENCES[-1][0]
     found = docs.withColumn(
         "sentence_ids",
-        F.expr(f"""CASE WHEN lower(text) RLIKE {_quoted(KEYWORDS)}
-            THEN filter(transform({sentences}, x -> CASE {known} END), x -> x IS NOT NULL)
+        F.expr(f"""CASE WHEN lower(text) RLIKE {_quoted(_HINT)}
+            THEN flatten(transform(transform({sentences}, x -> {matches}), i -> IF(size(i) > 1, array_remove(i, '{last}'), i)))
             ELSE CAST(array() AS array<string>) END"""),
     )
     # the sequence as a text with one space on either side of each identifier
