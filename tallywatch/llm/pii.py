@@ -27,7 +27,6 @@ PATTERNS = [
     ("address", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"),
     ("name", rf"(?<!\w)(?:{_MALE}|{_FEMALE}|{_PLAIN})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"),
 ]
-_HINT = rf"[@]|[0-9]{{3}}|[0-9]\.[0-9]|[0-9a-fA-F]{{32}}|(?<!\w)(?:{_MALE}|{_FEMALE}|{_PLAIN})\.? \p{{Lu}}"
 ROUNDS = 16
 # Given names and syllables of surrogates per script and gender.
 NAMES = {
@@ -142,7 +141,7 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     gives the same surrogates as long as the set of entities is the same.
     """
     pattern = _q(PATTERN)
-    keyed = docs.selectExpr("doc_id", "text", f"COALESCE(text RLIKE {_q(_HINT)}, false) AS hinted")
+    keyed = docs.selectExpr("doc_id", "text", f"COALESCE(text RLIKE {pattern}, false) AS hinted")
     quiet = keyed.where("NOT hinted").selectExpr("doc_id", "text", "0L AS n_mentions")
     cut = keyed.where("hinted").selectExpr(
         "doc_id", "xxhash64(text) AS text_hash", f"regexp_extract_all(text, {pattern}, 0) AS mentions", f"split(text, {pattern}, -1) AS pieces"
