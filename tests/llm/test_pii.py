@@ -70,3 +70,26 @@ def test_each_kind_alone_in_a_text(spark, docs_of):
     out = replaced(docs_of, [f"so {x} it is" for x in alone])
     for i, x in enumerate(alone):
         assert out[i][1] == 1 and x not in out[i][0], x
+
+
+def test_numbers_of_other_layouts(spark, docs_of):
+    numbers = [
+        "+4917012345678", "+49 170 1234567", "+33 1 23 45 67 89", "555-123-4567", "555.123.4567", "555 123 4567", "(030) 1234567", "0170/1234567",
+        "01 23 45 67 89", "5551234", "123-45-6789", "2001:db8:85a3::8a2e:370:7334", "fe80::1ff:fe23:4567:890a", "DE89 3704 0044 0532 0130 00",
+        "GB29NWBK60161331926819", "+44 (0)20 7946 0958",
+    ]
+    out = replaced(docs_of, [f"so {x}, it is" for x in numbers] + [f"So {x}." for x in numbers])
+    shape = lambda x: re.sub("[0-9a-f]", "0", x)
+    for i, x in enumerate(numbers):
+        got = out[i][0][3 : 3 + len(x)]
+        assert out[i][1] == 1 and got != x and out[i][0] == f"so {got}, it is" and out[i + len(numbers)] == (f"So {got}.", 1), x
+        assert re.sub("[A-Z]", "A", shape(got)) == re.sub("[A-Z]", "A", shape(x)), x
+    for i in (13, 14):
+        plain = out[i][0][3:-7].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_other_numbers_stay(spark, docs_of):
+    rows = ["on 2020-01-15 or 15.01.2020", "1990-2000", "1.000.000 of 3.1415926", "at 12:30:45", "10 20 30 40 50", "std::add and a::b", "12345678901234567890"]
+    out = replaced(docs_of, rows)
+    assert [out[i] for i in range(len(rows))] == [(r, 0) for r in rows]
