@@ -146,6 +146,8 @@ def _tokens(path: str, end: int):
 def shares(weights: list[float]) -> list[int]:
     """Weights as whole multiples of 2**-18 that add up to one, each at least one unit."""
     whole = 1 << SHARE_BITS
+    if len(weights) > whole // 2:
+        raise ValueError(f"{len(weights)} queues: shares have {SHARE_BITS} bits")
     total = float(sum(weights))
     out = [max(1, int(w / total * whole)) for w in weights]
     out[out.index(max(out))] += whole - sum(out)
@@ -176,8 +178,9 @@ def place(queue: int, begin: np.ndarray, n: np.ndarray, plan: list[dict], window
     """
     doc, first, length, line = [], [], [], []
     bounds = [p["used"][queue] for p in plan] + [np.iinfo(np.int64).max]
+    from_, to = (int(begin.min()), int((begin + n).max())) if len(begin) else (0, 0)
     for k, p in enumerate(plan):
-        if queue not in p["active"]:
+        if bounds[k + 1] <= from_ or bounds[k] >= to or queue not in p["active"]:
             continue
         lo = np.maximum(begin, bounds[k])
         hi = np.minimum(begin + n, bounds[k + 1])
@@ -194,11 +197,16 @@ def place(queue: int, begin: np.ndarray, n: np.ndarray, plan: list[dict], window
         owner = np.repeat(np.arange(len(docs)), count)
         r = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[owner]
         uniq, back = np.unique(r, return_inverse=True)
-        before = np.minimum((uniq[:, None] * window * share[None, :]) >> SHARE_BITS, left)
-        after = np.minimum(((uniq[:, None] + 1) * window * share[None, :]) >> SHARE_BITS, left)
-        round_at = p["base"] + before.sum(1) + (after - before)[:, :here].sum(1)
-        s, e = np.maximum(before[:, here][back], a[owner]), np.minimum(after[:, here][back], b[owner])
-        at = round_at[back] + s - before[:, here][back]
+        round_at, rows = np.empty(len(uniq), np.int64), max(1, (1 << 20) // len(share))
+        for i in range(0, len(uniq), rows):  # bounds the working arrays
+            some = uniq[i : i + rows, None] * window
+            before = np.minimum((some * share) >> SHARE_BITS, left)
+            after = np.minimum(((some + window) * share[:here]) >> SHARE_BITS, left[:here])
+            round_at[i : i + rows] = p["base"] + before.sum(1) + (after - before[:, :here]).sum(1)
+        own = np.minimum((uniq * step) >> SHARE_BITS, left[here])
+        own_end = np.minimum(((uniq + 1) * step) >> SHARE_BITS, left[here])
+        s, e = np.maximum(own[back], a[owner]), np.minimum(own_end[back], b[owner])
+        at = round_at[back] + s - own[back]
         keep = e > s
         doc.append(docs[owner[keep]])
         first.append((s + bounds[k])[keep] - begin[docs[owner[keep]]])
@@ -252,16 +260,14 @@ def pack(
     window: int = 4096,
     targets: Mapping[str, float] | None = None,
     end: int = 2,
-    queues: int = 64,
 ) -> DataFrame:
     """Pack every document into windows of ``window`` tokens at target token shares.
 
     ``docs`` needs doc_id, text and source. ``targets`` gives a weight per source
     (sources it does not name share one queue of weight 1); without it each
-    source's weight is its token count, so all queues last to the end. At most
-    ``queues`` queues exist: the sources with most documents have one each, all
-    others share the last. ``tokenizer`` is the path of a vocabulary file on
-    every machine.
+    source's weight is its token count, so all queues last to the end, and every
+    source has a queue of its own. ``tokenizer`` is the path of a vocabulary file
+    on every machine.
 
     Returns one row per piece: doc_id, start and length within the document's
     ids, doc_tokens, sequence_id, offset, queue, ids (little-endian 32 bits).
@@ -272,12 +278,15 @@ def pack(
     """
     spark = docs.sparkSession
     names = sorted(targets) if targets else [
-        r[0] for r in docs.groupBy("source").count().orderBy(F.desc("count"), "source").limit(queues - 1).collect()
+        r[0] for r in docs.groupBy("source").count().orderBy(F.desc("count"), "source").collect()
     ]
-    number = F.lit(len(names)).cast("int")
-    for i, name in enumerate(names):
-        number = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(i)).otherwise(number)
-    queued = docs.select("doc_id", "text", number.cast("int").alias("queue"), F.spark_partition_id().alias("part"))
+    # one row per source, as many as the plan of phases has queues anyway
+    known = spark.createDataFrame(
+        pa.table({"_name": pa.array(names, pa.string()), "_queue": pa.array(range(len(names)), pa.int32())}), "_name string, _queue int"
+    )
+    queued = docs.join(F.broadcast(known), F.expr("source <=> _name"), "left").select(
+        "doc_id", "text", F.expr(f"COALESCE(_queue, {len(names)})").alias("queue"), F.spark_partition_id().alias("part")
+    )
     kind = docs.schema["doc_id"].dataType.simpleString()
     tokens = stage(
         queued.mapInArrow(

@@ -83,3 +83,15 @@ def test_targets_set_the_mixture(spark, docs_of):
 
 def test_empty_table(spark, docs_of):
     assert P.pack(docs_of([]), PATH).count() == 0
+
+
+def test_every_source_has_a_queue(spark, docs_of):
+    """More sources than 64, equal in tokens: each is in every full window with its share."""
+    rows = [(i, "a b c d e f g " * 3, f"s{i % 100}" if i % 100 else None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    pieces = P.pack(docs, PATH, window=200).toPandas()
+    assert pieces.queue.nunique() == 100
+    windows = pieces[pieces.sequence_id < pieces.sequence_id.max()].groupby(["sequence_id", "queue"]).length.sum().unstack(fill_value=0)
+    tokens = pieces.groupby("queue").length.sum()
+    due = 200 * tokens / tokens.sum()
+    assert len(windows) > 30 and ((windows - due).abs() <= 4).all().all() and windows.shape[1] == 100
