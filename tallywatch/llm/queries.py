@@ -228,3 +228,12 @@ def _(spark, folder):
 
     label = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label"
     return hard_negatives(table(spark, folder, "embeddings").selectExpr("vec_id", label, "embedding"), "vec_id % 100 = 0")
+
+
+@query("op12_simhash")
+def _(spark, folder):
+    from tallywatch.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents")).selectExpr(
+        "doc_id", "lower(lpad(hex(print), 16, '0')) AS fingerprint", "component_id", "n_shingles"
+    )

@@ -24,5 +24,5 @@ def test_query(name, spark, data):
 
 
 def test_names():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in QUERIES if q.startswith(f"op{n}_")]) == 1
