@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -167,3 +168,16 @@ def lowered(column) -> list[bytes]:
 
 def signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
+
+
+_BLANK = re.compile(rb"[\x09-\x0D\x20]")
+
+
+def word_pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words between ASCII blanks, about a megabyte of text at a time; words are never cut."""
+    at = 0
+    while at < len(text):
+        end = _BLANK.search(text, at + _CHUNK) if len(text) - at > _CHUNK else None
+        stop = end.end() if end else len(text)
+        yield text[at:stop].split()
+        at = stop

@@ -237,3 +237,29 @@ def _(spark, folder):
     return near_duplicates(table(spark, folder, "documents")).selectExpr(
         "doc_id", "lower(lpad(hex(print), 16, '0')) AS fingerprint", "component_id", "n_shingles"
     )
+
+
+# Every term of every item against every document that holds it.
+_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+a AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS total FROM n),
+f AS (SELECT doc_id, term, count(*) AS tf FROM d SEMI JOIN i USING (term) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, a GROUP BY term, documents),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * documents) // total))))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN w USING (term) JOIN n USING (doc_id), a GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER r AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW r AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER r <= 10"""
+
+
+@query("op13_search", _OP13)
+def _(spark, folder):
+    from tallywatch.llm.lexical import search
+
+    return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

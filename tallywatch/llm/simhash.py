@@ -19,7 +19,6 @@ gives at most m rows per tile pair, and components follow from the forests.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,25 +26,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallywatch.llm.common import signed, stage
+from tallywatch.llm.common import signed, stage, word_pieces
 from tallywatch.llm.components import components
 
 SEED = 42
 TILE = 4096
 ROWS = 64  # rows of a tile that are compared at a time
 COMPARISONS = 1 << 27  # aimed at per partition
-PIECE = 1 << 20  # bytes of text split into words at a time
-_BLANK = re.compile(rb"[\x09-\x0D\x20]")
-
-
-def word_pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, about a megabyte at a time; words are never cut."""
-    at = 0
-    while at < len(text):
-        end = _BLANK.search(text, at + PIECE) if len(text) - at > PIECE else None
-        stop = end.end() if end else len(text)
-        yield text[at:stop].split()
-        at = stop
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:

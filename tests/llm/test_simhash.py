@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from text_fixtures import docs_of  # noqa: F401 (a fixture)
 
-from tallywatch.llm import simhash as S
+from tallywatch.llm import common, simhash as S
 
 
 def plain_fingerprint(text, size=3):
@@ -61,7 +61,7 @@ def test_very_long_text(spark, docs_of, monkeypatch):
     text = " ".join(f"w{i % 977}" for i in range(400_000)) + " " + "q" * 3_000_000 + " end"
     whole = S.fingerprint(text, 3)
     assert whole == (plain_fingerprint(text), 400_000)
-    monkeypatch.setattr(S, "PIECE", 10)
+    monkeypatch.setattr(common, "_CHUNK", 10)
     assert S.fingerprint(text[:5000], 3) == (plain_fingerprint(text[:5000]), len(text[:5000].split()) - 2)
     assert [r["component_id"] for r in S.near_duplicates(docs_of([(2, text), (1, text)])).collect()] == [1, 1]
 
