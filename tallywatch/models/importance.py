@@ -42,11 +42,8 @@ def grouped_average_precision(scored: DataFrame, key: str) -> DataFrame:
     points = scored.groupBy(key, "score").agg(
         F.expr("COUNT(*) AS n"), F.expr("COUNT_IF(isFraud <=> 1) AS pos")
     )
-    curve = running_totals(points, [key, "score DESC"], {"alerts": "n", "tp": "pos"})
-    # totals run on from one key to the next: take off what stood before the key
-    before = curve.groupBy(key).agg(F.expr("MIN(alerts - n) AS alerts_before"), F.expr("MIN(tp - pos) AS tp_before"))
-    own = curve.join(F.broadcast(before), key)  # one row per key
-    area = f"SUM({double('pos')} * {double('tp - tp_before')} / {double('alerts - alerts_before')}) / NULLIF({double('SUM(pos)')}, 0D)"
+    own = running_totals(points, ["score DESC"], {"alerts": "n", "tp": "pos"}, segments=[key])
+    area = f"SUM({double('pos')} * {double('tp')} / {double('alerts')}) / NULLIF({double('SUM(pos)')}, 0D)"
     return own.groupBy(key).agg(F.expr(f"{area} AS ap"))
 
 

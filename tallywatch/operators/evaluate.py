@@ -32,6 +32,48 @@ def score_curve(
     return running_totals(groups, ["score DESC"], sums, partitions).drop("one")
 
 
+def segmented_curve(long: DataFrame, by: list[str], score: str = "score", label: str = "isFraud") -> DataFrame:
+    """The curves of many models and periods in one plan: ``by``, then the columns of ``score_curve``.
+
+    ``long`` has a row per row, model and period. One group-by and one range
+    exchange serve all curves.
+    """
+    groups = (
+        long.where(f"{score} IS NOT NULL")
+        .groupBy(*by, F.expr(f"{double(score)} AS score"))
+        .agg(F.expr("COUNT(*) AS n"), F.expr(f"{count_if(is_one(label))} AS pos"), F.expr("1L AS one"))
+    )
+    return running_totals(groups, ["score DESC"], {"alerts": "n", "tp": "pos", "place": "one"}, segments=by).drop("one")
+
+
+def unpivoted_scores(rows: DataFrame, columns: dict[str, str], keep: list[str]) -> DataFrame:
+    """One row per row and model: ``keep``, model, score. ``columns`` maps a model to its score column."""
+    cells = ", ".join(f"struct({text(model)} AS model, {double(column)} AS score)" for model, column in columns.items())
+    return rows.selectExpr(*keep, f"inline(array({cells}))")
+
+
+def segmented_thresholds(curves: DataFrame, by: str = "model") -> DataFrame:
+    """(``by``, Threshold, Precision, Recall, F2): the best F2 of each curve, the lowest threshold among equals."""
+    whole = curves.groupBy(by).agg(F.expr("MAX(tp) AS fraud"))  # one row per curve
+    points = curves.join(F.broadcast(whole), by).selectExpr(
+        by, "score AS Threshold", f"{ratio('tp', 'alerts')} AS Precision", f"{ratio('tp', 'fraud')} AS Recall"
+    )
+    best = points.selectExpr("*", f"{curve_f2('Precision', 'Recall')} AS F2").groupBy(by).agg(
+        F.expr("MAX(struct(F2, -Threshold AS low, Precision, Recall)) AS b")
+    )
+    return best.selectExpr(by, "-b.low AS Threshold", "b.Precision", "b.Recall", "b.F2")
+
+
+def segmented_metrics(curves: DataFrame, cuts: DataFrame, by: str = "model") -> DataFrame:
+    """Metric rows of many curves, each at its own Threshold in ``cuts``; one aggregate."""
+    cells = (
+        curves.join(F.broadcast(cuts.selectExpr(by, "Threshold AS cut")), by)  # one row per curve
+        .groupBy(by)
+        .agg(*map(F.expr, [*_AREA_SUMS, "MAX(cut) AS cut", *_CUT_SUMS]))
+    )
+    return _metric_row(cells, by, "cut", _ROC_AUC, _AVERAGE_PRECISION, literal=False)
+
+
 def _with_totals(curve: DataFrame) -> DataFrame:
     """Add rows, fraud and points of the whole curve, from a one-row subquery."""
     whole = "struct(MAX(alerts) AS rows, MAX(tp) AS fraud, MAX(place) AS points)"
@@ -153,10 +195,18 @@ _METRIC_FIELDS = {
 }
 
 
-def _metric_row(cells: DataFrame, model: str, threshold: str, auc: str, ap: str) -> DataFrame:
+_CUT_SUMS = [
+    f"{sum_if('score >= cut', 'pos')} AS tp",
+    f"{sum_if('score >= cut', 'n - pos')} AS fp",
+    f"{sum_if('score < cut', 'n - pos')} AS tn",
+    f"{sum_if('score < cut', 'pos')} AS fn",
+]
+
+
+def _metric_row(cells: DataFrame, model: str, threshold: str, auc: str, ap: str, literal: bool = True) -> DataFrame:
     """The 17 fields from tp, fp, tn, fn; undefined ratios are 0."""
     return cells.selectExpr(
-        f"{text(model)} AS Model",
+        f"{text(model) if literal else model} AS Model",
         f"{double(threshold)} AS Threshold",
         f"{double(auc)} AS ROC_AUC",
         f"{double(ap)} AS Average_Precision",
@@ -173,10 +223,7 @@ def classification_metrics(curve: DataFrame, threshold: float | Column, model: s
     cells = curve.withColumn("cut", cut).selectExpr(
         *_AREA_SUMS,
         "MAX(cut) AS cut",
-        f"{sum_if('score >= cut', 'pos')} AS tp",
-        f"{sum_if('score >= cut', 'n - pos')} AS fp",
-        f"{sum_if('score < cut', 'n - pos')} AS tn",
-        f"{sum_if('score < cut', 'pos')} AS fn",
+        *_CUT_SUMS,
     )
     return _metric_row(cells, model, "cut", _ROC_AUC, _AVERAGE_PRECISION)
 

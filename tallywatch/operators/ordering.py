@@ -13,8 +13,11 @@ offsets would no longer fit.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch.session import materialise
@@ -56,27 +59,60 @@ def global_row_number(
     )
 
 
+def _cumulated(segments: Sequence[str], sums: dict[str, str]):
+    """Running sums inside a sorted partition, beginning anew with each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, np.zeros((len(sums), 1), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.stack([batch.column(source).to_numpy(zero_copy_only=False).astype(np.int64) for source in sums.values()])
+            starts = np.zeros(batch.num_rows, bool)
+            first = tuple(batch.column(c)[0].as_py() for c in segments)
+            starts[0] = first != last
+            for c in segments:
+                column = batch.column(c)
+                starts[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            totals = np.cumsum(values, axis=1)
+            before = np.concatenate([-carried, totals[:, :-1]], axis=1)  # what a segment that begins here takes off
+            at = np.maximum.accumulate(np.where(starts, np.arange(batch.num_rows), -1))
+            totals -= np.where(at < 0, -carried, before[:, at] + np.where(at == 0, carried, 0))
+            last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in segments)
+            carried = totals[:, -1:].copy()
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, totals)], names=[*batch.schema.names, *sums])
+
+    return run
+
+
 def running_totals(
-    df: DataFrame, order: Sequence[str], sums: dict[str, str], partitions: int | None = None
+    df: DataFrame, order: Sequence[str], sums: dict[str, str], partitions: int | None = None, segments: Sequence[str] = ()
 ) -> DataFrame:
-    """Add inclusive running sums of long columns in the given order.
+    """Add inclusive running sums of long columns in the given order, per segment if segments are named.
 
     ``sums`` maps an output name to the column it accumulates; ``order`` holds
-    names or ``name DESC``, and must be unique per row, as after a ``groupBy``
-    on the ordered column.
+    names or ``name DESC``, and must be unique per row and segment, as after a
+    ``groupBy`` on the ordered columns. Segments have no nulls and are few, such
+    as models and splits; one may hold most of the rows.
+
+    There is one exchange, by range over segments and order. Each partition is
+    summed as it is sorted, and the totals of the partitions before it, one row
+    per partition and segment, are added.
     """
-    inside = f"OVER (PARTITION BY part ORDER BY {', '.join(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    keys = sort_keys(order)
+    keys = sort_keys([*segments, *order])
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{out}` bigint" for out in sums])
     placed = materialise(
         df.repartitionByRange(_partitions(df, partitions), *keys)
+        .sortWithinPartitions(*keys)
+        .mapInArrow(_cumulated(list(segments), dict(sums)), fields)
         .selectExpr("*", "spark_partition_id() AS part")
-        .selectExpr("*", *[f"SUM({source}) {inside} AS {out}" for out, source in sums.items()])
-    )
-    totals = placed.groupBy("part").agg(*[F.expr(f"SUM({s}) AS {out}") for out, s in sums.items()])
-    offsets = totals.selectExpr("part", *[f"COALESCE(SUM({out}) {_BEFORE}, 0) AS {out}_before" for out in sums])
-    return placed.join(F.broadcast(offsets), "part").selectExpr(
-        *df.columns, *[f"{out} + {out}_before AS {out}" for out in sums]
     )
+    by = ["part", *segments]
+    inside = f"PARTITION BY {', '.join(segments)} " if segments else ""
+    before = _BEFORE.replace("(", "(" + inside, 1)
+    totals = placed.groupBy(*by).agg(*[F.expr(f"SUM({s}) AS {out}") for out, s in sums.items()])
+    offsets = totals.selectExpr(*by, *[f"COALESCE(SUM({out}) {before}, 0) AS {out}_before" for out in sums])
+    return placed.join(F.broadcast(offsets), by).selectExpr(*df.columns, *[f"{out} + {out}_before AS {out}" for out in sums])
 
 
 def bounded_rank(df: DataFrame, order: Sequence[str], limit: int, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tallywatch.functions.exprs import (
 from tallywatch.operators.evaluate import curve_quantiles
 from tallywatch.operators.explore import dense
 from tallywatch.operators.filters import FRAUD, alerts
-from tallywatch.operators.ordering import bounded_rank, global_row_number, sort_keys
+from tallywatch.operators.ordering import bounded_rank, global_row_number, running_totals, sort_keys
 
 SCORE = "hgb_fraud_score"
 #: Score, then amount, highest first; equal keys keep file order.
@@ -168,29 +168,42 @@ def top_alerts(scored: DataFrame, count: int = 100) -> DataFrame:
 def capacity_summary(scored: DataFrame, levels: list[int] = S.CAPACITY_LEVELS) -> DataFrame:
     """Fraud found when only the first L alerts are reviewed, and at all alerts.
 
-    Only the first ``max(levels)`` alerts need a rank; the full queue needs just
-    two counts.
+    Alerts are counted per score, and the running counts tell the score that
+    each level falls in. Whole scores above it count as they are; only alerts of
+    the scores that a level cuts are ranked, in several tasks. At most one score
+    per level is cut, and its ties are broken by amount and id.
     """
-    first = alerts(scored).select(SCORE, "amount", "transaction_id", "isFraud")
-    top = bounded_rank(first, QUEUE_ORDER, max(levels), "place")
-    measures: list[str] = []
-    for level in levels:
-        measures += [
-            f"{count_if(f'place <= {level}')} AS n{level}",
-            f"{count_if(f'place <= {level} AND {FRAUD}')} AS f{level}",
-        ]
+    first = alerts(scored).selectExpr(f"{double(SCORE)} AS {SCORE}", "amount", "transaction_id", "isFraud")
+    groups = first.groupBy(SCORE).agg(F.expr("COUNT(*) AS n"), F.expr(f"{count_if(FRAUD)} AS pos"))
+    curve = running_totals(groups, [f"{SCORE} DESC"], {"reviewed": "n", "found": "pos"})
+    listed = ", ".join(f"{level}L" for level in levels)
+    cuts = curve.selectExpr("*", f"explode(array({listed})) AS level").where("reviewed - n < level AND level < reviewed")
+    cut_rows = first.join(F.broadcast(cuts.selectExpr(SCORE).distinct()), SCORE)  # one row per level at most
+    ranked = global_row_number(cut_rows, QUEUE_ORDER, "place")
+    inside = ranked.join(F.broadcast(ranked.groupBy(SCORE).agg(F.expr("MIN(place) AS first_place"))), SCORE)
+    partial = (
+        inside.join(F.broadcast(cuts.selectExpr(SCORE, "level", "reviewed - n AS above")), SCORE)
+        .where("above + place - first_place < level")
+        .groupBy("level")
+        .agg(F.expr("COUNT(*) AS n"), F.expr(f"{count_if(FRAUD)} AS f"))
+    )
+    whole_scores = curve.selectExpr(
+        f"inline(array({', '.join(f'struct({level}L AS level, IF(reviewed <= {level}, n, 0L) AS n, IF(reviewed <= {level}, pos, 0L) AS f)' for level in levels)}))"
+    ).groupBy("level").agg(F.expr("SUM(n) AS n"), F.expr("SUM(f) AS f"))
+    counted = whole_scores.unionByName(partial).groupBy("level").agg(F.expr("SUM(n) AS n"), F.expr("SUM(f) AS f"))
     whole = scored.selectExpr(
         f"struct({count_if('operational_alert = 1')} AS alerts, "
         f"{count_if(f'operational_alert = 1 AND {FRAUD}')} AS found, {count_if(FRAUD)} AS fraud)"
+    ).scalar()
+    every = scored.sparkSession.range(1).selectExpr(f"inline(array({', '.join(f'struct({level}L AS level)' for level in levels)}))")
+    rows = every.join(counted, "level", "left").withColumn("whole", whole).selectExpr(
+        "whole.fraud AS fraud", "level AS Investigation_Capacity", "COALESCE(n, 0) AS Alerts_Reviewed", "COALESCE(f, 0) AS Fraud_Found"
+    )
+    everything = scored.sparkSession.range(1).withColumn("whole", whole).selectExpr(
+        "whole.fraud AS fraud", "whole.alerts AS Investigation_Capacity", "whole.alerts AS Alerts_Reviewed", "whole.found AS Fraud_Found"
     )
-    rows = [[f"{level}L", f"n{level}", f"f{level}"] for level in levels]
-    rows.append(["whole.alerts", "whole.alerts", "whole.found"])
-    long = top.selectExpr(*measures).withColumn("whole", whole.scalar())
     return (
-        long.selectExpr(
-            "whole.fraud AS fraud",
-            stack(rows, ["Investigation_Capacity", "Alerts_Reviewed", "Fraud_Found"]),
-        )
+        rows.unionByName(everything)
         .distinct()
         .selectExpr(
             "Investigation_Capacity",

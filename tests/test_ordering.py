@@ -82,3 +82,32 @@ def test_tradeoff_points_match_linspace(spark):
         curve = ev.score_curve(spark.range(size).selectExpr("id / 1000D AS score", "CAST(id % 2 AS INT) AS isFraud"))
         got = sorted(round(r["Threshold"] * 1000) for r in ev.threshold_tradeoff(curve).collect())
         assert got == sorted(set(np.linspace(0, size - 1, num=min(300, size), dtype=int).tolist()))
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_running_totals_of_segments(spark, batch):
+    rng = random.Random(2)
+    rows = sorted({(rng.choice("abbbbbbc"), i, rng.randrange(5)) for i in range(700)})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(rows, "s string, v long, n long").repartition(5)
+        got = {(r["s"], r["v"]): r["c"] for r in running_totals(df, ["v DESC"], {"c": "n"}, 6, ["s"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert got == {(s, v): sum(n for t, w, n in rows if t == s and w >= v) for s, v, _ in rows}
+    empty = running_totals(df.limit(0), ["v DESC"], {"c": "n"}, 3, ["s"])
+    assert empty.count() == 0 and empty.columns == ["s", "v", "n", "c"]
+
+
+def test_segmented_metrics_are_those_of_single_curves(spark):
+    rng = random.Random(8)
+    rows = [(m, rng.randrange(30) / 30, int(rng.random() < 0.3)) for m in ("x", "y") for _ in range(200)] + [("z", 0.5, 0)]
+    long = spark.createDataFrame(rows, "model string, score double, isFraud int")
+    curves = ev.segmented_curve(long, ["model"])
+    cuts = ev.segmented_thresholds(curves)
+    both = {r["Model"]: r.asDict() for r in ev.segmented_metrics(curves, cuts).collect()}
+    for m in ("x", "y", "z"):
+        own = ev.score_curve(long.where(f"model = '{m}'"))
+        cut = ev.f2_threshold(own).first()
+        assert cuts.where(f"model = '{m}'").drop("model").first() == cut
+        assert both[m] == ev.classification_metrics(own, cut["Threshold"] if cut["Threshold"] is not None else 0.5, m).first().asDict()
