@@ -3,96 +3,48 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tallywatch import schema as S
 from tallywatch.functions.exprs import double, odds_ratio, text
-from tallywatch.models.scaling import scaler, with_class_weight
+from tallywatch.models.boosting import BoostedTrees, Rules, fit_trees
+from tallywatch.models.newton import PROBABILITY, LogisticFit, fit_sets
+from tallywatch.models.scaling import class_weights
 from tallywatch.operators.quality import leakage_guard
-from tallywatch.session import shared_dir
 
-FEATURES = "features"
-MISSING = -1e30  # stands for a missing value in trees, which only order values
+Model = PipelineModel | LogisticFit | BoostedTrees
 
 
-def filled(columns: dict[str, tuple[str, float]]) -> SQLTransformer:
-    """A pipeline stage that adds ``<name>_known``: the column, or its stand-in where it is missing."""
-    parts = [f"COALESCE(nanvl({double(c)}, NULL), {stand_in!r}D) AS {name}_known" for name, (c, stand_in) in columns.items()]
-    return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
+def fit_logistic(train: DataFrame, continuous: list[str], binary: list[str], iterations: int = 500) -> LogisticFit:
+    """Balanced, L2-regularised logistic regression on standardised columns; see ``newton``."""
+    leakage_guard(train)
+    return fit_sets(train, {"model": (continuous, binary)}, iterations)["model"]
 
 
-def fit_logistic(
-    train: DataFrame, continuous: list[str], binary: list[str], iterations: int = 500
-) -> PipelineModel:
-    """Balanced, L2-regularised logistic regression on standardised columns.
+def fit_boosted_trees(
+    train: DataFrame, features: list[str] = S.CHAMPION_FEATURES, iterations: int = 200, rules: Rules = Rules()
+) -> BoostedTrees:
+    """Gradient-boosted trees with balanced weights: 0.08 step, 31 leaves, at least 100 rows per leaf, L2 of 1.
 
-    The penalty is 1 / sum(weights) per unit of loss: balanced weights sum to
-    the row count, so the objective is half the squared norm plus the weighted
-    log loss. The optimiser's passes are tree-aggregated sums over partitions.
-    Rows with a missing feature are left out of the fit; in scoring a missing
-    value counts as the training mean, a missing flag as not set.
+    Grown best leaf first on 255 bins (see ``boosting``). Missing features have a
+    bin of their own. Rows without a label are left out.
     """
     leakage_guard(train)
-    scale = scaler(train, continuous)
-    fill = filled({**{f"{c}_z": (f"{c}_z", 0.0) for c in continuous}, **{c: (c, 0.0) for c in binary}})
-    assemble = VectorAssembler(inputCols=[f"{c}_z_known" for c in continuous] + [f"{c}_known" for c in binary], outputCol=FEATURES)
-    known = train.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in continuous + binary))
-    weighted, count = with_class_weight(known)
-    rows = assemble.transform(fill.transform(scale.transform(weighted))).select(FEATURES, "weight", F.expr("CAST(isFraud AS DOUBLE) AS label"))
-    model = LogisticRegression(
-        featuresCol=FEATURES,
-        labelCol="label",
-        weightCol="weight",
-        maxIter=iterations,
-        regParam=1.0 / count,
-        elasticNetParam=0.0,
-        standardization=False,
-    ).fit(rows)
-    return PipelineModel([scale, fill, assemble, model])
+    classes = class_weights(train).take(3)
+    if len(classes) > 2 or {r["isFraud"] for r in classes} - {0, 1}:
+        raise ValueError("isFraud has other values than 0 and 1")
+    weight = {r["isFraud"]: r["weight"] for r in classes}
+    return fit_trees(train, features, (weight.get(0, 1.0), weight.get(1, 1.0)), iterations, rules)
 
 
-def fit_boosted_trees(
-    train: DataFrame, features: list[str] = S.CHAMPION_FEATURES, iterations: int = 200, seed: int = 42
-) -> PipelineModel:
-    """Gradient-boosted trees: 0.08 step, depth 5, at least 100 rows per leaf.
-
-    Depth 5 allows 32 leaves, the nearest to the 31 of a leaf-wise grower; the
-    library has no leaf count and no L2 term. The lineage of the boosted
-    residuals is cut every ten trees in the shared checkpoint folder. A missing
-    feature is a value of its own, below all others.
-    """
-    leakage_guard(train)
-    shared_dir(train.sparkSession)
-    fill = filled({c: (c, MISSING) for c in features})
-    assemble = VectorAssembler(inputCols=[f"{c}_known" for c in features], outputCol=FEATURES)
-    weighted, _ = with_class_weight(train)
-    rows = assemble.transform(fill.transform(weighted)).select(FEATURES, "weight", F.expr("CAST(isFraud AS DOUBLE) AS label"))
-    model = GBTClassifier(
-        featuresCol=FEATURES,
-        labelCol="label",
-        weightCol="weight",
-        stepSize=0.08,
-        maxIter=iterations,
-        maxDepth=5,
-        minInstancesPerNode=100,
-        maxBins=255,
-        checkpointInterval=10,
-        seed=seed,
-    ).fit(rows)
-    return PipelineModel([fill, assemble, model])
-
-
-def score(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:
+def score(model: Model, df: DataFrame, name: str = "score") -> DataFrame:
     """The frame with the fraud probability; helper columns are dropped."""
-    scored = model.transform(df).withColumn(name, vector_to_array(F.col("probability"))[1])
-    return scored.select(*df.columns, name)
+    return getattr(model, "pipeline", model).transform(df).selectExpr(*df.columns, f"{PROBABILITY} AS {name}")
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
+def save_model(model: LogisticFit, path: str) -> str:
+    """Regressions; trees have a ``save`` of their own."""
+    model.pipeline.write().overwrite().save(path)
     return path
 
 
@@ -100,11 +52,10 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def coefficient_table(df: DataFrame, model: PipelineModel, name: str, continuous: list[str], binary: list[str]) -> DataFrame:
+def coefficient_table(df: DataFrame, model: LogisticFit, name: str, continuous: list[str], binary: list[str]) -> DataFrame:
     """Coefficient, odds ratio (clipped at e^20) and absolute value per feature."""
     labels = [f"continuous__{c}" for c in continuous] + [f"binary__{c}" for c in binary]
-    values = [float(v) for v in model.stages[-1].coefficients.toArray()]
-    rows = df.sparkSession.createDataFrame(list(zip(labels, values)), "Feature string, Coefficient double")
+    rows = df.sparkSession.createDataFrame(list(zip(labels, model.coefficients)), "Feature string, Coefficient double")
     return rows.selectExpr(
         f"{text(name)} AS Model",
         "Feature",

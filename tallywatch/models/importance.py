@@ -11,12 +11,11 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from tallywatch import schema as S
 from tallywatch.functions.exprs import double, text
-from tallywatch.models.estimators import score
+from tallywatch.models.estimators import Model, score
 from tallywatch.operators.ordering import global_row_number, running_totals
 from tallywatch.session import materialise
 
@@ -48,7 +47,7 @@ def grouped_average_precision(scored: DataFrame, key: str) -> DataFrame:
 
 
 def permutation_importance(
-    model: PipelineModel,
+    model: Model,
     validation: DataFrame,
     features: list[str] = S.CHAMPION_FEATURES,
     repeats: int = 3,

@@ -1,21 +1,22 @@
-"""The four feature sets, fitted on one split and compared at their own thresholds."""
+"""The four feature sets, fitted together on one split and compared at their own thresholds."""
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywatch import schema as S
-from tallywatch.models.estimators import coefficient_table, fit_logistic, score
+from tallywatch.models.estimators import coefficient_table, score
+from tallywatch.models.newton import LogisticFit, fit_sets
 from tallywatch.operators import evaluate as ev
 from tallywatch.operators.compare import sort_models
+from tallywatch.operators.quality import leakage_guard
 
 
-class FittedSet(NamedTuple):
-    model: PipelineModel
-    metrics: DataFrame
+class Stress(NamedTuple):
+    models: dict[str, LogisticFit]
+    comparison: DataFrame
     coefficients: DataFrame
 
 
@@ -30,36 +31,32 @@ def feature_register(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "Model string, Feature string, Feature_Type string, Purpose string")
 
 
-def fit_feature_set(name: str, train: DataFrame, validation: DataFrame, test: DataFrame, iterations: int = 700) -> FittedSet:
-    """Fit one set on train, pick its threshold on validation, measure on test."""
-    continuous, binary, _ = S.FEATURE_SETS[name]
-    columns = [*continuous, *binary, "isFraud"]
-    model = fit_logistic(train.select(*columns), continuous, binary, iterations)
-    curve = lambda rows: ev.score_curve(score(model, rows.select(*columns)).select("score", "isFraud"))
-    chosen = ev.f2_threshold(curve(validation))
-    best = chosen.first()
-    metrics = ev.classification_metrics(curve(test), best["Threshold"], name).selectExpr(
+def stress_test(train: DataFrame, validation: DataFrame, test: DataFrame, iterations: int = 700, names: list[str] | None = None) -> Stress:
+    """Fit the sets in shared passes, pick thresholds on validation, measure on test, best F2 first.
+
+    Every later row is scored once by all models, and all curves are one plan.
+    """
+    sets = {name: S.FEATURE_SETS[name][:2] for name in names or S.FEATURE_SETS}
+    columns = [*dict.fromkeys(c for part in sets.values() for c in part[0] + part[1]), "isFraud"]
+    leakage_guard(train.select(*columns))
+    models = fit_sets(train, sets, iterations)
+    rows = validation.selectExpr(*columns, "'VALIDATION' AS split").unionByName(test.selectExpr(*columns, "'TEST' AS split"))
+    scores = {name: f"s{i}" for i, name in enumerate(sets)}
+    for name, column in scores.items():
+        rows = score(models[name], rows, column)
+    curves = ev.segmented_curve(ev.unpivoted_scores(rows, scores, ["split", "isFraud"]), ["split", "model"])
+    part = lambda split: curves.where(f"split = '{split}'").drop("split")
+    cuts = ev.segmented_thresholds(part("VALIDATION"))
+    counts = " ".join(f"WHEN '{name}' THEN {len(a) + len(b)}" for name, (a, b) in sets.items())
+    chosen = cuts.selectExpr("model AS Model", "Precision AS Validation_Precision", "Recall AS Validation_Recall", "F2 AS Validation_F2")
+    comparison = ev.segmented_metrics(part("TEST"), cuts).join(chosen, "Model").selectExpr(
         "Model",
-        f"{len(continuous) + len(binary)} AS Feature_Count",
+        f"CASE Model {counts} END AS Feature_Count",
         "Threshold AS Validation_Threshold",
-        f"{best['Precision']!r}D AS Validation_Precision",
-        f"{best['Recall']!r}D AS Validation_Recall",
-        f"{best['F2']!r}D AS Validation_F2",
+        "Validation_Precision", "Validation_Recall", "Validation_F2",
         "ROC_AUC", "Average_Precision", "Accuracy", "Precision", "Recall", "F1", "F2",
         "True_Negative", "False_Positive", "False_Negative", "True_Positive", "Alerts",
         "Alert_Rate_Pct", "False_Positive_Rate_Pct",
     )
-    return FittedSet(model, metrics, coefficient_table(train, model, name, continuous, binary))
-
-
-def stress_test(train: DataFrame, validation: DataFrame, test: DataFrame, iterations: int = 700) -> dict[str, FittedSet]:
-    return {name: fit_feature_set(name, train, validation, test, iterations) for name in S.FEATURE_SETS}
-
-
-def stress_comparison(fitted: dict[str, FittedSet]) -> DataFrame:
-    """The four metric rows, best F2 first."""
-    return sort_models(ev.model_comparison([f.metrics for f in fitted.values()]))
-
-
-def all_coefficients(fitted: dict[str, FittedSet]) -> DataFrame:
-    return ev.model_comparison([f.coefficients for f in fitted.values()])
+    tables = [coefficient_table(train, models[name], name, *sets[name]) for name in sets]
+    return Stress(models, sort_models(comparison), ev.model_comparison(tables))

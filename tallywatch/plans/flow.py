@@ -8,11 +8,11 @@ the step it worked on. Stages: ``raw``, ``master``, ``model_population`` and
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywatch import schema as S
 from tallywatch.models import estimators as es, importance, stress
+from tallywatch.models.boosting import load_trees
 from tallywatch.operators import evaluate as ev, explore, profile, quality, split as sp, tiers
 from tallywatch.operators.compare import coefficient_pivot, delta_pair, delta_vs_baseline, sort_coefficients
 from tallywatch.operators.features import master_dataset, model_features, model_population
@@ -136,7 +136,7 @@ class Flow:
         after = sp.recorded_boundaries(self.stage("prepare/split")).validation_end
         return ev.rule_metrics(scoring_period(self.stage("master"), after))
 
-    def _scored(self, stage: str, parts: dict[str, DataFrame], models: dict[str, PipelineModel]) -> dict[str, DataFrame]:
+    def _scored(self, stage: str, parts: dict[str, DataFrame], models: dict[str, es.Model]) -> dict[str, DataFrame]:
         """Validation and test rows with the models' scores, written once.
 
         Curves, thresholds and predictions read the scores from there, so no row
@@ -184,16 +184,16 @@ class Flow:
 
     def stress(self, iterations: int = 700) -> None:
         """Four feature sets on the same split."""
-        fitted = stress.stress_test(*self._splits().values(), iterations)
-        for name, result in fitted.items():
-            es.save_model(result.model, f"{self.folder}/models/{name.lower()}")
-        comparison, coefficients = stress.stress_comparison(fitted), stress.all_coefficients(fitted)
+        result = stress.stress_test(*self._splits().values(), iterations)
+        for name, model in result.models.items():
+            es.save_model(model, f"{self.folder}/models/{name.lower()}")
+        comparison = self._put("stress/comparison", result.comparison)
+        write_summary_csv(comparison, f"{self.folder}/csv/stress/comparison")
         self._summaries(
             "stress",
             {
-                "comparison": comparison,
-                "coefficients": coefficients,
-                "coefficient_stability": coefficient_pivot(coefficients),
+                "coefficients": result.coefficients,
+                "coefficient_stability": coefficient_pivot(result.coefficients),
                 "delta_vs_baseline": delta_vs_baseline(comparison),
                 "feature_sets": stress.feature_register(self.spark),
             },
@@ -203,7 +203,7 @@ class Flow:
         """Boosted trees against the second feature set and the rule."""
         parts = self._splits()
         model = es.fit_boosted_trees(parts["TRAIN"], iterations=iterations)
-        es.save_model(model, f"{self.folder}/models/champion")
+        model.save(self.spark, f"{self.folder}/models/champion")
         challenger = es.load_model(f"{self.folder}/models/{S.CHALLENGER_MODEL.lower()}")
         scored = self._scored(
             "champion/scored", parts, {tiers.SCORE: model, "logistic_model_b_score": challenger}
@@ -234,7 +234,7 @@ class Flow:
     def risk(self) -> None:
         """Tiers, alerts, queue and capacity over the scored test period."""
         bounds = sp.recorded_boundaries(self.stage("prepare/split"))
-        model = es.load_model(f"{self.folder}/models/champion")
+        model = load_trees(self.spark, f"{self.folder}/models/champion")
         master = self.stage("master")
         made = {*S.CHAMPION_FEATURES, "isFraud", tiers.SCORE, "risk_tier", "operational_alert"}
         kept = tuple(c for c in tiers.SCORED_COLUMNS if c not in made)

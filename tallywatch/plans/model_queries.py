@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywatch import schema as S
-from tallywatch.models import estimators as es, importance, scaling, stress
+from tallywatch.models import boosting, estimators as es, importance, scaling, stress
+from tallywatch.models.boosting import BoostedTrees, load_trees
+from tallywatch.models.newton import PROBABILITY
 from tallywatch.operators import evaluate as ev
 from tallywatch.operators.features import model_features
 from tallywatch.operators.filters import in_split
@@ -17,9 +17,10 @@ from tallywatch.plans.catalog import query
 from tallywatch.plans.frames import output
 from tallywatch.session import scratch_path
 from tallywatch.sinks.writers import write_parquet
+from tallywatch.sources import mapped
 
 _EVERY = [c for part in S.FEATURE_SETS["Model_D_Enhanced_PaySim"][:2] for c in part]
-_champions: dict[tuple[str, str], PipelineModel] = {}
+_champions: dict[tuple, str] = {}  # where the champion of some input files is stored
 
 
 def _splits(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -30,12 +31,21 @@ def _splits(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: in_split(rows, name, *cut) for name in ("TRAIN", "VALIDATION", "TEST")}
 
 
-def _champion(spark: SparkSession, folder: str) -> PipelineModel:
-    """The champion of a folder, fitted once per session: 200 trees take a while."""
-    key = (spark.sparkContext.applicationId, folder)
+def _version(spark: SparkSession, folder: str) -> tuple:
+    """Files, sizes and times of the tables a model is fitted on."""
+    seen = []
+    for name, columns in (("orders", mapped.ORDERS), ("customer", mapped.CUSTOMERS)):
+        files = spark.read.schema(columns).parquet(f"{folder}/{name}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        seen += sorted(map(tuple, files.distinct().collect()))
+    return tuple(seen)
+
+
+def _champion(spark: SparkSession, folder: str) -> BoostedTrees:
+    """The champion over the folder's present files, fitted once and read back from its stage."""
+    key = (spark.sparkContext.applicationId, *_version(spark, folder))
     if key not in _champions:
-        _champions[key] = es.fit_boosted_trees(_splits(spark, folder)["TRAIN"])
-    return _champions[key]
+        _champions[key] = es.fit_boosted_trees(_splits(spark, folder)["TRAIN"]).save(spark, scratch_path(spark, "champion"))
+    return load_trees(spark, _champions[key])
 
 
 @query("m_scale")
@@ -64,12 +74,11 @@ def _(spark, folder):
     """The gradient of the penalised loss at the solution, per feature and three places: all 0."""
     train = _splits(spark, folder)["TRAIN"]
     model = es.fit_logistic(train, S.CONTINUOUS_FEATURES, S.BASELINE_BINARY)
-    names = [f"{c}_z_known" for c in S.CONTINUOUS_FEATURES] + [f"{c}_known" for c in S.BASELINE_BINARY]
     weighted, count = scaling.with_class_weight(train)
-    scored = model.transform(weighted).withColumn("p", vector_to_array(F.col("probability"))[1])
-    row = scored.selectExpr(*[f"SUM(weight * (p - isFraud) * {n}) / SUM(weight) AS g{i}" for i, n in enumerate(names)])
-    slopes = [float(b) / count for b in model.stages[-1].coefficients.toArray()]
-    listed = ", ".join(f"struct('{n}' AS feature, round(g{i} + {slopes[i]!r}D, 3) + 0D AS gradient)" for i, n in enumerate(names))
+    scored = model.pipeline.transform(weighted).withColumnRenamed(PROBABILITY, "p")
+    row = scored.selectExpr(*[f"SUM(weight * (p - isFraud) * {n}) / SUM(weight) AS g{i}" for i, n in enumerate(model.features)])
+    slopes = [b / count for b in model.coefficients]
+    listed = ", ".join(f"struct('{n}' AS feature, round(g{i} + {slopes[i]!r}D, 3) + 0D AS gradient)" for i, n in enumerate(model.features))
     return row.selectExpr(f"inline(array({listed}))")
 
 
@@ -89,7 +98,15 @@ def _(spark, folder):
 
 @query("m_feature_sets")
 def _(spark, folder):
-    return output(stress.stress_comparison(stress.stress_test(*_splits(spark, folder).values())))
+    return output(stress.stress_test(*_splits(spark, folder).values()).comparison)
+
+
+@query("m_gbt_root")
+def _(spark, folder):
+    """Per feature the bins, the best first split of the first tree and its gain."""
+    train = _splits(spark, folder)["TRAIN"]
+    weight = {r["isFraud"]: r["weight"] for r in scaling.class_weights(train).take(2)}
+    return output(boosting.first_splits(train, S.CHAMPION_FEATURES, (weight[0], weight[1])), 4)
 
 
 @query("m_gbt")
@@ -111,7 +128,7 @@ def _(spark, folder):
 def _(spark, folder):
     """Rows per label, and the largest difference between the scores of the stored and of the fitted champion."""
     model, rows = _champion(spark, folder), _splits(spark, folder)["TEST"]
-    stored = es.load_model(es.save_model(model, scratch_path(spark, "champion")))
+    stored = load_trees(spark, model.save(spark, scratch_path(spark, "champion_copy")))
     both = es.score(stored, es.score(model, rows, "direct"), "reloaded")
     return output(both.groupBy("isFraud").agg(F.expr("COUNT(*) AS row_count"), F.expr("MAX(abs(direct - reloaded)) AS largest_difference")))
 

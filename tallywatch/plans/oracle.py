@@ -323,6 +323,75 @@ _BLOCKS += [
     ("ma", _metrics("tc_c", "SELECT Threshold FROM best_c", CHAMPION)),
     ("mb", _metrics("tc_lb", "SELECT Threshold FROM best_lb", CHALLENGER)),
 ]
+# Newton steps: ``nx`` standardised rows, ``nr`` training rows with weights, ``ni``
+# the coefficients after n steps, ``ns`` scores. A step sums the Hessian beside
+# the gradient and eliminates column by column.
+_STEPS = 14
+
+
+def _newton(key: str, continuous: list[str], binary: list[str]) -> list[tuple[str, str]]:
+    k = len(continuous) + len(binary) + 1
+    x = ", ".join([f"({c} - {c}_m) / {c}_s" for c in continuous] + [d(c) for c in binary] + [d("1")])
+    cell = lambda i, j: f"SUM(w * p * (1 - p) * x[{min(i, j)}] * x[{max(i, j)}])" + (" + 1" if i == j < k else "")
+    slope = lambda i: f"SUM(w * (p - y) * x[{i}])" + (f" + b[{i}]" if i < k else "")
+    rows = ", ".join("[" + ", ".join([*(cell(i, j) for j in range(1, k + 1)), slope(i)]) + "]" for i in range(1, k + 1))
+    turns = ", ".join(f"[[{d(str(i))}]]" for i in range(1, k + 1))
+    q = "CAST(q[1][1] AS INTEGER)"
+    solved = f"""list_reduce([a, {turns}], lambda a, q: list_transform(a, lambda row, i: CASE WHEN i = {q} THEN list_transform(row, lambda v: v / row[i])
+      ELSE list_transform(row, lambda v, j: v - row[{q}] / a[{q}][{q}] * a[{q}][j]) END))"""
+    return [
+        (f"nx_{key}", f"SELECT transaction_id, step, isFraud, [{x}] AS x FROM g, mo"),
+        (f"nr_{key}", f"""SELECT isFraud AS y, {d('COUNT(*) OVER ()')} / (2 * COUNT(*) OVER (PARTITION BY isFraud)) AS w, x
+          FROM nx_{key} WHERE step <= (SELECT train_end FROM sb)"""),
+        (f"ni_{key}", f"""SELECT 0 AS n, list_resize(CAST([] AS DOUBLE[]), {k}, {d('0')}) AS b UNION ALL
+          SELECT n + 1, list_transform(s, lambda row, i: b[i] - row[{k + 1}]) FROM (SELECT n, b, {solved} AS s FROM (SELECT n, b, [{rows}] AS a
+            FROM (SELECT n, b, x, y, w, 1 / (1 + exp(-list_dot_product(b, x))) AS p FROM ni_{key}, nr_{key} WHERE n < {_STEPS}) GROUP BY n, b))"""),
+        (f"ns_{key}", f"""SELECT transaction_id, step, isFraud, 1 / (1 + exp(-list_dot_product((SELECT b FROM ni_{key} WHERE n = {_STEPS}), x))) AS sc
+          FROM nx_{key} WHERE step > (SELECT train_end FROM sb)"""),
+    ]
+
+
+_SETS = dict(zip("abcd", S.FEATURE_SETS.items()))
+_BLOCKS.append(
+    ("mo", "SELECT " + ", ".join(f"AVG({c}) AS {c}_m, COALESCE(NULLIF(stddev_pop({c}), 0), 1) AS {c}_s" for c in S.CONTINUOUS_FEATURES)
+        + " FROM g WHERE step <= (SELECT train_end FROM sb)")
+)
+for _k, (_, (_continuous, _binary, _)) in _SETS.items():
+    _BLOCKS += [
+        *_newton(_k, _continuous, _binary),
+        (f"nv_{_k}", f"SELECT * FROM ns_{_k} WHERE step <= (SELECT validation_end FROM sb)"),
+        (f"nte_{_k}", f"SELECT * FROM ns_{_k} WHERE step > (SELECT validation_end FROM sb)"),
+        (f"nvc_{_k}", _curve(f"nv_{_k}", "sc")),
+        (f"nbest_{_k}", f"SELECT Threshold, Precision, Recall, F2 FROM ({_pr(f'nvc_{_k}')}) ORDER BY F2 DESC, Threshold LIMIT 1"),
+        (f"ntc_{_k}", _curve(f"nte_{_k}", "sc")),
+    ]
+_LABELS = [f"continuous__{c}" for c in S.CONTINUOUS_FEATURES] + [f"binary__{c}" for c in S.BASELINE_BINARY]
+_REGRESSIONS = " UNION ALL ".join(
+    f"""SELECT m.Model, CAST({len(a) + len(b)} AS INTEGER) AS Feature_Count, {r('m.Threshold')} AS Validation_Threshold, {r('b.Precision')} AS Validation_Precision,
+      {r('b.Recall')} AS Validation_Recall, {r('b.F2')} AS Validation_F2,
+      {', '.join(f"{r('m.' + c)} AS {c}" for c in _FRACTIONS if c not in ('Threshold', 'Specificity'))}, {', '.join(f'm.{c}' for c in _COUNTS)}
+      FROM ({_metrics(f'ntc_{k}', f'SELECT Threshold FROM nbest_{k}', name)}) m, nbest_{k} b"""
+    for k, (name, (a, b, _)) in _SETS.items()
+)
+
+# The first split of the first tree: bins by shares of rows, gradient w (1/2 - y), Hessian w / 4.
+_TREE_SIDE = "pow({0}, 2) / ({1} + 1)"
+_BLOCKS += [
+    ("bv", " UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS feature, {d(c)} AS value, isFraud AS y FROM g WHERE step <= (SELECT train_end FROM sb)"
+        for i, c in enumerate(S.CHAMPION_FEATURES))),
+    ("bw", """SELECT y, CAST(SUM(COUNT(*)) OVER () AS DOUBLE) / (2 * COUNT(*)) AS w FROM bv WHERE place = 0 GROUP BY y"""),
+    ("bp", """SELECT feature, value, COUNT(*) AS n, SUM(w * (0.5 - y)) AS g, SUM(w / 4) AS h FROM bv JOIN bw USING (y) GROUP BY feature, value"""),
+    ("bc", """SELECT *, SUM(n) OVER (PARTITION BY feature ORDER BY value) AS upto, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY value) AS number,
+        COUNT(*) OVER (PARTITION BY feature) AS different, SUM(n) OVER (PARTITION BY feature) AS rows FROM bp"""),
+    ("bb", """SELECT feature, CASE WHEN different <= 255 THEN number - 1 ELSE (upto - n) * 255 // rows END AS bin, MIN(value) AS low, MAX(value) AS high,
+        SUM(n) AS n, SUM(g) AS g, SUM(h) AS h FROM bc GROUP BY 1, 2"""),
+    ("bs", """SELECT feature, bin, (high + LEAD(low) OVER (PARTITION BY feature ORDER BY bin)) / 2 AS edge,
+        SUM(n) OVER l AS nl, SUM(g) OVER l AS gl, SUM(h) OVER l AS hl, SUM(n) OVER a AS na, SUM(g) OVER a AS ga, SUM(h) OVER a AS ha
+        FROM bb WINDOW l AS (PARTITION BY feature ORDER BY bin), a AS (PARTITION BY feature)"""),
+    ("bg", f"""SELECT feature, bin, edge, {_TREE_SIDE.format('gl', 'hl')} + {_TREE_SIDE.format('ga - gl', 'ha - hl')} - {_TREE_SIDE.format('ga', 'ha')} AS gain
+        FROM bs WHERE nl >= 100 AND na - nl >= 100"""),
+]
+
 _PAIR = ["ROC_AUC", "Average_Precision", "Precision", "Recall", "F1", "F2", "True_Positive", "False_Positive",
          "False_Negative", "Alerts", "Alert_Rate_Pct"]
 
@@ -865,6 +934,13 @@ BODIES: dict[str, str] = {
         f"SELECT '{n}' AS feature, CAST(0 AS DOUBLE) AS gradient FROM (SELECT COUNT(*) AS k FROM g) WHERE k > 0"
         for n in [f"{c}_z_known" for c in S.CONTINUOUS_FEATURES] + [f"{c}_known" for c in S.BASELINE_BINARY]
     ),
+    "m_logistic": f"SELECT transaction_id, step, isFraud, {r('sc')} AS fraud_score FROM nte_a",
+    "m_coefficients": f"""SELECT 'baseline' AS Model, Feature, {r('c')} AS Coefficient, {r('exp(greatest(-20, least(20, c)))')} AS Odds_Ratio, {r('abs(c)')} AS Absolute_Coefficient
+      FROM (SELECT UNNEST({_LABELS}) AS Feature, UNNEST(b[1:{len(_LABELS)}]) AS c FROM ni_a WHERE n = {_STEPS})""",
+    "m_feature_sets": _REGRESSIONS,
+    "m_gbt_root": f"""SELECT b.feature AS Feature, CAST(b.bins AS INTEGER) AS Bins, {r('a.edge', 4)} AS Threshold, {r('a.gain', 4)} AS Gain
+      FROM (SELECT feature, COUNT(*) AS bins FROM bb GROUP BY feature) b LEFT JOIN
+      (SELECT * FROM bg WHERE gain > 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY feature ORDER BY gain DESC, bin) = 1) a USING (feature)""",
     "m_score_check": "SELECT isFraud, COUNT(*) AS row_count, COUNT(*) AS in_range FROM te GROUP BY isFraud",
     "m_save": "SELECT isFraud, COUNT(*) AS row_count, CAST(0 AS DOUBLE) AS largest_difference FROM te GROUP BY isFraud",
     "m_class_weight": f"""SELECT isFraud, {big('COUNT(*)')} AS row_count,
@@ -903,12 +979,13 @@ BODIES["sink_csv"] = BODIES["q_type_summary"]
 
 
 # ---- assembly --------------------------------------------------------------
-def _needed(text: str) -> set[str]:
+def _needed(text: str, found: set[str] | None = None) -> set[str]:
     """Shared blocks a text reads, directly or through other blocks."""
-    found: set[str] = set()
+    found = set() if found is None else found
     for name, body in _BLOCKS:
-        if re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
-            found |= {name} | _needed(body)
+        if name not in found and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
+            found.add(name)
+            _needed(body, found)
     return found
 
 
@@ -918,5 +995,5 @@ def build() -> dict[str, str]:
     for query, body in BODIES.items():
         needed = _needed(body)
         blocks = ", ".join(f"{name} AS ({text})" for name, text in _BLOCKS if name in needed)
-        texts[query] = f"WITH {blocks} {body}" if blocks else body
+        texts[query] = f"WITH RECURSIVE {blocks} {body}" if blocks else body
     return texts

@@ -5,6 +5,7 @@ import pytest
 
 from tallywatch import schema as S
 from tallywatch.models import estimators as es, importance, scaling, stress
+from tallywatch.models.boosting import load_trees
 from tallywatch.operators.compare import coefficient_pivot, delta_vs_baseline
 from tallywatch.operators.features import model_features
 from tallywatch.operators.filters import in_split
@@ -25,6 +26,86 @@ def champion(parts):
     return es.fit_boosted_trees(parts["TRAIN"], iterations=5)
 
 
+def plain_booster(x, y, weights, trees, rules):
+    """One split at a time over sorted values; every leaf is searched whole."""
+    edges = []
+    for f in range(x.shape[1]):
+        v = np.unique(x[:, f][~np.isnan(x[:, f])])
+        if len(v) > 255:
+            known = np.sort(x[:, f][~np.isnan(x[:, f])])
+            bins = np.searchsorted(known, v, side="left") * 255 // len(known)
+            first = np.flatnonzero(np.diff(bins)) + 1
+        else:
+            first = np.arange(1, len(v))
+        edges.append((v[first - 1] + v[first]) / 2)
+    raw, found = np.zeros(len(y)), []
+    w = np.where(y == 1, weights[1], weights[0])
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = w * (p - y), w * p * (1 - p)
+        side = lambda m: g[m].sum() ** 2 / (h[m].sum() + rules.penalty)
+
+        def search(rows):
+            best = (0, None)
+            for f in range(x.shape[1]):
+                gone = np.isnan(x[rows, f])
+                for missing_left in (False, True):
+                    for cut in [*edges[f], np.inf]:
+                        left = np.where(gone, missing_left, x[rows, f] <= cut)
+                        a, b = rows[left], rows[~left]
+                        if min(len(a), len(b)) >= rules.least_rows and min(h[a].sum(), h[b].sum()) >= 1e-3:
+                            gain = side(a) + side(b) - side(rows)
+                            if gain > best[0] * (1 + 1e-9) + 1e-9:
+                                best = (gain, (f, cut, a, b))
+            return best
+
+        leaves = {1: np.arange(len(y))}
+        gains = {1: search(leaves[1])}
+        while len(leaves) < rules.leaves and max(v[0] for n, v in gains.items() if n in leaves) > 0:
+            n = min(leaves, key=lambda k: (-gains[k][0], k))
+            _, (f, cut, a, b) = gains[n]
+            del leaves[n]
+            for c, rows in ((2 * n, a), (2 * n + 1, b)):
+                leaves[c], gains[c] = rows, search(rows)
+        for rows in leaves.values():
+            raw[rows] -= rules.step * g[rows].sum() / (h[rows].sum() + rules.penalty)
+        found.append(sorted(tuple(sorted(v.tolist())) for v in leaves.values()))
+    return raw, found
+
+
+@pytest.mark.parametrize("sample", [1 << 16, 200])
+def test_trees_equal_a_plain_booster(spark, monkeypatch, sample):
+    from tallywatch.models import boosting as B
+
+    monkeypatch.setattr(B, "SAMPLE_ROWS", sample)
+    monkeypatch.setattr(B, "CUT", 2)
+    rng = np.random.default_rng(11)
+    n = 1000
+    x = np.stack([rng.normal(size=n), np.round(rng.normal(size=n), 1), rng.integers(0, 2, n), rng.normal(size=n)], axis=1)
+    x[rng.random(n) < 0.1, 3] = np.nan
+    y = (x[:, 0] + np.where(np.isnan(x[:, 3]), 1, x[:, 3] * x[:, 2]) + rng.normal(size=n) > 1).astype(int)
+    frame = spark.createDataFrame([(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y))], "k int, a double, b double, c double, d double, isFraud int")
+    rules, weights = B.Rules(leaves=9, least_rows=20), (0.7, 1.9)
+    model = B.fit_trees(frame.repartition(3), ["a", "b", "c", "d"], weights, 5, rules)
+    raw, leaves = plain_booster(x, y, weights, 5, rules)
+    got = frame.select("k", "a", "b", "c", "d")
+    scores = {r["k"]: r["p"] for r in es.score(model, got, "p").select("k", "p").collect()}
+    assert [scores[i] for i in range(n)] == pytest.approx((1 / (1 + np.exp(-raw))).tolist(), abs=1e-9)
+    for tree, expected in zip(model.trees, leaves):
+        held = B.leaves_of(B.codes_of(list(x.T), model.edges), tree)
+        assert sorted(tuple(np.flatnonzero(held == v).tolist()) for v in np.unique(held)) == expected
+
+
+def test_trees_without_a_split_or_rows(spark):
+    from tallywatch.models import boosting as B
+
+    same = spark.range(300).selectExpr("1D AS a", "CAST(id % 2 AS INT) AS isFraud")
+    model = B.fit_trees(same, ["a"], (1.0, 1.0), 5)
+    assert len(model.trees) == 1 and es.score(model, same).where("score <> 0.5").count() == 0
+    none = B.fit_trees(same.limit(0), ["a"], (1.0, 1.0), 5)
+    assert none.trees == [] and es.score(none, same).where("score <> 0.5").count() == 0
+
+
 def test_weights_sum_to_rows(parts):
     weighted, rows = scaling.with_class_weight(parts["TRAIN"])
     assert weighted.selectExpr("SUM(weight)").first()[0] == pytest.approx(rows) and rows == parts["TRAIN"].count()
@@ -53,12 +134,12 @@ def test_logistic_matches_newton(parts):
         p = 1 / (1 + np.exp(-x @ beta))
         gradient = x.T @ (w * (p - y)) + penalty @ beta
         beta -= np.linalg.solve((x.T * (w * p * (1 - p))) @ x + penalty, gradient)
-    assert model.stages[-1].coefficients.toArray() == pytest.approx(beta[:-1], abs=2e-3)
-    assert model.stages[-1].intercept == pytest.approx(beta[-1], abs=2e-3)
+    assert model.coefficients == pytest.approx(beta[:-1], abs=1e-8) and model.passes < 20
+    assert model.intercept == pytest.approx(beta[-1], abs=1e-8)
 
 
-def test_saved_champion_scores_alike(parts, champion, tmp_path):
-    again = es.load_model(es.save_model(champion, str(tmp_path / "m")))
+def test_saved_champion_scores_alike(spark, parts, champion, tmp_path):
+    again = load_trees(spark, champion.save(spark, str(tmp_path / "m")))
     key = lambda m: [(r["transaction_id"], r["score"]) for r in es.score(m, parts["TEST"]).orderBy("transaction_id").collect()]
     scores = key(champion)
     assert key(again) == scores and all(0 <= s <= 1 for _, s in scores)
@@ -100,13 +181,30 @@ def test_third_label_value_raises(spark):
     frame = spark.createDataFrame([(0,), (1,), (2,)], "isFraud int")
     with pytest.raises(ValueError):
         scaling.with_class_weight(frame)
+    with pytest.raises(ValueError):
+        es.fit_logistic(frame.selectExpr("*", "1D AS x"), ["x"], [])
 
 
 def test_stress_rows_and_pivot(parts, spark):
-    fitted = {n: stress.fit_feature_set(n, *parts.values(), 20) for n in list(S.FEATURE_SETS)[:2]}
-    comparison = stress.stress_comparison(fitted)
-    delta = {r["Model"]: r["F2_Delta_vs_A"] for r in delta_vs_baseline(comparison).collect()}
+    result = stress.stress_test(*parts.values(), 20, list(S.FEATURE_SETS)[:2])
+    delta = {r["Model"]: r["F2_Delta_vs_A"] for r in delta_vs_baseline(result.comparison).collect()}
     assert delta[S.BASELINE_MODEL] == 0
-    wide = {r["Feature"]: r for r in coefficient_pivot(stress.all_coefficients(fitted)).collect()}
+    wide = {r["Feature"]: r for r in coefficient_pivot(result.coefficients).collect()}
     assert wide["binary__origin_zero_before_flag"][S.CHALLENGER_MODEL] is None
     assert wide["continuous__log_amount"][S.BASELINE_MODEL] is not None
+    alone = es.fit_logistic(parts["TRAIN"], *S.FEATURE_SETS[S.CHALLENGER_MODEL][:2])
+    assert result.models[S.CHALLENGER_MODEL].coefficients == pytest.approx(alone.coefficients, abs=1e-8)
+
+
+def test_regression_without_rows_or_with_one_class(parts):
+    with pytest.raises(ValueError):
+        es.fit_logistic(parts["TRAIN"].where("FALSE"), ["log_amount"], [])
+    one = es.fit_logistic(parts["TRAIN"].where("isFraud = 0"), ["log_amount"], ["type_transfer_flag"], 60)
+    assert es.score(one, parts["TEST"]).where("score > 1e-3 OR score IS NULL").count() == 0
+
+
+def test_saved_regression_scores_alike(parts, tmp_path):
+    model = es.fit_logistic(parts["TRAIN"], S.CONTINUOUS_FEATURES, S.BASELINE_BINARY)
+    again = es.load_model(es.save_model(model, str(tmp_path / "r")))
+    key = lambda m: [(r["transaction_id"], r["score"]) for r in es.score(m, parts["TEST"]).orderBy("transaction_id").collect()]
+    assert key(again) == key(model)

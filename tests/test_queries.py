@@ -4,9 +4,10 @@ import pytest
 from conftest import comparable
 
 import __spark_entry__ as entry_points
+from tallywatch.plans import catalog, oracle
 
-SQL = entry_points.oracle_sql()
-QUERIES = entry_points.queries()
+SQL = oracle.build()
+QUERIES = catalog.QUERIES
 KINDS = {
     "TINYINT": "tinyint", "SMALLINT": "smallint", "INTEGER": "int", "BIGINT": "bigint",
     "DOUBLE": "double", "VARCHAR": "string",
