@@ -21,38 +21,60 @@ from tallywatch.operators.profile import missing_values
 from tallywatch.session import materialise
 
 
-def dataset_validation(source: DataFrame, master: DataFrame, model: DataFrame) -> DataFrame:
-    """Counts that must agree across source, master and model tables."""
-    fraud = total("CAST(isFraud AS BIGINT)")
-    row = master.selectExpr(
-        "COUNT(*) AS rows",
-        f"{fraud} AS fraud",
-        f"{count_if('zero_amount_flag = 1')} AS zero",
-        f"{count_if(f'zero_amount_flag = 1 AND {FRAUD}')} AS zero_fraud",
-        f"{count_if('high_value_200k_flag = 1')} AS high",
-    )
-    side = f"struct(COUNT(*) AS rows, {fraud} AS fraud)"
+_FRAUD_SUM = total("CAST(isFraud AS BIGINT)")
+#: Counted while the source is read and while the tables are written.
+SOURCE_MEASURES = {"source_rows": "COUNT(*)", "source_fraud": _FRAUD_SUM}
+MASTER_MEASURES = {
+    "rows": "COUNT(*)",
+    "fraud": _FRAUD_SUM,
+    "zero": count_if("zero_amount_flag = 1"),
+    "zero_fraud": count_if(f"zero_amount_flag = 1 AND {FRAUD}"),
+    "high": count_if("high_value_200k_flag = 1"),
+}
+MODEL_MEASURES = {"model_rows": "COUNT(*)", "model_fraud": _FRAUD_SUM}
+
+
+def stored_megabytes(stored: DataFrame) -> DataFrame:
+    """Size of the files of a written table, one row."""
+    files = stored.select("_metadata.file_path", "_metadata.file_size").distinct()
+    return files.selectExpr(f"COALESCE({double('SUM(file_size)')}, 0D) / 1048576D AS megabytes")
+
+
+def dataset_validation(processed: dict, master_stored: DataFrame, model_stored: DataFrame) -> DataFrame:
+    """Sixteen counts that must agree: what was processed against what is stored.
+
+    ``processed`` holds the observed measures of source, master and model; rows
+    stored are counted from the files, so a lost part file shows.
+    """
+    row = master_stored.sparkSession.range(1).selectExpr(*[f"{int(v or 0)}L AS {n}" for n, v in processed.items()])
     row = row.withColumns(
-        {"source": source.selectExpr(side).scalar(), "model": model.selectExpr(side).scalar()}
+        {
+            "master_stored": master_stored.selectExpr("COUNT(*)").scalar(),
+            "model_stored": model_stored.selectExpr("COUNT(*)").scalar(),
+            "master_mb": stored_megabytes(master_stored).scalar(),
+            "model_mb": stored_megabytes(model_stored).scalar(),
+        }
     )
     # Metric names of the validation report.
     return to_long(
         row,
         [
-            ("Source rows processed", "source.rows"),
+            ("Source rows processed", "source_rows"),
             ("Master analytical rows", "rows"),
-            ("Master Parquet rows", "rows"),
-            ("Rows lost during processing", "source.rows - rows"),
-            ("Source fraud transactions", "source.fraud"),
+            ("Master Parquet rows", "master_stored"),
+            ("Rows lost during processing", "source_rows - master_stored"),
+            ("Source fraud transactions", "source_fraud"),
             ("Master fraud transactions", "fraud"),
             ("Full dataset fraud rate (%)", percent_or_zero("fraud", "rows")),
-            ("High-risk modelling rows", "model.rows"),
-            ("High-risk Parquet rows", "model.rows"),
-            ("High-risk modelling fraud", "model.fraud"),
-            ("High-risk fraud rate (%)", percent_or_zero("model.fraud", "model.rows")),
+            ("High-risk modelling rows", "model_rows"),
+            ("High-risk Parquet rows", "model_stored"),
+            ("High-risk modelling fraud", "model_fraud"),
+            ("High-risk fraud rate (%)", percent_or_zero("model_fraud", "model_rows")),
             ("Zero-amount transactions", "zero"),
             ("Zero-amount fraud transactions", "zero_fraud"),
             ("Transactions above 200k", "high"),
+            ("Master file size (MB)", "master_mb"),
+            ("High-risk model file size (MB)", "model_mb"),
         ],
         "Metric",
         "Value",
@@ -220,7 +242,9 @@ def defined_lift(lift: DataFrame) -> DataFrame:
 
 # ---- model population ------------------------------------------------------
 @one_row
-def population_summary(model: DataFrame) -> Summary:
+def population_summary(model: DataFrame, stored_rows: int | None = None) -> Summary:
+    """``stored_rows``: rows of the stored table by its files, counted apart from the rows processed."""
+    stored = model.count() if stored_rows is None else stored_rows
     measures = {
         "rows": "COUNT(*)",
         "fraud": total("CAST(isFraud AS BIGINT)"),
@@ -228,7 +252,7 @@ def population_summary(model: DataFrame) -> Summary:
         "last_step": "MAX(step)",
     }
     metrics = [
-        ("Parquet rows", "rows"),
+        ("Parquet rows", f"{stored}L"),
         ("Rows processed", "rows"),
         ("Total fraud", "fraud"),
         ("Legitimate transactions", "rows - fraud"),

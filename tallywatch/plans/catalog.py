@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallywatch import schema as S
 from tallywatch.functions import exprs as ex
 from tallywatch.operators import compare, evaluate as ev, explore, features, filters as flt
+from tallywatch.operators.features import model_population
 from tallywatch.operators import ordering, profile, quality, split as sp, tiers
 from tallywatch.plans import frames as fr
 from tallywatch.plans.frames import output
 from tallywatch.report import contracts, tables as rt, views
 from tallywatch.session import scratch_path
 from tallywatch.sinks import writers
+from tallywatch.sinks.generations import Generations
 from tallywatch.sources import mapped, transactions as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,21 +116,23 @@ def _(spark, folder):
 
 @query("sink_truncate_reload")
 def _(spark, folder):
-    target = scratch_path(spark, "reporting")
+    """Two loads; the second is the published one."""
+    loads = Generations(spark, scratch_path(spark, "reporting"))
     frames = fr.report_frames(spark, folder)
-    empty = {name: spark.createDataFrame([], rt.table_schema(name)) for name in frames}
-    writers.write_stages(empty, target)
-    return contracts.row_counts(writers.write_stages(frames, target))
+    loads.load({name: spark.createDataFrame([], rt.table_schema(name)) for name in frames})
+    loads.load(frames)
+    return contracts.row_counts(loads.tables(list(frames)))
 
 
 @query("sink_fact_load")
 def _(spark, folder):
-    return output(fr.fact(spark, folder))
+    return output(writers.write_table(fr.fact(spark, folder), "fact_scored_transactions", scratch_path(spark, "fact")))
 
 
 @query("sink_queue_load")
 def _(spark, folder):
-    return output(rt.queue_table(tiers.evaluation_queue(fr.tiered(spark, folder))))
+    queue = rt.queue_table(tiers.evaluation_queue(fr.tiered(spark, folder)))
+    return output(writers.write_table(queue, "investigator_alert_queue", scratch_path(spark, "queue")))
 
 
 @query("sink_small_table")
@@ -471,11 +475,11 @@ def _(spark, folder):
 # ---- exploration -----------------------------------------------------------
 @query("q_dataset_validation")
 def _(spark, folder):
-    return output(
-        explore.dataset_validation(
-            fr.transactions(spark, folder), fr.master(spark, folder), fr.population(spark, folder)
-        )
-    )
+    """Without the two file sizes, which are those of this engine's files."""
+    master, counted = writers.write_observed(fr.master(spark, folder), scratch_path(spark, "master"), explore.MASTER_MEASURES)
+    model, modelled = writers.write_observed(model_population(master), scratch_path(spark, "model_population"), explore.MODEL_MEASURES)
+    source = fr.transactions(spark, folder).selectExpr(*[f"{e} AS {n}" for n, e in explore.SOURCE_MEASURES.items()]).first().asDict()
+    return output(explore.dataset_validation(source | counted | modelled, master, model).where("NOT contains(Metric, 'file size')"))
 
 
 def _over_master(name: str, operator: Callable[[DataFrame], DataFrame]) -> None:
@@ -799,6 +803,15 @@ def _(spark, folder):
     )
 
 
+@query("dq_tables")
+def _(spark, folder):
+    """Rules of fact and queue, each alone and over both."""
+    rows = fr.tiered(spark, folder)
+    fact = rt.fact_table(rows)
+    queue = rt.queue_table(tiers.evaluation_queue(rows))
+    return contracts.table_constraints({"fact_scored_transactions": fact, "investigator_alert_queue": queue})
+
+
 @query("g_clean_rules")
 def _(spark, folder):
     judged = quality.judge_rows(fr.defective(spark, folder))
@@ -882,9 +895,9 @@ def _(spark, folder):
 
 @query("fn_hash")
 def _(spark, folder):
-    """Hashes decide equality: distinct row hashes against distinct rows."""
+    """Distinct rows: hashes first, then the columns themselves, so equal hashes of different rows stay apart."""
     rows = fr.defective(spark, folder)
-    hashed = rows.selectExpr(f"{profile.row_hash(rows.columns)} AS h").groupBy("h").count()
+    hashed = rows.selectExpr("*", f"{profile.row_hash(rows.columns)} AS h").groupBy("h", *rows.columns).count()
     return hashed.selectExpr("COUNT(*) AS distinct_rows", "SUM(count) AS row_count")
 
 

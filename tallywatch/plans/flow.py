@@ -20,7 +20,8 @@ from tallywatch.operators.filters import in_split, scoring_period
 from tallywatch.operators.onepass import one_pass
 from tallywatch.plans.frames import CHALLENGER_NAME, CHAMPION_NAME
 from tallywatch.report import contracts, tables as rt, views
-from tallywatch.sinks.writers import read_stage, write_parquet, write_summary_csv
+from tallywatch.sinks.generations import Generations
+from tallywatch.sinks.writers import read_stage, write_observed, write_parquet, write_summary_csv
 from tallywatch.sources import transactions as src
 
 _EVERY = [c for part in S.FEATURE_SETS["Model_D_Enhanced_PaySim"][:2] for c in part]
@@ -75,14 +76,12 @@ class Flow:
         """Ids in file order, money as decimals, engineered columns."""
         money = [f"CAST({c} AS DECIMAL(20,2)) AS {c}" if c in S.MONEY_COLUMNS else c for c in S.SOURCE_COLUMNS]
         identified = src.with_transaction_id(self.stage("raw").select("*", "_metadata"))
-        master = self._put("master", master_dataset(identified.selectExpr("transaction_id", *money)))
-        model = self._put("model_population", model_population(master))
-        self._summaries(
-            "features",
-            {
-                "validation": explore.dataset_validation(self.stage("raw"), master, model),
-            },
+        master, counted = write_observed(
+            master_dataset(identified.selectExpr("transaction_id", *money)), f"{self.folder}/master", explore.MASTER_MEASURES
         )
+        model, modelled = write_observed(model_population(master), f"{self.folder}/model_population", explore.MODEL_MEASURES)
+        source = self.stage("raw").selectExpr(*[f"{e} AS {n}" for n, e in explore.SOURCE_MEASURES.items()]).first().asDict()
+        self._summaries("features", {"validation": explore.dataset_validation(source | counted | modelled, master, model)})
 
     def explore(self) -> None:
         """Two scans of the master table: global measures, and the group table."""
@@ -260,7 +259,11 @@ class Flow:
         )
 
     def report(self) -> dict[str, DataFrame]:
-        """Write the eight reporting tables and register the ten views."""
+        """Load the eight reporting tables as one generation, checked before it is published, and register the ten views.
+
+        The checks of the load are kept as summaries. A broken rule raises, and the
+        views and tables of the load before stay.
+        """
         small = {
             "risk_tier_thresholds": "risk/thresholds",
             "risk_tier_summary": "risk/tiers",
@@ -274,8 +277,10 @@ class Flow:
             "investigator_alert_queue": rt.queue_table(self.stage("queue")),
             **{table: rt.small_table(self.stage(stage), table) for table, stage in small.items()},
         }
-        tables = {name: self._put(f"reporting/{name}", df) for name, df in frames.items()}
-        views.create_views(self.spark, tables)
+        loads = Generations(self.spark, f"{self.folder}/reporting")
+        tables = loads.load(frames, contracts.require_constraints)
+        made = views.create_views(self.spark, tables)
+        self._summaries("report", {**contracts.load_report(tables), "views": contracts.view_smoke(self.spark, made)})
         return tables
 
     def run(self, csv_path: str, trees: int = 200) -> dict[str, DataFrame]:

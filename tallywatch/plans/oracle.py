@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 from tallywatch import schema as S
+from tallywatch.report.tables import TABLE_COLUMNS, TABLE_DOMAINS, TABLE_FLAGS
 from tallywatch.sources.mapped import SCORE_RULES
 
 CHAMPION = "HistGradientBoosting - Defensible Features"
@@ -598,6 +599,19 @@ _REASONS = f"""concat_ws('+', CASE WHEN amount < 0 THEN 'negative_amount' END, C
   CASE WHEN {_BLANK.format('nameOrig')} OR {_BLANK.format('nameDest')} THEN 'blank_account' END)"""
 
 # ---- one body per query ----------------------------------------------------
+def _rules(table: str, key: str) -> list[tuple[str, str]]:
+    """Key, filled columns, flags and value lists of a table."""
+    columns = re.findall(r"(\w+) [A-Z]+[^,]*?(?:\(20,2\))? NOT NULL", TABLE_COLUMNS[table])
+    listed = lambda values: ", ".join(f"'{v}'" for v in values)
+    return [
+        (f"unique:{key}", big(f"COUNT(*) - COUNT(DISTINCT {key})")),
+        *((f"not_null:{c}", cnt(f"{c} IS NULL")) for c in columns),
+        *((f"flag:{c}", cnt(f"{c} NOT IN (0, 1)")) for c in TABLE_FLAGS[table]),
+        *((f"domain:{c}", cnt(f"{c} NOT IN ({listed(v)})")) for c, v in TABLE_DOMAINS[table].items()),
+    ]
+
+
+_BLOCKS.append(("qt", f"SELECT {_QUEUE_TABLE} FROM q"))
 BODIES: dict[str, str] = {
     "src_csv_sample": f"SELECT {_SOURCE_ROWS} FROM t ORDER BY transaction_id LIMIT 100000",
     "src_csv_full": f"SELECT {_SOURCE_ROWS} FROM t",
@@ -920,6 +934,17 @@ BODIES: dict[str, str] = {
             "oldbalance_org", "oldbalance_dest", "high_value_200k_flag", "hgb_fraud_score", "risk_tier", "operational_alert", "legacy_rule_flag", "actual_fraud"]]
         + [(f"flag:{c}", cnt(f"{c} NOT IN (0, 1)")) for c in ["high_value_200k_flag", "operational_alert", "legacy_rule_flag", "actual_fraud"]]
         + [("domain:risk_tier", cnt("risk_tier NOT IN ('Low', 'Medium', 'High', 'Critical')"))], "constraint_name", "violations", "f"),
+    "dq_tables": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{n}' AS constraint_name, {e} AS violations FROM {block}"
+        for t, block, key in (("fact_scored_transactions", "f", "transaction_id"), ("investigator_alert_queue", "qt", "investigation_rank"))
+        for n, e in _rules(t, key)
+      )
+      + f""" UNION ALL SELECT 'investigator_alert_queue', 'in_fact:transaction_id', {big('COUNT(*)')} FROM q WHERE transaction_id NOT IN (SELECT transaction_id FROM f WHERE operational_alert = 1)
+      UNION ALL SELECT 'investigator_alert_queue', 'agrees:score_and_tier', {big('COUNT(*)')} FROM q JOIN f USING (transaction_id)
+        WHERE f.operational_alert = 1 AND (q.hgb_fraud_score <> f.hgb_fraud_score OR q.risk_tier <> f.risk_tier)
+      UNION ALL SELECT 'fact_scored_transactions', 'in_queue:alerts', {big('COUNT(*)')} FROM f WHERE operational_alert = 1 AND transaction_id NOT IN (SELECT transaction_id FROM q)
+      UNION ALL SELECT 'investigator_alert_queue', 'gapless:investigation_rank', {cnt('n > 0 AND (low <> 1 OR high <> n)')}
+        FROM (SELECT COUNT(*) AS n, MIN(investigation_rank) AS low, MAX(investigation_rank) AS high FROM q)""",
     "g_clean_rules": f"""SELECT CASE WHEN reason = '' THEN 'valid' ELSE reason END AS reason, {big('COUNT(*)')} AS row_count
       FROM (SELECT {_REASONS} AS reason FROM (SELECT DISTINCT * FROM d)) GROUP BY 1""",
     "g_leak_guard": " UNION ALL ".join(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywatch.functions.exprs import count_if, rounded, rounded_percent, text, tier_sort
+from tallywatch.operators.quality import constraint_violations
+from tallywatch.report import tables as rt
 
 
 class ContractError(AssertionError):
@@ -52,6 +56,62 @@ def queue_check(queue: DataFrame) -> DataFrame:
     )
 
 
+def table_constraints(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, constraint_name, violations): all rules of the given tables in one plan.
+
+    Keys are unique, required columns filled, flags 0 or 1, listed values from
+    their lists. Over tables: every row of the queue is an alert of the fact and
+    agrees with its score and tier, every alert is in the queue, ranks run from 1
+    without gaps in the order of scores, and the tier summary counts the fact's rows.
+    """
+    parts = []
+    for name, df in tables.items():
+        found = constraint_violations(
+            df, rt.key_column(name), rt.required_columns(name), rt.TABLE_FLAGS.get(name, []), rt.TABLE_DOMAINS.get(name, {})
+        )
+        parts.append(found.selectExpr(f"{text(name)} AS table_name", "constraint_name", "violations"))
+    fact, queue, summary = (tables.get(n) for n in ("fact_scored_transactions", "investigator_alert_queue", "risk_tier_summary"))
+    rule = lambda df, table, name, test: df.selectExpr(
+        f"{text(table)} AS table_name", f"{text(name)} AS constraint_name", f"{count_if(test)} AS violations"
+    )
+    if fact is not None and queue is not None:
+        alerts = fact.where("operational_alert = 1").select("transaction_id", "hgb_fraud_score", "risk_tier")
+        pairs = queue.select("transaction_id", "hgb_fraud_score", "risk_tier", "investigation_rank").alias("q").join(
+            alerts.alias("a"), "transaction_id", "full_outer"
+        )
+        parts.append(rule(pairs, "investigator_alert_queue", "in_fact:transaction_id", "a.risk_tier IS NULL AND a.hgb_fraud_score IS NULL"))
+        parts.append(rule(pairs, "investigator_alert_queue", "agrees:score_and_tier",
+                          "investigation_rank IS NOT NULL AND a.risk_tier IS NOT NULL AND (q.hgb_fraud_score <> a.hgb_fraud_score OR q.risk_tier <> a.risk_tier)"))
+        parts.append(rule(pairs, "fact_scored_transactions", "in_queue:alerts", "investigation_rank IS NULL"))
+    if queue is not None:
+        span = queue.selectExpr("COUNT(*) AS n", "MIN(investigation_rank) AS low", "MAX(investigation_rank) AS high")
+        parts.append(rule(span, "investigator_alert_queue", "gapless:investigation_rank", "n > 0 AND (low <> 1 OR high <> n)"))
+    if fact is not None and summary is not None:
+        counted = fact.groupBy("risk_tier").agg(F.expr("COUNT(*) AS n"))
+        both = summary.select("risk_tier", "transaction_count").join(counted, "risk_tier", "full_outer")
+        parts.append(rule(both, "risk_tier_summary", "counts:transaction_count", "COALESCE(n, 0) <> COALESCE(transaction_count, 0)"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def require_constraints(tables: dict[str, DataFrame]) -> None:
+    """Raise ``ContractError`` when any rule of the tables is broken."""
+    bad = table_constraints(tables).where("violations > 0").take(10)
+    if bad:
+        raise ContractError("; ".join(f"{r['table_name']}, {r['constraint_name']}: {r['violations']}" for r in bad))
+
+
+def load_report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The checks that are kept with every load."""
+    fact, queue = tables["fact_scored_transactions"], tables["investigator_alert_queue"]
+    return {
+        "row_counts": row_counts(tables),
+        "fact_reconciliation": fact_reconciliation(fact),
+        "tier_distribution": tier_distribution(fact),
+        "queue_check": queue_check(queue),
+        "constraints": table_constraints(tables),
+    }
+
+
 def model_check(models: DataFrame) -> DataFrame:
     return models.orderBy(F.desc_nulls_last("recall"), F.asc("model")).selectExpr(
         "model",

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from tallywatch import schema as S
+
 # ---- Fixed values: table definitions; the first column is the key ------------
 TABLE_COLUMNS = {
     "fact_scored_transactions": """
@@ -97,6 +101,31 @@ TABLE_COLUMNS = {
 }
 FACT_FLAGS = ["high_value_200k_flag", "operational_alert", "legacy_rule_flag", "actual_fraud"]
 
+
+
+class Layout(NamedTuple):
+    """How a large table lies on disk: folders, order inside and between files, columns looked up by single values."""
+
+    partition_by: list[str]
+    order: list[str]
+    lookups: list[str]
+
+
+LAYOUTS = {
+    "fact_scored_transactions": Layout(
+        ["transaction_day"], ["transaction_type", "hgb_fraud_score"], ["transaction_id", "origin_account", "destination_account"]
+    ),
+    "investigator_alert_queue": Layout([], ["investigation_rank"], ["transaction_id"]),
+}
+
+# ---- Fixed values: value lists of the tables --------------------------------
+TABLE_DOMAINS = {
+    "fact_scored_transactions": {"risk_tier": S.TIERS, "transaction_type": S.ALLOWED_TYPES},
+    "investigator_alert_queue": {"risk_tier": S.TIERS, "priority_band": S.TIERS, "transaction_type": S.ALLOWED_TYPES},
+    "risk_tier_summary": {"risk_tier": S.TIERS},
+}
+TABLE_FLAGS = {"fact_scored_transactions": FACT_FLAGS, "investigator_alert_queue": ["high_value_200k_flag", "legacy_rule_flag"]}
+
 # ---- Fixed values: names that differ between frames and tables --------------
 TRANSACTION_NAMES = {
     "type": "transaction_type",

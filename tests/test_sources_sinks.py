@@ -120,3 +120,136 @@ def test_defective_rows_do_have_defects(spark, data):
     bad = mapped.defective(spark, data)
     assert bad.where("amount < 0").count() > 0 and bad.where("isnan(amount)").count() > 0
     assert bad.count() > mapped.transactions(spark, data).count()
+
+
+def _csv(folder, files):
+    folder.mkdir()
+    for name, lines in files.items():
+        (folder / name).write_text("\n".join([",".join(S.SOURCE_COLUMNS), *lines]) + "\n")
+    return str(folder)
+
+
+def _line(i, amount="5.5"):
+    return f"{1 + i % 743},TRANSFER,{amount},C{i},1.0,2.0,M{i},3.0,4.0,0,0"
+
+
+def test_bad_rows_are_split_off_or_raise(spark, tmp_path):
+    bad = [_line(1) + ",more", "2,TRANSFER,5", _line(3, "five")]
+    path = _csv(tmp_path / "in", {"b.csv": [_line(4), *bad, _line(5)], "a.csv": [_line(0), _line(6, "")]})
+    good, rest = src.split_rows(spark, path)
+    assert sorted(r["nameOrig"] for r in good.collect()) == ["C0", "C4", "C5", "C6"] and good.schema == S.TRANSACTIONS
+    assert sorted(r["line"] for r in rest.collect()) == sorted(bad) and all(r["file"].endswith("b.csv") for r in rest.collect())
+    with pytest.raises(src.BadRows):
+        src.land_csv(spark, path, str(tmp_path / "raw"))
+    landed = src.land_csv(spark, path, str(tmp_path / "raw"), str(tmp_path / "rejected"))
+    ids = src.with_transaction_id(landed.select("*", "_metadata")).orderBy("transaction_id").collect()
+    assert [r["nameOrig"] for r in ids] == ["C0", "C6", "C4", "C5"]
+    assert spark.read.parquet(str(tmp_path / "rejected")).count() == 3
+
+
+def test_sample_opens_only_the_files_it_needs(spark, tmp_path):
+    path = _csv(tmp_path / "in", {f"f{k}.csv": [_line(100 * k + i) for i in range(10)] for k in range(4)})
+    (tmp_path / "in" / "f3.csv").chmod(0)
+    got = [r["nameOrig"] for r in src.read_csv_sample(spark, path, 15).collect()]
+    assert got == [f"C{i}" for i in range(10)] + [f"C{100 + i}" for i in range(5)]
+    (tmp_path / "in" / "f3.csv").chmod(0o644)
+    assert src.read_csv_sample(spark, path).count() == 40
+
+
+@pytest.fixture(scope="module")
+def report(spark, data):
+    from tallywatch.plans import frames as fr
+
+    return {n: df.cache() for n, df in fr.report_frames(spark, data).items()}
+
+
+def test_failed_load_leaves_the_old_tables(spark, report, tmp_path):
+    from tallywatch.sinks.generations import Generations
+
+    loads = Generations(spark, str(tmp_path / "reporting"))
+    with pytest.raises(LookupError):
+        loads.tables(list(report))
+    loads.load(report, contracts.require_constraints)
+    counts = {r["table_name"]: r["row_count"] for r in contracts.row_counts(loads.tables(list(report))).collect()}
+    broken = report | {"model_comparison": report["model_comparison"].selectExpr("*", "1 AS x").drop("model")}
+    with pytest.raises(Exception):  # a table that cannot be written, after others were
+        loads.load(broken)
+    twice = report | {"risk_tier_summary": report["risk_tier_summary"].unionByName(report["risk_tier_summary"])}
+    with pytest.raises(contracts.ContractError, match="unique:risk_tier"):
+        loads.load(twice, contracts.require_constraints)
+    assert loads.published() == 1 and loads.written() == [1, 2, 3]
+    again = {r["table_name"]: r["row_count"] for r in contracts.row_counts(loads.tables(list(report))).collect()}
+    assert again == counts
+    loads.load(report)
+    loads.load(report)
+    assert loads.published() == 5 and loads.written() == [4, 5]
+
+
+def test_fact_layout_prunes_and_replaces_days(spark, report, tmp_path):
+    table, path = "fact_scored_transactions", str(tmp_path / "fact")
+    fact = writers.write_table(report[table], table, path)
+    days = sorted(r[0] for r in fact.select("transaction_day").distinct().collect())
+    plan = fact.where(f"transaction_day = {days[0]} AND hgb_fraud_score > 0.9")._jdf.queryExecution().executedPlan().toString()
+    assert f"(transaction_day#" in plan and "PartitionFilters: [isnotnull(transaction_day" in plan and "GreaterThan(hgb_fraud_score,0.9)" in plan
+    one = fact.where(f"transaction_day = {days[0]}").limit(1).cache()
+    one.count()
+    new = writers.write_table(one, table, path, days_only=True)
+    assert new.where(f"transaction_day = {days[0]}").count() == 1
+    assert new.where(f"transaction_day <> {days[0]}").count() == report[table].where(f"transaction_day <> {days[0]}").count()
+    import pyarrow.parquet as pq
+
+    queue = writers.write_table(report["investigator_alert_queue"], "investigator_alert_queue", str(tmp_path / "queue"))
+    spans = []
+    for file in (tmp_path / "queue").glob("part-*.parquet"):
+        stats = pq.ParquetFile(file).metadata.row_group(0).column(0).statistics
+        spans.append((stats.min, stats.max))
+    spans.sort()
+    assert queue.count() and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))  # ranks of files do not overlap
+
+
+@pytest.mark.parametrize(
+    "changes, rules",
+    [
+        (
+            {
+                "fact_scored_transactions": ["CAST(3 AS SMALLINT) AS actual_fraud", "'None' AS risk_tier", "CAST(NULL AS STRING) AS origin_account", "1L AS transaction_id"],
+                "investigator_alert_queue": ["investigation_rank + 1 AS investigation_rank"],
+                "risk_tier_summary": ["transaction_count + 1 AS transaction_count"],
+                "risk_tier_thresholds": ["CAST(NULL AS DOUBLE) AS score_threshold"],
+            },
+            {"flag:actual_fraud", "domain:risk_tier", "not_null:origin_account", "unique:transaction_id", "gapless:investigation_rank",
+             "counts:transaction_count", "not_null:score_threshold"},
+        ),
+        (
+            {"fact_scored_transactions": ["CAST(1 AS SMALLINT) AS operational_alert"], "investigator_alert_queue": ["hgb_fraud_score / 2 AS hgb_fraud_score"]},
+            {"in_queue:alerts", "agrees:score_and_tier"},
+        ),
+        ({"fact_scored_transactions": ["CAST(0 AS SMALLINT) AS operational_alert"]}, {"in_fact:transaction_id"}),
+        ({}, set()),
+    ],
+)
+def test_each_rule_over_the_tables_fails(report, changes, rules):
+    tables = {}
+    for table in ("fact_scored_transactions", "investigator_alert_queue", "risk_tier_summary", "risk_tier_thresholds"):
+        new = {c.rpartition(" AS ")[2]: c for c in changes.get(table, [])}
+        tables[table] = report[table].selectExpr(*[new.get(c, c) for c in report[table].columns])
+    found = {r["constraint_name"] for r in contracts.table_constraints(tables).where("violations > 0").collect()}
+    assert rules <= found and (rules or not found)
+
+
+def test_a_lost_part_file_shows(spark, data, tmp_path):
+    from tallywatch.operators import explore
+    from tallywatch.operators.features import model_population
+    from tallywatch.plans import frames as fr
+
+    rows = fr.master(spark, data)
+    master, counted = writers.write_observed(rows.repartition(4), str(tmp_path / "master"), explore.MASTER_MEASURES)
+    model, modelled = writers.write_observed(model_population(master), str(tmp_path / "model"), explore.MODEL_MEASURES)
+    source = {"source_rows": counted["rows"], "source_fraud": counted["fraud"]}
+    read = lambda: {r["Metric"]: r["Value"] for r in explore.dataset_validation(source | counted | modelled, spark.read.parquet(str(tmp_path / "master")), model).collect()}
+    whole = read()
+    assert len(whole) == 16 and whole["Rows lost during processing"] == 0 and whole["Master file size (MB)"] > 0
+    lost = next((tmp_path / "master").glob("part-*.parquet"))
+    lost.rename(tmp_path / "lost.parquet")
+    after = read()
+    assert after["Rows lost during processing"] > 0 and after["Master analytical rows"] == whole["Master analytical rows"]
