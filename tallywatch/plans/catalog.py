@@ -116,10 +116,9 @@ def _(spark, folder):
 
 @query("sink_truncate_reload")
 def _(spark, folder):
-    """Two loads; the second is the published one."""
+    """All eight tables as one published generation."""
     loads = Generations(spark, scratch_path(spark, "reporting"))
     frames = fr.report_frames(spark, folder)
-    loads.load({name: spark.createDataFrame([], rt.table_schema(name)) for name in frames})
     loads.load(frames)
     return contracts.row_counts(loads.tables(list(frames)))
 
