@@ -170,11 +170,17 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     gives the same surrogates as long as the set of entities is the same.
     """
     pattern = _q(PATTERN)
-    keyed = docs.selectExpr("doc_id", "text", f"COALESCE(text RLIKE {pattern}, false) AS hinted")
-    quiet = keyed.where("NOT hinted").selectExpr("doc_id", "text", "0L AS n_mentions")
-    cut = keyed.where("hinted").selectExpr(
-        "doc_id", "xxhash64(text) AS text_hash", f"regexp_extract_all(text, {pattern}, 0) AS mentions", f"split(text, {pattern}, -1) AS pieces"
+    # the pattern goes over each text once; quiet texts are kept as they are, the others as pieces between mentions
+    found = docs.selectExpr("doc_id", "text", f"inline(array(struct(regexp_extract_all(text, {pattern}, 0) AS mentions)))")
+    read = stage(
+        found.selectExpr(
+            "doc_id", "IF(size(mentions) > 0, NULL, text) AS text", "IF(size(mentions) > 0, xxhash64(text), NULL) AS text_hash",
+            "IF(size(mentions) > 0, mentions, NULL) AS mentions", f"IF(size(mentions) > 0, split(text, {pattern}, -1), NULL) AS pieces",
+        ),
+        "read_texts",
     )
+    quiet = read.where("mentions IS NULL").selectExpr("doc_id", "text", "0L AS n_mentions")
+    cut = read.where("mentions IS NOT NULL").select("doc_id", "text_hash", "mentions", "pieces")
     mentions = stage(
         cut.selectExpr("doc_id", "text_hash", "posexplode(mentions) AS (at, mention)").distinct()
         .selectExpr("*", f"{_KIND} AS kind").selectExpr("*", f"{_CANON} AS canon", f"{_GENDER} AS gender"),
