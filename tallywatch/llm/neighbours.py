@@ -106,6 +106,18 @@ def box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
 
 
 # ---- search of one block ---------------------------------------------------
+def _keep_best(best: np.ndarray, best_ids: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+    """Merge scored candidates into the k best of their rows; equal scores go by id."""
+    rows, k = np.unique(row), best.shape[1]
+    row = np.concatenate([np.repeat(rows, k), row])
+    score = np.concatenate([best[rows].ravel(), score])
+    ids = np.concatenate([best_ids[rows].ravel(), ids])
+    order = np.lexsort((ids, -score, row))
+    row, score, ids = row[order], score[order], ids[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    best[rows], best_ids[rows] = score[first].reshape(-1, k), ids[first].reshape(-1, k)
+
+
 def search(queries, query_ids, bound, vectors, ids, extra, turn, k: int, greatest: float, limit: float):
     """The k best of a block per query: (ids, scores), -1 and -inf where there are fewer.
 
@@ -124,6 +136,7 @@ def search(queries, query_ids, bound, vectors, ids, extra, turn, k: int, greates
     best = np.full((len(queries), k), -np.inf)
     best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
     square = greatest * greatest + (queries * queries).sum(1)
+    slack = 1e-12 * greatest * np.sqrt((queries * queries).sum(1))  # well over the rounding of a product
     active = np.arange(len(queries))
     for step in range(0, len(members), STEP):
         kth = np.maximum(best[active, -1], bound[active])
@@ -136,14 +149,17 @@ def search(queries, query_ids, bound, vectors, ids, extra, turn, k: int, greates
         for leaf in np.unique(todo):
             rows = active[(todo == leaf).any(1)]
             inside = members[leaf]
-            score = queries[rows] @ vectors[inside].T
-            own = ids[inside][None, :].repeat(len(rows), 0)
-            score[own == query_ids[rows][:, None]] = -np.inf
-            own[np.isneginf(score)] = np.iinfo(np.int64).max
-            s = np.concatenate([best[rows], score], 1)
-            i = np.concatenate([best_ids[rows], own], 1)
-            pick = np.lexsort((i, -s), axis=1)[:, :k]
-            best[rows], best_ids[rows] = np.take_along_axis(s, pick, 1), np.take_along_axis(i, pick, 1)
+            # a product's last bits depend on its shape: it only tells what comes near the k-th place
+            rough = queries[rows] @ vectors[inside].T
+            rough[ids[inside][None, :] == query_ids[rows][:, None]] = -np.inf
+            least = best[rows, -1]
+            if len(inside) > k:
+                least = np.maximum(least, np.partition(rough, -k, axis=1)[:, -k])
+            i, j = np.nonzero((rough >= (least - slack[rows])[:, None]) & ~np.isneginf(rough))
+            if len(i):
+                # products added up one pair at a time, always in the same order
+                score = (queries[rows[i]] * vectors[inside[j]]).sum(axis=1)
+                _keep_best(best, best_ids, rows[i], score, ids[inside[j]])
     return best_ids, best
 
 

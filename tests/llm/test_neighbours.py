@@ -42,3 +42,17 @@ def test_ties_bad_vectors_and_few_rows(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in N.nearest(frame, "vec_id % 5 = 0").orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 0.0)]
     assert N.nearest(frame.limit(0), "vec_id % 5 = 0").count() == 0
+
+
+def test_equal_vectors_keep_the_order_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 400)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 24))
+    x[rng.choice(3000, 300, replace=False)] = x[17]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = N.nearest(frame, "vec_id % 4 = 0").orderBy("query_id", "rank").toPandas()
+    same = set(np.flatnonzero((x == x[17]).all(axis=1)).tolist())
+    for q, own in got.groupby("query_id"):
+        pairs = list(zip((-own.score).tolist(), own.vec_id.tolist()))
+        assert pairs == sorted(pairs)
+        assert len({s for s, i in pairs if i in same}) <= 1
