@@ -411,5 +411,5 @@ def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     Documents without shingles are components of their own. Rows that repeat an
     id stay or go together, and so do all rows without an id.
     """
-    kept = similar_documents(docs, size, percent).groupBy("component_id").agg(F.count("*").alias("_n")).drop("_n")
-    return docs.join(kept.withColumnRenamed("component_id", "_kept"), F.expr("doc_id <=> _kept"), "left_semi")
+    kept = similar_documents(docs, size, percent).select("component_id").distinct()
+    return docs.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.component_id"), "left_semi")

@@ -176,11 +176,8 @@ def remove_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     left and is left out; a document that had no words stays as it is.
     """
     gone = repeated_lines(docs, percent).groupBy("doc_id", "text_hash").agg(F.expr("collect_set(line) AS gone"))
-    joined = docs.withColumn("_hash", F.xxhash64("text")).alias("d").join(
-        gone.alias("g"), F.expr("d.doc_id <=> g.doc_id AND d._hash = g.text_hash"), "left"
-    )
-    rest = "array_join(filter(split(d.text, '\\n', -1), (x, i) -> NOT array_contains(gone, i)), '\\n')"
-    out = joined.selectExpr(
-        "gone IS NOT NULL AS _cut", *[f"IF(gone IS NULL, d.text, {rest}) AS text" if c == "text" else f"d.`{c}`" for c in docs.columns]
-    ).where("NOT _cut OR trim(text) RLIKE '[^\\\\s\\\\p{Punct}]'").drop("_cut")
+    joined = docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id AND xxhash64(d.text) = g.text_hash"), "left")
+    rest = "array_join(filter(split(d.text, '\\n', -1), (x, i) -> NOT array_contains(g.gone, i)), '\\n')"
+    kept = joined.where(f"g.gone IS NULL OR trim({rest}) RLIKE '[^\\\\s\\\\p{{Punct}}]'")
+    out = kept.selectExpr(*[f"IF(g.gone IS NULL, d.text, {rest}) AS text" if c == "text" else f"d.`{c}`" for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -284,7 +284,7 @@ def pack(
     known = spark.createDataFrame(
         pa.table({"_name": pa.array(names, pa.string()), "_queue": pa.array(range(len(names)), pa.int32())}), "_name string, _queue int"
     )
-    queued = docs.join(F.broadcast(known), F.expr("source <=> _name"), "left").select(
+    queued = docs.select("doc_id", "text", "source").join(F.broadcast(known), F.expr("source <=> _name"), "left").select(
         "doc_id", "text", F.expr(f"COALESCE(_queue, {len(names)})").alias("queue"), F.spark_partition_id().alias("part")
     )
     kind = docs.schema["doc_id"].dataType.simpleString()

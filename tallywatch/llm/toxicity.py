@@ -40,6 +40,10 @@ class Model:
     log_k: float
     weights: np.ndarray  # logistic: constant, -ln E, log of one plus significant passages
 
+    def parts(self) -> tuple:
+        """What is broadcast: arrays and numbers only, since workers do not have this class."""
+        return self.tokens, self.scores, self.drift, self.log_k, self.weights
+
 
 # ---- segments --------------------------------------------------------------
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -142,7 +146,7 @@ class _Scores:
 
 def _score_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model = Model(*shared.value)
         table = _Scores(model)
         for batch in batches:
             for first, last, numbers, offsets, tokens, at in word_tokens(lowered(batch.column("text"))):
@@ -187,7 +191,7 @@ _SCORED = "score double, top double, best double, significant bigint, passages a
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
     """The frame's columns, text left out, with the model's columns."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(_score_rows(docs.sparkSession.sparkContext.broadcast(model)), f"{kept}, {_SCORED}")
+    return docs.mapInArrow(_score_rows(docs.sparkSession.sparkContext.broadcast(model.parts())), f"{kept}, {_SCORED}")
 
 
 # ---- fitting ---------------------------------------------------------------
@@ -214,7 +218,7 @@ def _drift_rows(shared):
     """Words of clean documents, and the sum of exp(score) over them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Scores(shared.value)
+        table = _Scores(Model(*shared.value))
         for batch in batches:
             clean = batch.column("toxic").to_numpy() == 0
             n, total = 0, 0.0
@@ -309,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         order = np.argsort(tokens)
         model.tokens, model.drift = tokens[order], 0.0
         model.scores = _log_odds(held.column("t").to_numpy(), held.column("c").to_numpy(), n_t / (n_t + n_c))[order]
-        words = train.mapInArrow(_drift_rows(docs.sparkSession.sparkContext.broadcast(model)), "n bigint, total double").selectExpr("SUM(n) AS n", "SUM(total) AS total").first()
+        words = train.mapInArrow(_drift_rows(docs.sparkSession.sparkContext.broadcast(model.parts())), "n bigint, total double").selectExpr("SUM(n) AS n", "SUM(total) AS total").first()
         model.drift = max(1e-3, math.log(words["total"] / words["n"])) if words["n"] else 1e-3
     rated = _scored(train, model).select("toxic", "best").toArrow()  # about fit_rows rows
     y, best = rated.column("toxic").to_numpy().astype(float), rated.column("best").to_numpy()
@@ -343,5 +347,6 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
 def clean_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
     model = fit(docs, labels, fit_rows)
-    frame = docs.withColumn("_kept_text", F.col("text"))
-    return _scored(frame, model).where("score < 0.5").withColumnRenamed("_kept_text", "text").select(*docs.columns)
+    # columns travel under numbers, so that none has the name of a score
+    frame = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text"))
+    return _scored(frame, model).where("score < 0.5").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
