@@ -10,58 +10,59 @@ differs is a word that differs) leave candidates, and only these lines are read
 again and verified word by word.
 
 A line is removed if an earlier one matches it, so it need not meet all of them.
-Lists of lines with one prefix word are therefore not expanded: lines meet the
-first few lines of the list; only those that found no match go on to the rest.
+Large groups of near copies are settled first: by two words of its prefix a line
+meets the first few lines that have them there too. Pairs of two lines that were
+settled so are not looked at again; all others meet in the lists of prefix words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch.llm.common import stage
 
 BUCKETS = 1 << 20  # eight to a long
 MAP_BITS = 16  # the bitmap of wanted lines: 2**16 longs
-PIVOTS = 4
+KEYS = 2  # prefix words by which a line meets
+PIVOTS = 4  # first lines that have them
 _WORDS = "array_remove(split(lower({0}), '[\\\\s\\\\p{{Punct}}]+'), '')"
+_HASHES = f"array_distinct(transform({_WORDS}, w -> xxhash64(w)))"
+_ALONE = 1 << 57  # codes below are words that occur once in all texts
 
 # what orders lines: a row of three numbers
 _PLACE = "struct(COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d, text_hash AS t, line AS l)"
 
 
-def _word_table(docs: DataFrame) -> DataFrame:
-    """One row with the frequency class of each bucket of words, counted over whole texts."""
+def _word_classes(docs: DataFrame) -> Column:
+    """The frequency class of each bucket of words, counted over whole texts: an array of 2**20 bytes."""
     words = docs.selectExpr("explode(split(lower(text), '[\\\\s\\\\p{Punct}]+')) AS w").where("w != ''")
     counts = words.groupBy(F.expr(f"xxhash64(w) & {BUCKETS - 1}L AS bucket")).count()
     packed = counts.selectExpr(
         "shiftright(bucket, 3) AS slot", "shiftleft(CAST(least(62, floor(2 * log2(count))) AS LONG), CAST(8 * (bucket & 7) AS INT)) AS value"
     ).groupBy("slot").agg(F.expr("bit_or(value) AS value"))
-    return _dense(packed, BUCKETS // 8, "classes")
+    each = "transform(array(0, 8, 16, 24, 32, 40, 48, 56), k -> CAST(shiftrightunsigned(x, k) & 63L AS TINYINT))"
+    return _constant(_dense(packed, BUCKETS // 8).selectExpr(f"flatten(transform(slots, x -> {each})) AS slots"))
 
 
-def _dense(values: DataFrame, slots: int, name: str) -> DataFrame:
+def _dense(values: DataFrame, slots: int) -> DataFrame:
     """One row with an array of ``slots`` longs (a fixed number): ``value`` at each ``slot``, 0 elsewhere."""
     every = values.sparkSession.range(slots).withColumnRenamed("id", "slot").join(values, "slot", "left")
-    return every.agg(F.expr(f"transform(sort_array(collect_list(struct(slot, COALESCE(value, 0L) AS value))), x -> x.value) AS {name}"))
+    return every.agg(F.expr("transform(sort_array(collect_list(struct(slot, COALESCE(value, 0L) AS value))), x -> x.value) AS slots"))
 
 
-def _codes(text: str) -> str:
-    """The distinct codes of a text's words, rare words first; ``classes`` is the array of the word table."""
-    word = f"classes[CAST(shiftright(xxhash64(w) & {BUCKETS - 1}L, 3) AS INT)]"
-    rarity = f"(shiftrightunsigned({word}, CAST(8 * (xxhash64(w) & 7) AS INT)) & 63L)"
-    code = f"shiftleft({rarity}, 57) | (xxhash64(w) & 144115188075855871L)"
-    return f"sort_array(array_distinct(transform({_WORDS.format(text)}, w -> {code})))"
+def _constant(table: DataFrame) -> Column:
+    """The array of a table of one row as a constant: a joined column would be copied with every row it stands in."""
+    text = table.selectExpr("array_join(CAST(slots AS array<string>), ',')").first()[0]
+    return F.split(F.lit(text), ",").cast(table.schema["slots"].dataType)
 
 
-def _lines(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """A row per line with words: doc_id, text_hash, line (from 0), codes.
-
-    All lines of a document are coded in one row, as the table (a megabyte, of
-    fixed size) is copied with each row it stands in.
-    """
+def _lines(docs: DataFrame, classes: Column) -> DataFrame:
+    """A row per line with words: doc_id, text_hash, line (from 0), codes."""
+    code = f"COALESCE(shiftleft(CAST(classes[CAST(h & {BUCKETS - 1}L AS INT)] AS BIGINT), 57), 0L) | (h & {_ALONE - 1}L)"
+    codes = f"sort_array(transform({_HASHES.format('x')}, h -> {code}))"
     return (
-        docs.crossJoin(F.broadcast(table))
-        .selectExpr("doc_id", "xxhash64(text) AS text_hash", f"transform(split(text, '\\n', -1), x -> {_codes('x')}) AS sets")
+        docs.withColumn("classes", classes)
+        .selectExpr("doc_id", "xxhash64(text) AS text_hash", f"transform(split(text, '\\n', -1), x -> {codes}) AS sets")
         .selectExpr("doc_id", "text_hash", "posexplode(sets) AS (line, codes)")
         .where("size(codes) > 0")
     )
@@ -72,11 +73,11 @@ def _spread(value: str) -> tuple[str, str]:
     return word, f"CAST({value} & 63 AS INT)"
 
 
-def _bitmap(df: DataFrame, value: str) -> DataFrame:
-    """One row holding a bitmap of 2**22 bits of the column's values."""
+def _bitmap(df: DataFrame, value: str) -> Column:
+    """A bitmap of 2**22 bits of the column's values."""
     word, bit = _spread(value)
     bits = df.selectExpr(f"CAST({word} AS LONG) AS slot", f"shiftleft(1L, {bit}) AS bit").groupBy("slot").agg(F.expr("bit_or(bit) AS value"))
-    return _dense(bits, 1 << MAP_BITS, "bits")
+    return _constant(_dense(bits, 1 << MAP_BITS))
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -88,12 +89,13 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     earlier. Texts and lines of any length are whole; empty tables give no rows.
     """
     docs = docs.select("doc_id", "text")
-    table = stage(_word_table(docs), "word_classes")
     # the least number of shared words is ceil(percent * n / 100)
     spare = f"size(codes) - CAST(ceil({percent} * size(codes) / 100D) AS INT)"
+    # lists are keyed by 31 bits of a word's hash: words that share them only add candidates
+    prefix = f"transform(slice(codes, 1, {spare} + 1), c -> IF(c < {_ALONE}L, NULL, CAST(c & 2147483647L AS INT)))"
     lines = stage(
-        _lines(docs, table).selectExpr(
-            "doc_id", "text_hash", "line", "xxhash64(codes) AS node", "size(codes) AS n", f"slice(codes, 1, {spare} + 1) AS prefix",
+        _lines(docs, _word_classes(docs)).selectExpr(
+            "doc_id", "text_hash", "line", "xxhash64(codes) AS node", "size(codes) AS n", f"{prefix} AS prefix",
             *[f"aggregate(codes, 0L, (s, c) -> IF((c & 64) = {64 * k}, s | shiftleft(1L, CAST(c & 63 AS INT)), s)) AS bits{k}" for k in (0, 1)],
         ),
         "lines",
@@ -104,28 +106,26 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         .agg(F.min("place").alias("place"), *[F.min(c).alias(c) for c in ("n", "prefix", "bits0", "bits1")]),
         "first_lines",
     )
-    words = firsts.selectExpr("node", "n", "place", "bits0", "bits1", "posexplode(prefix) AS (at, code)").selectExpr("*", "COUNT(*) OVER (PARTITION BY code) AS members")
-    lists = stage(words.where("members > 1").drop("members"), "lists")
-    firsts = firsts.drop("prefix", "bits0", "bits1")
-
-    ranked = lists.selectExpr("*", "ROW_NUMBER() OVER (PARTITION BY code ORDER BY place) AS k").where(f"k <= {PIVOTS}")
-    left, right = "x", "y"
     need = f"CAST(ceil({percent} * (x.n + y.n) / {100.0 + percent}) AS INT)"
-    match = f"""x.code = y.code AND y.place < x.place
-        AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
-        AND least(x.n - x.at, y.n - y.at) + least(x.at, y.at) >= {need}
+    alike = f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
         AND bit_count(x.bits0 ^ y.bits0) + bit_count(x.bits1 ^ y.bits1) <= x.n + y.n - 2 * {need}"""
-    pivots = ranked.drop("k")
-    pairs = stage(lists.alias(left).join(pivots.alias(right), F.expr(match)).selectExpr("x.node AS node", "y.node AS other").distinct(), "pairs")
-    matched = stage(_verified(docs, table, firsts, pairs, percent), "matched")
-    # lines without a match so far meet the rest of their lists
-    alone = lists.join(matched, "node", "left_anti")
-    rest = stage(
-        alone.alias(left).join(lists.alias(right), F.expr(match)).selectExpr("x.node AS node", "y.node AS other").distinct()
-        .join(pairs, ["node", "other"], "left_anti"),
-        "rest",
+    pair = ["x.node AS node", "y.node AS other"]
+
+    met = firsts.selectExpr("node", "n", "place", "bits0", "bits1", f"explode(slice(sort_array(array_compact(prefix)), 1, {KEYS})) AS code")
+    pivots = met.selectExpr("*", "ROW_NUMBER() OVER (PARTITION BY code ORDER BY place) AS k").where(f"k <= {PIVOTS}").drop("k")
+    near = met.alias("x").join(pivots.alias("y"), F.expr(f"x.code = y.code AND y.place < x.place AND {alike}"))
+    settled = stage(_verified(docs, firsts, stage(near.selectExpr(*pair).distinct(), "near"), percent), "settled")
+
+    # one shuffle serves both sides; a pair counts if its later line is open
+    lists = (
+        firsts.join(settled.withColumn("settled", F.lit(True)), "node", "left")
+        .selectExpr("node", "n", "place.d AS d", "bits0", "bits1", "settled IS NULL AS open", "posexplode(prefix) AS (at, code)")
+        .where("code IS NOT NULL")
     )
-    matched = matched.unionByName(_verified(docs, table, firsts, rest, percent)).distinct().withColumn("near", F.lit(True))
+    match = f"""x.code = y.code AND x.node < y.node AND ((x.open AND x.d >= y.d) OR (y.open AND y.d >= x.d))
+        AND least(x.n - x.at, y.n - y.at) + least(x.at, y.at) >= {need} AND {alike}"""
+    rest = stage(lists.alias("x").join(lists.alias("y"), F.expr(match)).selectExpr(*pair).distinct(), "rest")
+    matched = stage(settled.unionByName(_verified(docs, firsts, rest, percent)).distinct(), "matched").withColumn("near", F.lit(True))
     return (
         lines.selectExpr("doc_id", "text_hash", "line", "node", f"{_PLACE} AS place")
         .join(firsts.selectExpr("node", "place AS first"), "node")
@@ -135,36 +135,31 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
 
 
-def _verified(docs: DataFrame, table: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The nodes of ``pairs`` whose Jaccard similarity with their other node suffices."""
+def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The later node of each of the ``pairs`` whose Jaccard similarity suffices."""
     nodes = pairs.select("node").unionByName(pairs.selectExpr("other AS node")).distinct()
-    homes = stage(
-        nodes.join(firsts, "node").selectExpr("node", "place", "xxhash64(place.d, place.t, place.l) AS mark"), "homes"
-    )
-    word, bit = _spread("xxhash64(d, t, CAST(i AS INT))")
-    bits = stage(_bitmap(homes, "mark"), "bits")
-    # code only the lines that the bitmap lets through; the join on the place decides
+    homes = stage(nodes.join(firsts, "node").selectExpr("node", "place.d AS d", "place.t AS t", "place.l AS l"), "homes")
+    word, bit = _spread("xxhash64(d, t, s.l)")
+    # hash only the lines that the bitmap lets through; the join on the place decides
     wanted = (
-        docs.selectExpr("COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d", "xxhash64(text) AS t", "text")
-        .crossJoin(F.broadcast(bits)).crossJoin(F.broadcast(table))
+        docs.withColumn("bits", _bitmap(homes, "xxhash64(d, t, l)"))
+        .selectExpr("COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d", "xxhash64(text) AS t", "text", "bits")
         .selectExpr(
             "d", "t",
-            f"""transform(filter(transform(split(text, '\\n', -1), (x, i) -> struct(i AS l, x)),
-                s -> getbit(bits[{word.replace('CAST(i AS INT)', 's.l')}], {bit.replace('CAST(i AS INT)', 's.l')}) = 1),
-                s -> struct(s.l AS l, {_codes('s.x')} AS codes)) AS kept""",
+            f"""transform(filter(transform(split(text, '\\n', -1), (x, i) -> struct(i AS l, x)), s -> getbit(bits[{word}], {bit}) = 1),
+                s -> struct(s.l AS l, {_HASHES.format('s.x')} AS words)) AS kept""",
         )
         .selectExpr("d", "t", "inline(kept)")
     )
-    places = homes.selectExpr("node", "place.d AS d", "place.t AS t", "place.l AS l")
-    sets = stage(
-        wanted.join(places, ["d", "t", "l"]).selectExpr("node", "codes").dropDuplicates(["node"]), "sets"
+    sets = wanted.join(homes, ["d", "t", "l"]).selectExpr("node", "struct(d, t, l) AS place", "words").groupBy("node").agg(
+        F.min("place").alias("place"), F.first("words").alias("words")
     )
-    shared = "size(array_intersect(codes, others))"
+    shared = "size(array_intersect(x.words, y.words))"
     return (
-        pairs.join(sets, "node")
-        .join(sets.selectExpr("node AS other", "codes AS others"), "other")
-        .where(f"100 * {shared} >= {percent} * (size(codes) + size(others) - {shared})")
-        .select("node")
+        pairs.join(sets.alias("x"), "node")
+        .join(sets.withColumnRenamed("node", "other").alias("y"), "other")
+        .where(f"100 * {shared} >= {percent} * (size(x.words) + size(y.words) - {shared})")
+        .selectExpr("IF(x.place > y.place, node, other) AS node")
         .distinct()
     )
 
