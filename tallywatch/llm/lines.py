@@ -5,8 +5,8 @@ A line is the set of its words. Two lines match at a Jaccard similarity of
 class of one of 2**20 buckets counted over all texts, then hash), so the first
 ``n - ceil(t n) + 1`` codes of a line, its prefix, are its rarest words, and
 matching lines share one of them. Of what shares a prefix word, the length filter,
-the positional filter and a bitmap filter (128 bits per line; each bit that
-differs is a word that differs) leave candidates, and only these lines are read
+the positional filter and a parity filter (128 bits per line, of which each word
+turns one over; so no more bits differ than words) leave candidates, and only these lines are read
 again and verified word by word.
 
 A line is removed if an earlier one matches it, so it need not meet all of them.
@@ -95,8 +95,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     prefix = f"transform(slice(codes, 1, {spare} + 1), c -> IF(c < {_ALONE}L, NULL, CAST(c & 2147483647L AS INT)))"
     lines = stage(
         _lines(docs, _word_classes(docs)).selectExpr(
-            "doc_id", "text_hash", "line", "xxhash64(codes) AS node", "size(codes) AS n", f"{prefix} AS prefix",
-            *[f"aggregate(codes, 0L, (s, c) -> IF((c & 64) = {64 * k}, s | shiftleft(1L, CAST(c & 63 AS INT)), s)) AS bits{k}" for k in (0, 1)],
+            "doc_id", "text_hash", "line", "xxhash64(codes) AS node", "CAST(size(codes) AS BIGINT) AS n", f"{prefix} AS prefix",
+            *[f"aggregate(codes, 0L, (s, c) -> IF((c & 64) = {64 * k}, s ^ shiftleft(1L, CAST(c & 63 AS INT)), s)) AS bits{k}" for k in (0, 1)],
         ),
         "lines",
     )
@@ -106,9 +106,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         .agg(F.min("place").alias("place"), *[F.min(c).alias(c) for c in ("n", "prefix", "bits0", "bits1")]),
         "first_lines",
     )
-    need = f"CAST(ceil({percent} * (x.n + y.n) / {100.0 + percent}) AS INT)"
+    # lines match if (100 + percent) * shared words >= percent * (x.n + y.n); n + n - shared - shared words differ
     alike = f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
-        AND bit_count(x.bits0 ^ y.bits0) + bit_count(x.bits1 ^ y.bits1) <= x.n + y.n - 2 * {need}"""
+        AND {100 + percent} * (bit_count(x.bits0 ^ y.bits0) + bit_count(x.bits1 ^ y.bits1)) <= {100 - percent} * (x.n + y.n)"""
     pair = ["x.node AS node", "y.node AS other"]
 
     met = firsts.selectExpr("node", "n", "place", "bits0", "bits1", f"explode(slice(sort_array(array_compact(prefix)), 1, {KEYS})) AS code")
@@ -122,8 +122,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         .selectExpr("node", "n", "place.d AS d", "bits0", "bits1", "settled IS NULL AS open", "posexplode(prefix) AS (at, code)")
         .where("code IS NOT NULL")
     )
-    match = f"""x.code = y.code AND x.node < y.node AND ((x.open AND x.d >= y.d) OR (y.open AND y.d >= x.d))
-        AND least(x.n - x.at, y.n - y.at) + least(x.at, y.at) >= {need} AND {alike}"""
+    match = f"""x.code = y.code AND x.node < y.node AND {alike}
+        AND {100 + percent} * (least(x.n - x.at, y.n - y.at) + least(x.at, y.at)) >= {percent} * (x.n + y.n)
+        AND ((x.open AND x.d >= y.d) OR (y.open AND y.d >= x.d))"""
     rest = stage(lists.alias("x").join(lists.alias("y"), F.expr(match)).selectExpr(*pair).distinct(), "rest")
     matched = stage(settled.unionByName(_verified(docs, firsts, rest, percent)).distinct(), "matched").withColumn("near", F.lit(True))
     return (
