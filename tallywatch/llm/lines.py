@@ -17,7 +17,7 @@ settled so are not looked at again; all others meet in the lists of prefix words
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallywatch.llm.common import stage
 
@@ -33,15 +33,15 @@ _ALONE = 1 << 57  # codes below are words that occur once in all texts
 _PLACE = "struct(COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d, text_hash AS t, line AS l)"
 
 
-def _word_classes(docs: DataFrame) -> Column:
-    """The frequency class of each bucket of words, counted over whole texts: an array of 2**20 bytes."""
+def _word_classes(docs: DataFrame) -> DataFrame:
+    """One row: the frequency class of each bucket of words, counted over whole texts, as an array of 2**20 bytes."""
     words = docs.selectExpr("explode(split(lower(text), '[\\\\s\\\\p{Punct}]+')) AS w").where("w != ''")
     counts = words.groupBy(F.expr(f"xxhash64(w) & {BUCKETS - 1}L AS bucket")).count()
     packed = counts.selectExpr(
         "shiftright(bucket, 3) AS slot", "shiftleft(CAST(least(62, floor(2 * log2(count))) AS LONG), CAST(8 * (bucket & 7) AS INT)) AS value"
     ).groupBy("slot").agg(F.expr("bit_or(value) AS value"))
     each = "transform(array(0, 8, 16, 24, 32, 40, 48, 56), k -> CAST(shiftrightunsigned(x, k) & 63L AS TINYINT))"
-    return _constant(_dense(packed, BUCKETS // 8).selectExpr(f"flatten(transform(slots, x -> {each})) AS slots"))
+    return _dense(packed, BUCKETS // 8).selectExpr(f"flatten(transform(slots, x -> {each})) AS classes")
 
 
 def _dense(values: DataFrame, slots: int) -> DataFrame:
@@ -50,34 +50,31 @@ def _dense(values: DataFrame, slots: int) -> DataFrame:
     return every.agg(F.expr("transform(sort_array(collect_list(struct(slot, COALESCE(value, 0L) AS value))), x -> x.value) AS slots"))
 
 
-def _constant(table: DataFrame) -> Column:
-    """The array of a table of one row as a constant: a joined column would be copied with every row it stands in."""
-    text = table.selectExpr("array_join(CAST(slots AS array<string>), ',')").first()[0]
-    return F.split(F.lit(text), ",").cast(table.schema["slots"].dataType)
+def _lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """A row per line with words: doc_id, text_hash, line (from 0), codes.
 
-
-def _lines(docs: DataFrame, classes: Column) -> DataFrame:
-    """A row per line with words: doc_id, text_hash, line (from 0), codes."""
+    All lines of a document are coded in one row, as the classes (a megabyte, of
+    fixed size) are copied with each row they stand in.
+    """
     code = f"COALESCE(shiftleft(CAST(classes[CAST(h & {BUCKETS - 1}L AS INT)] AS BIGINT), 57), 0L) | (h & {_ALONE - 1}L)"
     codes = f"sort_array(transform({_HASHES.format('x')}, h -> {code}))"
     return (
-        docs.withColumn("classes", classes)
+        docs.crossJoin(F.broadcast(classes))
         .selectExpr("doc_id", "xxhash64(text) AS text_hash", f"transform(split(text, '\\n', -1), x -> {codes}) AS sets")
         .selectExpr("doc_id", "text_hash", "posexplode(sets) AS (line, codes)")
         .where("size(codes) > 0")
     )
 
 
-def _spread(value: str) -> tuple[str, str]:
-    word = f"CAST(shiftrightunsigned({value}, 6) & {(1 << MAP_BITS) - 1}L AS INT)"
-    return word, f"CAST({value} & 63 AS INT)"
+def _slot(value: str) -> tuple[str, str]:
+    return f"CAST(shiftrightunsigned({value}, 6) & {(1 << MAP_BITS) - 1}L AS INT)", f"CAST({value} & 63 AS INT)"
 
 
-def _bitmap(df: DataFrame, value: str) -> Column:
-    """A bitmap of 2**22 bits of the column's values."""
-    word, bit = _spread(value)
+def _bitmap(df: DataFrame, value: str) -> DataFrame:
+    """One row: a bitmap of 2**22 bits of the column's values."""
+    word, bit = _slot(value)
     bits = df.selectExpr(f"CAST({word} AS LONG) AS slot", f"shiftleft(1L, {bit}) AS bit").groupBy("slot").agg(F.expr("bit_or(bit) AS value"))
-    return _constant(_dense(bits, 1 << MAP_BITS))
+    return _dense(bits, 1 << MAP_BITS)
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -94,7 +91,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # lists are keyed by 31 bits of a word's hash: words that share them only add candidates
     prefix = f"transform(slice(codes, 1, {spare} + 1), c -> IF(c < {_ALONE}L, NULL, CAST(c & 2147483647L AS INT)))"
     lines = stage(
-        _lines(docs, _word_classes(docs)).selectExpr(
+        _lines(docs, stage(_word_classes(docs), "word_classes")).selectExpr(
             "doc_id", "text_hash", "line", "xxhash64(codes) AS node", "CAST(size(codes) AS BIGINT) AS n", f"{prefix} AS prefix",
             *[f"aggregate(codes, 0L, (s, c) -> IF((c & 64) = {64 * k}, s ^ shiftleft(1L, CAST(c & 63 AS INT)), s)) AS bits{k}" for k in (0, 1)],
         ),
@@ -140,17 +137,14 @@ def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int
     """The later node of each of the ``pairs`` whose Jaccard similarity suffices."""
     nodes = pairs.select("node").unionByName(pairs.selectExpr("other AS node")).distinct()
     homes = stage(nodes.join(firsts, "node").selectExpr("node", "place.d AS d", "place.t AS t", "place.l AS l"), "homes")
-    word, bit = _spread("xxhash64(d, t, s.l)")
+    bits = stage(_bitmap(homes, "xxhash64(d, t, l)"), "bits")
+    word, bit = _slot("xxhash64(d, t, l)")
     # hash only the lines that the bitmap lets through; the join on the place decides
     wanted = (
-        docs.withColumn("bits", _bitmap(homes, "xxhash64(d, t, l)"))
-        .selectExpr("COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d", "xxhash64(text) AS t", "text", "bits")
-        .selectExpr(
-            "d", "t",
-            f"""transform(filter(transform(split(text, '\\n', -1), (x, i) -> struct(i AS l, x)), s -> getbit(bits[{word}], {bit}) = 1),
-                s -> struct(s.l AS l, {_HASHES.format('s.x')} AS words)) AS kept""",
-        )
-        .selectExpr("d", "t", "inline(kept)")
+        docs.selectExpr("COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d", "xxhash64(text) AS t", "text")
+        .selectExpr("d", "t", "posexplode(split(text, '\\n', -1)) AS (l, x)")
+        .where(F.call_function("getbit", F.get(bits.scalar(), F.expr(word)), F.expr(bit)) == 1)
+        .selectExpr("d", "t", "l", f"{_HASHES.format('x')} AS words")
     )
     sets = wanted.join(homes, ["d", "t", "l"]).selectExpr("node", "struct(d, t, l) AS place", "words").groupBy("node").agg(
         F.min("place").alias("place"), F.first("words").alias("words")
