@@ -60,3 +60,10 @@ def test_documents_are_cut(spark, docs_of):
 def test_repeated_rows(spark, docs_of):
     docs = docs_of([(1, "alpha beta gamma"), (1, "alpha beta gamma"), (2, "delta epsilon")])
     assert L.repeated_lines(docs).count() == 0
+
+
+def test_group_of_near_copies(spark, docs_of):
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(40)]
+    docs = [(i, " ".join(w if rng.random() > 0.08 else f"x{rng.randrange(60)}" for w in base)) for i in range(120)]
+    assert {(r["doc_id"], r["line"]) for r in L.repeated_lines(docs_of(docs)).collect()} == brute_force(docs)
