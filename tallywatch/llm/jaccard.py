@@ -3,7 +3,7 @@
 A document's set is that of its distinct word shingles. Two sets of similarity
 ``t`` share at least k of their first ``n - ceil(t n) + k`` members in any common
 order. The order here puts rare shingles first: shingles are counted over all
-documents in 65,536 buckets (a table of fixed size), and order is by the
+documents in 2**22 buckets (a table of fixed size), and order is by the
 bucket's frequency class, then by hash.
 
 * Light sets (few shingles) enumerate the pairs of that prefix for k = 2: two
@@ -42,6 +42,7 @@ BITMAP_BITS = 25
 SCAN_COST = 4  # reading a list entry, in units of writing one
 PIVOT_ROUNDS = 3
 CLASSES = 256
+KEYS_HELD = 1 << 18  # keys of a task that are handed over at a time
 BLOCK_NODES = 1_000  # nodes of a list that are paired with each other in one task
 GROUP_ROWS = 500  # members that are compared with a pivot in one task
 
@@ -153,10 +154,21 @@ def _keys(members: np.ndarray, rank: np.ndarray, percent: int, boundary: int) ->
 def _key_rows(size: int, percent: int, boundary: int, rank, only):
     """(key, node, n) per document, at most once per key and batch; ``only`` is a bitmap of keys or None."""
 
+    def rows(found: list) -> pa.RecordBatch:
+        lengths = [len(k) for k, _, _ in found]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(signed(np.concatenate([k for k, _, _ in found]))),
+                pa.array(np.repeat(np.array([x for _, x, _ in found], np.int64), lengths)),
+                pa.array(np.repeat(np.array([x for _, _, x in found], np.int64), lengths)),
+            ],
+            names=["key", "node", "n"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, table = rank.value, only.value if only else None
         for batch in batches:
-            found, seen = [], set()
+            found, held, seen = [], 0, set()
             for _, members in _sets(lowered(batch.column("text")), size):
                 node = _fingerprint(members)
                 if not len(members) or node in seen:
@@ -166,16 +178,12 @@ def _key_rows(size: int, percent: int, boundary: int, rank, only):
                 if table is not None:
                     keys = keys[in_bitmap(keys, table)]
                 found.append((keys, node, len(members)))
-            lengths = [len(k) for k, _, _ in found]
-            if sum(lengths):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(np.concatenate([k for k, _, _ in found]))),
-                        pa.array(np.repeat(np.array([x for _, x, _ in found], np.int64), lengths)),
-                        pa.array(np.repeat(np.array([x for _, _, x in found], np.int64), lengths)),
-                    ],
-                    names=["key", "node", "n"],
-                )
+                held += len(keys)
+                if held > KEYS_HELD:  # the keys of a batch are many times its texts
+                    yield rows(found)
+                    found, held = [], 0
+            if held:
+                yield rows(found)
 
     return run
 
