@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywatch.session import scratch_path
 
@@ -25,6 +25,27 @@ def stage(df: DataFrame, name: str, partition_rows: int | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Stages:
+    """Staged tables of one operator, to be removed when their last reader is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        """Give the disk back. Frames that read these tables can't be run again after this."""
+        for path in self.paths:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            files = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+            files.delete(folder.getParent(), True)  # the parent has a name of its own per table
+        self.paths.clear()
+
+
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as this Python process, for what is dear to build again per task."""
     holder = sys.modules.setdefault("tallywatch_worker_cache", types.ModuleType("tallywatch_worker_cache"))
