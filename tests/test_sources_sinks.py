@@ -3,6 +3,7 @@
 import pytest
 
 from tallywatch import schema as S
+from tallywatch.plans import catalog, oracle
 from tallywatch.report import contracts, tables as rt, views
 from tallywatch.session import shared_dir
 from tallywatch.sinks import writers
@@ -156,6 +157,20 @@ def test_sample_opens_only_the_files_it_needs(spark, tmp_path):
     assert src.read_csv_sample(spark, path).count() == 40
 
 
+def test_csv_sample_query_takes_the_first_transactions(spark, duck, data, monkeypatch):
+    """The raw file stands in order of the id, so a sample shorter than the file holds the rows that the SQL takes."""
+    monkeypatch.setattr(src.read_csv_sample, "__defaults__", (200, None))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables: rows come out by customer
+    try:
+        got = catalog.QUERIES["src_csv_sample"](spark, data)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = duck.sql(oracle.build()["src_csv_sample"].replace("LIMIT 100000", "LIMIT 200"))
+    names = [c.lower() for c in got.columns]
+    at = [[c.lower() for c in want.columns].index(n) for n in names]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
 @pytest.fixture(scope="module")
 def report(spark, data):
     from tallywatch.plans import frames as fr
