@@ -42,9 +42,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no c
 
 BINS = 255
 MISSING = 255  # the bin of missing values
-CUT = 20
+CUT = 5
 FLAT = 64  # partitions up to which histograms are added up in one step
-SAMPLE_ROWS = 1 << 16  # rows on the driver that foresee splits
+SAMPLE_ROWS = 1 << 18  # rows on the driver that foresee splits: 16 bytes each
 _LEAST_HESSIAN = 1e-3
 
 NODES = "tree int, node int, feature int, cut int, missing_left boolean, left int, right int, value double"
@@ -255,14 +255,12 @@ class Growth:
     def splits(self) -> list[int]:
         return [n for n, s in self.split.items() if s and n in self.sums]
 
-    def foreseen(self, sample, share: float, weights: tuple[float, float]) -> Growth:
+    def foreseen(self, codes: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, share: float) -> Growth:
         """The tree as the sample would grow it from here."""
         ahead = Growth(self.rules, self.split, self.sums)
-        codes, label, raw = sample
         tree, number = ahead.tree(ahead.splits())
         node = {at: n for n, at in number.items()}
-        held = {node[at]: rows for at, rows in parted(codes, tree, np.arange(len(label))).items()}
-        gradient, hessian = slopes(label, raw, weights)
+        held = {node[at]: rows for at, rows in parted(codes, tree, np.arange(len(gradient))).items()}
         while wanted := ahead.wanted():
             for n in wanted:
                 if n > 1 and n not in held:  # the parent's rows are not parted yet
@@ -321,8 +319,10 @@ def _used(edges: list[np.ndarray]) -> np.ndarray:
 
 def grow(state: RDD, weights: tuple[float, float], rules: Rules, used: np.ndarray, sample, share: float) -> Tree:
     growth = Growth(rules)
+    codes, label, raw = sample
+    gradient, hessian = slopes(label, raw, weights)  # a tree's rounds share them
     while growth.wanted():
-        guess = growth.foreseen(sample, share, weights)
+        guess = growth.foreseen(codes, gradient, hessian, share)
         tree, number = guess.tree(guess.splits())
         asked = [n for n, at in number.items() if tree.feature[at] < 0 and n not in growth.sums]
         found: dict[int, np.ndarray] = {}

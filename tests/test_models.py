@@ -96,6 +96,19 @@ def test_trees_equal_a_plain_booster(spark, monkeypatch, sample):
         assert sorted(tuple(np.flatnonzero(held == v).tolist()) for v in np.unique(held)) == expected
 
 
+def test_a_hundred_thousand_rows_take_a_round_or_two_a_tree(spark, monkeypatch):
+    """Labels that no feature explains: a sample of fewer rows foresees no such splits, and a tree takes a round per level."""
+    from tallywatch.models import boosting as B
+
+    rounds, counted = [], B._counted
+    monkeypatch.setattr(B, "_counted", lambda *a: rounds.append(1) or counted(*a))
+    frame = spark.range(0, 100_000, 1, 4).selectExpr(
+        "CAST(pmod(xxhash64(id, 1), 5000) AS DOUBLE) AS a", "CAST(pmod(xxhash64(id, 2), 5000) AS DOUBLE) AS b", "CAST(id % 41 = 0 AS INT) AS isFraud"
+    )
+    model = B.fit_trees(frame, ["a", "b"], (0.5, 20.5), 3)
+    assert len(model.trees) == 3 and len(rounds) <= 6
+
+
 def test_trees_without_a_split_or_rows(spark):
     from tallywatch.models import boosting as B
 
