@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import DataFrame, functions as F
 
 from tallywatch.llm.common import _BASE, _INVERSE, ALPHANUMERIC, hash_words, lowered, mix, shingles, signed, stage
@@ -30,6 +31,7 @@ PRIOR_DOCS = 2.0  # weight of the class shares in a telling token's prior, in do
 GRAM = 5  # characters of a run within a word
 STARTS = range(3, 8)  # characters of a word's beginning
 SIGNIFICANT = 0.05  # a passage is reported up to this E
+BLOCK = 1 << 16  # prefixes of hashes that are looked up at a time
 
 
 @dataclass
@@ -39,11 +41,18 @@ class Model:
     drift: float  # taken from every word's score: exp(score) has mean 1 over words of clean documents
     log_k: float
     weights: np.ndarray  # logistic: constant, -ln E, log of one plus significant passages
+    table: Broadcast | None = field(default=None, repr=False)  # tokens and scores, sent once however often the numbers change
 
     def parts(self) -> tuple:
-        """What is broadcast: arrays and numbers only, since workers do not have this class."""
+        """What goes to the workers: arrays and numbers only, since they do not have this class."""
         return self.tokens, self.scores, self.drift, self.log_k, self.weights
 
+    def shared(self, sc: SparkContext) -> tuple[Broadcast, tuple]:
+        """The same, the arrays broadcast."""
+        if self.table is None:
+            self.table = sc.broadcast(self.parts()[:2])
+        return self.table, self.parts()[2:]
+
 
 # ---- segments --------------------------------------------------------------
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -121,12 +130,15 @@ class _Scores:
         self.tokens, self.scores = np.append(model.tokens, np.uint64(2**64 - 1)), np.append(model.scores, 0.0)
         bits = max(1, len(model.tokens)).bit_length() + 1
         self.shift = np.uint64(64 - bits)
-        self.starts = np.searchsorted(model.tokens, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.starts = np.empty(1 << bits, np.int64 if bits > 31 else np.int32)
+        for k in range(0, 1 << bits, BLOCK):  # in blocks: the prefixes and their places at once are many times the table
+            prefixes = np.arange(k, min(k + BLOCK, 1 << bits), dtype=np.uint64)
+            self.starts[k : k + BLOCK] = np.searchsorted(model.tokens, prefixes << self.shift)
         self.drift = model.drift
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         out, rows = np.zeros(len(tokens)), np.arange(len(tokens))
-        at = self.starts[(tokens >> self.shift).astype(np.int64)]
+        at = self.starts[(tokens >> self.shift).astype(np.int64)].astype(np.int64)
         while len(rows):
             here = self.tokens[at]
             hit = here == tokens[rows]
@@ -144,12 +156,12 @@ class _Scores:
         return np.where(high >= -low, high, low) - self.drift
 
 
-def _score_rows(shared):
+def _score_rows(shared: Broadcast, numbers_of: tuple, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*shared.value)
+        model = Model(*shared.value, *numbers_of)
         table = _Scores(model)
         for batch in batches:
-            for first, last, numbers, offsets, tokens, at in word_tokens(lowered(batch.column("text"))):
+            for first, last, numbers, offsets, tokens, at in word_tokens(lowered(batch.column(text))):
                 scores = table.words(tokens, at)[numbers]
                 top, best, significant, passages = [], [], [], []
                 for i in range(last - first):
@@ -188,10 +200,10 @@ _PASSAGE = pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("sco
 _SCORED = "score double, top double, best double, significant bigint, passages array<struct<first_word bigint, n_words bigint, score double, expected double>>"
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The frame's columns, text left out, with the model's columns."""
+def _scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The frame's columns, except one named text, with the model's columns; ``text`` names the column that is scored."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(_score_rows(docs.sparkSession.sparkContext.broadcast(model.parts())), f"{kept}, {_SCORED}")
+    return docs.mapInArrow(_score_rows(*model.shared(docs.sparkSession.sparkContext), text), f"{kept}, {_SCORED}")
 
 
 # ---- fitting ---------------------------------------------------------------
@@ -214,11 +226,11 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _drift_rows(shared):
+def _drift_rows(shared: Broadcast, numbers_of: tuple):
     """Words of clean documents, and the sum of exp(score) over them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Scores(Model(*shared.value))
+        table = _Scores(Model(*shared.value, *numbers_of))
         for batch in batches:
             clean = batch.column("toxic").to_numpy() == 0
             n, total = 0, 0.0
@@ -313,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         order = np.argsort(tokens)
         model.tokens, model.drift = tokens[order], 0.0
         model.scores = _log_odds(held.column("t").to_numpy(), held.column("c").to_numpy(), n_t / (n_t + n_c))[order]
-        words = train.mapInArrow(_drift_rows(docs.sparkSession.sparkContext.broadcast(model.parts())), "n bigint, total double").selectExpr("SUM(n) AS n", "SUM(total) AS total").first()
+        words = train.mapInArrow(_drift_rows(*model.shared(docs.sparkSession.sparkContext)), "n bigint, total double").selectExpr("SUM(n) AS n", "SUM(total) AS total").first()
         model.drift = max(1e-3, math.log(words["total"] / words["n"])) if words["n"] else 1e-3
     rated = _scored(train, model).select("toxic", "best").toArrow()  # about fit_rows rows
     y, best = rated.column("toxic").to_numpy().astype(float), rated.column("best").to_numpy()
@@ -347,6 +359,6 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
 def clean_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
     model = fit(docs, labels, fit_rows)
-    # columns travel under numbers, so that none has the name of a score
-    frame = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text"))
-    return _scored(frame, model).where("score < 0.5").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    # columns travel under numbers, so that none has the name of a score; the text travels once
+    frame = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    return _scored(frame, model, f"_{docs.columns.index('text')}").where("score < 0.5").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])

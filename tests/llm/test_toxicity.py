@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 from zlib import crc32
@@ -48,6 +49,20 @@ def corpus(n, seed=1):
     return rows, labels
 
 
+def test_table_of_scores_is_built_in_little_memory():
+    rng = np.random.default_rng(4)
+    tokens = np.unique(rng.integers(0, 2**63, 1 << 20, dtype=np.uint64) * np.uint64(2))
+    model = T.Model(tokens, rng.normal(size=len(tokens)), 0.0, 0.0, np.zeros(3))
+    tracemalloc.start()
+    table = T._Scores(model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * len(tokens)  # copies of 16 bytes a token and places of 16
+    some = rng.integers(0, len(tokens), 1000)
+    assert (table.of(tokens[some]) == model.scores[some]).all()
+    assert not table.of(tokens[some] + np.uint64(1)).any()  # only even hashes are there
+
+
 def test_held_out_rows_are_told_apart(spark, docs_of):
     rows, labels = corpus(600)
     docs = docs_of(rows + [(1000, None), (1001, ""), (None, "no id"), (0, rows[0][1])])
