@@ -41,6 +41,8 @@ MERGE = 512  # tasks whose counts are added up in one group
 BITMAP_BITS = 25
 SCAN_COST = 4  # reading a list entry, in units of writing one
 PIVOT_ROUNDS = 3
+PIVOTS = 8  # pivots of a list in each round after the first
+SKETCH = 16  # keys of a node that tell whether a pair stands in an earlier list too
 CLASSES = 256
 KEYS_HELD = 1 << 18  # keys of a task that are handed over at a time
 BLOCK_NODES = 1_000  # nodes of a list that are paired with each other in one task
@@ -229,13 +231,27 @@ def _likely_rows(percent: int):
     return run
 
 
+def _sketches(column) -> np.ndarray:
+    """Least keys per node, filled up with the greatest number."""
+    keys = column.combine_chunks()
+    sizes = keys.value_lengths().to_numpy()
+    out = np.full((len(sizes), SKETCH), np.iinfo(np.int64).max)
+    out[np.arange(SKETCH) < sizes[:, None]] = keys.flatten().to_numpy()
+    return out
+
+
 def _pair_block(percent: int):
-    """All pairs between two blocks of a list (or within one) whose sizes, components and profiles allow a link."""
+    """All pairs between two blocks of a list (or within one) whose sizes, components and profiles allow a link.
+
+    Near copies stand in many lists together. A pair is left to the list of the
+    least key that both nodes' sketches hold; without one every list makes it.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         node, n, label = (group.column(c).to_numpy() for c in ("node", "n", "label"))
         profile, share = _profiles(group.column("profile")), group.column("share").to_numpy()
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        low, high, key = (group.column(c)[0].as_py() for c in ("low", "high", "key"))
+        sketch = _sketches(group.column("sketch"))
         left, right = np.flatnonzero(share == low), np.flatnonzero(share == high)
         one, two = [], []
         for at in range(0, len(left), 128):
@@ -248,6 +264,8 @@ def _pair_block(percent: int):
             i, j = some[i], right[j]
             for k in range(0, len(i), 8192):
                 p, q = i[k : k + 8192], j[k : k + 8192]
+                earlier = ((sketch[p][:, :, None] == sketch[q][:, None, :]) & (sketch[p] < key)[:, :, None]).any((1, 2))
+                p, q = p[~earlier], q[~earlier]
                 keep = _may_link(profile[p], profile[q], n[p], n[q], percent)
                 one.append(node[p[keep]])
                 two.append(node[q[keep]])
@@ -361,15 +379,21 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
             current = lists.join(labels, "node", "left").selectExpr("key", "node", "n", "COALESCE(label, node) AS label")
         else:
             current = lists.withColumn("label", F.col("node"))
+        # the first round settles most lists with one pivot; few lists are left for those with more
+        drawn = ", ".join(f"min_by(struct(node AS pivot, n AS m, label AS own), xxhash64(node, {turn}, {i}))" for i in range(PIVOTS if turn else 1))
         mixed = current.groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"),
-            F.expr(f"min_by(struct(node AS pivot, n AS m, label AS own), xxhash64(node, {turn})) AS p"),
+            F.min("label").alias("low"), F.max("label").alias("high"), F.expr(f"array_distinct(array({drawn})) AS p")
         ).where("low < high")
         if turn < PIVOT_ROUNDS:
-            pairs = current.join(mixed.select("key", "p.*"), "key").where(f"label != own AND {fits}").select("pivot", "node")
+            pairs = (
+                current.join(mixed.select("key", "p"), "key").selectExpr("node", "n", "label", "p.pivot AS pivots", "inline(p)")
+                .where(f"label != own AND {fits} AND NOT (array_contains(pivots, node) AND node < pivot)").select("pivot", "node")
+            )
         else:  # what the pivots have not settled: the remaining pairs of each list, block by block
             counted = current.groupBy("key").agg(F.expr(f"1 + COUNT(*) DIV {BLOCK_NODES} AS blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
-            open_lists = current.join(counted.where("low < high").select("key", "blocks"), "key").join(profiles.drop("n"), "node")
+            open_lists = current.join(counted.where("low < high").select("key", "blocks"), "key")
+            sketches = open_lists.groupBy("node").agg(F.expr(f"slice(sort_array(collect_set(key)), 1, {SKETCH}) AS sketch"))
+            open_lists = open_lists.join(sketches, "node").join(profiles.drop("n"), "node")
             pairs = (
                 open_lists.selectExpr("*", "pmod(xxhash64(node), blocks) AS share", "explode(sequence(0L, blocks - 1)) AS other")
                 .selectExpr("*", "least(share, other) AS low", "greatest(share, other) AS high")

@@ -83,3 +83,18 @@ def test_boundary_follows_cost():
     assert J.choose_boundary([], 85) == 0
     assert J.choose_boundary([(20, 1000)], 85) >= 20  # three pairs of few shingles are cheap
     assert J.choose_boundary([(400, 1000)], 85) < 400
+
+
+def test_a_pair_is_made_in_one_of_the_lists_that_hold_it():
+    import pyarrow as pa
+
+    def made(key, sketches):
+        rows = len(sketches)
+        return J._pair_block(85)(pa.table({
+            "key": [key] * rows, "node": list(range(1, rows + 1)), "n": [20] * rows, "label": list(range(1, rows + 1)), "share": [0] * rows,
+            "low": [0] * rows, "high": [0] * rows, "profile": [bytes([20] + [0] * 255)] * rows, "sketch": pa.array(sketches, pa.list_(pa.int64())),
+        })).to_pylist()
+
+    assert made(5, [[5, 9], [5, 9]]) == [{"pivot": 1, "node": 2}] and made(9, [[5, 9], [5, 9]]) == []
+    assert made(9, [[3, 9], [5, 9]]) == [{"pivot": 1, "node": 2}]  # no earlier list holds both
+    assert made(99, [[5, 9], [5, 9], []]) == [{"pivot": 1, "node": 3}, {"pivot": 2, "node": 3}]
