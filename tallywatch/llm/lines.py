@@ -11,20 +11,23 @@ again and verified word by word.
 
 A line is removed if an earlier one matches it, so it need not meet all of them.
 Large groups of near copies are settled first: by two words of its prefix a line
-meets the first few lines that have them there too. Pairs of two lines that were
-settled so are not looked at again; all others meet in the lists of prefix words.
+meets the first few lines that have them there too. In lists that then hold many
+settled lines the open ones meet ever more of the first lines, by all their prefix
+words, as long as that settles any. Pairs of two lines that were settled so are not
+looked at again; all others meet in the lists of prefix words.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallywatch.llm.common import stage
+from tallywatch.llm.common import Stages, stage
 
 BUCKETS = 1 << 20  # eight to a long
 MAP_BITS = 16  # the bitmap of wanted lines: 2**16 longs
 KEYS = 2  # prefix words by which a line meets
 PIVOTS = 4  # first lines that have them
+CROWD_PIVOTS = 16  # first lines met in a crowded list; sixteen times as many in each further round
 _WORDS = "array_remove(split(lower({0}), '[\\\\s\\\\p{{Punct}}]+'), '')"
 _HASHES = f"array_distinct(transform({_WORDS}, w -> xxhash64(w)))"
 _ALONE = 1 << 57  # codes below are words that occur once in all texts
@@ -35,7 +38,7 @@ _PLACE = "struct(COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d, tex
 
 def _word_classes(docs: DataFrame) -> DataFrame:
     """One row: the frequency class of each bucket of words, counted over whole texts, as an array of 2**20 bytes."""
-    words = docs.selectExpr("explode(split(lower(text), '[\\\\s\\\\p{Punct}]+')) AS w").where("w != ''")
+    words = docs.selectExpr("explode_outer(split(lower(text), '[\\\\s\\\\p{Punct}]+')) AS w").where("w != ''")
     counts = words.groupBy(F.expr(f"xxhash64(w) & {BUCKETS - 1}L AS bucket")).count()
     packed = counts.selectExpr(
         "shiftright(bucket, 3) AS slot", "shiftleft(CAST(least(62, floor(2 * log2(count))) AS LONG), CAST(8 * (bucket & 7) AS INT)) AS value"
@@ -53,15 +56,16 @@ def _dense(values: DataFrame, slots: int) -> DataFrame:
 def _lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """A row per line with words: doc_id, text_hash, line (from 0), codes.
 
-    All lines of a document are coded in one row, as the classes (a megabyte, of
-    fixed size) are copied with each row they stand in.
+    The classes (a megabyte, of fixed size) are a scalar subquery, as a joined column
+    would be copied with every row. The explode is an outer one: of others Spark
+    infers a filter, which would make the codes a second time.
     """
     code = f"COALESCE(shiftleft(CAST(classes[CAST(h & {BUCKETS - 1}L AS INT)] AS BIGINT), 57), 0L) | (h & {_ALONE - 1}L)"
     codes = f"sort_array(transform({_HASHES.format('x')}, h -> {code}))"
     return (
-        docs.crossJoin(F.broadcast(classes))
+        docs.withColumn("classes", classes.scalar())
         .selectExpr("doc_id", "xxhash64(text) AS text_hash", f"transform(split(text, '\\n', -1), x -> {codes}) AS sets")
-        .selectExpr("doc_id", "text_hash", "posexplode(sets) AS (line, codes)")
+        .selectExpr("doc_id", "text_hash", "posexplode_outer(sets) AS (line, codes)")
         .where("size(codes) > 0")
     )
 
@@ -90,8 +94,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     spare = f"size(codes) - CAST(ceil({percent} * size(codes) / 100D) AS INT)"
     # lists are keyed by 31 bits of a word's hash: words that share them only add candidates
     prefix = f"transform(slice(codes, 1, {spare} + 1), c -> IF(c < {_ALONE}L, NULL, CAST(c & 2147483647L AS INT)))"
-    lines = stage(
-        _lines(docs, stage(_word_classes(docs), "word_classes")).selectExpr(
+    early = Stages(docs.sparkSession)
+    lines = early.stage(
+        _lines(docs, early.stage(_word_classes(docs), "word_classes")).selectExpr(
             "doc_id", "text_hash", "line", "xxhash64(codes) AS node", "CAST(size(codes) AS BIGINT) AS n", f"{prefix} AS prefix",
             *[f"aggregate(codes, 0L, (s, c) -> IF((c & 64) = {64 * k}, s ^ shiftleft(1L, CAST(c & 63 AS INT)), s)) AS bits{k}" for k in (0, 1)],
         ),
@@ -103,6 +108,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         .agg(F.min("place").alias("place"), *[F.min(c).alias(c) for c in ("n", "prefix", "bits0", "bits1")]),
         "first_lines",
     )
+    places = stage(lines.select("doc_id", "text_hash", "line", "node"), "places")
+    early.release()
     # lines match if (100 + percent) * shared words >= percent * (x.n + y.n); n + n - shared - shared words differ
     alike = f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
         AND {100 + percent} * (bit_count(x.bits0 ^ y.bits0) + bit_count(x.bits1 ^ y.bits1)) <= {100 - percent} * (x.n + y.n)"""
@@ -111,7 +118,27 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     met = firsts.selectExpr("node", "n", "place", "bits0", "bits1", f"explode(slice(sort_array(array_compact(prefix)), 1, {KEYS})) AS code")
     pivots = met.selectExpr("*", "ROW_NUMBER() OVER (PARTITION BY code ORDER BY place) AS k").where(f"k <= {PIVOTS}").drop("k")
     near = met.alias("x").join(pivots.alias("y"), F.expr(f"x.code = y.code AND y.place < x.place AND {alike}"))
-    settled = stage(_verified(docs, firsts, stage(near.selectExpr(*pair).distinct(), "near"), percent), "settled")
+    settled = _verified(docs, firsts, near.selectExpr(*pair).distinct(), percent)
+
+    size = CROWD_PIVOTS
+    while True:
+        members = settled.join(firsts, "node").selectExpr("explode(array_compact(prefix)) AS code")
+        crowded = stage(members.groupBy("code").count().where(f"count >= {2 * size}").select("code"), "crowded")
+        if crowded.isEmpty():
+            break
+        bits = stage(_bitmap(crowded, "xxhash64(code)"), "bits")
+        word, bit = _slot("xxhash64(code)")
+        crowd = (
+            firsts.selectExpr("node", "n", "place", "bits0", "bits1", "explode(array_compact(prefix)) AS code")
+            .where(F.call_function("getbit", F.get(bits.scalar(), F.expr(word)), F.expr(bit)) == 1)
+            .join(crowded, "code", "left_semi")
+        )
+        pivots = crowd.selectExpr("*", "ROW_NUMBER() OVER (PARTITION BY code ORDER BY place) AS k").where(f"k <= {size}").drop("k")
+        near = crowd.join(settled, "node", "left_anti").alias("x").join(pivots.alias("y"), F.expr(f"x.code = y.code AND y.place < x.place AND {alike}"))
+        more = _verified(docs, firsts, near.selectExpr(*pair).distinct(), percent)
+        if more.isEmpty():
+            break
+        settled, size = settled.unionByName(more), 16 * size
 
     # one shuffle serves both sides; a pair counts if its later line is open
     lists = (
@@ -122,10 +149,10 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     match = f"""x.code = y.code AND x.node < y.node AND {alike}
         AND {100 + percent} * (least(x.n - x.at, y.n - y.at) + least(x.at, y.at)) >= {percent} * (x.n + y.n)
         AND ((x.open AND x.d >= y.d) OR (y.open AND y.d >= x.d))"""
-    rest = stage(lists.alias("x").join(lists.alias("y"), F.expr(match)).selectExpr(*pair).distinct(), "rest")
-    matched = stage(settled.unionByName(_verified(docs, firsts, rest, percent)).distinct(), "matched").withColumn("near", F.lit(True))
+    rest = _verified(docs, firsts, lists.alias("x").join(lists.alias("y"), F.expr(match)).selectExpr(*pair).distinct(), percent)
+    matched = stage(settled.unionByName(rest).distinct(), "matched").withColumn("near", F.lit(True))
     return (
-        lines.selectExpr("doc_id", "text_hash", "line", "node", f"{_PLACE} AS place")
+        places.selectExpr("doc_id", "text_hash", "line", "node", f"{_PLACE} AS place")
         .join(firsts.selectExpr("node", "place AS first"), "node")
         .join(matched, "node", "left")
         .where("near OR place > first")
@@ -134,15 +161,17 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The later node of each of the ``pairs`` whose Jaccard similarity suffices."""
+    """The later node of each of the ``pairs`` whose Jaccard similarity suffices, staged."""
+    held = Stages(docs.sparkSession)
+    pairs = held.stage(pairs, "pairs")
     nodes = pairs.select("node").unionByName(pairs.selectExpr("other AS node")).distinct()
-    homes = stage(nodes.join(firsts, "node").selectExpr("node", "place.d AS d", "place.t AS t", "place.l AS l"), "homes")
-    bits = stage(_bitmap(homes, "xxhash64(d, t, l)"), "bits")
+    homes = held.stage(nodes.join(firsts, "node").selectExpr("node", "place.d AS d", "place.t AS t", "place.l AS l"), "homes")
+    bits = held.stage(_bitmap(homes, "xxhash64(d, t, l)"), "bits")
     word, bit = _slot("xxhash64(d, t, l)")
     # hash only the lines that the bitmap lets through; the join on the place decides
     wanted = (
         docs.selectExpr("COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d", "xxhash64(text) AS t", "text")
-        .selectExpr("d", "t", "posexplode(split(text, '\\n', -1)) AS (l, x)")
+        .selectExpr("d", "t", "posexplode_outer(split(text, '\\n', -1)) AS (l, x)")
         .where(F.call_function("getbit", F.get(bits.scalar(), F.expr(word)), F.expr(bit)) == 1)
         .selectExpr("d", "t", "l", f"{_HASHES.format('x')} AS words")
     )
@@ -150,13 +179,16 @@ def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int
         F.min("place").alias("place"), F.first("words").alias("words")
     )
     shared = "size(array_intersect(x.words, y.words))"
-    return (
+    later = stage(
         pairs.join(sets.alias("x"), "node")
         .join(sets.withColumnRenamed("node", "other").alias("y"), "other")
         .where(f"100 * {shared} >= {percent} * (size(x.words) + size(y.words) - {shared})")
         .selectExpr("IF(x.place > y.place, node, other) AS node")
-        .distinct()
+        .distinct(),
+        "settled",
     )
+    held.release()
+    return later
 
 
 def remove_lines(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -67,3 +67,20 @@ def test_group_of_near_copies(spark, docs_of):
     base = [f"b{i}" for i in range(40)]
     docs = [(i, " ".join(w if rng.random() > 0.08 else f"x{rng.randrange(60)}" for w in base)) for i in range(120)]
     assert {(r["doc_id"], r["line"]) for r in L.repeated_lines(docs_of(docs)).collect()} == brute_force(docs)
+
+
+def test_pairs_follow_the_size_of_a_group(spark, docs_of, monkeypatch):
+    made = []
+    verified = L._verified
+    monkeypatch.setattr(L, "_verified", lambda docs, firsts, pairs, percent: made.append(pairs.count()) or verified(docs, firsts, pairs, percent))
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(40)]
+    docs = [(i, " ".join(w if rng.random() > 0.07 else f"x{rng.randrange(40)}" for w in base)) for i in range(500)]
+    assert {(r["doc_id"], r["line"]) for r in L.repeated_lines(docs_of(docs)).collect()} == brute_force(docs)
+    assert sum(made) < 40 * len(docs), made
+
+
+def test_words_are_coded_once(spark, docs_of):
+    docs = docs_of(["alpha beta\ngamma", None])
+    plan = L._lines(docs, L._word_classes(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(lambda w") == 1
