@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import Broadcast, SparkContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallywatch.llm.common import _BASE, _INVERSE, ALPHANUMERIC, hash_words, lowered, mix, shingles, signed, stage
+from tallywatch.llm.common import _BASE, _INVERSE, ALPHANUMERIC, hash_words, lowered, mix, shingles, signed, stage, text_parts
 
 FIT_ROWS = 20_000  # labelled rows that the fit aims at
 PRIOR_DOCS = 2.0  # weight of the class shares in a telling token's prior, in documents
@@ -127,8 +127,8 @@ class _Scores:
     """Scores of tokens by their hash; tokens that the sample does not have score 0."""
 
     def __init__(self, model: Model):
-        self.tokens, self.scores = np.append(model.tokens, np.uint64(2**64 - 1)), np.append(model.scores, 0.0)
-        bits = max(1, len(model.tokens)).bit_length() + 1
+        self.tokens, self.scores = model.tokens, model.scores  # the broadcast arrays themselves, no copies
+        bits = max(1, len(model.tokens)).bit_length()
         self.shift = np.uint64(64 - bits)
         self.starts = np.empty(1 << bits, np.int64 if bits > 31 else np.int32)
         for k in range(0, 1 << bits, BLOCK):  # in blocks: the prefixes and their places at once are many times the table
@@ -137,8 +137,8 @@ class _Scores:
         self.drift = model.drift
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
-        out, rows = np.zeros(len(tokens)), np.arange(len(tokens))
-        at = self.starts[(tokens >> self.shift).astype(np.int64)].astype(np.int64)
+        out, rows = np.zeros(len(tokens)), np.arange(len(tokens) if len(self.tokens) else 0)
+        at = np.minimum(self.starts[(tokens >> self.shift).astype(np.int64)], len(self.tokens) - 1).astype(np.int64)[: len(rows)]
         while len(rows):
             here = self.tokens[at]
             hit = here == tokens[rows]
@@ -160,7 +160,7 @@ def _score_rows(shared: Broadcast, numbers_of: tuple, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value, *numbers_of)
         table = _Scores(model)
-        for batch in batches:
+        for batch in text_parts(batches, text):
             for first, last, numbers, offsets, tokens, at in word_tokens(lowered(batch.column(text))):
                 scores = table.words(tokens, at)[numbers]
                 top, best, significant, passages = [], [], [], []
@@ -208,7 +208,7 @@ def _scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 # ---- fitting ---------------------------------------------------------------
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_parts(batches, "text"):
         toxic = batch.column("toxic").to_numpy().astype(bool)
         for first, last, numbers, offsets, tokens, at in word_tokens(lowered(batch.column("text"))):
             # a token counts once per document: repeats within one are no new evidence
@@ -231,7 +231,7 @@ def _drift_rows(shared: Broadcast, numbers_of: tuple):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Scores(Model(*shared.value, *numbers_of))
-        for batch in batches:
+        for batch in text_parts(batches, "text"):
             clean = batch.column("toxic").to_numpy() == 0
             n, total = 0, 0.0
             for first, last, numbers, offsets, tokens, at in word_tokens(lowered(batch.column("text"))):
@@ -267,7 +267,7 @@ def _log_odds(t: np.ndarray, c: np.ndarray, share: float) -> np.ndarray:
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the least hash of a text's five-word runs, which near copies mostly share."""
-    for batch in batches:
+    for batch in text_parts(batches, "text"):
         least = []
         for first, last, hashes, offsets in hash_words(lowered(batch.column("text")), ALPHANUMERIC):
             for i in range(last - first):

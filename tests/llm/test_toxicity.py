@@ -2,6 +2,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from zlib import crc32
 
 from tallywatch.llm import toxicity as T
@@ -63,6 +64,24 @@ def test_table_of_scores_is_built_in_little_memory():
     assert not table.of(tokens[some] + np.uint64(1)).any()  # only even hashes are there
 
 
+def test_workers_hold_one_table_and_a_megabyte_of_text(monkeypatch):
+    tokens = np.array([3, 1 << 62, 2**64 - 2], np.uint64)
+    model = T.Model(tokens, np.array([1.0, 2.0, 3.0]), 0.0, 0.0, np.zeros(3))
+    table = T._Scores(model)
+    assert table.tokens is model.tokens and table.scores is model.scores  # the broadcast arrays, not copies
+    assert table.of(np.array([0, 3, 4, 1 << 62, 2**64 - 2, 2**64 - 1], np.uint64)).tolist() == [0, 1, 0, 2, 3, 0]
+    assert T._Scores(T.Model(tokens[:0], np.zeros(0), 0.0, 0.0, np.zeros(3))).of(tokens).tolist() == [0, 0, 0]
+    texts = ["one word " * 30_000, None, "", "short", "x" * (3 << 20), "vile word"] + ["a few words " * 5_000] * 60
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    held, lowered = [], T.lowered
+    monkeypatch.setattr(T, "lowered", lambda column: held.append(lowered(column)) or held[-1])
+    shared = type("Shared", (), {"value": (model.tokens, model.scores)})
+    out = list(T._score_rows(shared, model.parts()[2:], "text")(iter([batch, batch.slice(0, 0)])))
+    assert sum(held, []) == lowered(batch.column("text"))  # every text once, whole and in order
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert all(len(x) == 1 or sum(map(len, x)) <= 1 << 20 for x in held)
+
+
 def test_held_out_rows_are_told_apart(spark, docs_of):
     rows, labels = corpus(600)
     docs = docs_of(rows + [(1000, None), (1001, ""), (None, "no id"), (0, rows[0][1])])
