@@ -19,7 +19,9 @@ looked at again; all others meet in the lists of prefix words.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import string
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch.llm.common import Stages, stage
 
@@ -28,7 +30,9 @@ MAP_BITS = 16  # the bitmap of wanted lines: 2**16 longs
 KEYS = 2  # prefix words by which a line meets
 PIVOTS = 4  # first lines that have them
 CROWD_PIVOTS = 16  # first lines met in a crowded list; sixteen times as many in each further round
-_WORDS = "array_remove(split(lower({0}), '[\\\\s\\\\p{{Punct}}]+'), '')"
+# [\s\p{Punct}] with each character by itself, which java.util.regex looks up in a table
+_PARTS = "'[" + "".join(f"\\\\u{ord(c):04x}" for c in " \t\n\v\f\r" + string.punctuation) + "]+'"
+_WORDS = f"array_remove(split(lower({{0}}), {_PARTS}), '')"
 _HASHES = f"array_distinct(transform({_WORDS}, w -> xxhash64(w)))"
 _ALONE = 1 << 57  # codes below are words that occur once in all texts
 
@@ -54,19 +58,18 @@ def _dense(values: DataFrame, slots: int) -> DataFrame:
 
 
 def _lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """A row per line with words: doc_id, text_hash, line (from 0), codes.
+    """A row per line: doc_id, text_hash, line (from 0), codes.
 
     The classes (a megabyte, of fixed size) are a scalar subquery, as a joined column
-    would be copied with every row. The explode is an outer one: of others Spark
-    infers a filter, which would make the codes a second time.
+    would be copied with every row. Lines without words are still there: a filter
+    on the codes here would make them a second time.
     """
     code = f"COALESCE(shiftleft(CAST(classes[CAST(h & {BUCKETS - 1}L AS INT)] AS BIGINT), 57), 0L) | (h & {_ALONE - 1}L)"
-    codes = f"sort_array(transform({_HASHES.format('x')}, h -> {code}))"
     return (
-        docs.withColumn("classes", classes.scalar())
-        .selectExpr("doc_id", "xxhash64(text) AS text_hash", f"transform(split(text, '\\n', -1), x -> {codes}) AS sets")
-        .selectExpr("doc_id", "text_hash", "posexplode_outer(sets) AS (line, codes)")
-        .where("size(codes) > 0")
+        docs.selectExpr("doc_id", "xxhash64(text) AS text_hash", "split(text, '\\n', -1) AS xs")
+        .selectExpr("doc_id", "text_hash", "posexplode_outer(xs) AS (line, x)")
+        .withColumn("classes", classes.scalar())
+        .selectExpr("doc_id", "text_hash", "line", f"sort_array(transform({_HASHES.format('x')}, h -> {code})) AS codes")
     )
 
 
@@ -81,6 +84,12 @@ def _bitmap(df: DataFrame, value: str) -> DataFrame:
     return _dense(bits, 1 << MAP_BITS)
 
 
+def _has(bits: DataFrame, value: str) -> Column:
+    """Whether the value's bit is set; other values may share it."""
+    word, bit = _slot(value)
+    return F.call_function("getbit", F.get(bits.scalar(), F.expr(word)), F.expr(bit)) == 1
+
+
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, line of every line that an earlier one matches.
 
@@ -101,7 +110,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
             *[f"aggregate(codes, 0L, (s, c) -> IF((c & 64) = {64 * k}, s ^ shiftleft(1L, CAST(c & 63 AS INT)), s)) AS bits{k}" for k in (0, 1)],
         ),
         "lines",
-    )
+    ).where("n > 0")
     # equal lines are one node, placed where the first of them stands
     firsts = stage(
         lines.selectExpr("node", "n", "prefix", "bits0", "bits1", f"{_PLACE} AS place").groupBy("node")
@@ -120,19 +129,22 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     near = met.alias("x").join(pivots.alias("y"), F.expr(f"x.code = y.code AND y.place < x.place AND {alike}"))
     settled = _verified(docs, firsts, near.selectExpr(*pair).distinct(), percent)
 
-    size = CROWD_PIVOTS
+    size, rounds, crowd = CROWD_PIVOTS, Stages(docs.sparkSession), None
+    known = rounds.stage(_bitmap(settled, "node"), "known")
     while True:
-        members = settled.join(firsts, "node").selectExpr("explode(array_compact(prefix)) AS code")
-        crowded = stage(members.groupBy("code").count().where(f"count >= {2 * size}").select("code"), "crowded")
+        # the first round looks through all lines, the others through those in lists that were crowded then
+        if crowd is None:
+            members = firsts.where(_has(known, "node")).selectExpr("node", "explode(array_compact(prefix)) AS code")
+        else:
+            members = crowd.select("node", "code")
+        members = members.join(settled, "node", "left_semi")
+        crowded = rounds.stage(members.groupBy("code").count().where(f"count >= {2 * size}").select("code"), "crowded")
         if crowded.isEmpty():
             break
-        bits = stage(_bitmap(crowded, "xxhash64(code)"), "bits")
-        word, bit = _slot("xxhash64(code)")
-        crowd = (
-            firsts.selectExpr("node", "n", "place", "bits0", "bits1", "explode(array_compact(prefix)) AS code")
-            .where(F.call_function("getbit", F.get(bits.scalar(), F.expr(word)), F.expr(bit)) == 1)
-            .join(crowded, "code", "left_semi")
-        )
+        if crowd is None:
+            bits = rounds.stage(_bitmap(crowded, "xxhash64(code)"), "bits")
+            crowd = firsts.selectExpr("node", "n", "place", "bits0", "bits1", "explode(array_compact(prefix)) AS code").where(_has(bits, "xxhash64(code)"))
+        crowd = rounds.stage(crowd.join(crowded, "code", "left_semi"), "crowd")
         pivots = crowd.selectExpr("*", "ROW_NUMBER() OVER (PARTITION BY code ORDER BY place) AS k").where(f"k <= {size}").drop("k")
         near = crowd.join(settled, "node", "left_anti").alias("x").join(pivots.alias("y"), F.expr(f"x.code = y.code AND y.place < x.place AND {alike}"))
         more = _verified(docs, firsts, near.selectExpr(*pair).distinct(), percent)
@@ -140,9 +152,12 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
             break
         settled, size = settled.unionByName(more), 16 * size
 
-    # one shuffle serves both sides; a pair counts if its later line is open
+    # one shuffle serves both sides; a pair counts if its later line is open. Of lines that the bitmap does not let through none is settled
+    known = rounds.stage(_bitmap(settled, "node"), "known")
+    held = firsts.where(_has(known, "node")).join(settled.withColumn("settled", F.lit(True)), "node", "left")
+    free = firsts.where(~_has(known, "node")).withColumn("settled", F.lit(None).cast("boolean"))
     lists = (
-        firsts.join(settled.withColumn("settled", F.lit(True)), "node", "left")
+        held.unionByName(free)
         .selectExpr("node", "n", "place.d AS d", "bits0", "bits1", "settled IS NULL AS open", "posexplode(prefix) AS (at, code)")
         .where("code IS NOT NULL")
     )
@@ -150,6 +165,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         AND {100 + percent} * (least(x.n - x.at, y.n - y.at) + least(x.at, y.at)) >= {percent} * (x.n + y.n)
         AND ((x.open AND x.d >= y.d) OR (y.open AND y.d >= x.d))"""
     rest = _verified(docs, firsts, lists.alias("x").join(lists.alias("y"), F.expr(match)).selectExpr(*pair).distinct(), percent)
+    rounds.release()
     matched = stage(settled.unionByName(rest).distinct(), "matched").withColumn("near", F.lit(True))
     return (
         places.selectExpr("doc_id", "text_hash", "line", "node", f"{_PLACE} AS place")
@@ -164,15 +180,18 @@ def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int
     """The later node of each of the ``pairs`` whose Jaccard similarity suffices, staged."""
     held = Stages(docs.sparkSession)
     pairs = held.stage(pairs, "pairs")
-    nodes = pairs.select("node").unionByName(pairs.selectExpr("other AS node")).distinct()
-    homes = held.stage(nodes.join(firsts, "node").selectExpr("node", "place.d AS d", "place.t AS t", "place.l AS l"), "homes")
-    bits = held.stage(_bitmap(homes, "xxhash64(d, t, l)"), "bits")
-    word, bit = _slot("xxhash64(d, t, l)")
-    # hash only the lines that the bitmap lets through; the join on the place decides
+    nodes = held.stage(pairs.select("node").unionByName(pairs.selectExpr("other AS node")).distinct(), "nodes")
+    # bitmaps let few other rows through to the joins, which decide
+    known = held.stage(_bitmap(nodes, "node"), "known")
+    homes = held.stage(nodes.join(firsts.where(_has(known, "node")), "node").selectExpr("node", "place.d AS d", "place.t AS t", "place.l AS l"), "homes")
+    # texts without a wanted line are not split, and only wanted lines are hashed
+    places = homes.selectExpr("explode(array(xxhash64(d, t), xxhash64(d, t, l))) AS place")
+    bits = held.stage(_bitmap(places, "place"), "bits")
     wanted = (
         docs.selectExpr("COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d", "xxhash64(text) AS t", "text")
+        .where(_has(bits, "xxhash64(d, t)"))
         .selectExpr("d", "t", "posexplode_outer(split(text, '\\n', -1)) AS (l, x)")
-        .where(F.call_function("getbit", F.get(bits.scalar(), F.expr(word)), F.expr(bit)) == 1)
+        .where(_has(bits, "xxhash64(d, t, l)"))
         .selectExpr("d", "t", "l", f"{_HASHES.format('x')} AS words")
     )
     sets = wanted.join(homes, ["d", "t", "l"]).selectExpr("node", "struct(d, t, l) AS place", "words").groupBy("node").agg(

@@ -84,3 +84,31 @@ def test_words_are_coded_once(spark, docs_of):
     docs = docs_of(["alpha beta\ngamma", None])
     plan = L._lines(docs, L._word_classes(docs))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("xxhash64(lambda w") == 1
+
+
+def test_words_are_parted_as_by_classes(spark):
+    text = "".join(f"a{chr(c)}" for c in [*range(1, 400), 0x2028, 0x3000, 0xFF0C]) + "]]b\\c^d-e"
+    row = spark.createDataFrame([(text,)], "x string").selectExpr(
+        f"split(x, {L._PARTS}) AS got", "split(x, '[\\\\s\\\\p{Punct}]+') AS want"
+    ).first()
+    assert row["got"] == row["want"] and "" not in row["got"]
+
+
+def test_rounds_read_only_what_bitmaps_let_through(spark, docs_of, monkeypatch):
+    plans, rows, staged = {}, [], L.Stages.stage
+
+    def spy(self, df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        out = staged(self, df, name)
+        if name == "crowd":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(L.Stages, "stage", spy)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(40)]
+    docs = [(i, " ".join(w if rng.random() > 0.07 else f"x{rng.randrange(40)}" for w in base)) for i in range(300)]
+    docs += [(1000 + i, " ".join(f"y{rng.randrange(3000)}" for _ in range(20)) + "\nshort line") for i in range(200)]
+    assert {(r["doc_id"], r["line"]) for r in L.repeated_lines(docs_of(docs)).collect()} == brute_force(docs)
+    assert "getbit" in plans["homes"]  # lines are thinned out before they are joined by their node
+    assert rows and all(a >= b for a, b in zip(rows, rows[1:]))  # later rounds read no more than the first's lists
