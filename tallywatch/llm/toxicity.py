@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import Broadcast, SparkContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallywatch.llm.common import _BASE, _INVERSE, ALPHANUMERIC, hash_words, lowered, mix, shingles, signed, stage, text_parts
+from tallywatch.llm.common import _BASE, _INVERSE, ALPHANUMERIC, drop_caches, hash_words, lowered, mix, shingles, signed, stage, text_parts
 
 FIT_ROWS = 20_000  # labelled rows that the fit aims at
 PRIOR_DOCS = 2.0  # weight of the class shares in a telling token's prior, in documents
@@ -158,6 +158,7 @@ class _Scores:
 
 def _score_rows(shared: Broadcast, numbers_of: tuple, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches(kept="powers")
         model = Model(*shared.value, *numbers_of)
         table = _Scores(model)
         for batch in text_parts(batches, text):
@@ -267,6 +268,7 @@ def _log_odds(t: np.ndarray, c: np.ndarray, share: float) -> np.ndarray:
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the least hash of a text's five-word runs, which near copies mostly share."""
+    drop_caches(kept="powers")
     for batch in text_parts(batches, "text"):
         least = []
         for first, last, hashes, offsets in hash_words(lowered(batch.column("text")), ALPHANUMERIC):

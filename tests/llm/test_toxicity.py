@@ -6,6 +6,7 @@ import pyarrow as pa
 from zlib import crc32
 
 from tallywatch.llm import toxicity as T
+from tallywatch.llm.common import worker_cache
 from text_fixtures import docs_of  # noqa: F401 (a fixture)
 
 
@@ -82,6 +83,13 @@ def test_workers_hold_one_table_and_a_megabyte_of_text(monkeypatch):
     assert all(len(x) == 1 or sum(map(len, x)) <= 1 << 20 for x in held)
 
 
+def test_workers_give_back_what_packing_left():
+    worker_cache("packing")["path"] = {"word": b"ids"}
+    batch = pa.RecordBatch.from_pydict({"text": ["some words", None]})
+    assert sum(b.num_rows for b in T._sketch_rows(iter([batch]))) == 2
+    assert not worker_cache("packing") and worker_cache("powers")
+
+
 def test_held_out_rows_are_told_apart(spark, docs_of):
     rows, labels = corpus(600)
     docs = docs_of(rows + [(1000, None), (1001, ""), (None, "no id"), (0, rows[0][1])])
