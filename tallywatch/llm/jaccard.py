@@ -16,11 +16,13 @@ bucket's frequency class, then by hash.
 Copies (equal sets) are one node from the start. A list of m nodes is not
 expanded into m * m pairs: all members are compared with one pivot, nodes found
 linked become one component, and only members that are still in different
-components go on, after some pivots by all their remaining pairs. Every
-candidate is verified exactly on the documents' whole shingle sets, so no link
-between different components is lost. Before texts are fetched, an upper bound
-of the shared shingles rules out most candidates: the sum over 256 hash classes
-of the smaller of the two sets' counts.
+components go on, after some pivots by all their remaining pairs. Before that,
+members leave the lists where, by size and by 256 bits (of which each shingle
+turns one over), no other member can be similar to them. Every candidate is
+verified exactly on the documents' whole shingle sets, so no link between
+different components is lost. Before texts are fetched, an upper bound of the
+shared shingles rules out most candidates: the sum over 256 hash classes of the
+smaller of the two sets' counts.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallywatch.llm.common import SPACE, bitmap, hash_words, in_bitmap, in_bitmap_rows, lowered, mix, shingles, signed, stage
+from tallywatch.llm.common import SPACE, bitmap, hash_words, in_bitmap, in_bitmap_rows, lowered, mix, shingles, signed, stage, text_parts
 from tallywatch.llm.components import components
 
 BUCKET_BITS = 22
@@ -44,7 +46,8 @@ PIVOT_ROUNDS = 3
 PIVOTS = 8  # pivots of a list in each round after the first
 SKETCH = 16  # keys of a node that tell whether a pair stands in an earlier list too
 CLASSES = 256
-KEYS_HELD = 1 << 18  # keys of a task that are handed over at a time
+KEYS_HELD = 1 << 16  # keys of a task that are handed over at a time
+NODES_HELD = 1 << 14  # nodes of a task that are known to have handed over theirs
 BLOCK_NODES = 1_000  # nodes of a list that are paired with each other in one task
 GROUP_ROWS = 500  # members that are compared with a pivot in one task
 
@@ -71,7 +74,7 @@ def _node_rows(size: int):
         counts = np.zeros(1 << BUCKET_BITS, np.uint32)
         kind, task = None, 0
         names = ["doc_id", "n", "node", "profile", "task", "block", "counts"]
-        for batch in batches:
+        for batch in text_parts(batches, "text"):
             ids, n, node, profile = batch.column("doc_id"), [], [], []
             kind = ids.type
             if batch.num_rows:
@@ -153,39 +156,50 @@ def _keys(members: np.ndarray, rank: np.ndarray, percent: int, boundary: int) ->
     return np.concatenate(keys)
 
 
+def _parity(members: np.ndarray) -> np.ndarray:
+    """256 bits, of which each member turns one over: no more bits of two sets differ than members."""
+    odd = np.bincount((members & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _key_rows(size: int, percent: int, boundary: int, rank, only):
-    """(key, node, n) per document, at most once per key and batch; ``only`` is a bitmap of keys or None."""
+    """(key, node) per document, at most once per key and stretch of documents.
+
+    With ``only``, a bitmap of keys, those alone, and n and the parity of the set.
+    """
 
     def rows(found: list) -> pa.RecordBatch:
-        lengths = [len(k) for k, _, _ in found]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(signed(np.concatenate([k for k, _, _ in found]))),
-                pa.array(np.repeat(np.array([x for _, x, _ in found], np.int64), lengths)),
-                pa.array(np.repeat(np.array([x for _, _, x in found], np.int64), lengths)),
-            ],
-            names=["key", "node", "n"],
-        )
+        keys, nodes, sizes, parities = zip(*found)
+        lengths = [len(k) for k in keys]
+        columns = {"key": signed(np.concatenate(keys)), "node": np.repeat(np.array(nodes, np.int64), lengths)}
+        if only:
+            bits = np.repeat(np.stack(parities), lengths, axis=0)
+            columns |= {"n": np.repeat(np.array(sizes, np.int64), lengths)} | {f"bits{k}": np.ascontiguousarray(bits[:, k]) for k in range(4)}
+        return pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, table = rank.value, only.value if only else None
-        for batch in batches:
-            found, held, seen = [], 0, set()
+        found, held, seen = [], 0, set()
+        for batch in text_parts(batches, "text"):
             for _, members in _sets(lowered(batch.column("text")), size):
                 node = _fingerprint(members)
                 if not len(members) or node in seen:
                     continue
+                if len(seen) >= NODES_HELD:
+                    seen.clear()
                 seen.add(node)
                 keys = _keys(members, ranks, percent, boundary)
                 if table is not None:
                     keys = keys[in_bitmap(keys, table)]
-                found.append((keys, node, len(members)))
+                if not len(keys):
+                    continue
+                found.append((keys, node, len(members), _parity(members) if only else None))
                 held += len(keys)
                 if held > KEYS_HELD:  # the keys of a batch are many times its texts
                     yield rows(found)
                     found, held = [], 0
-            if held:
-                yield rows(found)
+        if held:
+            yield rows(found)
 
     return run
 
@@ -322,6 +336,25 @@ def _links(docs: DataFrame, pairs: DataFrame, homes: DataFrame, size: int, perce
     )
 
 
+def _with_partner(lists: DataFrame, percent: int) -> DataFrame:
+    """key, node, n of members whose list holds another one that size and parity allow to be similar.
+
+    Unrelated texts meet in ever more lists as a corpus grows; nearly all of them
+    end here, before any pair is made. Long lists are cut into blocks that meet
+    two at a time.
+    """
+    counted = lists.groupBy("key").agg(F.expr(f"1 + COUNT(*) DIV {BLOCK_NODES} AS blocks"))
+    spread = (
+        lists.join(counted, "key")
+        .selectExpr("*", "pmod(xxhash64(node), blocks) AS share", "explode(sequence(0L, blocks - 1)) AS other")
+        .selectExpr("*", "least(share, other) AS low", "greatest(share, other) AS high")
+    )
+    differ = " + ".join(f"bit_count(x.bits{k} ^ y.bits{k})" for k in range(4))  # n + n - 2 * shared members at most
+    match = f"""x.key = y.key AND x.low = y.low AND x.high = y.high AND x.node != y.node
+        AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)"""
+    return spread.alias("x").join(spread.alias("y"), F.expr(match), "left_semi").select("key", "node", "n").distinct()
+
+
 def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id per document row.
 
@@ -356,18 +389,19 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
     sizes = homes.groupBy(F.least("n", F.lit(500)).alias("size")).count().collect()
     boundary = choose_boundary([(r["size"], r["count"]) for r in sizes], percent)
 
-    keyed = "key bigint, node bigint, n bigint"
+    keyed = "key bigint, node bigint"
     shared = (
         docs.select("text").mapInArrow(_key_rows(size, percent, boundary, rank, None), keyed)
         .groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     )
     only = sc.broadcast(bitmap(shared, "key", BITMAP_BITS))
+    keyed += ", n bigint, bits0 bigint, bits1 bigint, bits2 bigint, bits3 bigint"
     lists = stage(docs.select("text").mapInArrow(_key_rows(size, percent, boundary, rank, only), keyed).distinct(), "lists")
 
     # near copies share many keys: of lists with the same members one is enough
     marks = lists.groupBy("key").agg(F.expr("SUM(CAST(xxhash64(node) AS DECIMAL(28, 0))) AS mark"), F.count("*").alias("many"))
     kept = marks.where("many > 1").groupBy("mark", "many").agg(F.min("key").alias("key")).select("key")
-    lists = stage(lists.join(kept, "key", "left_semi"), "distinct_lists")
+    lists = stage(_with_partner(stage(lists.join(kept, "key", "left_semi"), "distinct_lists"), percent), "near_lists")
 
     profiles = homes.select("node", "n", "profile")
     homes = homes.select("node", "doc_id")

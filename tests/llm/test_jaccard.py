@@ -98,3 +98,44 @@ def test_a_pair_is_made_in_one_of_the_lists_that_hold_it():
     assert made(5, [[5, 9], [5, 9]]) == [{"pivot": 1, "node": 2}] and made(9, [[5, 9], [5, 9]]) == []
     assert made(9, [[3, 9], [5, 9]]) == [{"pivot": 1, "node": 2}]  # no earlier list holds both
     assert made(99, [[5, 9], [5, 9], []]) == [{"pivot": 1, "node": 3}, {"pivot": 2, "node": 3}]
+
+
+def test_members_without_a_partner_leave_their_list(spark, monkeypatch):
+    """Unrelated texts that meet in a list make no rows behind it; near ones stay, over all blocks of a list."""
+    monkeypatch.setattr(J, "BLOCK_NODES", 7)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = {i: rng.integers(0, 2**63, 300, dtype=np.uint64) for i in range(60)}  # unrelated
+    sets |= {100 + i: np.concatenate([base[: 300 - i], rng.integers(0, 2**63, i, dtype=np.uint64)]) for i in range(0, 12, 2)}
+    sets[200] = base[:200]  # too small
+    rows = [(5, i, len(s), *J._parity(np.unique(s)).tolist()) for i, s in sets.items()] + [(6, 100, 300, *J._parity(base).tolist())]
+    lists = spark.createDataFrame(rows, "key bigint, node bigint, n bigint, bits0 bigint, bits1 bigint, bits2 bigint, bits3 bigint")
+    kept = [tuple(r) for r in J._with_partner(lists, 85).collect()]
+    assert sorted(kept) == [(5, i, 300) for i in range(100, 112, 2)]
+
+
+def test_parity_differs_by_no_more_than_the_members():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 200, 3000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 9 :], rng.integers(0, 2**63, n // 7, dtype=np.uint64)]))
+        bits = int(np.bitwise_count((J._parity(a) ^ J._parity(b)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and (bits - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_texts_become_objects_a_part_at_a_time(monkeypatch):
+    """A worker holds about a megabyte of a batch's texts as Python objects, not the whole batch."""
+    import pyarrow as pa
+
+    held = []
+    lowered = J.lowered
+    monkeypatch.setattr(J, "lowered", lambda c: held.append(c.nbytes) or lowered(c))
+
+    class Rank:
+        value = np.zeros(1 << J.BUCKET_BITS, np.uint8)
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(30_000)) for i in range(30)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(30)), "text": texts, "task": pa.array([0] * 30, pa.int32())})
+    assert sum(b.num_rows for b in J._node_rows(4)(iter([batch])) if b.column("block").null_count) == 30
+    assert len({x for b in J._key_rows(4, 85, 0, Rank, None)(iter([batch])) for x in b.column("node").to_pylist()}) == 30
+    assert len(held) > 2 and max(held) < 3 << 20
