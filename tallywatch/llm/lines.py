@@ -42,7 +42,7 @@ _PLACE = "struct(COALESCE(CAST(doc_id AS BIGINT), 9223372036854775807) AS d, tex
 
 def _word_classes(docs: DataFrame) -> DataFrame:
     """One row: the frequency class of each bucket of words, counted over whole texts, as an array of 2**20 bytes."""
-    words = docs.selectExpr("explode_outer(split(lower(text), '[\\\\s\\\\p{Punct}]+')) AS w").where("w != ''")
+    words = docs.selectExpr(f"explode_outer(split(lower(text), {_PARTS})) AS w").where("w != ''")
     counts = words.groupBy(F.expr(f"xxhash64(w) & {BUCKETS - 1}L AS bucket")).count()
     packed = counts.selectExpr(
         "shiftright(bucket, 3) AS slot", "shiftleft(CAST(least(62, floor(2 * log2(count))) AS LONG), CAST(8 * (bucket & 7) AS INT)) AS value"

@@ -112,3 +112,8 @@ def test_rounds_read_only_what_bitmaps_let_through(spark, docs_of, monkeypatch):
     assert {(r["doc_id"], r["line"]) for r in L.repeated_lines(docs_of(docs)).collect()} == brute_force(docs)
     assert "getbit" in plans["homes"]  # lines are thinned out before they are joined by their node
     assert rows and all(a >= b for a, b in zip(rows, rows[1:]))  # later rounds read no more than the first's lists
+
+
+def test_words_are_counted_by_the_parts_that_code_them(spark, docs_of):
+    plan = L._word_classes(docs_of(["a b", "c, d"]))._jdf.queryExecution().toString()
+    assert "Punct" not in plan
