@@ -14,6 +14,12 @@ over all rows. Splits that the full counts confirm stand, with all below them up
 to the first that differs; from there the next round goes on. The sample decides
 nothing: the tree is the one that full counts give, however bad the guess.
 
+With more rows than the sample holds it often guesses wrong, and a round costs
+more than what it counts. Two things save rounds then. A leaf that parted like
+one of the tree before is first taken to split like it too. And small leaves
+come to the driver whole, a bounded number of rows a tree, which counts what
+lies below them without further rounds.
+
 The blocks are an RDD because they are state that each tree changes in place of
 rows to be queried. Each tree makes a new generation of raw scores out of the
 one before; every ``CUT`` trees a checkpoint ends the lineage, so a lost
@@ -25,6 +31,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from typing import NamedTuple
 
 import numpy as np
@@ -42,9 +49,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no c
 
 BINS = 255
 MISSING = 255  # the bin of missing values
-CUT = 5
+CUT = 20
 FLAT = 64  # partitions up to which histograms are added up in one step
-SAMPLE_ROWS = 1 << 18  # rows on the driver that foresee splits: 16 bytes each
+BLOCK_ROWS = 1 << 18
+SAMPLE_ROWS = 1 << 18  # rows that the driver holds whole to foresee splits: 16 bytes each
+SHARE_ROWS = 1 << 16  # the sample's rows where there are more
+FETCHED_ROWS = 1 << 20  # rows of small leaves that come to the driver in a tree: 16 bytes each
 _LEAST_HESSIAN = 1e-3
 
 NODES = "tree int, node int, feature int, cut int, missing_left boolean, left int, right int, value double"
@@ -143,6 +153,15 @@ def parted(codes: np.ndarray, tree: Tree, rows: np.ndarray) -> dict[int, np.ndar
     return held
 
 
+def towards(tree: Tree, leaves: list[int]) -> Tree:
+    """The tree with only the splits on the way to some leaves."""
+    way = set(leaves)
+    for at in reversed(range(len(tree.feature))):
+        if tree.feature[at] >= 0 and way & {int(tree.left[at]), int(tree.right[at])}:
+            way.add(at)
+    return tree._replace(feature=np.where([at in way for at in range(len(tree.feature))], tree.feature, -1))
+
+
 def leaves_of(codes: np.ndarray, tree: Tree) -> np.ndarray:
     """The leaf of each row."""
     out = np.zeros(codes.shape[1], np.int32)
@@ -160,44 +179,52 @@ def slopes(label: np.ndarray, raw: np.ndarray, weights: tuple[float, float]) ->
 
 def summed(codes: np.ndarray, rows: np.ndarray, gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray:
     """Gradient, Hessian and rows per feature and bin over some rows."""
-    size = 256 * len(codes)
-    key = (codes[:, rows] + np.arange(0, size, 256)[:, None]).ravel()
-    out = np.empty((size, 3))
-    for k, values in enumerate((gradient, hessian)):
-        out[:, k] = np.bincount(key, np.tile(values[rows], len(codes)), size)
-    out[:, 2] = np.bincount(key, minlength=size)
-    return out.reshape(len(codes), 256, 3)
-
-
-def histograms(blocks, tree: Tree, wanted: list[int], weights: tuple[float, float]) -> np.ndarray | None:
-    """``summed`` per wanted leaf over all blocks; None without blocks."""
-    total = None
+    out = np.empty((len(codes), 256, 3))
+    g, h = gradient[rows], hessian[rows]
+    for i, own in enumerate(codes):
+        key = own[rows].astype(np.intp)
+        out[i, :, 0], out[i, :, 1] = np.bincount(key, g, 256), np.bincount(key, h, 256)
+        out[i, :, 2] = np.bincount(key, minlength=256)
+    return out
+
+
+def histograms(blocks, tree: Tree, wanted: list[int], fetched: list[int], weights: tuple[float, float]) -> tuple[np.ndarray, list[tuple]] | None:
+    """``summed`` per wanted leaf over all blocks, and the rows of the fetched ones, leaf by leaf; None without blocks."""
+    total, rows, tree = None, [], towards(tree, [*wanted, *fetched])
     for codes, label, raw in blocks:
         held, (gradient, hessian) = parted(codes, tree, np.arange(len(label))), slopes(label, raw, weights)
-        own = np.stack([summed(codes, held[n], gradient, hessian) for n in wanted])
+        own = np.array([summed(codes, held[n], gradient, hessian) for n in wanted]).reshape(-1, len(codes), 256, 3)
         total = own if total is None else total + own
-    return total
+        rows += [(n, codes[:, held[n]], label[held[n]], raw[held[n]]) for n in fetched]
+    return None if total is None else (total, rows)
 
 
 def best_split(sums: np.ndarray, rules: Rules) -> Split | None:
     """The split of largest gain of a leaf's histogram; the first feature, direction and bin among equals."""
     whole, missing = sums[0].sum(axis=0), sums[:, MISSING]
-    left = np.cumsum(sums[:, :MISSING], axis=1)[:, None] + _DIRECTIONS[None, :, None, None] * missing[:, None, None]
-    right = whole - left
-    gain = np.zeros(left.shape[:3])
-    for side, sign in ((left, 1), (right, 1), (np.broadcast_to(whole, left.shape), -1)):
-        gain += sign * side[..., 0] ** 2 / (side[..., 1] + rules.penalty)
-    allowed = (np.minimum(left[..., 2], right[..., 2]) >= max(1, rules.least_rows)) & (np.minimum(left[..., 1], right[..., 1]) >= _LEAST_HESSIAN)
+    ways = _DIRECTIONS if missing.any() else _DIRECTIONS[:1]  # with nothing missing both are the same
+    parts = np.ascontiguousarray(sums.transpose(2, 0, 1))
+    left = np.cumsum(parts[..., :MISSING], axis=2)[:, :, None] + ways[:, None] * parts[..., None, MISSING:]
+    right = whole[:, None, None, None] - left
+    gain = left[0] ** 2 / (left[1] + rules.penalty)
+    gain += right[0] ** 2 / (right[1] + rules.penalty)
+    gain -= whole[0] ** 2 / (whole[1] + rules.penalty)
+    allowed = (np.minimum(left[2], right[2]) >= max(1, rules.least_rows)) & (np.minimum(left[1], right[1]) >= _LEAST_HESSIAN)
     gain[~allowed] = 0
     at = int(gain.argmax())
     if not gain.flat[at] > 0:
         return None
     f, direction, cut = np.unravel_index(at, gain.shape)
-    rows = left[f, direction, cut, 2], right[f, direction, cut, 2]
+    rows = left[2, f, direction, cut], right[2, f, direction, cut]
     to_left = bool(direction) if missing[f, 2] else rows[0] >= rows[1]  # never seen: with most rows
     return Split(float(gain.flat[at]), int(f), int(cut), to_left, tuple(map(int, rows)))
 
 
+def same_way(node: int, one: dict[int, Split | None], other: dict[int, Split | None]) -> bool:
+    """Whether two trees part the rows alike on the way to a node."""
+    return all(one.get(n) and other.get(n) and one[n][1:4] == other[n][1:4] for n in (node >> k for k in range(1, node.bit_length())))
+
+
 class Growth:
     """A tree that grows best leaf first. Nodes are numbered by path: 1 is the root, 2n and 2n + 1 are the children of n."""
 
@@ -206,14 +233,13 @@ class Growth:
 
     def chosen(self) -> list[int]:
         """Nodes that best-first growth splits, as far as gains are known."""
-        open_, order = {1}, []
-        while len(order) < self.rules.leaves - 1:
-            known = [n for n in open_ if self.split.get(n)]
-            if not known:
-                break
-            best = min(known, key=lambda n: (-self.split[n].gain, n))
+        open_, order = [(-self.split[1].gain, 1)] if self.split.get(1) else [], []
+        while open_ and len(order) < self.rules.leaves - 1:
+            _, best = heappop(open_)
             order.append(best)
-            open_ = open_ - {best} | {2 * best, 2 * best + 1}
+            for n in (2 * best, 2 * best + 1):
+                if s := self.split.get(n):
+                    heappush(open_, (-s.gain, n))
         return order
 
     def wanted(self) -> list[int]:
@@ -244,7 +270,7 @@ class Growth:
         while True:
             right = [
                 c for n in self.wanted() for c in {n, n ^ 1 if n > 1 else n}
-                if c in found and all(self.split[c >> k][1:4] == guess.split[c >> k][1:4] for k in range(1, c.bit_length()))
+                if c in found and same_way(c, self.split, guess.split)
             ]
             for c in right:
                 if c not in self.sums:
@@ -255,23 +281,36 @@ class Growth:
     def splits(self) -> list[int]:
         return [n for n, s in self.split.items() if s and n in self.sums]
 
-    def foreseen(self, codes: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, share: float) -> Growth:
-        """The tree as the sample would grow it from here."""
-        ahead = Growth(self.rules, self.split, self.sums)
-        tree, number = ahead.tree(ahead.splits())
-        node = {at: n for n, at in number.items()}
-        held = {node[at]: rows for at, rows in parted(codes, tree, np.arange(len(gradient))).items()}
-        while wanted := ahead.wanted():
-            for n in wanted:
+    def count(self, held: dict[int, np.ndarray], codes: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, share: float = 1.0, last: dict[int, Split | None] | None = None) -> None:
+        """Grow on below the leaves whose rows are held; with a ``last`` tree one best leaf at a time, and by its splits where it parted alike."""
+        while mine := [n for n in self.wanted() if n in held or n // 2 in held]:
+            for n in mine if last is None else mine[:1]:
                 if n > 1 and n not in held:  # the parent's rows are not parted yet
-                    one = ahead.split[n // 2]
+                    one = self.split[n // 2]
                     here = held.pop(n // 2)
                     code = codes[one.feature, here]
                     left = (code <= one.cut) | (one.missing_left & (code == MISSING))
                     held[n & ~1], held[n | 1] = here[left], here[~left]
-                ahead.add(n, summed(codes, held[n], gradient, hessian) / share)
+                self.add(n, summed(codes, held[n], gradient, hessian) / share)
+                for c in {n, n ^ 1 if n > 1 else n} if last else ():
+                    if self.split[c] and last.get(c) and same_way(c, self.split, last):
+                        self.split[c] = last[c]
+
+    def foreseen(self, codes: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, share: float, last: dict[int, Split | None] | None = None) -> Growth:
+        """The tree as the sample, and the splits of the last tree, would grow it from here."""
+        ahead = Growth(self.rules, self.split, self.sums)
+        tree, number = ahead.tree(ahead.splits())
+        node = {at: n for n, at in number.items()}
+        held = {node[at]: rows for at, rows in parted(codes, tree, np.arange(len(gradient))).items()}
+        ahead.count(held, codes, gradient, hessian, share, last)
         return ahead
 
+    def small(self, most: int) -> list[int]:
+        """Nodes above leaves to count, those with fewest rows first, up to so many rows."""
+        size = {n // 2: sum(self.split[n // 2].rows) for n in self.wanted() if n > 1}
+        order = sorted(size, key=lambda n: (size[n], n))
+        return [n for n, upto in zip(order, np.cumsum([size[n] for n in order])) if upto <= most]
+
     def tree(self, kept: list[int], values: bool = False) -> tuple[Tree, dict[int, int]]:
         """The kept splits as arrays, and the place of each node in them; parents stand before children."""
         nodes = sorted({1} | {c for n in kept for c in (2 * n, 2 * n + 1)})
@@ -298,18 +337,20 @@ class Growth:
         return tuple((own.sum(axis=0) - left if node % 2 else left)[:2])
 
 
-def _counted(state: RDD, tree: Tree, wanted: list[int], weights: tuple[float, float], used: np.ndarray) -> np.ndarray:
+def _counted(
+    state: RDD, tree: Tree, wanted: list[int], weights: tuple[float, float], used: np.ndarray, fetched: list[int] = []
+) -> tuple[np.ndarray, list[tuple]]:
     """``histograms`` over all blocks; only bins in use travel."""
 
     def run(blocks):
-        found = histograms(blocks, tree, wanted, weights)
-        return [] if found is None else [found[:, used]]
+        found = histograms(blocks, tree, wanted, fetched, weights)
+        return [] if found is None else [(found[0][:, used], found[1])]
 
     parts = state.mapPartitions(run)
-    add = lambda a, b: a + b
+    add = lambda a, b: (a[0] + b[0], a[1] + b[1])
     out = np.zeros((len(wanted), *used.shape, 3))
-    out[:, used] = parts.reduce(add) if state.getNumPartitions() <= FLAT else parts.treeReduce(add)
-    return out
+    out[:, used], rows = parts.reduce(add) if state.getNumPartitions() <= FLAT else parts.treeReduce(add)
+    return out, rows
 
 
 def _used(edges: list[np.ndarray]) -> np.ndarray:
@@ -317,21 +358,35 @@ def _used(edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([(bins <= len(cuts)) | (bins == MISSING) for cuts in edges])
 
 
-def grow(state: RDD, weights: tuple[float, float], rules: Rules, used: np.ndarray, sample, share: float) -> Tree:
+def grow(
+    state: RDD, weights: tuple[float, float], rules: Rules, used: np.ndarray, sample, share: float, last: dict[int, Split | None] = {}
+) -> tuple[Tree, dict[int, Split | None]]:
+    """A tree, and its splits by node for the next one to try; ``last`` are those of the tree before."""
     growth = Growth(rules)
     codes, label, raw = sample
     gradient, hessian = slopes(label, raw, weights)  # a tree's rounds share them
+    here, held, whole, left = (codes[:, :0], gradient[:0], hessian[:0]), {}, set(), FETCHED_ROWS if share < 1 else 0
     while growth.wanted():
-        guess = growth.foreseen(codes, gradient, hessian, share)
-        tree, number = guess.tree(guess.splits())
+        guess = growth.foreseen(codes, gradient, hessian, share, last if share < 1 else None)
+        near = growth.small(left)
+        whole.update(near)
+        likely = guess.splits() if share == 1 else {*guess.chosen(), *growth.chosen()}  # fewer leaves to count and to send
+        tree, number = guess.tree([n for n in likely if not whole.intersection(n >> k for k in range(n.bit_length()))])
         asked = [n for n, at in number.items() if tree.feature[at] < 0 and n not in growth.sums]
+        sums, rows = _counted(state, tree, [number[n] for n in asked], weights, used, [number[n] for n in near])
         found: dict[int, np.ndarray] = {}
-        for n, own in zip(asked, _counted(state, tree, [number[n] for n in asked], weights, used)):
+        for n, own in zip(asked, sums):
             while n and n not in growth.sums:  # a leaf counts for all above it
                 found[n] = found[n] + own if n in found else own
                 n //= 2
         growth.take(found, guess)
-    return growth.tree(growth.chosen(), values=True)[0]
+        for n in near:
+            own, labels, scores = (np.concatenate(x, axis=-1) for x in zip(*[r[1:] for r in rows if r[0] == number[n]]))
+            held[n] = np.arange(len(labels)) + len(here[1])
+            left -= len(labels)
+            here = tuple(np.concatenate(x, axis=-1) for x in zip(here, (own, *slopes(labels, scores, weights))))
+        growth.count(held, *here, last={})
+    return growth.tree(growth.chosen(), values=True)[0], growth.split
 
 
 def _raised(tree: Tree):
@@ -395,6 +450,19 @@ def _state(rows: DataFrame, features: list[str], edges: list[np.ndarray], label:
     return blocks.rdd.map(opened)
 
 
+def _joined(blocks: Iterator[tuple]) -> Iterator[tuple]:
+    """The same rows in blocks of ``BLOCK_ROWS`` or a little more."""
+    held, rows = [], 0
+    for block in blocks:
+        held.append(block)
+        rows += len(block[1])
+        if rows >= BLOCK_ROWS:
+            yield tuple(np.concatenate(x, axis=-1) for x in zip(*held))
+            held, rows = [], 0
+    if held:
+        yield tuple(np.concatenate(x, axis=-1) for x in zip(*held))
+
+
 def fit_trees(
     train: DataFrame, features: list[str], weights: tuple[float, float], iterations: int, rules: Rules = Rules(), label: str = "isFraud", seed: int = 42
 ) -> BoostedTrees:
@@ -406,16 +474,22 @@ def fit_trees(
     edges = bin_edges(rows, features)
     state = _state(rows, features, edges, label).persist(StorageLevel.MEMORY_AND_DISK)
     count = state.map(lambda block: len(block[1])).sum()
-    share = min(1.0, SAMPLE_ROWS / max(1, count))
+    share = 1.0 if count <= SAMPLE_ROWS else min(SAMPLE_ROWS, SHARE_ROWS) / count
+    if share < 1:  # a job over few tasks with large blocks is shorter
+        few = state.coalesce(min(state.getNumPartitions(), max(sc.defaultParallelism, state.getNumPartitions() // 8)))
+        small, state = state, few.mapPartitions(_joined).persist(StorageLevel.MEMORY_AND_DISK)
+        state.count()
+        small.unpersist()
     taken = _state(rows.sample(share, seed) if share < 1 else rows, features, edges, label).collect()
     sample = (
         tuple(np.concatenate(x, axis=-1) for x in zip(*taken)) if taken
         else (np.zeros((len(features), 0), np.uint8), np.zeros(0, np.uint8), np.zeros(0))
     )
     trees: list[Tree] = []
-    before = None
+    before, last = None, {}
     for t in range(iterations if count else 0):
-        trees.append(grow(state, weights, rules, _used(edges), sample, share))
+        tree, last = grow(state, weights, rules, _used(edges), sample, share, last)
+        trees.append(tree)
         if before is not None:
             before.unpersist()
         if (trees[-1].feature < 0).all():
@@ -432,7 +506,7 @@ def first_splits(train: DataFrame, features: list[str], weights: tuple[float, fl
     """(Feature, Bins, Threshold, Gain): the best split of all rows on each feature alone, as the first tree weighs it."""
     known = train.where(f"{label} IS NOT NULL")
     edges = bin_edges(known, features)
-    sums = _counted(_state(known, features, edges, label), Growth(rules).tree([])[0], [0], weights, _used(edges))[0]
+    sums = _counted(_state(known, features, edges, label), Growth(rules).tree([])[0], [0], weights, _used(edges))[0][0]
     rows = []
     for i, name in enumerate(features):
         s = best_split(sums[i : i + 1], rules)

@@ -40,11 +40,11 @@ def _version(spark: SparkSession, folder: str) -> tuple:
     return tuple(seen)
 
 
-def _champion(spark: SparkSession, folder: str) -> BoostedTrees:
-    """The champion over the folder's present files, fitted once and read back from its stage."""
+def _champion(spark: SparkSession, folder: str, train: DataFrame) -> BoostedTrees:
+    """The champion over the train rows of the folder's present files, fitted once and read back from its stage."""
     key = (spark.sparkContext.applicationId, *_version(spark, folder))
     if key not in _champions:
-        _champions[key] = es.fit_boosted_trees(_splits(spark, folder)["TRAIN"]).save(spark, scratch_path(spark, "champion"))
+        _champions[key] = es.fit_boosted_trees(train).save(spark, scratch_path(spark, "champion"))
     return load_trees(spark, _champions[key])
 
 
@@ -85,7 +85,8 @@ def _(spark, folder):
 @query("m_score_check")
 def _(spark, folder):
     """Test rows per label, and how many of them have a champion score within [0, 1]."""
-    scored = es.score(_champion(spark, folder), _splits(spark, folder)["TEST"])
+    parts = _splits(spark, folder)
+    scored = es.score(_champion(spark, folder, parts["TRAIN"]), parts["TEST"])
     return scored.groupBy("isFraud").agg(F.expr("COUNT(*) AS row_count"), F.expr("COUNT_IF(score BETWEEN 0 AND 1) AS in_range"))
 
 
@@ -112,7 +113,8 @@ def _(spark, folder):
 @query("m_gbt")
 def _(spark, folder):
     """Champion metrics on the test period at its validation threshold."""
-    parts, model = _splits(spark, folder), _champion(spark, folder)
+    parts = _splits(spark, folder)
+    model = _champion(spark, folder, parts["TRAIN"])
     curve = lambda rows: ev.score_curve(es.score(model, rows).select("score", "isFraud"))
     cut = ev.f2_threshold(curve(parts["VALIDATION"])).select("Threshold").scalar()
     return output(ev.classification_metrics(curve(parts["TEST"]), cut, fr.CHAMPION_NAME))
@@ -120,14 +122,16 @@ def _(spark, folder):
 
 @query("m_score")
 def _(spark, folder):
-    rows = _splits(spark, folder)["TEST"]
-    return output(es.score(_champion(spark, folder), rows, "hgb_fraud_score").select("transaction_id", "hgb_fraud_score"))
+    parts = _splits(spark, folder)
+    model = _champion(spark, folder, parts["TRAIN"])
+    return output(es.score(model, parts["TEST"], "hgb_fraud_score").select("transaction_id", "hgb_fraud_score"))
 
 
 @query("m_save")
 def _(spark, folder):
     """Rows per label, and the largest difference between the scores of the stored and of the fitted champion."""
-    model, rows = _champion(spark, folder), _splits(spark, folder)["TEST"]
+    parts = _splits(spark, folder)
+    model, rows = _champion(spark, folder, parts["TRAIN"]), parts["TEST"]
     stored = load_trees(spark, model.save(spark, scratch_path(spark, "champion_copy")))
     both = es.score(stored, es.score(model, rows, "direct"), "reloaded")
     return output(both.groupBy("isFraud").agg(F.expr("COUNT(*) AS row_count"), F.expr("MAX(abs(direct - reloaded)) AS largest_difference")))
@@ -135,5 +139,6 @@ def _(spark, folder):
 
 @query("e_permutation_importance")
 def _(spark, folder):
-    rows = _splits(spark, folder)["VALIDATION"]
-    return output(importance.permutation_importance(_champion(spark, folder), rows))
+    parts = _splits(spark, folder)
+    model = _champion(spark, folder, parts["TRAIN"])
+    return output(importance.permutation_importance(model, parts["VALIDATION"]))

@@ -109,6 +109,42 @@ def test_a_hundred_thousand_rows_take_a_round_or_two_a_tree(spark, monkeypatch):
     assert len(model.trees) == 3 and len(rounds) <= 6
 
 
+def test_more_rows_than_the_sample_take_few_rounds_and_give_the_same_trees(spark, monkeypatch):
+    """A tenth of the rows foresees no split on noise; small leaves then come to the driver whole."""
+    from tallywatch.models import boosting as B
+
+    rounds, counted = [], B._counted
+    monkeypatch.setattr(B, "_counted", lambda *a: rounds.append(1) or counted(*a))
+    frame = spark.range(0, 20_000, 1, 4).selectExpr(
+        "CAST(pmod(xxhash64(id, 1), 5000) AS DOUBLE) AS a", "CAST(pmod(xxhash64(id, 2), 5000) AS DOUBLE) AS b", "CAST(id % 41 = 0 AS INT) AS isFraud"
+    )
+    whole = B.fit_trees(frame, ["a", "b"], (0.5, 20.5), 3)
+    rounds.clear()
+    monkeypatch.setattr(B, "SAMPLE_ROWS", 2000)
+    part = B.fit_trees(frame, ["a", "b"], (0.5, 20.5), 3)
+    assert len(part.trees) == 3 and len(rounds) <= 9
+    codes = B.codes_of(list(frame.toPandas()[["a", "b"]].to_numpy().T), whole.edges)
+    for one, other in zip(whole.trees, part.trees):
+        assert one.value[B.leaves_of(codes, one)] == pytest.approx(other.value[B.leaves_of(codes, other)], abs=1e-9)
+
+
+@pytest.mark.parametrize("fetched", [0, 600])
+def test_leaves_too_large_for_the_driver_are_counted_in_place(spark, monkeypatch, fetched):
+    from tallywatch.models import boosting as B
+
+    rows = spark.range(0, 3000, 1, 5).selectExpr(
+        "IF(id % 9 = 0, NULL, CAST(pmod(xxhash64(id, 1), 997) AS DOUBLE)) AS a", "CAST(pmod(xxhash64(id, 2), 3) AS DOUBLE) AS b",
+        "CAST(pmod(xxhash64(id, 3), 997) + IF(id % 9 = 0, 700, pmod(xxhash64(id, 1), 997)) > 1200 AS INT) AS isFraud",
+    )
+    whole = B.fit_trees(rows, ["a", "b"], (0.8, 1.3), 4, B.Rules(least_rows=20))
+    for name, value in (("SAMPLE_ROWS", 300), ("FETCHED_ROWS", fetched), ("BLOCK_ROWS", 250), ("CUT", 2)):
+        monkeypatch.setattr(B, name, value)
+    part = B.fit_trees(rows, ["a", "b"], (0.8, 1.3), 4, B.Rules(least_rows=20))
+    codes = B.codes_of(list(rows.toPandas()[["a", "b"]].to_numpy().T), whole.edges)
+    for one, other in zip(whole.trees, part.trees):
+        assert one.value[B.leaves_of(codes, one)] == pytest.approx(other.value[B.leaves_of(codes, other)], abs=1e-9)
+
+
 def test_trees_without_a_split_or_rows(spark):
     from tallywatch.models import boosting as B
 
